@@ -16,7 +16,8 @@ MAX_TTL_SECONDS = 86_400
 
 
 def base64url(binary: Column) -> Column:
-    return F.translate(F.rtrim(F.base64(binary), F.lit("=")), "+/", "-_")
+    """Unpadded URL-safe text; the line breaks of ``base64`` are dropped too."""
+    return F.translate(F.base64(binary), "+/=\r\n", "-_")
 
 
 def hmac_sha256(message: Column, secret: bytes) -> Column:

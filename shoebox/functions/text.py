@@ -9,6 +9,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 DIACRITIC = regex.compile(r"\p{Diacritic}")
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
@@ -16,17 +17,17 @@ ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 ISO_TEXT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFKC", v), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def accent_fold(values: pd.Series) -> pd.Series:
     """Decompose, drop diacritics, lower-case, trim."""
 

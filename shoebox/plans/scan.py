@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry
@@ -53,24 +51,16 @@ def _rank_struct() -> Column:
     )
 
 
-def _suppress_group(threshold: float):
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank").reset_index(drop=True)
-        x, y, w, h = (group[c].to_numpy(dtype=np.float64) for c in ("x", "y", "w", "h"))
-        alive = np.ones(len(group), dtype=bool)
-        for i in range(len(group)):
-            if not alive[i]:
-                continue
-            iw = np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x)
-            ih = np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y)
-            inter = np.maximum(iw, 0.0) * np.maximum(ih, 0.0)
-            union = w[i] * h[i] + w * h - inter
-            overlap = np.where(union > 0, inter / np.where(union > 0, union, 1.0), 0.0)
-            later = np.arange(len(group)) > i
-            alive &= ~(later & (overlap >= threshold))
-        return group.loc[alive, ["photo_id", "det_id"]]
+def _keep_in_order(boxes: Column, threshold: float) -> Column:
+    """Fold a ranked array of boxes into those no kept box overlaps."""
+    def step(kept: Column, box: Column) -> Column:
+        overlaps = F.exists(
+            kept,
+            lambda k: geometry.iou(*[k[c] for c in "xywh"], *[box[c] for c in "xywh"]) >= threshold,
+        )
+        return F.when(overlaps, kept).otherwise(F.array_append(kept, box))
 
-    return keep
+    return F.aggregate(boxes, F.slice(boxes, 1, 0), step)
 
 
 def _overlaps(boxes: DataFrame, threshold: float) -> DataFrame:
@@ -90,7 +80,8 @@ def _overlaps(boxes: DataFrame, threshold: float) -> DataFrame:
     home = placed.withColumn("gx", cell("x", F.col("level")))
     looks = (
         placed.withColumn("at", F.explode(F.array("level", F.col("level") + 1)))
-        .withColumn("gx", F.explode(F.expr("sequence(-1L, 1L)")) + cell("x", F.col("at")))
+        .withColumn("step", F.explode(F.expr("sequence(-1L, 1L)")))
+        .withColumn("gx", F.col("step") + cell("x", F.col("at")))
     )
     a = home.select("photo_id", F.col("level").alias("at"), "gx", *[F.col(c).alias(f"a_{c}") for c in ("det_id", "rank", "x", "y", "w", "h")])
     b = looks.select("photo_id", "at", "gx", "level", *[F.col(c).alias(f"b_{c}") for c in ("det_id", "rank", "x", "y", "w", "h")])
@@ -141,27 +132,24 @@ def suppress_overlaps(
 
     ``detections``: (photo_id, det_id, x, y, w, h, score). Order: score, area
     (both descending), y, x, det_id. Photos with up to ``group_rows``
-    detections are handled one group each; larger ones by rounds of joins.
+    detections are folded as one sorted array each, inside the JVM; larger
+    ones are settled by rounds of joins.
     """
-    ranked = detections.withColumn("rank", _rank_struct())
     counts = detections.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
-    crowded = counts.where(F.col("_n") > group_rows).select("photo_id")
-    slim = ranked.select("photo_id", "det_id", "x", "y", "w", "h", "rank")
-    usual = slim.join(crowded, "photo_id", "left_anti").withColumn(
-        "rank", F.array(*[F.col(f"rank.k{i}") for i in range(1, 5)])
-    ).select("photo_id", "det_id", "x", "y", "w", "h", "rank")
-
-    def grouped(group: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(range(len(group)), key=lambda i: (*group["rank"].iat[i], group["det_id"].iat[i]))
-        position = np.empty(len(group), dtype=np.int64)
-        position[order] = np.arange(len(group))
-        return _suppress_group(threshold)(group.assign(rank=position))
-
-    schema = f"photo_id {detections.schema['photo_id'].dataType.simpleString()}, det_id {detections.schema['det_id'].dataType.simpleString()}"
-    kept = usual.groupBy("photo_id").applyInPandas(grouped, schema)
+    sized = detections.join(counts, "photo_id").select(
+        "photo_id", "det_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")],
+        _rank_struct().alias("rank"), "_n",
+    )
+    box = F.struct("rank", "det_id", "x", "y", "w", "h")
+    kept = (
+        sized.where(F.col("_n") <= group_rows)
+        .groupBy("photo_id")
+        .agg(F.sort_array(F.collect_list(box)).alias("_boxes"))
+        .select("photo_id", F.explode(_keep_in_order(F.col("_boxes"), threshold)["det_id"]).alias("det_id"))
+    )
+    crowded = sized.where(F.col("_n") > group_rows).drop("_n")
     if not crowded.isEmpty():
-        big = cut_lineage(slim.join(crowded, "photo_id", "left_semi"), "crowded")
-        kept = kept.unionByName(_suppress_rounds(big, threshold))
+        kept = kept.unionByName(_suppress_rounds(cut_lineage(crowded, "crowded"), threshold))
     survivors = detections.join(kept, ["photo_id", "det_id"], "left_semi")
     return survivors.where(F.least("w", "h") >= minimum_px)
 

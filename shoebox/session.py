@@ -54,6 +54,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for stages whose cost is computing, not bytes.
+
+    Adaptive execution merges small partitions by size, which would put a
+    costly Python stage over few bytes into one task; an explicit number is
+    left alone.
+    """
+    return max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+
+
 def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

@@ -12,14 +12,15 @@ class CorruptInput(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Permissive read that keeps the text of bad lines; blank lines vanish."""
+    """Parsed lines plus the text of bad ones; blank lines vanish.
+
+    Lines are parsed as a column: the JSON source would judge a line only by
+    the columns a query happens to read.
+    """
     full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
-    return (
-        spark.read.schema(full)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(parsed.alias("_line")).select("_line.*")
 
 
 def numbered_bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
