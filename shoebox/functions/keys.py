@@ -20,6 +20,7 @@ MUTATION_ID = r"^[a-zA-Z0-9_-]{8,100}$"
 SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 SEED = r"^[a-f0-9]{8,64}$"
 SHA256 = r"^[a-f0-9]{64}$"
+UNSAFE_KEY = r"(^|/)\.{0,2}(/|$)|\\|[\x00-\x1f\x7f]"
 RUN_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 
 
@@ -50,17 +51,24 @@ def matches(value: Column, pattern: str) -> Column:
 
 
 def parse_photo_key(key: Column, prefix: str) -> Column:
-    """struct(shard, photo_hash, kind, sha, ext); null when the key is not one."""
+    """struct(shard, photo_hash, kind, sha, ext); null when the key is not one.
+
+    One pattern match decides; the parts then sit at known places.
+    """
     pattern = (
-        f"^{re.escape(prefix)}/([a-f0-9]{{2}})/p_([a-f0-9]{{32}})/(thumb|display)"
-        r"-([a-f0-9]{20})\.(webp|avif|jpeg)$"
+        f"^{re.escape(prefix)}/[a-f0-9]{{2}}/p_[a-f0-9]{{32}}/(thumb|display)"
+        r"-[a-f0-9]{20}\.(webp|avif|jpeg)$"
     )
-    part = lambda i: F.regexp_extract(key, pattern, i)
+    start = len(prefix) + 2
+    name = F.substring(key, start + 38, 64)
     return F.when(
         key.rlike(pattern),
         F.struct(
-            part(1).alias("shard"), part(2).alias("photo_hash"), part(3).alias("kind"),
-            part(4).alias("sha"), part(5).alias("ext"),
+            F.substring(key, start, 2).alias("shard"),
+            F.substring(key, start + 5, 32).alias("photo_hash"),
+            F.substring_index(name, "-", 1).alias("kind"),
+            F.substring(F.substring_index(name, "-", -1), 1, 20).alias("sha"),
+            F.substring_index(name, ".", -1).alias("ext"),
         ),
     )
 
@@ -81,21 +89,12 @@ def parse_avatar_key(key: Column, prefix: str) -> Column:
 
 def unsafe_key(key: Column) -> Column:
     """Absolute, backslash, control character, or an empty/dot path segment."""
-    bad_segment = F.exists(F.split(key, "/"), lambda s: s.isin("", ".", ".."))
-    return F.coalesce(
-        key.startswith("/")
-        | F.contains(key, F.lit("\\"))
-        | key.rlike(r"[\x00-\x1f\x7f]")
-        | bad_segment,
-        F.lit(True),
-    )
+    return F.coalesce(key.rlike(UNSAFE_KEY), F.lit(True))
 
 
 def outside_root(path: Column, root: str) -> Column:
     """True unless the path stays below ``root`` with no parent steps."""
-    inside = path.startswith(root.rstrip("/") + "/") & ~F.exists(
-        F.split(path, "/"), lambda s: s == ".."
-    )
+    inside = path.startswith(root.rstrip("/") + "/") & ~path.rlike(r"(^|/)\.\.(/|$)")
     return ~F.coalesce(inside, F.lit(False))
 
 
@@ -106,7 +105,10 @@ def private_crop_path(path: Column, root: str) -> Column:
 
 
 def encode_segments(key: Column) -> Column:
-    """Percent-encode each path segment, keeping the slashes."""
+    """Percent-encode each path segment, keeping the slashes.
+
+    Keys of unreserved characters only, the usual case, are left as they are.
+    """
     encoded = F.transform(
         F.split(key, "/"),
         lambda s: F.regexp_replace(
@@ -125,4 +127,4 @@ def encode_segments(key: Column) -> Column:
             "%7E", "~",
         ),
     )
-    return F.array_join(encoded, "/")
+    return F.when(key.rlike("^[A-Za-z0-9/._-]*$"), key).otherwise(F.array_join(encoded, "/"))

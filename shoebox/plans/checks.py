@@ -200,9 +200,9 @@ def digest_check(manifest: DataFrame, files: DataFrame, path: str, sha: str) ->
 
 
 def upload_rules(prefix: str, private_root: str) -> dict[str, Column]:
-    """One boolean per rule of an upload plan row."""
+    """One boolean per rule of an upload plan row with its parsed keys."""
     c = F.col
-    photo, avatar = keys.parse_photo_key(c("object_key"), prefix), keys.parse_avatar_key(c("object_key"), prefix)
+    photo, avatar = c("_photo"), c("_avatar")
     is_photo, is_avatar = photo.isNotNull(), avatar.isNotNull()
     embedded = F.coalesce(photo["sha"], avatar["sha"])
     suffix = F.coalesce(photo["ext"], F.lit("webp"))
@@ -236,8 +236,12 @@ def upload_rules(prefix: str, private_root: str) -> dict[str, Column]:
 
 
 def upload_violations(plan: DataFrame, *, prefix: str, private_root: str) -> DataFrame:
+    # Parsed once per row, in a projection of its own.
+    parsed = plan.withColumn("_photo", keys.parse_photo_key(F.col("object_key"), prefix)).withColumn(
+        "_avatar", keys.parse_avatar_key(F.col("object_key"), prefix)
+    )
     return union_all(
-        violations(plan, F.col("object_key"), upload_rules(prefix, private_root)),
+        violations(parsed, F.col("object_key"), upload_rules(prefix, private_root)),
         duplicates(plan, ["object_key"], "duplicate_key"),
     )
 

@@ -18,6 +18,7 @@ from ..functions.text import first_name, name_key
 from ..operators import workspace as reads
 from ..operators.agglomerate import member_digest
 from ..operators.tables import delete_keys, insert_missing, patch, upsert
+from ..session import cut_lineage
 
 IMAGES = T.StructType(
     [
@@ -582,7 +583,8 @@ def undo_last(ws: Workspace, now: Column) -> tuple[Workspace, str | None]:
     ).head()
     if latest["id"] is None:
         return ws, None
-    images = ws.images.where(F.col("action_id") == latest["id"])
+    # Five tables are restored from these rows: read them out once.
+    images = cut_lineage(ws.images.where(F.col("action_id") == latest["id"]), "images")
 
     def restored(table: str, frame: DataFrame, columns) -> DataFrame:
         shape = T.StructType([frame.schema[c] for c in columns])

@@ -135,23 +135,29 @@ def suppress_overlaps(
     detections are folded as one sorted array each, inside the JVM; larger
     ones are settled by rounds of joins.
     """
-    counts = detections.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = detections.join(counts, "photo_id").select(
-        "photo_id", "det_id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")],
-        _rank_struct().alias("rank"), "_n",
+    columns = detections.columns
+    number = {c: F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")}
+    sized = detections.select(*[number.get(c, F.col(c)) for c in columns], _rank_struct().alias("rank"))
+    crowded = (
+        detections.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > group_rows).select("photo_id")
     )
-    box = F.struct("rank", "det_id", "x", "y", "w", "h")
+    usual, big = sized, None
+    if not crowded.isEmpty():
+        usual = sized.join(crowded, "photo_id", "left_anti")
+        big = cut_lineage(sized.join(crowded, "photo_id", "left_semi"), "crowded")
+    # The fold carries whole rows, so survivors need no join back.
+    box = F.struct("rank", *[c for c in columns if c != "photo_id"])
     kept = (
-        sized.where(F.col("_n") <= group_rows)
-        .groupBy("photo_id")
+        usual.groupBy("photo_id")
         .agg(F.sort_array(F.collect_list(box)).alias("_boxes"))
-        .select("photo_id", F.explode(_keep_in_order(F.col("_boxes"), threshold)["det_id"]).alias("det_id"))
+        .select("photo_id", F.explode(_keep_in_order(F.col("_boxes"), threshold)).alias("_b"))
+        .select(*[F.col("photo_id") if c == "photo_id" else F.col(f"_b.{c}") for c in columns])
     )
-    crowded = sized.where(F.col("_n") > group_rows).drop("_n")
-    if not crowded.isEmpty():
-        kept = kept.unionByName(_suppress_rounds(cut_lineage(crowded, "crowded"), threshold))
-    survivors = detections.join(kept, ["photo_id", "det_id"], "left_semi")
-    return survivors.where(F.least("w", "h") >= minimum_px)
+    if big is not None:
+        settled = _suppress_rounds(big, threshold)
+        kept = kept.unionByName(big.join(settled, ["photo_id", "det_id"], "left_semi").select(*columns))
+    return kept.where(F.least("w", "h") >= minimum_px)
 
 
 def face_ordinals(detections: DataFrame) -> DataFrame:

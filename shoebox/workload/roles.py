@@ -18,7 +18,9 @@ NOW = "2030-01-01T00:00:00.000Z"
 
 
 def hex_id(prefix: str, text: Column, n: int = 32) -> Column:
-    return F.concat(F.lit(prefix), F.substring(F.sha2(text.cast("string").cast("binary"), 256), 1, n))
+    digest = F.concat(F.lit(prefix), F.substring(F.sha2(text.cast("string").cast("binary"), 256), 1, n))
+    # Keys have no nulls; saying so spares a null filter that would hash again.
+    return F.coalesce(digest, F.lit(""))
 
 
 def photo_id(key: Column) -> Column:
