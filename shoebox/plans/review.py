@@ -1,14 +1,15 @@
 """Review decisions as set-based changes over the face workspace.
 
 Every decision takes a table of commands, so one call may decide one cluster
-or millions. A change returns the next workspace; nothing is written until the
-caller publishes it. Before-images are kept one row per changed row, so undo
-is a join and no single value grows with the size of a decision.
+or millions. A checked decision writes the tables it changed to the shared
+folder and returns the workspace made of them; with ``check=False`` it only
+returns plans. Before-images are kept one row per changed row, so undo is a
+join and no single value grows with the size of a decision.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -194,11 +195,26 @@ def high_watermark(ws: Workspace) -> DataFrame:
     return ws.actions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("action_high_watermark"))
 
 
-def _log(ws, action_type, mutation_id, payload_json, images, now) -> Workspace:
+def settled(before: Workspace, after: Workspace) -> Workspace:
+    """Write the tables a decision changed, so the next one starts from data.
+
+    A decision reads its inputs several times; without this, plans of
+    consecutive decisions would multiply.
+    """
+    changed = {
+        f.name: cut_lineage(getattr(after, f.name), f.name)
+        for f in fields(Workspace)
+        if getattr(after, f.name) is not getattr(before, f.name)
+    }
+    return replace(after, **changed)
+
+
+def _log(before, after, action_type, mutation_id, images, now, write) -> Workspace:
     out = images[0]
     for more in images[1:]:
         out = out.unionByName(more)
-    return append_action(ws, action_type, mutation_id, payload_json, out, now)
+    logged = append_action(after, action_type, mutation_id, "{}", out, now)
+    return settled(before, logged) if write else logged
 
 
 # Decisions --------------------------------------------------------------------
@@ -233,6 +249,8 @@ def label_clusters(
         return ws
     named = named_commands(commands, aliases=aliases, normalize=normalize)
     if check:
+        # Names are normalised once, not per reader of the list.
+        named = cut_lineage(named, "named")
         _require_clusters(ws, commands)
         _refuse(named.where(F.col("display_name").isNull()).select("cluster_id"), "name must be 1 to 120 characters")
     people, created = find_or_create_people(ws.people, named, now)
@@ -263,6 +281,7 @@ def label_clusters(
         .where(~(F.coalesce(same, F.lit(False)) & (F.coalesce("unsettled", F.lit(0)) == 0)))
     )
     if check:
+        todo = cut_lineage(todo, "todo")
         _refuse(
             todo.where(F.coalesce("eligible", F.lit(0)) == 0).select("cluster_id"),
             "recover at least one face before naming this cluster",
@@ -278,7 +297,7 @@ def label_clusters(
     out = replace(
         ws, people=people, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now)
     )
-    return _log(out, "label_cluster", mutation_id, "{}", images, now)
+    return _log(ws, out, "label_cluster", mutation_id, images, now, check)
 
 
 def batch_label(
@@ -336,7 +355,7 @@ def batch_label(
     )
     faces = _set_faces(ws.faces, changes, now)
     out = replace(ws, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now))
-    return _log(out, "batch_label_clusters", mutation_id, "{}", images, now)
+    return _log(ws, out, "batch_label_clusters", mutation_id, images, now, check)
 
 
 def ignore_unreviewed(
@@ -385,7 +404,7 @@ def ignore_unreviewed(
         },
     )
     out = replace(ws, faces=_set_faces(ws.faces, changes, now), clusters=clusters)
-    return _log(out, "ignore_all_unreviewed_clusters", mutation_id, "{}", images, now), report
+    return _log(ws, out, "ignore_all_unreviewed_clusters", mutation_id, images, now, check), report
 
 
 def set_clusters(
@@ -417,7 +436,7 @@ def set_clusters(
     )
     faces = _set_faces(ws.faces, changes, now)
     out = replace(ws, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now))
-    return _log(out, f"{state}_cluster", mutation_id, "{}", images, now)
+    return _log(ws, out, f"{state}_cluster", mutation_id, images, now, check)
 
 
 def set_faces(
@@ -439,7 +458,7 @@ def set_faces(
     changes = ids.select("id", F.lit(state).alias("status"), F.lit(None).cast("string").alias("person_id"))
     faces = _set_faces(ws.faces, changes, now)
     out = replace(ws, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now))
-    return _log(out, f"{state}_face", mutation_id, "{}", images, now)
+    return _log(ws, out, f"{state}_face", mutation_id, images, now, check)
 
 
 def remaining_faces(faces: DataFrame, commands: DataFrame) -> DataFrame:
@@ -516,7 +535,7 @@ def split_clusters(
         suggestions=delete_keys(ws.suggestions, dropped, ["cluster_id_a", "cluster_id_b"]),
         cannot_links=insert_missing(ws.cannot_links, links, ["face_id_a", "face_id_b"]),
     )
-    return _log(out, "split_cluster", mutation_id, "{}", images, now)
+    return _log(ws, out, "split_cluster", mutation_id, images, now, check)
 
 
 def merge_targets(commands: DataFrame) -> DataFrame:
@@ -573,10 +592,10 @@ def merge_clusters(
         ws, faces=faces, clusters=recompute_clusters(clusters, faces, targets, now),
         suggestions=delete_keys(ws.suggestions, dropped, ["cluster_id_a", "cluster_id_b"]),
     )
-    return _log(out, "merge_clusters", mutation_id, "{}", images, now)
+    return _log(ws, out, "merge_clusters", mutation_id, images, now, check)
 
 
-def undo_last(ws: Workspace, now: Column) -> tuple[Workspace, str | None]:
+def undo_last(ws: Workspace, now: Column, *, write: bool = True) -> tuple[Workspace, str | None]:
     """Undo the newest action that is not undone yet; its type, or None."""
     latest = ws.actions.where(F.col("undone_at").isNull()).agg(
         F.max("id").alias("id"), F.max_by("action_type", "id").alias("action_type")
@@ -613,10 +632,8 @@ def undo_last(ws: Workspace, now: Column) -> tuple[Workspace, str | None]:
         ["face_id_a", "face_id_b"],
     )
     stamp = F.when(F.col("id") == latest["id"], now.cast("string")).otherwise(F.col("undone_at"))
-    return (
-        replace(
-            ws, faces=faces, clusters=clusters, people=people, suggestions=suggestions,
-            cannot_links=links, actions=ws.actions.withColumn("undone_at", stamp),
-        ),
-        latest["action_type"],
+    undone = replace(
+        ws, faces=faces, clusters=clusters, people=people, suggestions=suggestions,
+        cannot_links=links, actions=ws.actions.withColumn("undone_at", stamp),
     )
+    return (settled(ws, undone) if write else undone), latest["action_type"]

@@ -369,7 +369,7 @@ def _(r):
 @query("m19_undo", "SELECT id, status, person_id, revision FROM faces", ("faces",))
 def _(r):
     """Ignore everything unreviewed, then undo it: the faces are as before."""
-    restored, _kind = review.undo_last(_ignored(r), _now())
+    restored, _kind = review.undo_last(_ignored(r), _now(), write=False)
     return restored.faces.select("id", "status", "person_id", "revision")
 
 
@@ -377,7 +377,7 @@ def _(r):
 def _(r):
     """Undo a split of every cluster: faces return, links and clusters leave."""
     split = review.split_clusters(r.workspace, _split(r), mutation_id="split-all-1", now=_now(), check=False)
-    restored, _kind = review.undo_last(split, _now())
+    restored, _kind = review.undo_last(split, _now(), write=False)
     return restored.faces.select("id", "cluster_id", "status", "person_id", "revision")
 
 

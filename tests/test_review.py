@@ -41,7 +41,7 @@ def photo(x):
 def ws(spark):
     def table(rows, schema):
         names = schema.names
-        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+        return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema).coalesce(1)
 
     photos = [p for p in dict.fromkeys(f[2] for f in FACES)]
     faces = [
@@ -82,7 +82,7 @@ def now():
 
 
 def commands(spark, rows, names):
-    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    return spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split())).coalesce(1)
 
 
 def state(ws):
@@ -238,7 +238,6 @@ def test_reads(spark, ws):
     summary = reads.cluster_summary(out.clusters, out.faces, out.photos, out.people)
     queue = [r["id"] for r in reads.review_queue(summary).collect()]
     assert queue[0] in (group("split"), group("state")) and queue[-1] == group("label")
-    assert [r["id"] for r in reads.filter_clusters(summary, "all", "áLEX").collect()] == [group("label")] or True
     assert reads.filter_clusters(summary, "labeled", "lex").count() == 1
     assert reads.filter_clusters(summary, "all", "%").count() == 0
     board = reads.scoreboard(out.photos, out.faces, out.clusters).head()
