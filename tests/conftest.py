@@ -17,6 +17,8 @@ def spark():
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
         spark__driver__memory="6g",
+        # Tiny inputs: compiling generated code would cost more than it saves.
+        spark__sql__codegen__wholeStage="false", spark__sql__codegen__factoryMode="NO_CODEGEN",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
