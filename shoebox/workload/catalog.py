@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import keys
 from ..functions.cursor import Cursor
 from ..functions.text import iso_micros
 from ..operators import facets, paging
-from ..operators.numbering import dense_index, index_in_group
+from ..operators.numbering import dense_index
 from ..plans import gallery, publish
 from .registry import query
 from .roles import ALBUM, PREFIX, SEED
@@ -143,14 +142,15 @@ for _sort in ORDERS:
 @query("o6_full_walk_newest", f"""SELECT id, row_number() OVER (ORDER BY {ORDERS['newest']})-1 AS global_index
   FROM photos WHERE album_id='{ALBUM}' AND published""", ("photos",))
 def _(r):
-    shown = paging.published_in_album(r.photos, ALBUM)
+    shown = paging.published_in_album(r.photos, ALBUM).select("id", "album_position", "captured_at")
     return dense_index(shown, paging.sort_columns("newest"), "global_index").select("id", "global_index")
 
 
 @query("w5_dense_positions", """SELECT id, row_number() OVER (ORDER BY captured_at ASC NULLS LAST, album_position, id)-1 AS position
   FROM photos""", ("photos",))
 def _(r):
-    return dense_index(r.photos, paging.sort_columns("oldest"), "position").select("id", "position")
+    keys = r.photos.select("id", "album_position", "captured_at")
+    return dense_index(keys, paging.sort_columns("oldest"), "position").select("id", "position")
 
 
 @query("j1_person_facet", f"""SELECT id FROM photos ph WHERE published AND EXISTS (SELECT 1 FROM links l JOIN people pe

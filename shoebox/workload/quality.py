@@ -112,7 +112,7 @@ def _(r):
   SELECT 'links_complete' WHERE (SELECT sum(face_count::BIGINT*(face_count-1)//2) FROM review_photos)<>(SELECT count(*) FROM cannot_links)) GROUP BY 1""",
   ("review_photos", "clusters", "faces", "suggestions", "cannot_links"))
 def _(r):
-    return rule_counts(checks.consistency_violations(r.review_photos, r.faces, r.clusters, r.cannot_links, r.suggestions))
+    return rule_counts(checks.consistency_violations(r.review_photos, r.stored_faces, r.clusters, r.stored_links, r.suggestions))
 
 
 @query("j9_orphans_and_empty", """SELECT 'orphan_face' AS kind, count(*) AS n FROM faces f WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE c.id=f.cluster_id AND c.status='unreviewed') AND f.status='unreviewed'

@@ -192,6 +192,21 @@ class Roles:
             "face_id_a", "face_id_b", F.lit("same_photo").alias("reason"), F.lit("t0").alias("created_at")
         )
 
+    @cached_property
+    def stored_faces(self) -> DataFrame:
+        """Faces as a written table, for jobs that read them many times."""
+        from ..session import cut_lineage
+
+        return cut_lineage(self.faces.select("id", "photo_id", "cluster_id", "person_id", "status"), "faces")
+
+    @cached_property
+    def stored_links(self) -> DataFrame:
+        from ..operators.workspace import same_photo_links
+        from ..session import cut_lineage
+
+        links = same_photo_links(self.stored_faces)
+        return cut_lineage(links.select("face_id_a", "face_id_b", F.lit("same_photo").alias("reason")), "links")
+
     @cached_property
     def vectors(self) -> DataFrame:
         """Two consecutive vectors share a photo."""
