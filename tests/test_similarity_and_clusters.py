@@ -183,3 +183,22 @@ def test_face_ids_and_scale_plan(spark):
         scan.face_id(F.lit("k"), F.lit(1), [F.lit(0.1)] * 4, F.array(F.lit(0.5))).alias("b"),
     ).head()
     assert one["a"].startswith("f_") and len(one["a"]) == 34 and one["a"] != one["b"]
+
+
+def test_a_run_is_skipped_only_when_nothing_changed(spark):
+    faces = spark.createDataFrame([("a", "unreviewed", None, [1.0]), ("b", "unreviewed", None, [0.5])], "id string, status string, person_id string, embedding array<float>")
+    clusters = spark.createDataFrame([("c",)], "id string")
+    key = cluster.embedding_set_digest(faces).head()[0]
+    assert cluster.may_skip(faces, clusters, key, key) == "matching_cluster_run_key"
+    assert cluster.may_skip(faces, clusters.limit(0), key, key) is None
+    changed = faces.withColumn("embedding", F.array(F.lit(0.5).cast("float")))
+    other = cluster.embedding_set_digest(changed).head()[0]
+    assert other != key and cluster.may_skip(faces, clusters, key, other) is None
+    assert cluster.may_skip(faces.withColumn("status", F.lit("ignored")), clusters, None, key) == "human_review_exists"
+
+
+def test_cluster_table_picks_the_best_face(spark):
+    faces = spark.createDataFrame([("a", 0.2), ("b", 0.9), ("c", 0.9)], "id string, quality_score double")
+    placed = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x")], "id string, cluster_id string")
+    row = cluster.cluster_table(faces, placed).head()
+    assert (row["id"], row["representative_face_id"], row["face_count"]) == ("x", "b", 3)
