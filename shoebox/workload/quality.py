@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import workspace as reads
-from ..operators.rules import compare_fields, duplicates, rule_counts, violations
+from ..operators.rules import compare_fields, rule_counts
 from ..plans import checks, export, ingest
 from .registry import query
 from .roles import ALBUM, PREFIX

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoebox.operators import suggest
-from shoebox.operators.agglomerate import agglomerate, assign_clusters, member_digest
+from shoebox.operators.agglomerate import member_digest
 from shoebox.operators.numbering import dense_index, index_in_group, keep_first, keep_last
 from shoebox.operators.similarity import similar_pairs
 from shoebox.plans import cluster, scan
