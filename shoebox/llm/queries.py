@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann import nearest
 from .common import table
 from .media import media_features
 from .mixing import mix_sources
 from .pii import BASE_KINDS, find_personal_data, written
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents")).drop("media")
 
@@ -32,9 +37,24 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_media": op2_media,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ann": """
+        WITH v AS (
+            SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e) AS score
+            FROM v q JOIN v d ON q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id AND len(d.e) = len(q.e)
+        )
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+        FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+        QUALIFY row_number() OVER w <= 20
+    """,
+}
