@@ -10,6 +10,7 @@ from .ann import nearest
 from .common import table
 from .media import media_features
 from .mixing import mix_sources
+from .packing import pack_documents
 from .pii import BASE_KINDS, find_personal_data, written
 
 
@@ -21,6 +22,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents")).drop("media")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate")
@@ -39,6 +44,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_media": op2_media,
+    "op5_packing": op5_packing,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
 }
