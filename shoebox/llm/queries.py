@@ -12,6 +12,7 @@ from .media import media_features
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import BASE_KINDS, find_personal_data, written
+from .quality import score_documents
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate")
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_media": op2_media,
     "op5_packing": op5_packing,
+    "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
 }
