@@ -1,8 +1,8 @@
 """Quality of documents from weak labels.
 
 Heuristic labellers vote good, poor or abstain. Expectation-maximisation over
-the counts of vote patterns estimates how often each is right about good and
-about poor documents; the posteriors label a bounded sample that trains a
+the counts of vote patterns estimates how often each is right on good documents
+and on those with the fault it looks for; the posteriors label a bounded sample that trains a
 hashed linear scorer, which then judges every document.
 """
 
@@ -19,9 +19,9 @@ from ..session import cut_lineage
 from .common import small_batches
 from .textpack import hash_words, mix, slices, word_bounds
 
-LABELLERS = ("symbols", "tails", "repeats", "variety", "capitals", "lengths", "stops")
+#: Labellers and the words a text needs before they say anything.
+LABELLERS = {"symbols": 5, "tails": 5, "repeats": 8, "variety": 20, "capitals": 5, "lengths": 10, "stops": 30}
 BITS = 14
-STATS = ("symbols", "tails", "repeats", "variety", "capitals", "lengths", "stops")
 
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
@@ -61,21 +61,17 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[st
 def votes(n: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
     """1 good, 0 poor, -1 abstains: one row per text, one column per labeller."""
 
-    def between(poor: np.ndarray, good: np.ndarray, enough: int) -> np.ndarray:
-        return np.where(n < enough, -1, np.where(poor, 0, np.where(good, 1, -1)))
-
-    return np.stack(
-        [
-            between(m["symbols"] > 0.1, m["symbols"] < 0.02, 3),
-            between(m["tails"] > 0.15, m["tails"] < 0.03, 3),
-            between(m["repeats"] > 0.15, m["repeats"] < 0.06, 4),
-            between(m["variety"] < 2.0, m["variety"] > 5.0, 20),
-            between(m["capitals"] > 0.5, m["capitals"] < 0.2, 3),
-            between((m["lengths"] < 2) | (m["lengths"] > 16), (m["lengths"] > 2.5) & (m["lengths"] < 12), 3),
-            between((m["stops"] > 0.6) | (m["stops"] == 0), (m["stops"] > 0.01) & (m["stops"] < 0.4), 30),
-        ],
-        axis=1,
-    ).astype(np.int8)
+    found = {
+        "symbols": (m["symbols"] > 0.1, m["symbols"] < 0.02),
+        "tails": (m["tails"] > 0.15, m["tails"] < 0.03),
+        "repeats": (m["repeats"] > 0.15, m["repeats"] < 0.06),
+        "variety": (m["variety"] < 2.0, m["variety"] > 5.0),
+        "capitals": (m["capitals"] > 0.5, m["capitals"] < 0.2),
+        "lengths": ((m["lengths"] < 2) | (m["lengths"] > 16), (m["lengths"] > 2.5) & (m["lengths"] < 12)),
+        "stops": ((m["stops"] > 0.6) | (m["stops"] == 0), (m["stops"] > 0.01) & (m["stops"] < 0.4)),
+    }
+    cast = lambda poor, good, enough: np.where(n < enough, -1, np.where(poor, 0, np.where(good, 1, -1)))
+    return np.stack([cast(*found[name], enough) for name, enough in LABELLERS.items()], axis=1).astype(np.int8)
 
 
 def feature_slots(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, m: dict[str, np.ndarray]):
@@ -92,9 +88,10 @@ def feature_slots(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, m: dict[
     triple = (wide[at] << np.uint64(16)) | (wide[at + 1] << np.uint64(8)) | wide[at + 2]
     slot = ((triple * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
     levels = []
-    for i, name in enumerate(STATS):
+    for i, (name, enough) in enumerate(LABELLERS.items()):
         scaled = m[name] if name in ("variety", "lengths") else m[name] * 20
-        level = np.minimum(np.floor(scaled), 19).astype(np.uint64)
+        # Level 20 says nothing: the text is too short for this measure.
+        level = np.where(n < enough, 20, np.minimum(np.floor(scaled), 19)).astype(np.uint64)
         levels.append((mix(level + np.uint64(1000 * (i + 1))) >> np.uint64(64 - BITS)).astype(np.int64))
     return slot, np.searchsorted(at, offsets), np.stack(levels, axis=1)
 
@@ -115,32 +112,36 @@ class QualityModel:
         return n, np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def label_posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100):
-    """EM for labellers with one accuracy per class.
+def label_posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, false_alarm: float = 0.003):
+    """EM over labellers that each look for one kind of fault.
 
-    patterns: distinct rows of votes; counts: how often each occurs. Returns
-    P(good) of each pattern and (right on good, right on poor) per labeller.
-    Starts from the majority of votes, which settles what 'good' means.
+    patterns: distinct rows of votes; counts: how often each occurs. A
+    document is good or has, mainly, the fault of one labeller; each of these
+    classes has its own chance of a poor vote per labeller, abstentions count
+    as missing. (With one class for all poor documents, those with one fault
+    get good votes from all other labellers and EM would explain the fault
+    away.) Chances of poor votes on good documents have a prior of
+    ``false_alarm`` that weighs as much as the data. Returns P(good) of each
+    pattern and, per labeller, how often it is right on good documents and on
+    those of its own fault.
     """
-    cast = patterns >= 0
-    good = (patterns == 1).sum(axis=1) - (patterns == 0).sum(axis=1)
-    # One poor vote weighs as much as three good ones: each fault is seen by few labellers.
-    p = np.where((patterns == 0).any(axis=1) & (good < 6), 0.2, 0.95)
-    right = np.full((patterns.shape[1], 2), 0.8)
+    k = patterns.shape[1]
+    poor, cast = (patterns == 0).astype(float), (patterns >= 0).astype(float)
+    p = np.hstack([np.where(poor.any(axis=1), 0.05, 0.95)[:, None], poor + 0.01])
+    p /= p.sum(axis=1, keepdims=True)
+    total = counts.sum() + 1
+    hits = np.vstack([np.full(k, false_alarm * total), np.where(np.eye(k) > 0, 9.0, 1.0)])
+    tries = np.vstack([np.full(k, total), np.full((k, k), 10.0)])
     for _ in range(rounds):
-        share = float((counts * p).sum() + 1) / (counts.sum() + 2)
-        for j in range(patterns.shape[1]):
-            w = counts * cast[:, j]
-            up, down = (w * p).sum(), (w * (1 - p)).sum()
-            right[j, 0] = ((w * p * (patterns[:, j] == 1)).sum() + 8) / (up + 10)
-            right[j, 1] = ((w * (1 - p) * (patterns[:, j] == 0)).sum() + 2) / (down + 10)
-        right = right.clip(0.01, 0.995)
-        odds = np.full(len(p), np.log(share / (1 - share)))
-        for j in range(patterns.shape[1]):
-            odds += np.where(patterns[:, j] == 1, np.log(right[j, 0] / (1 - right[j, 1])), 0.0)
-            odds += np.where(patterns[:, j] == 0, np.log((1 - right[j, 0]) / right[j, 1]), 0.0)
-        p = 1 / (1 + np.exp(-odds.clip(-30, 30)))
-    return p, {name: (float(right[j, 0]), float(right[j, 1])) for j, name in enumerate(LABELLERS)}
+        mass = p * counts[:, None]
+        share = (mass.sum(axis=0) + 0.1) / (mass.sum() + 0.1 * (k + 1))
+        rate = ((mass.T @ poor + hits) / (mass.T @ cast + tries)).clip(1e-4, 1 - 1e-4)
+        # A class keeps its meaning: at least half of its documents show its fault.
+        rate[1:][np.eye(k) > 0] = rate[1:][np.eye(k) > 0].clip(0.5)
+        logs = np.log(share) + poor @ np.log(rate).T + (cast - poor) @ np.log(1 - rate).T
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+    return p[:, 0], {name: (float(1 - rate[0, j]), float(rate[j + 1, j])) for j, name in enumerate(LABELLERS)}
 
 
 def train(docs: DataFrame, *, sample_docs: int = 4096, rounds: int = 300, seed: int = 7) -> QualityModel:
