@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest
-from .common import table
+from .common import crc_of_id, table
+from .langid import detect_languages
 from .media import media_features
 from .mixing import mix_sources
 from .packing import pack_documents
@@ -23,6 +24,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents")).drop("media")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_of_id() % 4 == 2
+    return detect_languages(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +56,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_media": op2_media,
+    "op3_langid": op3_langid,
     "op5_packing": op5_packing,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
