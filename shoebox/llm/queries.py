@@ -10,6 +10,7 @@ from .ann import nearest
 from .common import crc_of_id, table
 from .langid import detect_languages
 from .media import media_features
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import BASE_KINDS, find_personal_data, written
@@ -30,6 +31,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_languages(docs, ~held).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, share=(85, 100), bands=40, rows=7)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_media": op2_media,
     "op3_langid": op3_langid,
+    "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,

@@ -77,3 +77,27 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     for i in np.flatnonzero(length > _LONG):
         h[i] = xxhash.xxh64_intdigest(lower[starts[i] : ends[i]].tobytes())
     return h
+
+
+def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of ``size`` words per text, as sorted 64-bit hashes.
+
+    h: word hashes of all texts; first: number of the first word of each text.
+    A text with fewer words has one shingle, its whole sequence; one without
+    words has none. Returns the hashes, grouped by text, and their bounds.
+    """
+    count = np.diff(first)
+    texts = len(count)
+    each = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    doc = np.repeat(np.arange(texts), each)
+    at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+    used = np.minimum(count, size)[doc]
+    s = used.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    padded = np.r_[h, np.zeros(size, np.uint64)]
+    for j in range(size):
+        s = np.where(j < used, mix((s ^ padded[at + j]) * np.uint64(0x9FB21C651E98DF25) + np.uint64(j + 1)), s)
+    order = np.lexsort((s, doc))
+    s, doc = s[order], doc[order]
+    fresh = np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])] if len(s) else np.zeros(0, bool)
+    s, doc = s[fresh], doc[fresh]
+    return s, np.searchsorted(doc, np.arange(texts + 1))
