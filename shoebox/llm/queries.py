@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest
 from .common import crc_of_id, table
+from .katz import score_texts
 from .langid import detect_languages
 from .media import media_features
 from .minhash import near_duplicates
@@ -58,6 +59,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), crc_of_id() % 7 == 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_media": op2_media,
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
+    "op10_katz": op10_katz,
 }
 
 ORACLES: dict[str, str] = {
