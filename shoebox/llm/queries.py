@@ -16,6 +16,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import BASE_KINDS, find_personal_data, written
 from .quality import score_documents
+from .suffixes import remove_repeats
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_minhash": op4_minhash,
     "op5_packing": op5_packing,
+    "op6_suffixes": op6_suffixes,
     "op7_quality": op7_quality,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
