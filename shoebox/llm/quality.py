@@ -167,17 +167,17 @@ def train(docs: DataFrame, *, sample_docs: int = 4096, rounds: int = 300, seed:
                     if draw[i] <= limit and n[i] > 0:
                         found, count = np.unique(slot[first[i] : first[i + 1]], return_counts=True)
                         share = count / max(1, count.sum())
-                        slots.append(np.r_[found, levels[i]].tolist())
-                        values.append(np.r_[share, np.ones(levels.shape[1])].tolist())
+                        slots.append(np.r_[found, levels[i]].astype("<u2").tobytes())
+                        values.append(np.r_[share, np.ones(levels.shape[1])].astype("<f4").tobytes())
                     else:
                         slots.append(None)
                         values.append(None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pattern, pa.string()), pa.array(slots, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))],
+                [pa.array(pattern, pa.string()), pa.array(slots, pa.binary()), pa.array(values, pa.binary())],
                 ["pattern", "slots", "shares"],
             )
 
-    seen = cut_lineage(docs.select("text").mapInArrow(look, "pattern string, slots array<int>, shares array<float>"), "votes")
+    seen = cut_lineage(docs.select("text").mapInArrow(look, "pattern string, slots binary, shares binary"), "votes")
     rows = sorted(seen.groupBy("pattern").count().collect())
     decode = lambda s: ["-+_".index(c) if c != "_" else -1 for c in s]
     patterns = np.array([decode(r[0]) for r in rows], np.int8).reshape(len(rows), len(LABELLERS))
@@ -186,9 +186,9 @@ def train(docs: DataFrame, *, sample_docs: int = 4096, rounds: int = 300, seed:
     sample = sorted(seen.where(F.col("slots").isNotNull()).collect())
     weights, bias = np.zeros(1 << BITS), 0.0
     if sample:
-        row = np.repeat(np.arange(len(sample)), [len(s[1]) for s in sample])
-        slot = np.concatenate([s[1] for s in sample])
-        share = np.concatenate([s[2] for s in sample])
+        row = np.repeat(np.arange(len(sample)), [len(s[1]) // 2 for s in sample])
+        slot = np.frombuffer(b"".join(bytes(s[1]) for s in sample), "<u2").astype(np.int64)
+        share = np.frombuffer(b"".join(bytes(s[2]) for s in sample), "<f4")
         target = np.array([by_pattern[s[0]] for s in sample])
         # Both classes pull equally, however rare poor documents are.
         pull = np.where(target > 0.5, 0.5 / max(1.0, (target > 0.5).sum()), 0.5 / max(1.0, (target <= 0.5).sum()))
