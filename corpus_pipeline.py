@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again.
+
+Poor documents go, one document of each near-duplicate group stays, personal
+data is masked, sources are mixed to their targets, and the mix is packed into
+sequences. Every stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,43 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shoebox.llm.minhash import keep_one_per_group
+from shoebox.llm.mixing import mix_documents
+from shoebox.llm.packing import pack_documents
+from shoebox.llm.pii import mask_personal_data
+from shoebox.llm.quality import keep_good
 from shoebox.session import cut_lineage
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_per_group(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mask_personal_data(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
+    ("packing", packing),
+]
+
+#: Trained models and packing have no SQL form; tests/llm compares the stages with plain versions.
 ORACLE_SQL: str | None = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 
@@ -42,6 +42,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
+
+
+def _words(keys: DataFrame, key: str) -> DataFrame:
+    return (
+        keys.select(_slot(key).alias("_slot"))
+        .groupBy(F.shiftright("_slot", 6).alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits"))
+    )
+
+
+def _hit() -> Column:
+    return F.expr("shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1") == 1
+
+
 def likely(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose ``column`` may be among the keys, before a join that settles it.
 
@@ -49,12 +65,19 @@ def likely(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame
     and so safe to broadcast at any scale. It only spares the join's shuffle
     rows that cannot match; with very many keys it passes more of them.
     """
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAP_BITS))
-    words = (
-        keys.select(slot(key).alias("_slot"))
-        .groupBy(F.shiftright("_slot", 6).alias("_word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot % 64 as int))")).alias("_bits"))
-    )
-    marked = rows.withColumn("_slot", slot(column)).withColumn("_word", F.shiftright("_slot", 6))
-    hit = F.expr("shiftrightunsigned(_bits, cast(_slot % 64 as int)) & 1") == 1
-    return marked.join(F.broadcast(words), "_word").where(hit).select(*rows.columns)
+    marked = rows.withColumn("_slot", _slot(column)).withColumn("_word", F.shiftright("_slot", 6))
+    return marked.join(F.broadcast(_words(keys, key)), "_word").where(_hit()).select(*rows.columns)
+
+
+def without(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``column`` is not among the keys; nulls stay.
+
+    Rows the bitmap of ``likely`` clears stay where they are; only the others
+    are shuffled to settle them.
+    """
+    marked = rows.withColumn("_slot", _slot(column)).withColumn("_word", F.shiftright("_slot", 6))
+    found = marked.join(F.broadcast(_words(keys, key)), "_word", "left")
+    hit = F.coalesce(_hit(), F.lit(False)) & F.col(column).isNotNull()
+    clear = found.where(~hit).select(*rows.columns)
+    asked = found.where(hit).select(*rows.columns)
+    return clear.unionByName(asked.join(keys.select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_anti"))

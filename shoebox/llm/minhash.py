@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .common import small_batches
-from .components import components, likely
+from .components import components, likely, without
 from .textpack import hash_words, mix, shingles, slices, word_bounds
 
 UNIVERSE = 1 << 22
@@ -265,3 +265,21 @@ def near_duplicates(
     """
     found = link_components(docs, size=size, share=share, bands=bands, rows=rows)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one_per_group(docs: DataFrame, *, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns.
+
+    Of rows that repeat a doc_id and its text one stays; rows without a
+    doc_id, which nothing can name, all stay.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), size=size, share=share)
+    found = cut_lineage(found.select("doc_id", "kept"), "kept")
+    stay = without(docs, "doc_id", found.where("not kept and doc_id is not null").select("doc_id"), "doc_id")
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return stay
+    once = without(stay, "doc_id", again, "doc_id")
+    several = likely(stay, "doc_id", again, "doc_id").join(again, "doc_id", "left_semi")
+    row = F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")
+    return once.unionByName(several.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(row).select("_row.*"))

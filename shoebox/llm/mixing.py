@@ -188,3 +188,29 @@ def mix_sources(
             (F.col("copies") * F.col("size")).alias("taken"),
         )
     )
+
+
+def mix_documents(
+    docs: DataFrame, *, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2
+) -> DataFrame:
+    """The mix itself: every document as often as ``mix_sources`` takes it, all columns.
+
+    Rows that share doc_id, source and size share their copies; where these do
+    not divide evenly, a hash of the row's place decides who gets one more.
+    """
+    mixed = mix_sources(docs, weights=weights, share=share, cap=cap)
+    many = mixed.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_copies"))
+    many = cut_lineage(many.where("_copies > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")], "_n", "_copies"), "copies")
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_n"))
+    own = F.floor(F.col("_copies") / F.col("_n")) + (place < F.col("_copies") % F.col("_n")).cast("bigint")
+    met = docs.withColumn("_words", size).join(
+        many,
+        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")),
+    )
+    return (
+        met.withColumn("_own", F.when(F.col("_n") == 1, F.col("_copies")).otherwise(own))
+        .where("_own > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_own"))))
+        .select(*docs.columns)
+    )
