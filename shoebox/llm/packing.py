@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from ..session import cut_lineage
 from .common import small_batches
 
 END = 2
+TAIL = ".,;:!?%$&*#\")(-"
 
 
 def default_tokenizer() -> str:
@@ -26,32 +28,77 @@ def default_tokenizer() -> str:
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit bytes.
 
-    The tokenizer drops blanks and line feeds and its matches never cross
-    them, so the ids of a text are those of its runs between them in turn.
-    Runs seen before come from a cache, emptied when it holds ``limit``.
+    The tokenizer lowers letters and drops blanks and line feeds, and its
+    matches never cross them, so the ids of a text are those of its runs
+    between them in turn. Runs seen before come from a cache, emptied when it
+    holds ``limit``. A run of letters is one match whose last token, and no
+    other, ends a word: many of them are encoded as one text and cut there. So
+    is the punctuation that follows.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, fresh: list[str]) -> None:
+        known, plain, other, parts = self.known, set(), [], []
+        for word in fresh:
+            base = word.rstrip(TAIL)
+            if base.isalpha():
+                low, tail = base.lower() if base.isascii() else base, word[len(base) :]
+                parts.append((word, low, tail))
+                if low not in known:
+                    plain.add(low)
+                if tail and tail not in known:
+                    known[tail] = self._one(tail)
+            else:
+                other.append(word)
+        letters = list(plain)
+        for start in range(0, len(letters), 1000):
+            part = letters[start : start + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) != len(part):  # a letter that normalises to a letter and a mark
+                known.update((word, self._one(word)) for word in part)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, to in zip(part, cut):
+                known[word] = data[at:to]
+                at = to
+        for word, low, tail in parts:
+            known[word] = known[low] + known[tail] if tail else known[low]
+        for start in range(0, len(other), 10_000):
+            part = other[start : start + 10_000]
+            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def _one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
-        fresh = list({w for words in split for w in words if w not in self.known})
-        for start in range(0, len(fresh), 10_000):
-            part = fresh[start : start + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
         known = self.known
+        fresh = {w for words in split for w in words if w not in known}
+        if fresh:
+            self._learn(list(fresh))
         for words in split:
             yield b"".join([known[w] for w in words])
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One cache per Python worker, kept between its tasks."""
+    return WordTokens(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, window: int, end: int = END) -> DataFrame:
     """Pieces of at most ``window`` ids: doc_id, start, length, ids_crc32, doc_tokens.
 
@@ -61,7 +108,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int, end: int = END) -
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
