@@ -43,11 +43,11 @@ def _require(condition: bool) -> None:
 
 
 def is_slug(value: object) -> bool:
-    return isinstance(value, str) and len(value) <= 128 and bool(re.fullmatch(keys.SLUG[1:-1], value))
+    return isinstance(value, str) and len(value) <= 128 and bool(re.fullmatch(keys.SLUG, value))
 
 
 def is_seed(value: object) -> bool:
-    return isinstance(value, str) and bool(re.fullmatch(keys.SEED[1:-1], value))
+    return isinstance(value, str) and bool(re.fullmatch(keys.SEED, value))
 
 
 def _is_position(value: object) -> bool:
@@ -57,7 +57,7 @@ def _is_position(value: object) -> bool:
 def _is_time(value: object) -> bool:
     if value is None:
         return True
-    if not (isinstance(value, str) and len(value) <= 64 and re.fullmatch(ISO_TEXT[1:-1], value)):
+    if not (isinstance(value, str) and len(value) <= 64 and re.fullmatch(ISO_TEXT, value)):
         return False
     try:
         datetime.fromisoformat(value)

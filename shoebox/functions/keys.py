@@ -12,16 +12,22 @@ CONTENT_TYPES = {"avif": "image/avif", "jpeg": "image/jpeg", "jpg": "image/jpeg"
 IMAGE_EXTENSIONS = ("avif", "heic", "heif", "jpeg", "jpg", "png", "tif", "tiff", "webp")
 IMMUTABLE_CACHE = "public, max-age=31536000, immutable"
 
-PHOTO_ID = r"^p_[a-f0-9]{32}$"
-FACE_ID = r"^f_[a-f0-9]{32}$"
-PERSON_ID = r"^person_[a-f0-9]{32}$"
-CLUSTER_ID = r"^c_[a-zA-Z0-9_-]{8,80}$"
-MUTATION_ID = r"^[a-zA-Z0-9_-]{8,100}$"
-SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
-SEED = r"^[a-f0-9]{8,64}$"
-SHA256 = r"^[a-f0-9]{64}$"
+# Forms of ids and digests, to be matched as a whole.
+PHOTO_ID = r"p_[a-f0-9]{32}"
+FACE_ID = r"f_[a-f0-9]{32}"
+PERSON_ID = r"person_[a-f0-9]{32}"
+CLUSTER_ID = r"c_[a-zA-Z0-9_-]{8,80}"
+MUTATION_ID = r"[a-zA-Z0-9_-]{8,100}"
+SLUG = r"[a-z0-9]+(-[a-z0-9]+)*"
+SEED = r"[a-f0-9]{8,64}"
+SHA256 = r"[a-f0-9]{64}"
 UNSAFE_KEY = r"(^|/)\.{0,2}(/|$)|\\|[\x00-\x1f\x7f]"
-RUN_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
+RUN_ID = r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}"
+
+
+def whole(pattern: str) -> str:
+    """The pattern for a whole value; ``$`` would also match before a last line feed."""
+    return rf"\A(?:{pattern})\z"
 
 
 def extension(path: Column) -> Column:
@@ -39,15 +45,15 @@ def content_type(key: Column) -> Column:
 
 
 def valid_slug(slug: Column) -> Column:
-    return F.coalesce(F.length(slug).between(1, 128) & slug.rlike(SLUG), F.lit(False))
+    return F.coalesce(F.length(slug).between(1, 128) & slug.rlike(whole(SLUG)), F.lit(False))
 
 
 def valid_seed(seed: Column) -> Column:
-    return F.coalesce(seed.rlike(SEED), F.lit(False))
+    return F.coalesce(seed.rlike(whole(SEED)), F.lit(False))
 
 
 def matches(value: Column, pattern: str) -> Column:
-    return F.coalesce(value.rlike(pattern), F.lit(False))
+    return F.coalesce(value.rlike(whole(pattern)), F.lit(False))
 
 
 def parse_photo_key(key: Column, prefix: str) -> Column:
@@ -57,7 +63,7 @@ def parse_photo_key(key: Column, prefix: str) -> Column:
     """
     pattern = (
         f"^{re.escape(prefix)}/[a-f0-9]{{2}}/p_[a-f0-9]{{32}}/(thumb|display)"
-        r"-[a-f0-9]{20}\.(webp|avif|jpeg)$"
+        r"-[a-f0-9]{20}\.(webp|avif|jpeg)\z"
     )
     start = len(prefix) + 2
     name = F.substring(key, start + 38, 64)
@@ -76,7 +82,7 @@ def parse_photo_key(key: Column, prefix: str) -> Column:
 def parse_avatar_key(key: Column, prefix: str) -> Column:
     """struct(person_id, sha); null when the key is not an avatar key."""
     pattern = (
-        f"^{re.escape(prefix)}/people/(person_[a-f0-9]{{32}})/avatar-([a-f0-9]{{20}})\\.webp$"
+        f"^{re.escape(prefix)}/people/(person_[a-f0-9]{{32}})/avatar-([a-f0-9]{{20}})\\.webp\\z"
     )
     return F.when(
         key.rlike(pattern),
@@ -127,4 +133,4 @@ def encode_segments(key: Column) -> Column:
             "%7E", "~",
         ),
     )
-    return F.when(key.rlike("^[A-Za-z0-9/._-]*$"), key).otherwise(F.array_join(encoded, "/"))
+    return F.when(key.rlike(r"^[A-Za-z0-9/._-]*\z"), key).otherwise(F.array_join(encoded, "/"))

@@ -67,8 +67,8 @@ def verified_expiry(url: Column, now_seconds: Column, secret: bytes) -> Column:
     signature = F.regexp_extract(query, r"&signature=([^&]*)", 1)
     expires = expires_text.try_cast("bigint")
     good = (
-        expires_text.rlike(r"^[1-9]\d*$")
-        & signature.rlike(r"^[A-Za-z0-9_-]{43}$")
+        expires_text.rlike(r"\A[1-9]\d*\z")
+        & signature.rlike(r"\A[A-Za-z0-9_-]{43}\z")
         & (expires <= 2**53 - 1)
         & (expires > now_seconds)
         & (link_signature(path, expires_text, secret) == signature)

@@ -11,10 +11,12 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from .keys import whole
+
 DIACRITIC = regex.compile(r"\p{Diacritic}")
 ISO_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-ISO_TEXT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z$"
+ISO_TEXT = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z"
 
 
 @pandas_udf(StringType())
@@ -48,15 +50,24 @@ def iso_millis(ts: Column) -> Column:
 
 def valid_iso(text: Column) -> Column:
     return F.coalesce(
-        text.rlike(ISO_TEXT) & (F.length(text) <= 64) & F.try_to_timestamp(text).isNotNull(),
+        text.rlike(whole(ISO_TEXT)) & (F.length(text) <= 64) & F.try_to_timestamp(text).isNotNull(),
         F.lit(False),
     )
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key for 'IMG_9 < IMG_10': digit runs padded to 20, case folded."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", r"00000000000000000000$1")
-    return F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1")
+    """Sort key for 'IMG_9 < IMG_10', case folded.
+
+    A digit run becomes its length without leading zeros, in five digits, and
+    its digits, so runs of any length compare as numbers.
+    """
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"))
+
+    def keyed(part: Column) -> Column:
+        digits = F.ltrim(part, F.lit("0"))
+        return F.when(part.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 5, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, keyed), "")
 
 
 def name_key(name: Column) -> Column:

@@ -70,7 +70,9 @@ def filter_clusters(summary: DataFrame, status: str = "all", query: str = "") ->
         if status not in STATES:
             raise ValueError("Invalid cluster state")
         summary = summary.where(F.col("status") == status)
-    text = query.strip()[:120]
+    text = query.strip()
+    if len(text) > 120:
+        raise ValueError("a search text has at most 120 characters")
     if text:
         summary = summary.where(
             like_contains(F.coalesce("display_name", F.lit("")), text)

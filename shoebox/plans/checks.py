@@ -22,7 +22,7 @@ def photo_rules() -> dict[str, Column]:
         "media_type": c("media_type") == "image",
         "album_position": c("album_position") >= 0,
         "source_bytes": c("source_bytes") >= 0,
-        "dominant_color": _null_or("dominant_color", c("dominant_color").rlike("^#[0-9a-fA-F]{6}$")),
+        "dominant_color": _null_or("dominant_color", c("dominant_color").rlike(r"\A#[0-9a-fA-F]{6}\z")),
         "blur_data_url": _null_or("blur_data_url", c("blur_data_url").like("data:image/%;base64,%")),
     }
     for name in (
@@ -78,7 +78,7 @@ def avatar_rule(prefix: str) -> Column:
     good = (
         F.length("avatar_key").between(1, 1024)
         & (key["person_id"] == c("id"))
-        & c("avatar_sha256").rlike(keys.SHA256)
+        & keys.matches(c("avatar_sha256"), keys.SHA256)
         & (key["sha"] == F.substring("avatar_sha256", 1, 20))
         & (c("avatar_width") > 0)
         & (c("avatar_height") > 0)
@@ -126,6 +126,7 @@ def workspace_violations(faces: DataFrame, clusters: DataFrame, people: DataFram
 
 # Manifests ---------------------------------------------------------------------
 
+# The columns of the file contract.
 MANIFEST_REQUIRED = (
     "id", "album_id", "source_fingerprint", "original_filename", "source_bytes", "source_width",
     "source_height", "captured_at", "captured_at_source", "album_position", "media_type", "published",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.rules import RuleViolation
 from ..operators.tables import delete_keys, insert_missing, upsert
+from .checks import MANIFEST_REQUIRED, manifest_violations
 
 
 @dataclass(frozen=True)
@@ -145,16 +146,27 @@ def close_run(
 
 def import_manifest(
     catalog: Catalog, album: DataFrame, run: DataFrame, manifest: DataFrame, *,
-    authoritative: bool = False, now: Column,
+    authoritative: bool = False, now: Column, expected_digest: str | None = None, actual_digest: str | None = None,
+    required: tuple[str, ...] = MANIFEST_REQUIRED,
 ) -> Catalog:
-    """Setup, stage, guarded publish and refresh for one run document."""
+    """Setup, stage, guarded publish and refresh for one run document.
+
+    The manifest is checked before anything is staged: columns, digest, the
+    count the run document states, album, unique ids and positions.
+    """
     header = run.head()
     album_id, run_id = header["album_id"], header["id"]
     if authoritative and not (
         header["complete_source_set"] is True and header["status"] == "completed" and header["failed_count"] == 0
     ):
         raise RuleViolation("authoritative sync needs a complete, successful run")
-    expected = manifest.count()
+    found = manifest_violations(
+        manifest, album_id=album_id, expected_count=header["imported_count"], expected_digest=expected_digest,
+        actual_digest=actual_digest, required=required,
+    ).head()
+    if found is not None:
+        raise RuleViolation(f"manifest breaks rule {found['rule']}: {found['key']}")
+    expected = header["imported_count"]
     albums = upsert_albums(catalog.albums, album, now)
     runs = upsert_runs(catalog.import_runs, run, now)
     staged = stage_photos(catalog.photos, manifest, run_id, now)

@@ -30,7 +30,6 @@ IMAGES = T.StructType(
         T.StructField("row_json", T.StringType(), True),
     ]
 )
-MAX_COMMANDS = 1000
 _JSON = {"ignoreNullFields": "false"}
 
 
@@ -247,6 +246,9 @@ def label_clusters(
     alone."""
     if check and already_done(ws, mutation_id) is not None:
         return ws
+    _refuse(
+        commands.groupBy("cluster_id").count().where("count > 1").select("cluster_id"), "a cluster can be named once per command list"
+    )
     named = named_commands(commands, aliases=aliases, normalize=normalize)
     if check:
         # Names are normalised once, not per reader of the list.
@@ -478,10 +480,12 @@ def split_links(faces: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def split_clusters(
-    ws: Workspace, commands: DataFrame, *, mutation_id: str, now: Column, check: bool = True
+    ws: Workspace, commands: DataFrame, *, mutation_id: str, now: Column, check: bool = True, limit: int | None = None
 ) -> Workspace:
     """Move selected faces to a new cluster and keep both sides apart.
 
+    ``limit`` refuses lists of more faces of one cluster; by default none.
+
     ``commands`` is (cluster_id, face_id), at most 1000 faces per cluster. The
     new cluster's id is derived from the selected faces.
     """
@@ -491,7 +495,8 @@ def split_clusters(
             return ws
         _require_clusters(ws, commands)
         per = commands.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-        _refuse(per.where(F.col("n") > MAX_COMMANDS).select("cluster_id"), "at most 1000 faces may be selected")
+        if limit is not None:
+            _refuse(per.where(F.col("n") > limit).select("cluster_id"), f"no more than {limit} faces can be moved at once")
         member = ws.faces.select(F.col("id").alias("face_id"), "cluster_id")
         _refuse(
             commands.join(member, ["face_id", "cluster_id"], "left_anti").select("face_id"),

@@ -67,11 +67,12 @@ def _overlaps(boxes: DataFrame, threshold: float) -> DataFrame:
     """(photo_id, winner, loser) for overlapping boxes of one photo.
 
     Two boxes overlapping by IoU t > 0 have widths within a factor t of each
-    other, so boxes are put in width classes of factor 1/t and into grid cells
-    as wide as their class; a partner can only be in the same or the next
-    class and in an adjoining cell.
+    other, so boxes are put in width classes of a factor a little over 1/t and
+    into grid cells as wide as their class; a partner can only be in the same
+    or the next class and in an adjoining cell. (With 1/t itself, rounding
+    would put partners at the very edge two classes apart.)
     """
-    base = F.lit(1.0 / threshold)
+    base = F.lit((1.0 + 1e-6) / threshold)
     level = F.floor(F.log(F.greatest(F.col("w"), F.lit(1e-9))) / F.log(base)).cast("int")
     placed = boxes.withColumn("level", level)
     cell = lambda c, lv: F.floor(F.col(c) / F.pow(base, lv + 1)).cast("bigint")

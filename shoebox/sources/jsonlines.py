@@ -92,5 +92,5 @@ def read_ledger(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 
 
 def read_run_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One nested document per file, e.g. album + import run."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+    """One nested document per file, e.g. album + import run; a broken file fails the read."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)

@@ -65,8 +65,8 @@ def _(r):
     return r.table("part").select("p_partkey", name.alias("display_name"), text.name_key(name).alias("name_key"))
 
 
-@query("x6_natural_key", """SELECT page_id, regexp_replace(regexp_replace(lower(url),'(\\d+)','00000000000000000000\\1','g'),
-  '0*(\\d{20})(\\D|$)','\\1\\2','g') AS natural_key FROM pages""")
+@query("x6_natural_key", """SELECT page_id, array_to_string(list_transform(regexp_extract_all(lower(url),'[0-9]+|[^0-9]+'),
+  lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN printf('%05d', length(ltrim(t,'0')))||ltrim(t,'0') ELSE t END), '') AS natural_key FROM pages""")
 def _(r):
     return r.table("pages").select("page_id", text.natural_key(F.col("url")).alias("natural_key"))
 

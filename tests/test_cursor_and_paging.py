@@ -165,3 +165,16 @@ def test_limits_and_expiry(spark):
         expiry(F.lit(300.0), F.lit(600)).alias("a"), expiry(F.lit(301.0), F.lit(5)).alias("b"), expiry(F.lit(0.0), F.lit(90000)).alias("c")
     ).head()
     assert (row["a"], row["b"], row["c"]) == (900, 600 + 21600, 21600)
+
+
+def test_patterns_match_whole_values(spark):
+    from shoebox.functions import keys, signing
+
+    rows = spark.createDataFrame([("abc",), ("abc\n",), ("a" * 64,), ("a" * 64 + "\n",)], "v string")
+    slug = [r[0] for r in rows.select(keys.valid_slug(F.col("v"))).collect()]
+    digest = [r[0] for r in rows.select(keys.matches(F.col("v"), keys.SHA256)).collect()]
+    assert slug == [True, False, True, False] and digest == [False, False, True, False]
+    secret = b"s" * 32
+    url = F.concat(F.lit("https://x/a?expires=99&signature="), signing.link_signature(F.lit("a"), F.lit(99), secret), F.col("v"))
+    ends = spark.createDataFrame([("",), ("\n",)], "v string").select(signing.verified_expiry(url, F.lit(1), secret))
+    assert [r[0] for r in ends.collect()] == [99, None]

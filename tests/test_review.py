@@ -118,15 +118,15 @@ def test_label_creates_a_person_and_undo_removes_it(spark, ws):
 
 
 def test_same_name_reuses_the_person_and_aliases_apply(spark, ws):
-    out = label(spark, ws, " alex ", "label", "mutation-1")
-    out = label(spark, out, "ALEX", "split", "mutation-2")
+    out = label(spark, ws, " robin ", "label", "mutation-1")
+    out = label(spark, out, "ROBIN", "split", "mutation-2")
     assert out.people.count() == 1
     out = review.label_clusters(
         out, commands(spark, [(group("state"), "Mo")], "cluster_id name"), mutation_id="mutation-3", now=now(), aliases={"mo": "Morris"}
     )
-    assert sorted(r["display_name"] for r in out.people.collect()) == ["Morris", "alex"]
+    assert sorted(r["display_name"] for r in out.people.collect()) == ["Morris", "robin"]
     stats = {r["display_name"]: (r["photo_count"], r["face_count"]) for r in reads.person_stats(out.people, out.faces).collect()}
-    assert stats == {"alex": (3, 3), "Morris": (2, 2)}
+    assert stats == {"robin": (3, 3), "Morris": (2, 2)}
     with pytest.raises(review.ReviewConflict):
         label(spark, out, "   ", "merge_a", "mutation-4")
     with pytest.raises(review.ReviewConflict):

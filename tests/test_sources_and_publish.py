@@ -98,7 +98,7 @@ def catalog(spark):
 
 
 def run_row(spark, **change):
-    row = dict(id="r1", album_id="a", status="completed", failed_count=0, complete_source_set=True, manifest_sha256="m" * 64)
+    row = dict(id="r1", album_id="a", status="completed", failed_count=0, complete_source_set=True, manifest_sha256="m" * 64, imported_count=2)
     row.update(change)
     return spark.createDataFrame([tuple(row.get(n) for n in schemas.IMPORT_RUNS.names)], schemas.IMPORT_RUNS)
 
@@ -107,16 +107,23 @@ def test_import_publishes_behind_its_guard(spark):
     base = catalog(spark)
     manifest = spark.createDataFrame([("p2", "a", "new2", 0), ("p3", "a", "new3", 1)], "id string, album_id string, original_filename string, album_position int").withColumn("captured_at", now())
     album = spark.createDataFrame([("a", "a2")], "id string, slug string")
-    additive = publish.import_manifest(base, album, run_row(spark), manifest, now=now())
+    additive = publish.import_manifest(base, album, run_row(spark), manifest, now=now(), required=())
     shown = lambda c: {r["id"]: (r["published"], r["original_filename"]) for r in c.photos.collect()}
     assert shown(additive) == {"p1": (True, "oldp1"), "p2": (True, "new2"), "p3": (True, "new3"), "p9": (True, "oldp9")}
     assert {r["id"]: (r["slug"], r["photo_count"]) for r in additive.albums.collect()} == {"a": ("a2", 3), "b": ("b", 1)}
     run = additive.import_runs.head()
     assert (run["status"], run["imported_count"]) == ("completed", 2)
-    full = publish.import_manifest(base, album, run_row(spark), manifest, authoritative=True, now=now())
+    full = publish.import_manifest(base, album, run_row(spark), manifest, authoritative=True, now=now(), required=())
     assert shown(full)["p1"][0] is False and shown(full)["p9"][0] is True
     with pytest.raises(RuleViolation):
-        publish.import_manifest(base, album, run_row(spark, failed_count=1), manifest, authoritative=True, now=now())
+        publish.import_manifest(base, album, run_row(spark, failed_count=1), manifest, authoritative=True, now=now(), required=())
+    for wrong in (manifest.union(manifest.limit(1)), manifest.limit(1), manifest.withColumn("album_id", F.lit("b")), manifest.withColumn("album_position", F.lit(1))):
+        with pytest.raises(RuleViolation):
+            publish.import_manifest(base, album, run_row(spark), wrong, now=now(), required=())
+    with pytest.raises(RuleViolation):
+        publish.import_manifest(base, album, run_row(spark), manifest, now=now())
+    with pytest.raises(RuleViolation):
+        publish.import_manifest(base, album, run_row(spark), manifest, now=now(), required=(), expected_digest="x", actual_digest="y")
     staged = publish.stage_photos(base.photos, manifest, "r1", now())
     assert {r["id"]: r["published"] for r in staged.collect()}["p3"] is False
     with pytest.raises(RuleViolation):
@@ -201,10 +208,12 @@ def test_digest_ignores_order_but_not_copies(spark):
 def test_text_functions(spark):
     names = spark.createDataFrame([("IMG_10.jpg",), ("img_9.jpg",), ("img_009b.jpg",)], "n string")
     assert [r["n"] for r in names.orderBy(text.natural_key(F.col("n"))).collect()] == ["img_9.jpg", "img_009b.jpg", "IMG_10.jpg"]
-    people = spark.createDataFrame([("1", "José"), ("2", "alex"), ("3", "ALEX "), ("4", "Bea")], "id string, display_name string")
+    long = spark.createDataFrame([("IMG_12345678901234567890123.jpg",), ("IMG_5.jpg",), ("IMG_0006.jpg",), ("IMG_99999999999999999999.jpg",)], "n string")
+    assert [r["n"] for r in long.orderBy(text.natural_key(F.col("n"))).collect()] == ["IMG_5.jpg", "IMG_0006.jpg", "IMG_99999999999999999999.jpg", "IMG_12345678901234567890123.jpg"]
+    people = spark.createDataFrame([("1", "José"), ("2", "robin"), ("3", "ROBIN "), ("4", "Bea")], "id string, display_name string")
     assert [r["id"] for r in facets.search_people(people, "JOSE").collect()] == ["1"]
     assert facets.search_people(people, " ").count() == 4
-    listed = facets.featured_first(people, ["alex", "jose"], order=["id"], fold=True)
+    listed = facets.featured_first(people, ["robin", "jose"], order=["id"], fold=True)
     assert [r["id"] for r in listed.collect()] == ["3", "1", "4"]
     full = spark.createDataFrame([("ＡＢ  c",), ("x" * 121,), ("  ",)], "n string").select(text.first_name(F.col("n")).alias("n"))
     assert [r["n"] for r in full.collect()] == ["AB", None, None]
