@@ -11,22 +11,22 @@ from ..functions.text import accent_fold, accent_insensitive_contains
 PEOPLE_COLUMNS = ("id", "slug", "display_name", "avatar_key", "avatar_width", "avatar_height")
 
 
-def with_person(photos: DataFrame, links: DataFrame, people: DataFrame, slug: str) -> DataFrame:
-    """Photos linked to the person with this slug in the photo's own album.
+def with_person(pictures: DataFrame, links: DataFrame, people: DataFrame, slug: str) -> DataFrame:
+    """Pictures linked to the person with this slug in the photo's own album.
 
     The slug filter reaches the people scan and the semi join keeps photo rows
     single. No broadcast is forced: one person may be linked to a third of all
-    photos, so the size is left to the adaptive planner.
+    pictures, so the size is left to the adaptive planner.
     """
     chosen = people.where(F.col("slug") == slug).select(
         F.col("id").alias("person_id"), F.col("album_id")
     )
     linked = links.join(chosen, "person_id").select(F.col("photo_id").alias("id"), "album_id")
-    return photos.join(linked, ["id", "album_id"], "left_semi")
+    return pictures.join(linked, ["id", "album_id"], "left_semi")
 
 
-def facet_total(photos: DataFrame) -> DataFrame:
-    return photos.agg(F.count(F.lit(1)).alias("photo_count"))
+def facet_total(pictures: DataFrame) -> DataFrame:
+    return pictures.agg(F.count(F.lit(1)).alias("photo_count"))
 
 
 def stored_total(albums: DataFrame, album_id: str) -> DataFrame:
@@ -36,18 +36,18 @@ def stored_total(albums: DataFrame, album_id: str) -> DataFrame:
     )
 
 
-def people_in_published_photos(
-    people: DataFrame, links: DataFrame, photos: DataFrame
+def people_in_published_pictures(
+    people: DataFrame, links: DataFrame, pictures: DataFrame
 ) -> DataFrame:
-    """people x links x published photos of the person's own album (inner)."""
-    shown = photos.where(F.col("published")).select(F.col("id").alias("photo_id"), "album_id")
+    """people x links x published pictures of the person's own album (inner)."""
+    shown = pictures.where(F.col("published")).select(F.col("id").alias("photo_id"), "album_id")
     return links.join(shown, "photo_id").join(
         people.withColumnRenamed("id", "person_id"), ["person_id", "album_id"]
     )
 
 
 def people_counts(
-    people: DataFrame, links: DataFrame, photos: DataFrame, album_id: str | None = None
+    people: DataFrame, links: DataFrame, pictures: DataFrame, album_id: str | None = None
 ) -> DataFrame:
     """Photo count per person, people without a published photo left out.
 
@@ -56,7 +56,7 @@ def people_counts(
     links costs one partial row per task.
     """
     here = people if album_id is None else people.where(F.col("album_id") == album_id)
-    shown = photos.where(F.col("published"))
+    shown = pictures.where(F.col("published"))
     if album_id is not None:
         shown = shown.where(F.col("album_id") == album_id)
     counted = (

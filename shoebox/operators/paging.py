@@ -14,14 +14,14 @@ GALLERY_COLUMNS = (
 )
 
 
-def published_in_album(photos: DataFrame, album_id: str) -> DataFrame:
-    return photos.where((F.col("album_id") == album_id) & F.col("published"))
+def published_in_album(pictures: DataFrame, album_id: str) -> DataFrame:
+    return pictures.where((F.col("album_id") == album_id) & F.col("published"))
 
 
-def gallery_projection(photos: DataFrame) -> DataFrame:
+def gallery_projection(pictures: DataFrame) -> DataFrame:
     """The nine listed columns plus the microsecond text of the capture time."""
-    present = [c for c in GALLERY_COLUMNS if c in photos.columns]
-    return photos.select(*present, iso_micros(F.col("captured_at")).alias("captured_at_cursor"))
+    present = [c for c in GALLERY_COLUMNS if c in pictures.columns]
+    return pictures.select(*present, iso_micros(F.col("captured_at")).alias("captured_at_cursor"))
 
 
 def shuffle_key(seed: str, id: Column) -> Column:
@@ -66,7 +66,7 @@ def after_cursor(cursor: Cursor) -> Column:
 
 
 def page(
-    photos: DataFrame,
+    pictures: DataFrame,
     sort: str,
     limit: int,
     *,
@@ -74,12 +74,12 @@ def page(
     cursor: Cursor | None = None,
 ) -> DataFrame:
     """Up to ``limit`` rows: Spark plans this as one top-k, not a full sort."""
-    rows = photos if cursor is None else photos.where(after_cursor(cursor))
+    rows = pictures if cursor is None else pictures.where(after_cursor(cursor))
     return rows.orderBy(*sort_columns(sort, seed)).limit(limit)
 
 
 def page_boundaries(
-    photos: DataFrame,
+    pictures: DataFrame,
     sort: str,
     page_size: int,
     *,
@@ -92,7 +92,7 @@ def page_boundaries(
     range-partitioned sort and keeps each page's last row. The final page has
     no cursor.
     """
-    keep = photos.select("id", "album_position", "captured_at")
+    keep = pictures.select("id", "album_position", "captured_at")
     index = dense_index(keep, sort_columns(sort, seed), "i")
     encoded = cursor_column(
         sort,

@@ -1,4 +1,4 @@
-"""Reads over the review workspace: clusters, faces, photos, people."""
+"""Reads over the review workspace: clusters, faces, pictures, people."""
 
 from __future__ import annotations
 
@@ -22,13 +22,13 @@ def state_rank(status: Column) -> Column:
     )
 
 
-def cluster_faces(clusters: DataFrame, faces: DataFrame, photos: DataFrame, people: DataFrame) -> DataFrame:
-    """clusters x faces x photos, with the person's name where there is one."""
+def cluster_faces(clusters: DataFrame, faces: DataFrame, pictures: DataFrame, people: DataFrame) -> DataFrame:
+    """clusters x faces x pictures, with the person's name where there is one."""
     named = people.select(F.col("id").alias("person_id"), "display_name")
     return (
         faces.withColumnRenamed("id", "face_id")
         .drop("person_id", "status", "revision")
-        .join(photos.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
+        .join(pictures.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
         .join(
             clusters.select(F.col("id").alias("cluster_id"), "status", "person_id"), "cluster_id"
         )
@@ -37,16 +37,16 @@ def cluster_faces(clusters: DataFrame, faces: DataFrame, photos: DataFrame, peop
 
 
 def cluster_summary(
-    clusters: DataFrame, faces: DataFrame, photos: DataFrame, people: DataFrame
+    clusters: DataFrame, faces: DataFrame, pictures: DataFrame, people: DataFrame
 ) -> DataFrame:
-    """Per cluster: best detection, faces, distinct photos, first position.
+    """Per cluster: best detection, faces, distinct pictures, first position.
 
     Faces are aggregated before the cluster and people columns are joined.
     """
     stats = (
         faces.where(F.col("cluster_id").isNotNull())
         .select("cluster_id", "photo_id", "detection_score")
-        .join(photos.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
+        .join(pictures.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
         .groupBy("cluster_id")
         .agg(
             F.max("detection_score").alias("confidence"),
@@ -87,11 +87,11 @@ def review_queue(summary: DataFrame) -> DataFrame:
     )
 
 
-def scoreboard(photos: DataFrame, faces: DataFrame, clusters: DataFrame) -> DataFrame:
+def scoreboard(pictures: DataFrame, faces: DataFrame, clusters: DataFrame) -> DataFrame:
     """Thirteen counts, one pass per table; the three one-row results join last."""
     is_ = lambda column, value: F.count_if(F.col(column) == value)
-    p = photos.agg(
-        F.count(F.lit(1)).alias("photos"), is_("scan_status", "complete").alias("scanned_photos")
+    p = pictures.agg(
+        F.count(F.lit(1)).alias("pictures"), is_("scan_status", "complete").alias("scanned_pictures")
     )
     f = faces.agg(
         F.count(F.lit(1)).alias("total_faces"),
@@ -107,7 +107,7 @@ def scoreboard(photos: DataFrame, faces: DataFrame, clusters: DataFrame) -> Data
 
 
 def person_stats(people: DataFrame, faces: DataFrame) -> DataFrame:
-    """Distinct photos and faces per person over labeled faces."""
+    """Distinct pictures and faces per person over labeled faces."""
     labeled = faces.where((F.col("status") == "labeled") & F.col("person_id").isNotNull())
     stats = labeled.groupBy("person_id").agg(
         F.countDistinct("photo_id").alias("photo_count"), F.count(F.lit(1)).alias("face_count")
@@ -115,12 +115,12 @@ def person_stats(people: DataFrame, faces: DataFrame) -> DataFrame:
     return people.select(F.col("id").alias("person_id"), "display_name").join(stats, "person_id")
 
 
-def associations(faces: DataFrame, photos: DataFrame) -> DataFrame:
+def associations(faces: DataFrame, pictures: DataFrame) -> DataFrame:
     """One row per (photo, person) with the smallest position."""
     labeled = faces.where((F.col("status") == "labeled") & F.col("person_id").isNotNull())
     return (
         labeled.select("photo_id", "person_id")
-        .join(photos.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
+        .join(pictures.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
         .groupBy("photo_id", "person_id")
         .agg(F.min("album_position").alias("album_position"))
     )
@@ -176,9 +176,9 @@ def progress(clusters: DataFrame) -> DataFrame:
     return counts.select("total", "reviewed", percent.cast("bigint").alias("progress"))
 
 
-def members_in_order(faces: DataFrame, photos: DataFrame) -> DataFrame:
+def members_in_order(faces: DataFrame, pictures: DataFrame) -> DataFrame:
     """Faces with their place in the cluster, for a detail listing."""
-    placed = faces.join(photos.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
+    placed = faces.join(pictures.select(F.col("id").alias("photo_id"), "album_position"), "photo_id")
     return placed.orderBy("cluster_id", "album_position", "ordinal", "id")
 
 
@@ -315,9 +315,9 @@ def same_photo_links(faces: DataFrame) -> DataFrame:
     )
 
 
-def link_completeness(photos: DataFrame, cannot_links: DataFrame) -> DataFrame:
+def link_completeness(pictures: DataFrame, cannot_links: DataFrame) -> DataFrame:
     """Expected same-photo links, sum of n(n-1)/2, against the stored ones."""
-    expected = photos.agg(
+    expected = pictures.agg(
         F.coalesce(
             F.sum(
                 F.expr("cast(face_count as bigint) * (cast(face_count as bigint) - 1) div 2")

@@ -55,17 +55,17 @@ def run_rules() -> dict[str, Column]:
     }
 
 
-def catalog_violations(photos: DataFrame, albums: DataFrame) -> DataFrame:
+def catalog_violations(pictures: DataFrame, albums: DataFrame) -> DataFrame:
     """Row checks, unique keys and the album reference of the photo table."""
     return union_all(
-        violations(photos, F.col("id"), photo_rules()),
+        violations(pictures, F.col("id"), photo_rules()),
         violations(albums, F.col("id"), album_rules()),
-        duplicates(photos, ["id"], "photo_id_unique"),
-        duplicates(photos, ["thumb_key"], "thumb_key_unique"),
-        duplicates(photos, ["display_key"], "display_key_unique"),
-        duplicates(photos, ["album_id", "source_fingerprint"], "album_source_unique"),
+        duplicates(pictures, ["id"], "photo_id_unique"),
+        duplicates(pictures, ["thumb_key"], "thumb_key_unique"),
+        duplicates(pictures, ["display_key"], "display_key_unique"),
+        duplicates(pictures, ["album_id", "source_fingerprint"], "album_source_unique"),
         duplicates(albums, ["slug"], "album_slug_unique"),
-        orphans(photos, F.col("id"), albums, "album_id", "id", "photo_album"),
+        orphans(pictures, F.col("id"), albums, "album_id", "id", "photo_album"),
     )
 
 
@@ -279,12 +279,12 @@ def avatar_source_violations(
 # Workspace consistency ------------------------------------------------------------
 
 def consistency_violations(
-    photos: DataFrame, faces: DataFrame, clusters: DataFrame, cannot_links: DataFrame, suggestions: DataFrame
+    pictures: DataFrame, faces: DataFrame, clusters: DataFrame, cannot_links: DataFrame, suggestions: DataFrame
 ) -> DataFrame:
     """Everything a stored workspace must satisfy across tables."""
     c = F.col
     actual = faces.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
-    counted = photos.where(c("scan_status") == "complete").join(
+    counted = pictures.where(c("scan_status") == "complete").join(
         actual.withColumnRenamed("photo_id", "id"), "id", "left"
     )
     stale = violations(counted, c("id"), {"face_count": c("face_count") == F.coalesce("_n", F.lit(0))})
@@ -305,7 +305,7 @@ def consistency_violations(
     wrong = faces.join(named, "cluster_id").where(
         reads.labelable(c("status")) & ((c("status") != "labeled") | ~c("person_id").eqNullSafe(c("_p")))
     ).select(F.lit("labeled_identity").alias("rule"), c("id").alias("key"))
-    totals = reads.link_completeness(photos, cannot_links).where(c("expected") != c("actual")).select(
+    totals = reads.link_completeness(pictures, cannot_links).where(c("expected") != c("actual")).select(
         F.lit("links_complete").alias("rule"), F.concat_ws("|", "expected", "actual").alias("key")
     )
     side = lambda x: faces.select(c("id").alias(f"face_id_{x}"), c("photo_id").alias(f"p{x}"))
@@ -332,7 +332,7 @@ def changed_settings(stored: DataFrame, current: DataFrame, fields: list[str]) -
     return compare_fields(keyed(stored), keyed(current), ["k"], fields).select("field")
 
 
-def changed_photos(expected: DataFrame, stored: DataFrame) -> DataFrame:
+def changed_pictures(expected: DataFrame, stored: DataFrame) -> DataFrame:
     return compare_fields(
         expected, stored, ["album_position"], ["id", "source_fingerprint", "display_sha256", "scan_key"]
     )

@@ -93,7 +93,7 @@ def export_rules(people: DataFrame, links: DataFrame, uploads: DataFrame, faces:
 
 
 def build_export(
-    people: DataFrame, faces: DataFrame, clusters: DataFrame, photos: DataFrame, crops: DataFrame, *,
+    people: DataFrame, faces: DataFrame, clusters: DataFrame, pictures: DataFrame, crops: DataFrame, *,
     prefix: str, side: int, crop_root: str, clustered: bool, allow_incomplete: bool = False,
 ) -> Export:
     """Assemble and check an export, or raise."""
@@ -105,7 +105,7 @@ def build_export(
         if left:
             raise RuleViolation(f"{left} clusters still require review")
     chosen = exported_people(people, faces, clusters, prefix=prefix, side=side)
-    links = reads.associations(faces, photos)
+    links = reads.associations(faces, pictures)
     uploads = avatar_uploads(chosen, crops, crop_root)
     require_none(export_rules(chosen, links, uploads, faces, prefix), "export check failed")
     return Export(chosen.drop("face_id", "crop_relpath"), links, uploads, review)

@@ -27,7 +27,7 @@ class Links:
 
 @dataclass(frozen=True)
 class Page:
-    photos: list[dict]
+    pictures: list[dict]
     total: int
     next_cursor: str | None
     media_expires_at: int
@@ -52,8 +52,8 @@ def clamp_limit(raw: object, default: int = DEFAULT_PAGE) -> int:
         return default
 
 
-def list_photos(
-    photos: DataFrame,
+def list_pictures(
+    pictures: DataFrame,
     albums: DataFrame,
     people: DataFrame,
     photo_people: DataFrame,
@@ -80,7 +80,7 @@ def list_photos(
     seed = seed if sort == "shuffle" else None
     after = None if cursor is None else decode_cursor(cursor, sort, person, seed)
 
-    shown = paging.published_in_album(photos, album_id)
+    shown = paging.published_in_album(pictures, album_id)
     if person is not None:
         shown = facets.with_person(shown, photo_people, people, person)
         total = facets.facet_total(shown)
@@ -105,13 +105,13 @@ def list_photos(
             )
         )
     expires = (
-        photos.sparkSession.range(1)
+        pictures.sparkSession.range(1)
         .select(signing.expiry(F.lit(float(now_seconds)), F.lit(links.ttl_seconds)))
         .head()[0]
     )
     fields = ("id", "thumb_url", "display_url", "width", "height", "captured_at", "original_filename", "blur_data_url")
     return Page(
-        photos=[{k: row[k] for k in fields} for row in visible],
+        pictures=[{k: row[k] for k in fields} for row in visible],
         total=int(total.head()[0]),
         next_cursor=following,
         media_expires_at=int(expires),
@@ -139,7 +139,7 @@ def person_rules(prefix: str) -> dict:
 def list_people(
     people: DataFrame,
     photo_people: DataFrame,
-    photos: DataFrame,
+    pictures: DataFrame,
     *,
     album_id: str,
     prefix: str,
@@ -147,7 +147,7 @@ def list_people(
     now_seconds: float,
 ) -> DataFrame:
     """The people of one album with counts and signed avatars, in list order."""
-    counts = facets.people_counts(people, photo_people, photos, album_id)
+    counts = facets.people_counts(people, photo_people, pictures, album_id)
     require_none(violations(counts, F.col("id"), person_rules(prefix)), "invalid person")
     return facets.listing_order(_links(counts, links, now_seconds, avatar_url="avatar_key")).drop(
         "avatar_key"

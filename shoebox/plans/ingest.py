@@ -97,20 +97,20 @@ def photo_records(files: DataFrame, media: DataFrame, *, album_id: str, prefix:
 
 
 def file_order() -> list[Column]:
-    """Dated photos by time, then natural file name, then id."""
+    """Dated pictures by time, then natural file name, then id."""
     return [
         F.col("captured_at").asc_nulls_last(), natural_key(F.col("original_filename")), F.col("id"),
     ]
 
 
-def unique_photos(records: DataFrame) -> DataFrame:
+def unique_pictures(records: DataFrame) -> DataFrame:
     """Exact duplicates collapse to the record with the smallest source path."""
     return keep_first(records, ["id"], [F.col("source_path")])
 
 
 def album_manifest(records: DataFrame) -> DataFrame:
-    """Unique photos with dense positions 0..n-1 in album order."""
-    numbered = dense_index(unique_photos(records), file_order(), "album_position")
+    """Unique pictures with dense positions 0..n-1 in album order."""
+    numbered = dense_index(unique_pictures(records), file_order(), "album_position")
     return numbered.withColumn("album_position", F.col("album_position").cast("int")).drop("source_path")
 
 

@@ -15,13 +15,13 @@ from .checks import MANIFEST_REQUIRED, manifest_violations
 class Catalog:
     albums: DataFrame
     import_runs: DataFrame
-    photos: DataFrame
+    pictures: DataFrame
     people: DataFrame | None = None
     photo_people: DataFrame | None = None
 
 
 def upsert_albums(albums: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
-    """New albums start with no photos; counts of existing ones stay."""
+    """New albums start with no pictures; counts of existing ones stay."""
     totals = {"photo_count": F.lit(0), "captured_at_min": F.lit(None), "captured_at_max": F.lit(None)}
     kept = ("photo_count", "captured_at_min", "captured_at_max", "created_at", "cover_photo_id")
     return upsert(
@@ -43,26 +43,26 @@ def upsert_runs(runs: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def stage_photos(photos: DataFrame, manifest: DataFrame, run_id: str, now: Column) -> DataFrame:
-    """New photos enter unpublished; known ones refresh all but id and visibility."""
+def stage_pictures(pictures: DataFrame, manifest: DataFrame, run_id: str, now: Column) -> DataFrame:
+    """New pictures enter unpublished; known ones refresh all but id and visibility."""
     incoming = manifest.withColumn("imported_run_id", F.lit(run_id)).withColumn("published", F.lit(False))
     return upsert(
-        photos, incoming, ["id"], keep=["published", "created_at"],
+        pictures, incoming, ["id"], keep=["published", "created_at"],
         defaults={"created_at": now}, computed={"updated_at": now},
     )
 
 
-def staged_count(photos: DataFrame, album_id: str, run_id: str) -> DataFrame:
-    return photos.agg(
+def staged_count(pictures: DataFrame, album_id: str, run_id: str) -> DataFrame:
+    return pictures.agg(
         F.count_if((F.col("album_id") == album_id) & (F.col("imported_run_id") == run_id)).alias("staged")
     )
 
 
 def publish_run(
-    photos: DataFrame, runs: DataFrame, *, album_id: str, run_id: str, expected: int,
+    pictures: DataFrame, runs: DataFrame, *, album_id: str, run_id: str, expected: int,
     authoritative: bool, now: Column,
 ) -> DataFrame:
-    """Show the run's photos once all are staged; if authoritative, hide the rest.
+    """Show the run's pictures once all are staged; if authoritative, hide the rest.
 
     The guard reads two one-row results before any new version is built.
     """
@@ -73,14 +73,14 @@ def publish_run(
         run["complete_source_set"] is True and run["failed_count"] == 0
     ):
         raise RuleViolation("authoritative sync needs a complete, successful run")
-    staged = staged_count(photos, album_id, run_id).head()["staged"]
+    staged = staged_count(pictures, album_id, run_id).head()["staged"]
     if staged != expected:
-        raise RuleViolation(f"import run {run_id} staged {staged} photos; expected {expected}")
-    return visibility_after(photos, album_id, run_id, authoritative, now)
+        raise RuleViolation(f"import run {run_id} staged {staged} pictures; expected {expected}")
+    return visibility_after(pictures, album_id, run_id, authoritative, now)
 
 
 def visibility_after(
-    photos: DataFrame, album_id: str, run_id: str, authoritative: bool, now: Column
+    pictures: DataFrame, album_id: str, run_id: str, authoritative: bool, now: Column
 ) -> DataFrame:
     """Visibility as two column expressions; no join and no shuffle."""
     here = F.col("album_id") == album_id
@@ -90,24 +90,24 @@ def visibility_after(
         shown = shown.when(here & ~ours, False)
     shown = shown.otherwise(F.col("published"))
     changed = ~shown.eqNullSafe(F.col("published"))
-    out = photos.withColumn("_shown", shown)
-    if "updated_at" in photos.columns:
+    out = pictures.withColumn("_shown", shown)
+    if "updated_at" in pictures.columns:
         out = out.withColumn("updated_at", F.when(changed, now).otherwise(F.col("updated_at")))
     return out.withColumn("published", F.col("_shown")).drop("_shown")
 
 
-def album_rollup(photos: DataFrame) -> DataFrame:
-    """Count and time range of published photos per album."""
-    return photos.where(F.col("published")).groupBy("album_id").agg(
+def album_rollup(pictures: DataFrame) -> DataFrame:
+    """Count and time range of published pictures per album."""
+    return pictures.where(F.col("published")).groupBy("album_id").agg(
         F.count(F.lit(1)).alias("photo_count"),
         F.min("captured_at").alias("captured_at_min"),
         F.max("captured_at").alias("captured_at_max"),
     )
 
 
-def refresh_albums(albums: DataFrame, photos: DataFrame, now: Column, album_id: str | None = None) -> DataFrame:
+def refresh_albums(albums: DataFrame, pictures: DataFrame, now: Column, album_id: str | None = None) -> DataFrame:
     """Recompute stored counts of one album, or of all."""
-    totals = album_rollup(photos).select(
+    totals = album_rollup(pictures).select(
         F.col("album_id").alias("id"), F.struct("photo_count", "captured_at_min", "captured_at_max").alias("_t")
     )
     touched = F.lit(True) if album_id is None else F.col("id") == album_id
@@ -169,15 +169,15 @@ def import_manifest(
     expected = header["imported_count"]
     albums = upsert_albums(catalog.albums, album, now)
     runs = upsert_runs(catalog.import_runs, run, now)
-    staged = stage_photos(catalog.photos, manifest, run_id, now)
-    photos = publish_run(
+    staged = stage_pictures(catalog.pictures, manifest, run_id, now)
+    pictures = publish_run(
         staged, runs, album_id=album_id, run_id=run_id, expected=expected,
         authoritative=authoritative, now=now,
     )
     return replace(
         catalog,
-        albums=refresh_albums(albums, photos, now, album_id),
-        photos=photos,
+        albums=refresh_albums(albums, pictures, now, album_id),
+        pictures=pictures,
         import_runs=close_run(
             runs, run_id, status=header["status"], imported=expected, failed=header["failed_count"],
             completed_at=F.lit(header["completed_at"]), now=now,
@@ -197,15 +197,15 @@ def upsert_people(people: DataFrame, incoming: DataFrame, now: Column | None = N
     )
 
 
-def strangers(incoming: DataFrame, photos: DataFrame, album_id: str) -> DataFrame:
+def strangers(incoming: DataFrame, pictures: DataFrame, album_id: str) -> DataFrame:
     """Incoming links whose photo is missing or belongs to another album."""
-    ours = photos.where(F.col("album_id") == album_id).select(F.col("id").alias("photo_id"))
+    ours = pictures.where(F.col("album_id") == album_id).select(F.col("id").alias("photo_id"))
     return incoming.join(ours, "photo_id", "left_anti")
 
 
-def stale_links(links: DataFrame, photos: DataFrame, incoming: DataFrame, album_id: str) -> DataFrame:
+def stale_links(links: DataFrame, pictures: DataFrame, incoming: DataFrame, album_id: str) -> DataFrame:
     """Stored links of this album that the incoming set no longer has."""
-    ours = photos.where(F.col("album_id") == album_id).select(F.col("id").alias("photo_id"))
+    ours = pictures.where(F.col("album_id") == album_id).select(F.col("id").alias("photo_id"))
     return links.join(ours, "photo_id", "left_semi").join(
         incoming.select("photo_id", "person_id"), ["photo_id", "person_id"], "left_anti"
     )
@@ -230,10 +230,10 @@ def replace_people(
     )
     if run.isEmpty():
         raise RuleViolation("the export does not match a completed import")
-    if not strangers(incoming_links, catalog.photos, album_id).isEmpty():
+    if not strangers(incoming_links, catalog.pictures, album_id).isEmpty():
         raise RuleViolation("the export contains a photo outside its album")
     people = upsert_people(catalog.people, incoming_people, now)
-    gone = stale_links(catalog.photo_people, catalog.photos, incoming_links, album_id)
+    gone = stale_links(catalog.photo_people, catalog.pictures, incoming_links, album_id)
     links = delete_keys(catalog.photo_people, gone, ["photo_id", "person_id"])
     links = insert_missing(links, incoming_links.select("photo_id", "person_id"), ["photo_id", "person_id"])
     leaving = stale_people(people, incoming_people, album_id)
@@ -250,7 +250,7 @@ def _guard_counts(catalog, people, links, incoming_people, incoming_links, album
     expected = incoming_people.count()
     if found != expected:
         raise RuleViolation(f"person import found {found}, expected {expected}")
-    ours = catalog.photos.where(F.col("album_id") == album_id).select(F.col("id").alias("photo_id"))
+    ours = catalog.pictures.where(F.col("album_id") == album_id).select(F.col("id").alias("photo_id"))
     found = links.join(ours, "photo_id", "left_semi").count()
     expected = incoming_links.select("photo_id", "person_id").distinct().count()
     if found != expected:

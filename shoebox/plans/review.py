@@ -9,11 +9,13 @@ join and no single value grows with the size of a decision.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schemas
+from ..functions import keys
 from ..functions.hashing import person_id_from_name_key
 from ..functions.text import first_name, name_key
 from ..operators import workspace as reads
@@ -39,7 +41,7 @@ class ReviewConflict(ValueError):
 
 @dataclass(frozen=True)
 class Workspace:
-    photos: DataFrame
+    pictures: DataFrame
     people: DataFrame
     clusters: DataFrame
     faces: DataFrame
@@ -167,7 +169,9 @@ def suggestion_images(rows: DataFrame) -> DataFrame:
 
 
 def already_done(ws: Workspace, mutation_id: str) -> int | None:
-    """Action id of an earlier call with this mutation id."""
+    """Action id of an earlier call with this mutation id, which must be well formed."""
+    if not re.fullmatch(keys.MUTATION_ID, mutation_id):
+        raise ReviewConflict("a mutation id has 8 to 100 letters, digits, dashes or underscores")
     row = ws.actions.where(F.col("client_mutation_id") == mutation_id).select(F.min("id")).head()
     return row[0]
 

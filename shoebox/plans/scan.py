@@ -25,13 +25,13 @@ def scan_key(photo_id: Column, source_fingerprint: Column, pipeline_key: str) ->
     )
 
 
-def scale_plan(photos: DataFrame, edges: Sequence[int]) -> DataFrame:
+def scale_plan(pictures: DataFrame, edges: Sequence[int]) -> DataFrame:
     """Distinct scaled sizes per photo; images are never enlarged.
 
     The first edge giving a size keeps it. Sizes round half to even.
     """
     longest = F.greatest("width", "height").cast("double")
-    steps = photos.select(
+    steps = pictures.select(
         "id", "width", "height",
         F.posexplode(F.array(*[F.lit(int(e)) for e in edges])).alias("step", "edge"),
     ).withColumn("scale", F.least(F.lit(1.0), F.col("edge") / longest))
@@ -132,7 +132,7 @@ def suppress_overlaps(
     """Greedy non-maximum suppression per photo, then the minimum face size.
 
     ``detections``: (photo_id, det_id, x, y, w, h, score). Order: score, area
-    (both descending), y, x, det_id. Photos with up to ``group_rows``
+    (both descending), y, x, det_id. Pictures with up to ``group_rows``
     detections are folded as one sorted array each, inside the JVM; larger
     ones are settled by rounds of joins.
     """
@@ -190,24 +190,24 @@ def face_id(scan: Column, ordinal: Column, box: Sequence[Column], landmarks: Col
 
 # Queue and storage -----------------------------------------------------------
 
-def reset_interrupted(photos: DataFrame) -> DataFrame:
-    return photos.withColumn(
+def reset_interrupted(pictures: DataFrame) -> DataFrame:
+    return pictures.withColumn(
         "scan_status",
         F.when(F.col("scan_status") == "processing", "pending").otherwise(F.col("scan_status")),
     )
 
 
-def work_queue(photos: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pending and failed photos by position; interrupted ones count as pending."""
+def work_queue(pictures: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pending and failed pictures by position; interrupted ones count as pending."""
     if limit is not None and limit < 1:
         raise ValueError("limit must be positive")
-    queue = reset_interrupted(photos).where(F.col("scan_status").isin("pending", "error")).orderBy(
+    queue = reset_interrupted(pictures).where(F.col("scan_status").isin("pending", "error")).orderBy(
         "album_position", "id"
     )
     return queue if limit is None else queue.limit(limit)
 
 
-def register_photos(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def register_pictures(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert scan inputs; results survive only under an unchanged scan key."""
     same = F.col("_old.scan_key") == F.col("_new.scan_key")
     carry = lambda name, default: F.when(same, F.col(f"_old.{name}")).otherwise(default)
@@ -223,10 +223,10 @@ def register_photos(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def record_failures(photos: DataFrame, failures: DataFrame) -> DataFrame:
+def record_failures(pictures: DataFrame, failures: DataFrame) -> DataFrame:
     """(id, message) outcomes: status error, message cut to 1000, attempt + 1."""
     f = failures.groupBy("id").agg(F.max("message").alias("_message"))
-    joined = photos.join(f, "id", "left")
+    joined = pictures.join(f, "id", "left")
     hit = F.col("_message").isNotNull()
     return joined.select(
         *[
@@ -234,16 +234,16 @@ def record_failures(photos: DataFrame, failures: DataFrame) -> DataFrame:
             else F.when(hit, F.left("_message", F.lit(1000))).otherwise(F.col(c)).alias(c) if c == "scan_error"
             else F.when(hit, F.col(c) + 1).otherwise(F.col(c)).alias(c) if c == "attempt_count"
             else F.col(c)
-            for c in photos.columns
+            for c in pictures.columns
         ]
     )
 
 
 def replace_faces(
-    photos: DataFrame, faces: DataFrame, cannot_links: DataFrame, incoming: DataFrame, scanned: DataFrame,
+    pictures: DataFrame, faces: DataFrame, cannot_links: DataFrame, incoming: DataFrame, scanned: DataFrame,
     *, now: Column,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Replace all faces of the scanned photos and rebuild their links.
+    """Replace all faces of the scanned pictures and rebuild their links.
 
     ``scanned`` lists photo ids, since a photo may now have no face. Refuses
     when any of them already carries a review decision.
@@ -265,13 +265,13 @@ def replace_faces(
     links = links.unionByName(fresh.select(*links.columns))
     counts = ids.join(incoming.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n")), "photo_id", "left")
     c = counts.select(F.col("photo_id").alias("id"), F.coalesce("n", F.lit(0)).alias("_n"))
-    joined = photos.join(c, "id", "left")
+    joined = pictures.join(c, "id", "left")
     hit = F.col("_n").isNotNull()
     done = {
         "scan_status": F.lit("complete"), "face_count": F.col("_n").cast("int"),
         "scan_error": F.lit(None).cast("string"), "processed_at": now.cast("string"),
     }
-    new_photos = joined.select(
-        *[F.when(hit, done[x]).otherwise(F.col(x)).alias(x) if x in done else F.col(x) for x in photos.columns]
+    new_pictures = joined.select(
+        *[F.when(hit, done[x]).otherwise(F.col(x)).alias(x) if x in done else F.col(x) for x in pictures.columns]
     )
-    return new_photos, new_faces, links
+    return new_pictures, new_faces, links

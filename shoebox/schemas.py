@@ -39,7 +39,7 @@ IMPORT_RUNS = _struct(
     created_at=_TS, updated_at=_TS,
 )
 
-# Written to photos.ndjson; the catalog adds imported_run_id and row times.
+# Written to pictures.ndjson; the catalog adds imported_run_id and row times.
 MANIFEST_PHOTO = _struct(
     id=_S, album_id=_S, source_fingerprint=_S, original_filename=_S,
     source_bytes=_L, source_width=_I, source_height=_I,
@@ -50,7 +50,7 @@ MANIFEST_PHOTO = _struct(
     blur_data_url=_S, dominant_color=_S, metadata=METADATA,
 )
 
-PHOTOS = T.StructType(
+PICTURES = T.StructType(
     [f for f in MANIFEST_PHOTO.fields]
     + [
         T.StructField("imported_run_id", _S, True),
@@ -93,7 +93,7 @@ PHOTO_PEOPLE = _struct(photo_id=_S, person_id=_S)
 
 # Review workspace ----------------------------------------------------------
 
-REVIEW_PHOTOS = _struct(
+REVIEW_PICTURES = _struct(
     id=_S, album_position=_I, source_fingerprint=_S, display_relpath=_S,
     display_sha256=_S, width=_I, height=_I, scan_key=_S, scan_status=_S,
     attempt_count=_I, face_count=_I, scan_error=_S, processed_at=_S,

@@ -25,56 +25,56 @@ def _slug3(r):
     return "person-" + hashlib.sha256(b"s3").hexdigest()[:12]
 
 
-@query("f1_published_album", f"SELECT id, album_position FROM photos WHERE album_id='{ALBUM}' AND published", ("photos",))
+@query("f1_published_album", f"SELECT id, album_position FROM pictures WHERE album_id='{ALBUM}' AND published", ("pictures",))
 def _(r):
-    return paging.published_in_album(r.photos, ALBUM).select("id", "album_position")
+    return paging.published_in_album(r.pictures, ALBUM).select("id", "album_position")
 
 
-@query("s6_catalog_scan", """SELECT album_id, count(*) AS photos, min(album_position) AS lo, max(album_position) AS hi
-  FROM photos WHERE published GROUP BY 1""", ("photos",))
+@query("s6_catalog_scan", """SELECT album_id, count(*) AS pictures, min(album_position) AS lo, max(album_position) AS hi
+  FROM pictures WHERE published GROUP BY 1""", ("pictures",))
 def _(r):
-    shown = r.photos.where(F.col("published"))
+    shown = r.pictures.where(F.col("published"))
     return shown.groupBy("album_id").agg(
-        F.count(F.lit(1)).alias("photos"), F.min("album_position").alias("lo"), F.max("album_position").alias("hi")
+        F.count(F.lit(1)).alias("pictures"), F.min("album_position").alias("lo"), F.max("album_position").alias("hi")
     )
 
 
 @query("f2_gallery_projection", f"""SELECT id, original_filename, album_position, width, height, thumb_key, display_key,
-  blur_data_url, {ISO} AS captured_at_cursor FROM keyed_photos WHERE album_id='{ALBUM}' AND published""", ("keyed_photos",))
+  blur_data_url, {ISO} AS captured_at_cursor FROM keyed_pictures WHERE album_id='{ALBUM}' AND published""", ("keyed_pictures",))
 def _(r):
-    return paging.gallery_projection(paging.published_in_album(r.keyed_photos, ALBUM)).drop("captured_at")
+    return paging.gallery_projection(paging.published_in_album(r.keyed_pictures, ALBUM)).drop("captured_at")
 
 
 def _after(r, cursor):
-    return paging.published_in_album(r.photos, ALBUM).where(paging.after_cursor(cursor)).select("id", "album_position")
+    return paging.published_in_album(r.pictures, ALBUM).where(paging.after_cursor(cursor)).select("id", "album_position")
 
 
-BASE = f"SELECT id, album_position FROM photos WHERE album_id='{ALBUM}' AND published AND "
+BASE = f"SELECT id, album_position FROM pictures WHERE album_id='{ALBUM}' AND published AND "
 
 
-@query("f3_keyset_position", BASE + f"(album_position, id) > (70, '{LAST_ID}')", ("photos",))
+@query("f3_keyset_position", BASE + f"(album_position, id) > (70, '{LAST_ID}')", ("pictures",))
 def _(r):
     return _after(r, Cursor("album", LAST_ID, position=70))
 
 
 @query("f4_keyset_newest", BASE + f"""(captured_at IS NULL OR captured_at < TIMESTAMP '1997-05-28'
-  OR (captured_at = TIMESTAMP '1997-05-28' AND (album_position, id) > (70, '{LAST_ID}')))""", ("photos",))
+  OR (captured_at = TIMESTAMP '1997-05-28' AND (album_position, id) > (70, '{LAST_ID}')))""", ("pictures",))
 def _(r):
     return _after(r, Cursor("newest", LAST_ID, position=70, captured_at="1997-05-28T00:00:00.000000Z"))
 
 
 @query("f4_keyset_oldest", BASE + f"""(captured_at IS NULL OR captured_at > TIMESTAMP '1997-05-28'
-  OR (captured_at = TIMESTAMP '1997-05-28' AND (album_position, id) > (70, '{LAST_ID}')))""", ("photos",))
+  OR (captured_at = TIMESTAMP '1997-05-28' AND (album_position, id) > (70, '{LAST_ID}')))""", ("pictures",))
 def _(r):
     return _after(r, Cursor("oldest", LAST_ID, position=70, captured_at="1997-05-28T00:00:00.000000Z"))
 
 
-@query("f5_keyset_null_tail", BASE + f"captured_at IS NULL AND (album_position, id) > (70, '{LAST_ID}')", ("photos",))
+@query("f5_keyset_null_tail", BASE + f"captured_at IS NULL AND (album_position, id) > (70, '{LAST_ID}')", ("pictures",))
 def _(r):
     return _after(r, Cursor("newest", LAST_ID, position=70))
 
 
-@query("f6_keyset_shuffle", BASE + f"(md5('{SEED}:'||id), id) > ('7f', '{LAST_ID}')", ("photos",))
+@query("f6_keyset_shuffle", BASE + f"(md5('{SEED}:'||id), id) > ('7f', '{LAST_ID}')", ("pictures",))
 def _(r):
     return _after(r, Cursor("shuffle", LAST_ID, seed=SEED, shuffle_key="7f"))
 
@@ -89,7 +89,7 @@ ORDERS = {
 
 def _page(sort):
     def run(r):
-        shown = paging.published_in_album(r.photos, ALBUM)
+        shown = paging.published_in_album(r.pictures, ALBUM)
         page = paging.page(shown, sort, 121, seed=SEED)
         return page.select("id", "album_position", iso_micros(F.col("captured_at")).alias("captured_at_cursor"))
 
@@ -97,14 +97,14 @@ def _page(sort):
 
 
 for _name, _sort in (("o1_page_album", "album"), ("o2_page_newest", "newest"), ("o3_page_oldest", "oldest"), ("o4_page_shuffle", "shuffle")):
-    query(_name, f"SELECT id, album_position, {ISO} AS captured_at_cursor FROM photos WHERE album_id='{ALBUM}' AND published ORDER BY {ORDERS[_sort]} LIMIT 121", ("photos",))(_page(_sort))
+    query(_name, f"SELECT id, album_position, {ISO} AS captured_at_cursor FROM pictures WHERE album_id='{ALBUM}' AND published ORDER BY {ORDERS[_sort]} LIMIT 121", ("pictures",))(_page(_sort))
 
 
 @query("o5_limit_plus_one", f"""SELECT count(*) > 60 AS has_more, least(count(*),60) AS visible,
   max(CASE WHEN rn=60 THEN id END) AS last_visible_id FROM (SELECT id, row_number() OVER (ORDER BY album_position, id) AS rn
-  FROM photos WHERE album_id='{ALBUM}' AND published) WHERE rn<=61""", ("photos",))
+  FROM pictures WHERE album_id='{ALBUM}' AND published) WHERE rn<=61""", ("pictures",))
 def _(r):
-    rows = paging.page(paging.published_in_album(r.photos, ALBUM), "album", 61).select("id", "album_position")
+    rows = paging.page(paging.published_in_album(r.pictures, ALBUM), "album", 61).select("id", "album_position")
     ranked = rows.select("id", F.struct("album_position", "id").alias("k"))
     # At most 61 rows: the last visible one is the 60th smallest key.
     keyed = F.sort_array(F.collect_list("k"))
@@ -125,96 +125,96 @@ def _boundary_sql(sort):
   translate(rtrim(base64(encode(body)),'='),'+/','-_') END AS next_cursor FROM (
   SELECT i//60 AS page_no, count(*) OVER (PARTITION BY i//60) AS rows, id AS last_id, total, i,
   max(i) OVER (PARTITION BY i//60) AS mi, json_object('v',2,'s','{sort}','f',NULL,{fields})::VARCHAR AS body FROM (
-  SELECT *, row_number() OVER (ORDER BY {ORDERS[sort]})-1 AS i, count(*) OVER () AS total FROM photos
+  SELECT *, row_number() OVER (ORDER BY {ORDERS[sort]})-1 AS i, count(*) OVER () AS total FROM pictures
   WHERE album_id='{ALBUM}' AND published)) WHERE i=mi"""
 
 
 def _boundaries(sort):
     return lambda r: paging.page_boundaries(
-        paging.published_in_album(r.photos, ALBUM), sort, 60, seed=SEED if sort == "shuffle" else None
+        paging.published_in_album(r.pictures, ALBUM), sort, 60, seed=SEED if sort == "shuffle" else None
     )
 
 
 for _sort in ORDERS:
-    query(f"o7_boundaries_{_sort}", _boundary_sql(_sort), ("photos",))(_boundaries(_sort))
+    query(f"o7_boundaries_{_sort}", _boundary_sql(_sort), ("pictures",))(_boundaries(_sort))
 
 
 @query("o6_full_walk_newest", f"""SELECT id, row_number() OVER (ORDER BY {ORDERS['newest']})-1 AS global_index
-  FROM photos WHERE album_id='{ALBUM}' AND published""", ("photos",))
+  FROM pictures WHERE album_id='{ALBUM}' AND published""", ("pictures",))
 def _(r):
-    shown = paging.published_in_album(r.photos, ALBUM).select("id", "album_position", "captured_at")
+    shown = paging.published_in_album(r.pictures, ALBUM).select("id", "album_position", "captured_at")
     return dense_index(shown, paging.sort_columns("newest"), "global_index").select("id", "global_index")
 
 
 @query("w5_dense_positions", """SELECT id, row_number() OVER (ORDER BY captured_at ASC NULLS LAST, album_position, id)-1 AS position
-  FROM photos""", ("photos",))
+  FROM pictures""", ("pictures",))
 def _(r):
-    keys = r.photos.select("id", "album_position", "captured_at")
+    keys = r.pictures.select("id", "album_position", "captured_at")
     return dense_index(keys, paging.sort_columns("oldest"), "position").select("id", "position")
 
 
-@query("j1_person_facet", f"""SELECT id FROM photos ph WHERE published AND EXISTS (SELECT 1 FROM links l JOIN people pe
-  ON pe.id=l.person_id WHERE l.photo_id=ph.id AND pe.album_id=ph.album_id AND pe.slug={PERSON_3})""", ("photos", "people", "links"))
+@query("j1_person_facet", f"""SELECT id FROM pictures ph WHERE published AND EXISTS (SELECT 1 FROM links l JOIN people pe
+  ON pe.id=l.person_id WHERE l.photo_id=ph.id AND pe.album_id=ph.album_id AND pe.slug={PERSON_3})""", ("pictures", "people", "links"))
 def _(r):
-    shown = r.photos.where(F.col("published"))
+    shown = r.pictures.where(F.col("published"))
     return facets.with_person(shown, r.links, r.people, _slug3(r)).select("id")
 
 
-@query("j2_people_links_photos", """SELECT l.photo_id, l.person_id FROM people pe JOIN links l ON l.person_id=pe.id
-  JOIN photos ph ON ph.id=l.photo_id AND ph.album_id=pe.album_id AND ph.published""", ("photos", "people", "links"))
+@query("j2_people_links_pictures", """SELECT l.photo_id, l.person_id FROM people pe JOIN links l ON l.person_id=pe.id
+  JOIN pictures ph ON ph.id=l.photo_id AND ph.album_id=pe.album_id AND ph.published""", ("pictures", "people", "links"))
 def _(r):
-    return facets.people_in_published_photos(r.people, r.links, r.photos).select("photo_id", "person_id")
+    return facets.people_in_published_pictures(r.people, r.links, r.pictures).select("photo_id", "person_id")
 
 
-@query("a1_facet_total", f"""SELECT count(*) AS photo_count FROM photos ph WHERE published AND EXISTS (SELECT 1 FROM links l
+@query("a1_facet_total", f"""SELECT count(*) AS photo_count FROM pictures ph WHERE published AND EXISTS (SELECT 1 FROM links l
   JOIN people pe ON pe.id=l.person_id WHERE l.photo_id=ph.id AND pe.album_id=ph.album_id AND pe.slug={PERSON_3})""",
-  ("photos", "people", "links"))
+  ("pictures", "people", "links"))
 def _(r):
-    shown = r.photos.where(F.col("published"))
+    shown = r.pictures.where(F.col("published"))
     return facets.facet_total(facets.with_person(shown, r.links, r.people, _slug3(r)))
 
 
 def _albums(r):
     """Albums with their stored totals, as the refresh maintains them."""
-    return publish.album_rollup(r.photos).select(
+    return publish.album_rollup(r.pictures).select(
         F.col("album_id").alias("id"), F.lower("album_id").alias("slug"), "photo_count", "captured_at_min", "captured_at_max",
         F.lit("captured_at_asc").alias("default_sort"), F.lit(None).cast("timestamp").alias("updated_at"),
     )
 
 
-@query("a2_stored_total", f"SELECT count(*) AS photo_count FROM photos WHERE album_id='{ALBUM}' AND published", ("photos",))
+@query("a2_stored_total", f"SELECT count(*) AS photo_count FROM pictures WHERE album_id='{ALBUM}' AND published", ("pictures",))
 def _(r):
     return facets.stored_total(_albums(r), ALBUM)
 
 
 PEOPLE_COUNTS = """SELECT pe.id, pe.slug, pe.display_name, count(l.photo_id) AS photo_count FROM people pe
-  JOIN links l ON l.person_id=pe.id JOIN photos ph ON ph.id=l.photo_id AND ph.album_id=pe.album_id AND ph.published
+  JOIN links l ON l.person_id=pe.id JOIN pictures ph ON ph.id=l.photo_id AND ph.album_id=pe.album_id AND ph.published
   GROUP BY 1,2,3"""
 
 
-@query("a3_people_counts", PEOPLE_COUNTS, ("photos", "people", "links"))
+@query("a3_people_counts", PEOPLE_COUNTS, ("pictures", "people", "links"))
 def _(r):
-    return facets.people_counts(r.people, r.links, r.photos)
+    return facets.people_counts(r.people, r.links, r.pictures)
 
 
-@query("o8_people_listing", PEOPLE_COUNTS + " ORDER BY lower(pe.display_name), pe.display_name, pe.id", ("photos", "people", "links"))
+@query("o8_people_listing", PEOPLE_COUNTS + " ORDER BY lower(pe.display_name), pe.display_name, pe.id", ("pictures", "people", "links"))
 def _(r):
-    return facets.listing_order(facets.people_counts(r.people, r.links, r.photos))
+    return facets.listing_order(facets.people_counts(r.people, r.links, r.pictures))
 
 
 @query("a4_album_rollup", """SELECT album_id, count(*) AS photo_count, strftime(min(captured_at),'%Y-%m-%d') AS lo,
-  strftime(max(captured_at),'%Y-%m-%d') AS hi FROM photos WHERE published GROUP BY 1""", ("photos",))
+  strftime(max(captured_at),'%Y-%m-%d') AS hi FROM pictures WHERE published GROUP BY 1""", ("pictures",))
 def _(r):
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return publish.album_rollup(r.photos).select(
+    return publish.album_rollup(r.pictures).select(
         "album_id", "photo_count", day("captured_at_min").alias("lo"), day("captured_at_max").alias("hi")
     )
 
 
 @query("f14_facet_exists", f"""SELECT coalesce(bool_or(slug={PERSON_3}),false) AS facet_exists FROM ({PEOPLE_COUNTS})""",
-  ("photos", "people", "links"))
+  ("pictures", "people", "links"))
 def _(r):
-    return facets.facet_exists(facets.people_counts(r.people, r.links, r.photos), _slug3(r))
+    return facets.facet_exists(facets.people_counts(r.people, r.links, r.pictures), _slug3(r))
 
 
 @query("o9_featured_first", """SELECT id, display_name, row_number() OVER (ORDER BY pin, display_name, id)-1 AS place FROM (
@@ -259,33 +259,33 @@ def _(r):
 # Publishing ----------------------------------------------------------------------
 
 def _manifest(r):
-    """The run's photos: two of three runs' rows, with new file names."""
-    return r.photos.select(
+    """The run's pictures: two of three runs' rows, with new file names."""
+    return r.pictures.select(
         "id", "album_id", F.concat(F.lit("NEW_"), "original_filename").alias("original_filename"), "album_position", "published", "captured_at"
     )
 
 
 STAGED = """staged AS (SELECT id, album_id, CASE WHEN m THEN 'NEW_'||original_filename ELSE original_filename END AS original_filename,
   CASE WHEN m THEN 'run_9' ELSE imported_run_id END AS imported_run_id, CASE WHEN e THEN published ELSE false END AS published FROM (
-  SELECT *, o_orderstatus<>'O' AS e, o_orderstatus<>'P' AS m FROM photos) WHERE e OR m)"""
+  SELECT *, o_orderstatus<>'O' AS e, o_orderstatus<>'P' AS m FROM pictures) WHERE e OR m)"""
 
 
 def _stage(r):
     """Stored: all but open orders. Incoming manifest: all but pending ones."""
-    stored = r.photos.where(F.col("o_orderstatus") != "O").select(
+    stored = r.pictures.where(F.col("o_orderstatus") != "O").select(
         "id", "album_id", "original_filename", "album_position", "published", "imported_run_id", "captured_at"
     )
-    incoming = _manifest(r).join(r.photos.where(F.col("o_orderstatus") != "P").select("id"), "id", "left_semi")
-    return publish.stage_photos(stored, incoming, "run_9", _now())
+    incoming = _manifest(r).join(r.pictures.where(F.col("o_orderstatus") != "P").select("id"), "id", "left_semi")
+    return publish.stage_pictures(stored, incoming, "run_9", _now())
 
 
 def _with_staged(sql):
     from .roles import CTES
 
-    return f"WITH photos AS ({CTES['photos']}),\n{STAGED}\n{sql}"
+    return f"WITH pictures AS ({CTES['pictures']}),\n{STAGED}\n{sql}"
 
 
-@query("m2_stage_photos", _with_staged("SELECT id, original_filename, imported_run_id, published FROM staged"))
+@query("m2_stage_pictures", _with_staged("SELECT id, original_filename, imported_run_id, published FROM staged"))
 def _(r):
     return _stage(r).select("id", "original_filename", "imported_run_id", "published")
 
@@ -314,7 +314,7 @@ def _(r):
 def _(r):
     names = r.table("nation").select(F.col("n_name").alias("id"))
     # One existing album is refreshed along with the new ones.
-    known = r.photos.where(F.col("album_id") == "2-HIGH").select(F.col("album_id").alias("id")).distinct()
+    known = r.pictures.where(F.col("album_id") == "2-HIGH").select(F.col("album_id").alias("id")).distinct()
     incoming = names.unionByName(known).select("id", F.concat(F.lit("new-"), "id").alias("slug"))
     albums = publish.upsert_albums(_albums(r), incoming.withColumn("default_sort", F.lit("captured_at_desc")), _now())
     runs = _albums(r).select(
@@ -326,7 +326,7 @@ def _(r):
 
 
 @query("m5_refresh_albums", _with_staged("""SELECT a.id, coalesce(n,0) AS photo_count, CASE WHEN a.id='2-HIGH' THEN 'completed' ELSE 'running' END AS status
-  FROM (SELECT DISTINCT album_id AS id FROM photos) a LEFT JOIN (SELECT album_id, count(*) AS n FROM staged WHERE published GROUP BY 1) s ON s.album_id=a.id"""))
+  FROM (SELECT DISTINCT album_id AS id FROM pictures) a LEFT JOIN (SELECT album_id, count(*) AS n FROM staged WHERE published GROUP BY 1) s ON s.album_id=a.id"""))
 def _(r):
     albums = _albums(r)
     fresh = publish.refresh_albums(albums, _stage(r), _now())
@@ -362,20 +362,20 @@ INCOMING = """incoming AS (SELECT DISTINCT 'p_'||substr(sha256(l_orderkey::VARCH
 def _with_incoming(sql):
     from .roles import CTES
 
-    ctes = ",\n".join(f"{n} AS ({CTES[n]})" for n in ("photos", "people", "links"))
+    ctes = ",\n".join(f"{n} AS ({CTES[n]})" for n in ("pictures", "people", "links"))
     return f"WITH {ctes},\n{INCOMING}\n{sql}"
 
 
-@query("j6_links_outside_album", _with_incoming(f"""SELECT i.photo_id, i.person_id FROM incoming i LEFT JOIN photos ph ON ph.id=i.photo_id
+@query("j6_links_outside_album", _with_incoming(f"""SELECT i.photo_id, i.person_id FROM incoming i LEFT JOIN pictures ph ON ph.id=i.photo_id
   WHERE ph.id IS NULL OR ph.album_id<>'{ALBUM}'"""))
 def _(r):
-    return publish.strangers(_incoming_links(r), r.photos, ALBUM)
+    return publish.strangers(_incoming_links(r), r.pictures, ALBUM)
 
 
-@query("j7_stale_links", _with_incoming(f"""SELECT l.photo_id, l.person_id FROM links l JOIN photos ph ON ph.id=l.photo_id AND ph.album_id='{ALBUM}'
+@query("j7_stale_links", _with_incoming(f"""SELECT l.photo_id, l.person_id FROM links l JOIN pictures ph ON ph.id=l.photo_id AND ph.album_id='{ALBUM}'
   WHERE NOT EXISTS (SELECT 1 FROM incoming i WHERE i.photo_id=l.photo_id AND i.person_id=l.person_id)"""))
 def _(r):
-    return publish.stale_links(r.links, r.photos, _incoming_links(r), ALBUM)
+    return publish.stale_links(r.links, r.pictures, _incoming_links(r), ALBUM)
 
 
 @query("j8_stale_people", _with_incoming(f"""SELECT id FROM people pe WHERE album_id='{ALBUM}' AND NOT EXISTS (
@@ -386,17 +386,17 @@ def _(r):
 
 
 @query("m7_replace_associations", _with_incoming(f"""SELECT photo_id, person_id FROM (
-  SELECT l.photo_id, l.person_id FROM links l LEFT JOIN photos ph ON ph.id=l.photo_id WHERE ph.album_id IS DISTINCT FROM '{ALBUM}'
-  UNION SELECT i.photo_id, i.person_id FROM incoming i JOIN photos ph ON ph.id=i.photo_id AND ph.album_id='{ALBUM}') u
+  SELECT l.photo_id, l.person_id FROM links l LEFT JOIN pictures ph ON ph.id=l.photo_id WHERE ph.album_id IS DISTINCT FROM '{ALBUM}'
+  UNION SELECT i.photo_id, i.person_id FROM incoming i JOIN pictures ph ON ph.id=i.photo_id AND ph.album_id='{ALBUM}') u
   WHERE NOT EXISTS (SELECT 1 FROM people pe WHERE pe.id=u.person_id AND pe.album_id='{ALBUM}' AND pe.s_acctbal<3000)"""))
 def _(r):
     """Set part of the replacement; the guards are exercised in the tests."""
     from ..operators.tables import delete_keys, insert_missing
 
-    ours = r.photos.where(F.col("album_id") == ALBUM).select(F.col("id").alias("photo_id"))
+    ours = r.pictures.where(F.col("album_id") == ALBUM).select(F.col("id").alias("photo_id"))
     incoming = _incoming_links(r).join(ours, "photo_id", "left_semi")
     key = ["photo_id", "person_id"]
-    links = delete_keys(r.links, publish.stale_links(r.links, r.photos, incoming, ALBUM), key)
+    links = delete_keys(r.links, publish.stale_links(r.links, r.pictures, incoming, ALBUM), key)
     links = insert_missing(links, incoming, key)
     leaving = publish.stale_people(r.people, r.people.where(F.col("s_acctbal") >= 3000), ALBUM)
     return delete_keys(links, leaving.select(F.col("id").alias("person_id")), ["person_id"])
@@ -421,7 +421,7 @@ def _(r):
 
 def flagship(r):
     """First and second page of an album through the cursor of the first."""
-    shown = paging.published_in_album(r.keyed_photos, ALBUM)
+    shown = paging.published_in_album(r.keyed_pictures, ALBUM)
     first = paging.page(shown, "newest", 61).collect()
     last = first[59] if len(first) > 60 else first[-1]
     taken = last["captured_at"]

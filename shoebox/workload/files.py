@@ -63,7 +63,7 @@ def _(r):
 @query("s5_run_document", "SELECT o_orderpriority AS album_id, count(*) AS photo_count, 'run-'||o_orderpriority AS run_id FROM orders GROUP BY 1")
 def _(r):
     path = scratch_path(r.spark, "albums")
-    docs = r.photos.groupBy("album_id").agg(F.count(F.lit(1)).alias("photo_count")).select(
+    docs = r.pictures.groupBy("album_id").agg(F.count(F.lit(1)).alias("photo_count")).select(
         F.col("album_id").alias("part"),
         F.struct(F.col("album_id").alias("id"), "photo_count").alias("album"),
         F.struct(F.concat(F.lit("run-"), "album_id").alias("id"), "album_id").alias("import_run"),
@@ -73,29 +73,29 @@ def _(r):
     return read.select(F.col("album.id").alias("album_id"), F.col("album.photo_count").alias("photo_count"), F.col("import_run.id").alias("run_id"))
 
 
-@query("s7_position_ordered_lines", "SELECT id, album_id, album_position FROM photos", ("photos",))
+@query("s7_position_ordered_lines", "SELECT id, album_id, album_position FROM pictures", ("pictures",))
 def _(r):
     path = scratch_path(r.spark, "manifest")
-    snapshots.write_lines(r.photos.select("id", "album_id", "album_position"), path, ["album_position", "id"])
-    schema = T.StructType([schemas.PHOTOS[c] for c in ("id", "album_id", "album_position")])
+    snapshots.write_lines(r.pictures.select("id", "album_id", "album_position"), path, ["album_position", "id"])
+    schema = T.StructType([schemas.PICTURES[c] for c in ("id", "album_id", "album_position")])
     return jsonlines.read_strict(r.spark, path, schema)
 
 
-@query("s8_snapshot_publish", "SELECT id, album_id, published FROM photos", ("photos",))
+@query("s8_snapshot_publish", "SELECT id, album_id, published FROM pictures", ("pictures",))
 def _(r):
     """A second version replaces the first; readers see the last one only."""
     root = scratch_path(r.spark, "catalog")
-    rows = r.photos.select("id", "album_id", "published")
+    rows = r.pictures.select("id", "album_id", "published")
     snapshots.publish(rows.withColumn("published", F.lit(False)), root)
     snapshots.publish(rows, root, partition_by=["album_id"], sort_within=["id"])
     return snapshots.read_current(r.spark, root).select("id", "album_id", "published")
 
 
 @query("s9_numbered_batches", """SELECT batch_no, count(*) AS rows, min(i) AS first_position, max(i) AS last_position FROM (
-  SELECT i, i//250+1 AS batch_no FROM (SELECT row_number() OVER (ORDER BY album_position, id)-1 AS i FROM photos)) GROUP BY 1""", ("photos",))
+  SELECT i, i//250+1 AS batch_no FROM (SELECT row_number() OVER (ORDER BY album_position, id)-1 AS i FROM pictures)) GROUP BY 1""", ("pictures",))
 def _(r):
     path = scratch_path(r.spark, "batches")
-    numbered = dense_index(r.photos.select("id", "album_position"), [F.col("album_position"), F.col("id")], "i")
+    numbered = dense_index(r.pictures.select("id", "album_position"), [F.col("album_position"), F.col("id")], "i")
     snapshots.write_batches(numbered.select("id", "i"), path, "i", 250)
     back = r.spark.read.schema("id string, i long, batch_no long").json(path)
     return back.groupBy("batch_no").agg(
@@ -116,7 +116,7 @@ def _(r):
 
     path = scratch_path(r.spark, "export")
     people = exported_people(r.people, r.faces, r.clusters, prefix=PREFIX, side=320)
-    snapshots.write_export(people, associations(r.faces, r.photos), review_summary(r.faces, r.clusters), path)
+    snapshots.write_export(people, associations(r.faces, r.pictures), review_summary(r.faces, r.clusters), path)
     back = r.spark.read.schema("id string, slug string, photo_count long, avatar_width int").json(f"{path}/people")
     return back
 

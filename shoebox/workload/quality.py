@@ -19,7 +19,7 @@ from .roles import ALBUM, PREFIX
   SELECT 'photo_album' FROM orders WHERE o_orderpriority='5-LOW') GROUP BY 1""")
 def _(r):
     o = r.table("orders")
-    photos = o.select(
+    pictures = o.select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("album_id"),
         F.col("o_orderkey").cast("string").alias("source_fingerprint"),
         F.when(F.col("o_orderstatus") == "P", "guess").otherwise("exif").alias("captured_at_source"),
@@ -33,7 +33,7 @@ def _(r):
     albums = o.where(F.col("o_orderpriority") != "5-LOW").groupBy(F.col("o_orderpriority").alias("id")).agg(
         F.count(F.lit(1)).alias("photo_count"), F.min("o_orderdate").alias("captured_at_min"), F.max("o_orderdate").alias("captured_at_max")
     ).select("*", F.lower("id").alias("slug"), F.lit("captured_at_asc").alias("default_sort"))
-    return rule_counts(checks.catalog_violations(photos, albums))
+    return rule_counts(checks.catalog_violations(pictures, albums))
 
 
 @query("d3_workspace_rules", """SELECT rule, count(*) AS violations FROM (
@@ -47,17 +47,17 @@ def _(r):
     return rule_counts(checks.workspace_violations(faces, r.clusters, people, r.cannot_links))
 
 
-@query("d4_manifest_rules", f"""SELECT rule, count(*) AS violations FROM (SELECT 'count' AS rule UNION ALL SELECT 'album' FROM photos WHERE album_id<>'{ALBUM}' UNION ALL
-  SELECT 'duplicate_position' FROM (SELECT album_position FROM photos GROUP BY 1 HAVING count(*)>1)) GROUP BY 1""", ("photos",))
+@query("d4_manifest_rules", f"""SELECT rule, count(*) AS violations FROM (SELECT 'count' AS rule UNION ALL SELECT 'album' FROM pictures WHERE album_id<>'{ALBUM}' UNION ALL
+  SELECT 'duplicate_position' FROM (SELECT album_position FROM pictures GROUP BY 1 HAVING count(*)>1)) GROUP BY 1""", ("pictures",))
 def _(r):
-    return rule_counts(checks.manifest_violations(r.photos, album_id=ALBUM, expected_count=-1))
+    return rule_counts(checks.manifest_violations(r.pictures, album_id=ALBUM, expected_count=-1))
 
 
 @query("d5_scan_manifest_rules", """SELECT rule, count(*) AS violations FROM (SELECT 'dense_positions' AS rule UNION ALL
   SELECT 'source_size' FROM orders WHERE o_orderstatus='O' UNION ALL SELECT 'display_present' FROM orders WHERE o_orderstatus='P') GROUP BY 1""")
 def _(r):
     """Sources of open orders changed size; displays of pending ones are missing."""
-    k = r.keyed_photos
+    k = r.keyed_pictures
     manifest = k.select(
         F.concat(F.lit("p_"), F.substring("source_fingerprint", 1, 32)).alias("id"), "source_fingerprint", "album_position",
         F.concat("o_orderkey", F.lit(".jpg")).alias("original_filename"), F.col("thumb_bytes").alias("source_bytes"), "display_key", "display_bytes",
@@ -91,7 +91,7 @@ def _(r):
   SELECT 'content_type_matches' FROM orders, (VALUES (1),(2)) x WHERE o_orderstatus='P' AND o_orderkey%3<>0 UNION ALL
   SELECT 'bytes' FROM orders WHERE o_custkey=0) GROUP BY 1""")
 def _(r):
-    k = r.keyed_photos.withColumn("id", F.concat(F.lit("p_"), F.substring("source_fingerprint", 1, 32))).withColumn(
+    k = r.keyed_pictures.withColumn("id", F.concat(F.lit("p_"), F.substring("source_fingerprint", 1, 32))).withColumn(
         "thumb_bytes", F.col("thumb_bytes") - 1
     )
     status = k.select(F.col("id").alias("photo_id"), "o_orderstatus")
@@ -103,16 +103,16 @@ def _(r):
 
 
 @query("d8_consistency_rules", """SELECT rule, count(*) AS violations FROM (
-  SELECT 'face_count' AS rule FROM review_photos WHERE scan_status='complete' AND o_orderkey%9=0 UNION ALL
+  SELECT 'face_count' AS rule FROM review_pictures WHERE scan_status='complete' AND o_orderkey%9=0 UNION ALL
   SELECT 'representative' FROM clusters UNION ALL
   SELECT 'one_face_per_photo' FROM (SELECT cluster_id, photo_id FROM faces GROUP BY 1,2 HAVING count(*)>1) UNION ALL
   SELECT 'suggestion_blocked' FROM suggestions s WHERE (cluster_id_a, cluster_id_b) IN (SELECT (least(a.cluster_id,b.cluster_id), greatest(a.cluster_id,b.cluster_id)) FROM cannot_links l
     JOIN faces a ON a.id=l.face_id_a JOIN faces b ON b.id=l.face_id_b) UNION ALL
   SELECT 'labeled_identity' FROM faces f JOIN clusters c ON c.id=f.cluster_id WHERE c.status='labeled' AND f.status NOT IN ('ignored','unknown') AND (f.status<>'labeled' OR f.person_id IS DISTINCT FROM c.person_id) UNION ALL
-  SELECT 'links_complete' WHERE (SELECT sum(face_count::BIGINT*(face_count-1)//2) FROM review_photos)<>(SELECT count(*) FROM cannot_links)) GROUP BY 1""",
-  ("review_photos", "clusters", "faces", "suggestions", "cannot_links"))
+  SELECT 'links_complete' WHERE (SELECT sum(face_count::BIGINT*(face_count-1)//2) FROM review_pictures)<>(SELECT count(*) FROM cannot_links)) GROUP BY 1""",
+  ("review_pictures", "clusters", "faces", "suggestions", "cannot_links"))
 def _(r):
-    return rule_counts(checks.consistency_violations(r.review_photos, r.stored_faces, r.clusters, r.stored_links, r.suggestions))
+    return rule_counts(checks.consistency_violations(r.review_pictures, r.stored_faces, r.clusters, r.stored_links, r.suggestions))
 
 
 @query("j9_orphans_and_empty", """SELECT 'orphan_face' AS kind, count(*) AS n FROM faces f WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE c.id=f.cluster_id AND c.status='unreviewed') AND f.status='unreviewed'
@@ -143,7 +143,7 @@ def _(r):
     people = export.exported_people(r.people, r.faces, r.clusters, prefix=PREFIX, side=320)
     crops = r.faces.select(F.col("crop_relpath").alias("relative_path"), F.lit(100).cast("bigint").alias("bytes"))
     uploads = export.avatar_uploads(people, crops, "/private")
-    return rule_counts(export.export_rules(people, reads.associations(r.faces, r.photos), uploads, r.faces, PREFIX))
+    return rule_counts(export.export_rules(people, reads.associations(r.faces, r.pictures), uploads, r.faces, PREFIX))
 
 
 @query("d10_bulk_ignore_preflight", """SELECT rule, count(*) AS violations FROM (SELECT 'mixed_statuses' AS rule UNION ALL SELECT 'counts_agree' UNION ALL
@@ -167,16 +167,16 @@ def _(r):
     return before_digest.crossJoin(F.broadcast(after_digest)).select((F.col("protected_digest") == F.col("after")).alias("unchanged"))
 
 
-@query("d11_changed_settings", """SELECT field, count(*) AS differences FROM (SELECT 'id' AS field FROM photos WHERE o_orderstatus='O' UNION ALL SELECT 'scan_key' FROM photos WHERE o_orderstatus='P') GROUP BY 1""", ("photos",))
+@query("d11_changed_settings", """SELECT field, count(*) AS differences FROM (SELECT 'id' AS field FROM pictures WHERE o_orderstatus='O' UNION ALL SELECT 'scan_key' FROM pictures WHERE o_orderstatus='P') GROUP BY 1""", ("pictures",))
 def _(r):
     """Stored against expected inputs, position by position."""
-    base = r.photos.select(
+    base = r.pictures.select(
         F.col("o_orderkey").alias("album_position"), "id", "source_fingerprint", "display_sha256", F.lit("k1").alias("scan_key"), "o_orderstatus"
     )
     stored = base.withColumn("id", F.when(F.col("o_orderstatus") == "O", "other").otherwise(F.col("id"))).withColumn(
         "scan_key", F.when(F.col("o_orderstatus") == "P", "k0").otherwise(F.col("scan_key"))
     )
-    return checks.changed_photos(base, stored).groupBy("field").agg(F.count(F.lit(1)).alias("differences"))
+    return checks.changed_pictures(base, stored).groupBy("field").agg(F.count(F.lit(1)).alias("differences"))
 
 
 @query("d12_avatar_sources", """SELECT rule, count(*) AS violations FROM (SELECT 'sha256' AS rule FROM people WHERE album_id='2-HIGH' UNION ALL SELECT 'square_side' FROM people WHERE album_id='3-MEDIUM' UNION ALL
@@ -194,6 +194,6 @@ def _(r):
     return rule_counts(checks.avatar_source_violations(avatars, crops, dims, root="/private", side=320))
 
 
-@query("j13_parameters", f"SELECT id, '{ALBUM}' AS album_id, 'run_9' AS run_id FROM photos", ("photos",))
+@query("j13_parameters", f"SELECT id, '{ALBUM}' AS album_id, 'run_9' AS run_id FROM pictures", ("pictures",))
 def _(r):
-    return r.photos.select("id", F.lit(ALBUM).alias("album_id"), F.lit("run_9").alias("run_id"))
+    return r.pictures.select("id", F.lit(ALBUM).alias("album_id"), F.lit("run_9").alias("run_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import workspace as reads
@@ -11,23 +13,23 @@ from ..plans import export, review
 from .registry import query
 from .roles import NOW, PREFIX, cluster_id, person_id
 
-FCP = ("faces", "clusters", "photos", "people")
+FCP = ("faces", "clusters", "pictures", "people")
 def _now():
     return F.lit(NOW)
 RANK = "CASE status WHEN 'unreviewed' THEN 0 WHEN 'labeled' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END"
 SUMMARY = """SELECT c.id, c.status, c.person_id, pe.display_name, max(f.detection_score) AS confidence, count(f.id) AS face_count,
   count(DISTINCT f.photo_id) AS photo_count, min(ph.album_position) AS first_position FROM clusters c JOIN faces f ON f.cluster_id=c.id
-  JOIN photos ph ON ph.id=f.photo_id LEFT JOIN people pe ON pe.id=c.person_id GROUP BY 1,2,3,4"""
+  JOIN pictures ph ON ph.id=f.photo_id LEFT JOIN people pe ON pe.id=c.person_id GROUP BY 1,2,3,4"""
 
 
 def _summary(r):
-    return reads.cluster_summary(r.clusters, r.faces, r.photos, r.people)
+    return reads.cluster_summary(r.clusters, r.faces, r.pictures, r.people)
 
 
 @query("j3_cluster_face_photo", """SELECT f.id AS face_id, c.id AS cluster_id, c.status, ph.album_position, pe.display_name FROM clusters c JOIN faces f ON f.cluster_id=c.id
-  JOIN photos ph ON ph.id=f.photo_id LEFT JOIN people pe ON pe.id=c.person_id""", FCP)
+  JOIN pictures ph ON ph.id=f.photo_id LEFT JOIN people pe ON pe.id=c.person_id""", FCP)
 def _(r):
-    return reads.cluster_faces(r.clusters, r.faces, r.photos, r.people).select(
+    return reads.cluster_faces(r.clusters, r.faces, r.pictures, r.people).select(
         "face_id", "cluster_id", "status", "album_position", "display_name"
     )
 
@@ -53,15 +55,15 @@ def _(r):
     return dense_index(_summary(r), order, "place").select("id", "status", "place")
 
 
-@query("a6_scoreboard", """SELECT count(*) AS photos, count_if(scan_status='complete') AS scanned_photos, (SELECT count(*) FROM faces) AS total_faces,
+@query("a6_scoreboard", """SELECT count(*) AS pictures, count_if(scan_status='complete') AS scanned_pictures, (SELECT count(*) FROM faces) AS total_faces,
   (SELECT count(*) FROM faces WHERE quality='clusterable') AS clusterable_faces, (SELECT count(*) FROM faces WHERE quality='manual_only') AS manual_only_faces,
   (SELECT count(*) FROM faces WHERE status='labeled') AS labeled_faces, (SELECT count(*) FROM faces WHERE status='unknown') AS unknown_faces,
   (SELECT count(*) FROM faces WHERE status='ignored') AS ignored_faces, (SELECT count(*) FROM faces WHERE status='unreviewed') AS remaining_faces,
   (SELECT count(*) FROM clusters WHERE status='unreviewed') AS unreviewed_clusters, (SELECT count(*) FROM clusters WHERE status='labeled') AS labeled_clusters,
   (SELECT count(*) FROM clusters WHERE status='unknown') AS unknown_clusters, (SELECT count(*) FROM clusters WHERE status='ignored') AS ignored_clusters
-  FROM scan_photos""", ("scan_photos", "faces", "clusters"))
+  FROM scan_pictures""", ("scan_pictures", "faces", "clusters"))
 def _(r):
-    return reads.scoreboard(r.scan_photos, r.faces, r.clusters)
+    return reads.scoreboard(r.scan_pictures, r.faces, r.clusters)
 
 
 @query("a7_person_stats", """SELECT pe.id AS person_id, pe.display_name, count(DISTINCT f.photo_id) AS photo_count, count(f.id) AS face_count
@@ -75,10 +77,10 @@ def _(r):
     return reads.association_count(r.faces)
 
 
-@query("a9_associations", """SELECT f.photo_id, f.person_id, min(ph.album_position) AS album_position FROM faces f JOIN photos ph ON ph.id=f.photo_id
-  WHERE f.status='labeled' AND f.person_id IS NOT NULL GROUP BY 1,2""", ("faces", "photos"))
+@query("a9_associations", """SELECT f.photo_id, f.person_id, min(ph.album_position) AS album_position FROM faces f JOIN pictures ph ON ph.id=f.photo_id
+  WHERE f.status='labeled' AND f.person_id IS NOT NULL GROUP BY 1,2""", ("faces", "pictures"))
 def _(r):
-    return reads.associations(r.faces, r.photos)
+    return reads.associations(r.faces, r.pictures)
 
 
 DOMAIN = "(VALUES ('unreviewed'),('labeled'),('unknown'),('ignored'),('gone')) d(status)"
@@ -96,10 +98,10 @@ def _(r):
     return reads.target_state(r.clusters, r.faces)
 
 
-@query("a12_link_completeness", """SELECT (SELECT coalesce(sum(face_count::BIGINT*(face_count-1)//2),0)::BIGINT FROM review_photos) AS expected,
-  (SELECT count(*) FROM cannot_links) AS actual""", ("review_photos", "cannot_links"))
+@query("a12_link_completeness", """SELECT (SELECT coalesce(sum(face_count::BIGINT*(face_count-1)//2),0)::BIGINT FROM review_pictures) AS expected,
+  (SELECT count(*) FROM cannot_links) AS actual""", ("review_pictures", "cannot_links"))
 def _(r):
-    return reads.link_completeness(r.review_photos, r.cannot_links)
+    return reads.link_completeness(r.review_pictures, r.cannot_links)
 
 
 @query("a13_mixed_clusters", "SELECT cluster_id FROM faces WHERE status='labeled' GROUP BY 1 HAVING count(DISTINCT person_id)<>1", ("faces",))
@@ -130,12 +132,12 @@ def _(r):
     return r.faces.where(reads.labelable(F.col("status"))).select("id")
 
 
-@query("f12_work_queue", """SELECT id, row_number() OVER (ORDER BY album_position, id)-1 AS place FROM scan_photos
-  WHERE scan_status IN ('pending','error','processing')""", ("scan_photos",))
+@query("f12_work_queue", """SELECT id, row_number() OVER (ORDER BY album_position, id)-1 AS place FROM scan_pictures
+  WHERE scan_status IN ('pending','error','processing')""", ("scan_pictures",))
 def _(r):
     from ..plans.scan import work_queue
 
-    return dense_index(work_queue(r.scan_photos), [F.col("album_position"), F.col("id")], "place").select("id", "place")
+    return dense_index(work_queue(r.scan_pictures), [F.col("album_position"), F.col("id")], "place").select("id", "place")
 
 
 @query("f13_lookup_batch", "SELECT f.id, f.cluster_id FROM faces f WHERE f.cluster_id IN (SELECT id FROM clusters WHERE status='ignored')", ("faces", "clusters"))
@@ -162,9 +164,9 @@ def _(r):
 
 
 @query("g9_cluster_detail", """SELECT f.id, f.cluster_id, row_number() OVER (PARTITION BY f.cluster_id ORDER BY ph.album_position, f.ordinal, f.id)-1 AS place
-  FROM faces f JOIN photos ph ON ph.id=f.photo_id""", ("faces", "photos"))
+  FROM faces f JOIN pictures ph ON ph.id=f.photo_id""", ("faces", "pictures"))
 def _(r):
-    placed = r.faces.join(r.photos.select(F.col("id").alias("photo_id"), "album_position"), "photo_id").select(
+    placed = r.faces.join(r.pictures.select(F.col("id").alias("photo_id"), "album_position"), "photo_id").select(
         "id", "cluster_id", "album_position", "ordinal"
     )
     order = [F.col("album_position"), F.col("ordinal"), F.col("id")]
@@ -354,10 +356,21 @@ def _ignored(r):
     return review.ignore_unreviewed(r.workspace, mutation_id="ignore-all-1", now=_now(), check=False)[0]
 
 
-@query("m18_action_log", "SELECT 1::BIGINT AS id, 'ignore_all_unreviewed_clusters' AS action_type, 1::BIGINT AS action_high_watermark")
+@query("m18_action_log", """SELECT id, client_mutation_id, action_type, payload_json, (SELECT max(event_id)+2 FROM events) AS action_high_watermark FROM (
+  SELECT event_id+1 AS id, 'mutation-'||event_id AS client_mutation_id, event_type AS action_type, props AS payload_json FROM events
+  UNION ALL SELECT max(event_id)+2, 'ignore-all-1', 'ignore_all_unreviewed_clusters', '{}' FROM events)""")
 def _(r):
-    out = _ignored(r)
-    return out.actions.select("id", "action_type").crossJoin(F.broadcast(review.high_watermark(out)))
+    """One more action on a log taken from the events; its id follows the highest one."""
+    none = F.lit(None).cast("string")
+    log = r.table("events").select(
+        (F.col("event_id") + 1).alias("id"), F.concat(F.lit("mutation-"), "event_id").alias("client_mutation_id"),
+        F.col("event_type").alias("action_type"), F.col("props").alias("payload_json"), none.alias("inverse_json"),
+        F.col("ts").cast("string").alias("created_at"), none.alias("undone_at"),
+    )
+    ws = replace(r.workspace, actions=log)
+    out = review.ignore_unreviewed(ws, mutation_id="ignore-all-1", now=_now(), check=False)[0]
+    shown = out.actions.select("id", "client_mutation_id", "action_type", "payload_json")
+    return shown.crossJoin(F.broadcast(review.high_watermark(out)))
 
 
 @query("m20_before_images", """SELECT 'faces' AS table_name, f.id AS key FROM faces f JOIN clusters c ON c.id=f.cluster_id WHERE c.status='unreviewed'
@@ -422,41 +435,41 @@ def _(r):
 
 
 @query("m21_failure_capture", """SELECT id, CASE WHEN f THEN 'error' ELSE scan_status END AS scan_status, CASE WHEN f THEN 1000 END AS message_length, CASE WHEN f THEN 1 ELSE 0 END AS attempt_count
-  FROM (SELECT *, scan_status='pending' AS f FROM scan_photos)""", ("scan_photos",))
+  FROM (SELECT *, scan_status='pending' AS f FROM scan_pictures)""", ("scan_pictures",))
 def _(r):
     from ..plans.scan import record_failures
 
-    stored = r.scan_photos.withColumn("scan_error", F.lit(None).cast("string")).withColumn("attempt_count", F.lit(0))
-    failures = r.scan_photos.where(F.col("scan_status") == "pending").select("id", F.repeat(F.lit("x"), F.lit(1500)).alias("message"))
+    stored = r.scan_pictures.withColumn("scan_error", F.lit(None).cast("string")).withColumn("attempt_count", F.lit(0))
+    failures = r.scan_pictures.where(F.col("scan_status") == "pending").select("id", F.repeat(F.lit("x"), F.lit(1500)).alias("message"))
     return record_failures(stored, failures).select("id", "scan_status", F.length("scan_error").alias("message_length"), "attempt_count")
 
 
 @query("m8_conditional_reset", """SELECT id, CASE WHEN o_orderstatus='F' THEN scan_status ELSE 'pending' END AS scan_status,
-  CASE WHEN o_orderstatus='F' THEN 7 ELSE 0 END AS face_count FROM (SELECT s.*, p.o_orderstatus FROM scan_photos s JOIN photos p ON p.id=s.id)""", ("scan_photos", "photos"))
+  CASE WHEN o_orderstatus='F' THEN 7 ELSE 0 END AS face_count FROM (SELECT s.*, p.o_orderstatus FROM scan_pictures s JOIN pictures p ON p.id=s.id)""", ("scan_pictures", "pictures"))
 def _(r):
     """Only finished orders keep their scan key."""
-    from ..plans.scan import register_photos
+    from ..plans.scan import register_pictures
 
-    joined = r.scan_photos.join(r.photos.select("id", "o_orderstatus"), "id")
+    joined = r.scan_pictures.join(r.pictures.select("id", "o_orderstatus"), "id")
     stored = joined.select(
         "id", "album_position", F.lit("k1").alias("scan_key"), "scan_status", F.lit(7).alias("face_count"),
         F.lit(None).cast("string").alias("scan_error"), F.lit(None).cast("string").alias("processed_at"), F.lit(1).alias("attempt_count"),
     )
     incoming = joined.select("id", "album_position", F.when(F.col("o_orderstatus") == "F", "k1").otherwise("k2").alias("scan_key"))
-    return register_photos(stored, incoming).select("id", "scan_status", "face_count")
+    return register_pictures(stored, incoming).select("id", "scan_status", "face_count")
 
 
-@query("m9_replace_faces", """SELECT p.id, CASE WHEN p.published THEN n ELSE 0 END AS face_count FROM photos p JOIN (SELECT photo_id, count(*)::INTEGER AS n FROM faces GROUP BY 1) f ON f.photo_id=p.id""", ("photos", "faces"))
+@query("m9_replace_faces", """SELECT p.id, CASE WHEN p.published THEN n ELSE 0 END AS face_count FROM pictures p JOIN (SELECT photo_id, count(*)::INTEGER AS n FROM faces GROUP BY 1) f ON f.photo_id=p.id""", ("pictures", "faces"))
 def _(r):
-    """Rescan all photos: published ones keep their faces, others lose them."""
+    """Rescan all pictures: published ones keep their faces, others lose them."""
     from ..plans.scan import replace_faces
 
     fresh = r.faces.withColumn("status", F.lit("unreviewed")).withColumn("person_id", F.lit(None).cast("string"))
-    shown = r.photos.where(F.col("published")).select(F.col("id").alias("photo_id"))
+    shown = r.pictures.where(F.col("published")).select(F.col("id").alias("photo_id"))
     incoming = fresh.join(shown, "photo_id", "left_semi")
-    photos = r.photos.join(r.faces.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi").select(
+    pictures = r.pictures.join(r.faces.select(F.col("photo_id").alias("id")).distinct(), "id", "left_semi").select(
         "id", F.lit("pending").alias("scan_status"), F.lit(-1).alias("face_count"),
         F.lit(None).cast("string").alias("scan_error"), F.lit(None).cast("string").alias("processed_at"),
     )
-    new_photos, _faces, _links = replace_faces(photos, fresh, r.cannot_links, incoming, photos.select("id"), now=_now())
-    return new_photos.select("id", "face_count")
+    new_pictures, _faces, _links = replace_faces(pictures, fresh, r.cannot_links, incoming, pictures.select("id"), now=_now())
+    return new_pictures.select("id", "face_count")

@@ -43,7 +43,7 @@ class Roles:
         return read_table(self.spark, self.sf_dir, name)
 
     @cached_property
-    def photos(self) -> DataFrame:
+    def pictures(self) -> DataFrame:
         o = self.table("orders")
         k = F.col("o_orderkey")
         sha = lambda letter: F.sha2(F.concat(F.lit(letter), k.cast("string")).cast("binary"), 256)
@@ -68,12 +68,12 @@ class Roles:
         )
 
     @cached_property
-    def keyed_photos(self) -> DataFrame:
+    def keyed_pictures(self) -> DataFrame:
         from ..functions.hashing import object_key
 
         ext = F.element_at(F.array(F.lit("webp"), F.lit("avif"), F.lit("jpeg")), (F.col("o_orderkey") % 3 + 1).cast("int"))
         key = lambda kind: object_key(PREFIX, F.col("source_fingerprint"), kind, F.col(f"{kind}_sha256"), ext)
-        return self.photos.withColumn("thumb_key", key("thumb")).withColumn("display_key", key("display"))
+        return self.pictures.withColumn("thumb_key", key("thumb")).withColumn("display_key", key("display"))
 
     @cached_property
     def people(self) -> DataFrame:
@@ -165,24 +165,24 @@ class Roles:
         )
 
     @cached_property
-    def review_photos(self) -> DataFrame:
-        """Photos with a stored face count that is wrong where the key is a multiple of 9."""
+    def review_pictures(self) -> DataFrame:
+        """Pictures with a stored face count that is wrong where the key is a multiple of 9."""
         n = self.faces.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"))
         status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderkey") % 7 == 0, "processing").when(
             F.col("o_orderstatus") == "F", "complete"
         ).otherwise("error")
-        return self.photos.join(n.withColumnRenamed("photo_id", "id"), "id", "left").select(
+        return self.pictures.join(n.withColumnRenamed("photo_id", "id"), "id", "left").select(
             "id", "album_position", status.alias("scan_status"),
             (F.coalesce("n", F.lit(0)) + F.when(F.col("o_orderkey") % 9 == 0, 1).otherwise(0)).cast("int").alias("face_count"),
             "o_orderkey",
         )
 
     @cached_property
-    def scan_photos(self) -> DataFrame:
+    def scan_pictures(self) -> DataFrame:
         status = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderkey") % 7 == 0, "processing").when(
             F.col("o_orderstatus") == "F", "complete"
         ).otherwise("error")
-        return self.photos.select("id", "album_position", status.alias("scan_status"), "o_orderkey", "width", "height")
+        return self.pictures.select("id", "album_position", status.alias("scan_status"), "o_orderkey", "width", "height")
 
     @cached_property
     def cannot_links(self) -> DataFrame:
@@ -228,7 +228,7 @@ class Roles:
 
         empty = lambda schema: self.spark.createDataFrame([], schema)
         return Workspace(
-            photos=self.photos.select("id", "album_position"),
+            pictures=self.pictures.select("id", "album_position"),
             people=self.people.select("id", "display_name", "name_key", "created_at", "updated_at"),
             clusters=self.clusters, faces=self.faces, cannot_links=self.cannot_links,
             suggestions=self.suggestions, actions=empty(schemas.ACTIONS), images=empty(IMAGES),
@@ -260,18 +260,18 @@ _SCAN_STATUS = """CASE WHEN o_orderstatus='P' THEN 'pending' WHEN o_orderkey%7=0
   WHEN o_orderstatus='F' THEN 'complete' ELSE 'error' END"""
 
 CTES = {
-    "photos": f"""SELECT {_pid('o_orderkey')} AS id, o_orderpriority AS album_id, o_custkey::INTEGER AS album_position,
+    "pictures": f"""SELECT {_pid('o_orderkey')} AS id, o_orderpriority AS album_id, o_custkey::INTEGER AS album_position,
   CASE WHEN o_orderkey%17<>0 THEN o_orderdate END AS captured_at, o_orderstatus<>'P' AS published,
   'IMG_'||o_custkey||'.jpg' AS original_filename, (1000+o_orderkey%3000)::INTEGER AS width,
   (1000+o_custkey%2000)::INTEGER AS height, sha256('s'||o_orderkey) AS source_fingerprint,
   sha256('t'||o_orderkey) AS thumb_sha256, sha256('d'||o_orderkey) AS display_sha256,
   o_custkey+1 AS thumb_bytes, o_orderkey+1 AS display_bytes, CAST(NULL AS VARCHAR) AS blur_data_url,
   'run_'||(o_orderkey%3) AS imported_run_id, o_orderkey, o_orderstatus FROM orders""",
-    "keyed_photos": f"""SELECT *, '{PREFIX}/'||substr(source_fingerprint,1,2)||'/p_'||substr(source_fingerprint,1,32)
+    "keyed_pictures": f"""SELECT *, '{PREFIX}/'||substr(source_fingerprint,1,2)||'/p_'||substr(source_fingerprint,1,32)
   ||'/thumb-'||substr(thumb_sha256,1,20)||'.'||ext AS thumb_key,
   '{PREFIX}/'||substr(source_fingerprint,1,2)||'/p_'||substr(source_fingerprint,1,32)
   ||'/display-'||substr(display_sha256,1,20)||'.'||ext AS display_key
-  FROM (SELECT *, CASE o_orderkey%3 WHEN 0 THEN 'webp' WHEN 1 THEN 'avif' ELSE 'jpeg' END AS ext FROM photos)""",
+  FROM (SELECT *, CASE o_orderkey%3 WHEN 0 THEN 'webp' WHEN 1 THEN 'avif' ELSE 'jpeg' END AS ext FROM pictures)""",
     "people": f"""SELECT {_person('s_suppkey')} AS id, CASE s_nationkey%5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH'
   WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS album_id,
   'person-'||substr(sha256('s'||s_suppkey),1,12) AS slug, s_name AS display_name, lower(s_name) AS name_key, s_suppkey, s_acctbal FROM supplier""",
@@ -289,18 +289,18 @@ CTES = {
     "suggestions": f"""SELECT least({_cid('p_partkey')},{_cid('p_partkey+step')}) AS cluster_id_a,
   greatest({_cid('p_partkey')},{_cid('p_partkey+step')}) AS cluster_id_b, p_size/50 AS similarity_max,
   CASE WHEN p_size%4=0 THEN 'rejected' ELSE 'pending' END AS status FROM part CROSS JOIN (VALUES (1),(3)) s(step)""",
-    "review_photos": f"""SELECT p.id, p.album_position, {_SCAN_STATUS} AS scan_status,
-  (coalesce(n,0)+CASE WHEN o_orderkey%9=0 THEN 1 ELSE 0 END)::INTEGER AS face_count, o_orderkey FROM photos p
+    "review_pictures": f"""SELECT p.id, p.album_position, {_SCAN_STATUS} AS scan_status,
+  (coalesce(n,0)+CASE WHEN o_orderkey%9=0 THEN 1 ELSE 0 END)::INTEGER AS face_count, o_orderkey FROM pictures p
   LEFT JOIN (SELECT photo_id, count(*) AS n FROM faces GROUP BY 1) c ON c.photo_id=p.id""",
-    "scan_photos": f"SELECT id, album_position, {_SCAN_STATUS} AS scan_status, o_orderkey, width, height FROM photos",
+    "scan_pictures": f"SELECT id, album_position, {_SCAN_STATUS} AS scan_status, o_orderkey, width, height FROM pictures",
     "cannot_links": """SELECT a.id AS face_id_a, b.id AS face_id_b, 'same_photo' AS reason FROM faces a JOIN faces b
   ON a.photo_id=b.photo_id AND a.id<b.id""",
     "vectors": f"""SELECT 'f_'||substr(sha256('v'||vec_id),1,32) AS id, {_pid('vec_id//2')} AS photo_id, embedding::DOUBLE[] AS embedding,
   label/10 AS quality_score, vec_id FROM embeddings""",
 }
 NEEDS = {
-    "keyed_photos": ("photos",), "review_photos": ("photos", "faces"), "cannot_links": ("faces",),
-    "scan_photos": ("photos",),
+    "keyed_pictures": ("pictures",), "review_pictures": ("pictures", "faces"), "cannot_links": ("faces",),
+    "scan_pictures": ("pictures",),
 }
 
 

@@ -81,9 +81,9 @@ KEYED = f"""SELECT id, k, regexp_extract(k,'^{PREFIX}/([a-f0-9]{{2}})/p_([a-f0-9
   regexp_extract(k,'^{PREFIX}/([a-f0-9]{{2}})/p_([a-f0-9]{{32}})/(thumb|display)-([a-f0-9]{{20}})[.](webp|avif|jpeg)$',5) AS ext"""
 
 
-@query("x8_key_parts", KEYED + " FROM (SELECT id, thumb_key AS k FROM keyed_photos UNION ALL SELECT id, display_key FROM keyed_photos)", ("keyed_photos",))
+@query("x8_key_parts", KEYED + " FROM (SELECT id, thumb_key AS k FROM keyed_pictures UNION ALL SELECT id, display_key FROM keyed_pictures)", ("keyed_pictures",))
 def _(r):
-    both = r.keyed_photos.select("id", F.explode(F.array("thumb_key", "display_key")).alias("k"))
+    both = r.keyed_pictures.select("id", F.explode(F.array("thumb_key", "display_key")).alias("k"))
     part = keys.parse_photo_key(F.col("k"), PREFIX)
     return both.select("id", "k", part["shard"].alias("shard"), part["kind"].alias("kind"), part["ext"].alias("ext"))
 
@@ -99,9 +99,9 @@ def _(r):
 
 
 @query("x10_content_types", """SELECT id, CASE WHEN k LIKE '%.avif' THEN 'image/avif' WHEN k LIKE '%.jpeg' THEN 'image/jpeg' ELSE 'image/webp' END AS content_type,
-  split_part(k,'/',3) AS third, left(sha,20) AS head FROM (SELECT id, display_key AS k, display_sha256 AS sha FROM keyed_photos)""", ("keyed_photos",))
+  split_part(k,'/',3) AS third, left(sha,20) AS head FROM (SELECT id, display_key AS k, display_sha256 AS sha FROM keyed_pictures)""", ("keyed_pictures",))
 def _(r):
-    return r.keyed_photos.select(
+    return r.keyed_pictures.select(
         "id", keys.content_type(F.col("display_key")).alias("content_type"),
         F.split_part("display_key", F.lit("/"), F.lit(3)).alias("third"), F.left("display_sha256", F.lit(20)).alias("head"),
     )
@@ -132,15 +132,15 @@ def _hmac_sql(message: str) -> str:
     )
 
 
-@query("x12_signed_links", f"""SELECT id, {_hmac_sql("'media:'||display_key||':'||(1900000000+o_orderkey)")} AS signature FROM keyed_photos""", ("keyed_photos",))
+@query("x12_signed_links", f"""SELECT id, {_hmac_sql("'media:'||display_key||':'||(1900000000+o_orderkey)")} AS signature FROM keyed_pictures""", ("keyed_pictures",))
 def _(r):
     expires = F.lit(NOW_S) + F.col("o_orderkey")
     path = keys.encode_segments(F.col("display_key"))
-    return r.keyed_photos.select("id", signing.link_signature(path, expires, SECRET).alias("signature"))
+    return r.keyed_pictures.select("id", signing.link_signature(path, expires, SECRET).alias("signature"))
 
 
 @query("x13_verify_links", f"""SELECT id, CASE WHEN o_orderstatus='F' AND e > {NOW_S}+5000 THEN e END AS expiry
-  FROM (SELECT *, {NOW_S}+o_orderkey AS e FROM keyed_photos)""", ("keyed_photos",))
+  FROM (SELECT *, {NOW_S}+o_orderkey AS e FROM keyed_pictures)""", ("keyed_pictures",))
 def _(r):
     """Links of finished orders are genuine; the others were signed for another expiry."""
     e = F.lit(NOW_S) + F.col("o_orderkey")
@@ -150,7 +150,7 @@ def _(r):
         F.lit("https://media.example/"), path, F.lit("?expires="), claimed.cast("string"),
         F.lit("&signature="), signing.link_signature(path, e, SECRET),
     )
-    signed = r.keyed_photos.select("id", url.alias("url"))
+    signed = r.keyed_pictures.select("id", url.alias("url"))
     return signed.select("id", signing.verified_expiry(F.col("url"), F.lit(NOW_S + 5000), SECRET).alias("expiry"))
 
 
@@ -160,9 +160,9 @@ def _(r):
 
 
 @query("x16_cursor_column", """SELECT id, translate(rtrim(base64(encode(json_object('v',2,'s','album','f','person-a','p',album_position,'i',id)::VARCHAR)),'='),'+/','-_') AS cursor
-  FROM photos""", ("photos",))
+  FROM pictures""", ("pictures",))
 def _(r):
-    return r.photos.select(
+    return r.pictures.select(
         "id", cursor_column("album", F.col("id"), position=F.col("album_position"), person="person-a").alias("cursor")
     )
 
@@ -251,11 +251,11 @@ def _(r):
 
 @query("x24_scale_plan", """SELECT id, w AS scaled_width, h AS scaled_height, min(step) AS step FROM (SELECT id, step,
   greatest(1,round_even(width*s,0))::INTEGER AS w, greatest(1,round_even(height*s,0))::INTEGER AS h FROM (
-  SELECT id, width, height, step::INTEGER AS step, least(1.0e0, edge/greatest(width,height)) AS s FROM photos CROSS JOIN (VALUES (0,640),(1,1280),(2,2560),(3,5120)) e(step,edge))) GROUP BY 1,2,3""", ("photos",))
+  SELECT id, width, height, step::INTEGER AS step, least(1.0e0, edge/greatest(width,height)) AS s FROM pictures CROSS JOIN (VALUES (0,640),(1,1280),(2,2560),(3,5120)) e(step,edge))) GROUP BY 1,2,3""", ("pictures",))
 def _(r):
     from ..plans.scan import scale_plan
 
-    return scale_plan(r.photos, [640, 1280, 2560, 5120]).select("id", "scaled_width", "scaled_height", "step")
+    return scale_plan(r.pictures, [640, 1280, 2560, 5120]).select("id", "scaled_width", "scaled_height", "step")
 
 
 @query("x25_human_bytes", """SELECT p_partkey, CASE WHEN b>=1073741824 THEN printf('%.1f GiB',floor(b/1073741824e0*10+0.5)/10) WHEN b>=1048576 THEN printf('%.1f MiB',floor(b/1048576e0*10+0.5)/10)
@@ -285,10 +285,10 @@ def _(r):
     return r.table("part").select("p_partkey", status.alias("status"), count.alias("face_count"))
 
 
-@query("f9_null_safe_inequality", "SELECT id FROM photos WHERE captured_at IS DISTINCT FROM TIMESTAMP '1997-05-28'", ("photos",))
+@query("f9_null_safe_inequality", "SELECT id FROM pictures WHERE captured_at IS DISTINCT FROM TIMESTAMP '1997-05-28'", ("pictures",))
 def _(r):
     day = F.to_timestamp(F.lit("1997-05-28 00:00:00"))
-    return r.photos.where(~F.col("captured_at").eqNullSafe(day)).select("id")
+    return r.pictures.where(~F.col("captured_at").eqNullSafe(day)).select("id")
 
 
 # Ingest -------------------------------------------------------------------------
@@ -323,10 +323,10 @@ def _(r):
     return ingest.latest_state(log).select(F.col("signature").alias("user_id"), F.col("seq").alias("event_id"), "event_type")
 
 
-@query("p1_incremental_split", """SELECT id, (o_orderstatus<>'P' AND o_orderstatus<>'O') AS resumed FROM photos""", ("photos",))
+@query("p1_incremental_split", """SELECT id, (o_orderstatus<>'P' AND o_orderstatus<>'O') AS resumed FROM pictures""", ("pictures",))
 def _(r):
-    """State knows all but pending photos; open ones lost an object."""
-    k = r.keyed_photos
+    """State knows all but pending pictures; open ones lost an object."""
+    k = r.keyed_pictures
     inventory = k.select("id", F.col("source_fingerprint").alias("signature"))
     state = k.where(F.col("o_orderstatus") != "P").select(
         F.col("source_fingerprint").alias("signature"), "thumb_key", "thumb_bytes", "display_key", "display_bytes"
@@ -340,7 +340,7 @@ def _(r):
 
 
 def _media(r):
-    k = r.keyed_photos
+    k = r.keyed_pictures
     return k.select(
         F.col("source_fingerprint").alias("sha256"), F.col("width").alias("source_width"), F.col("height").alias("source_height"),
         F.element_at(F.array(F.lit("webp"), F.lit("avif"), F.lit("jpeg")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("format"),
@@ -358,7 +358,7 @@ def _media(r):
 
 def _records(r):
     """Every photo exists at two paths, so each content occurs twice."""
-    files = r.photos.select(
+    files = r.pictures.select(
         F.col("source_fingerprint").alias("sha256"), F.explode(F.array(F.lit("b/"), F.lit("a/"))).alias("dir"),
         F.col("original_filename").alias("file_name"), F.col("thumb_bytes").alias("bytes"),
         (F.col("o_orderkey") * 1000).alias("mtime_ms"), F.lit(0).alias("birthtime_ms"),
@@ -370,11 +370,11 @@ CAPTURED = "CASE WHEN captured_at IS NULL AND o_orderkey>0 THEN make_timestamp(o
 NATURAL = "regexp_replace(regexp_replace(lower(original_filename),'(\\d+)','00000000000000000000\\1','g'),'0*(\\d{20})(\\D|$)','\\1\\2','g')"
 RECORD = f"""SELECT 'p_'||substr(source_fingerprint,1,32) AS id, original_filename, thumb_key,
   CASE WHEN captured_at IS NULL THEN make_timestamp(o_orderkey*1000000) ELSE captured_at END AS t,
-  CASE WHEN captured_at IS NULL THEN 'filesystem' ELSE 'exif' END AS captured_at_source, o_orderkey, thumb_bytes, display_key, display_bytes FROM keyed_photos"""
+  CASE WHEN captured_at IS NULL THEN 'filesystem' ELSE 'exif' END AS captured_at_source, o_orderkey, thumb_bytes, display_key, display_bytes FROM keyed_pictures"""
 
 
 @query("p3_photo_records", f"""SELECT id, thumb_key, captured_at_source, strftime(t,'%Y-%m-%dT%H:%M:%S') AS taken, o_orderkey::DOUBLE AS iso,
-  CAST(NULL AS DOUBLE) AS aperture FROM ({RECORD}) CROSS JOIN (VALUES (1),(2)) twice(x)""", ("keyed_photos",))
+  CAST(NULL AS DOUBLE) AS aperture FROM ({RECORD}) CROSS JOIN (VALUES (1),(2)) twice(x)""", ("keyed_pictures",))
 def _(r):
     return _records(r).select(
         "id", "thumb_key", "captured_at_source", F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss").alias("taken"),
@@ -382,7 +382,7 @@ def _(r):
     )
 
 
-@query("o11_album_positions", f"""SELECT id, (row_number() OVER (ORDER BY t, {NATURAL}, id)-1)::INTEGER AS album_position FROM ({RECORD})""", ("keyed_photos",))
+@query("o11_album_positions", f"""SELECT id, (row_number() OVER (ORDER BY t, {NATURAL}, id)-1)::INTEGER AS album_position FROM ({RECORD})""", ("keyed_pictures",))
 def _(r):
     return ingest.album_manifest(_records(r)).select("id", "album_position")
 
@@ -390,9 +390,9 @@ def _(r):
 @query("p5_upload_plan", f"""SELECT photo_id, kind, object_key, local_path, content_type, bytes FROM (
   SELECT id AS photo_id, kind, k AS object_key, '/objects/'||k AS local_path,
   CASE WHEN k LIKE '%.avif' THEN 'image/avif' WHEN k LIKE '%.jpeg' THEN 'image/jpeg' ELSE 'image/webp' END AS content_type, bytes FROM (
-  SELECT id, 'thumb' AS kind, thumb_key AS k, thumb_bytes AS bytes FROM ({RECORD}) UNION ALL SELECT id, 'display', display_key, display_bytes FROM ({RECORD})))""", ("keyed_photos",))
+  SELECT id, 'thumb' AS kind, thumb_key AS k, thumb_bytes AS bytes FROM ({RECORD}) UNION ALL SELECT id, 'display', display_key, display_bytes FROM ({RECORD})))""", ("keyed_pictures",))
 def _(r):
-    plan = ingest.upload_plan(ingest.unique_photos(_records(r)), "/objects")
+    plan = ingest.upload_plan(ingest.unique_pictures(_records(r)), "/objects")
     return plan.select("photo_id", "kind", "object_key", "local_path", "content_type", "bytes")
 
 
@@ -412,26 +412,26 @@ def _outcomes(r):
 
 
 @query("p4_run_document", """SELECT count(*) AS photo_count, strftime(min(captured_at),'%Y-%m-%d') AS lo, strftime(max(captured_at),'%Y-%m-%d') AS hi,
-  (SELECT count(*) FROM events) AS discovered_count, 'completed_with_errors' AS status FROM photos""", ("photos",))
+  (SELECT count(*) FROM events) AS discovered_count, 'completed_with_errors' AS status FROM pictures""", ("pictures",))
 def _(r):
-    doc = ingest.run_document(r.photos, ingest.run_counters(_outcomes(r)))
+    doc = ingest.run_document(r.pictures, ingest.run_counters(_outcomes(r)))
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     return doc.select("photo_count", day("captured_at_min").alias("lo"), day("captured_at_max").alias("hi"), "discovered_count", "status")
 
 
-@query("a15_plan_totals", "SELECT count(*)*2 AS objects, sum(thumb_bytes+display_bytes)::BIGINT AS bytes FROM photos", ("photos",))
+@query("a15_plan_totals", "SELECT count(*)*2 AS objects, sum(thumb_bytes+display_bytes)::BIGINT AS bytes FROM pictures", ("pictures",))
 def _(r):
     from ..plans.upload import totals
 
-    return totals(ingest.upload_plan(r.keyed_photos, "/objects"))
+    return totals(ingest.upload_plan(r.keyed_pictures, "/objects"))
 
 
-@query("o13_plan_preview", """SELECT object_key, (SELECT count(*)*2-5 FROM photos) AS more FROM (SELECT thumb_key AS object_key FROM keyed_photos
-  UNION ALL SELECT display_key FROM keyed_photos) ORDER BY object_key LIMIT 5""", ("keyed_photos",))
+@query("o13_plan_preview", """SELECT object_key, (SELECT count(*)*2-5 FROM pictures) AS more FROM (SELECT thumb_key AS object_key FROM keyed_pictures
+  UNION ALL SELECT display_key FROM keyed_pictures) ORDER BY object_key LIMIT 5""", ("keyed_pictures",))
 def _(r):
     from ..plans.upload import preview
 
-    head, more = preview(ingest.upload_plan(r.keyed_photos, "/objects"))
+    head, more = preview(ingest.upload_plan(r.keyed_pictures, "/objects"))
     return head.select("object_key").crossJoin(F.broadcast(more))
 
 
@@ -446,8 +446,8 @@ def _ledger(r):
     """Uploads of the finished orders' thumbnails, plus rows of another bucket."""
     from ..plans.upload import with_fingerprint
 
-    plan = with_fingerprint(ingest.upload_plan(r.keyed_photos, "/objects")).join(
-        r.photos.select(F.col("id").alias("photo_id"), "o_orderstatus", "o_orderkey"), "photo_id"
+    plan = with_fingerprint(ingest.upload_plan(r.keyed_pictures, "/objects")).join(
+        r.pictures.select(F.col("id").alias("photo_id"), "o_orderstatus", "o_orderkey"), "photo_id"
     )
     stale = F.when(F.col("o_orderstatus") == "O", F.reverse("upload_fingerprint")).otherwise(F.col("upload_fingerprint"))
     return plan.where(F.col("kind") == "thumb").select(
@@ -460,38 +460,38 @@ def _ledger(r):
 TARGET = dict(account_id="acct", profile="prof", bucket="main", bucket_created_at="t0")
 
 
-@query("p6_ledger_of_target", "SELECT thumb_key AS object_key FROM keyed_photos WHERE o_orderstatus<>'P'", ("keyed_photos",))
+@query("p6_ledger_of_target", "SELECT thumb_key AS object_key FROM keyed_pictures WHERE o_orderstatus<>'P'", ("keyed_pictures",))
 def _(r):
     from ..plans.upload import uploaded
 
     return uploaded(_ledger(r), **TARGET).select("object_key")
 
 
-@query("j14_ledger_matches", "SELECT thumb_key AS object_key FROM keyed_photos WHERE o_orderstatus='F'", ("keyed_photos",))
+@query("j14_ledger_matches", "SELECT thumb_key AS object_key FROM keyed_pictures WHERE o_orderstatus='F'", ("keyed_pictures",))
 def _(r):
     from ..plans.upload import ledger_matches, uploaded
 
-    plan = ingest.upload_plan(r.keyed_photos, "/objects")
+    plan = ingest.upload_plan(r.keyed_pictures, "/objects")
     return ledger_matches(plan, uploaded(_ledger(r), **TARGET)).select("object_key")
 
 
-@query("p7_pending_uploads", """SELECT display_key AS object_key FROM keyed_photos UNION ALL
-  SELECT thumb_key FROM keyed_photos WHERE o_orderstatus<>'F' OR o_orderkey%10=3""", ("keyed_photos",))
+@query("p7_pending_uploads", """SELECT display_key AS object_key FROM keyed_pictures UNION ALL
+  SELECT thumb_key FROM keyed_pictures WHERE o_orderstatus<>'F' OR o_orderkey%10=3""", ("keyed_pictures",))
 def _(r):
     """Remote copies of every tenth thumbnail are truncated."""
     from ..plans.upload import pending, uploaded
 
-    plan = ingest.upload_plan(r.keyed_photos, "/objects")
-    remote = plan.join(r.photos.select(F.col("id").alias("photo_id"), "o_orderkey"), "photo_id").select(
+    plan = ingest.upload_plan(r.keyed_pictures, "/objects")
+    remote = plan.join(r.pictures.select(F.col("id").alias("photo_id"), "o_orderkey"), "photo_id").select(
         "object_key", "sha256", F.when(F.col("o_orderkey") % 10 == 3, F.col("bytes") - 1).otherwise(F.col("bytes")).alias("bytes")
     )
     return pending(plan, uploaded(_ledger(r), **TARGET), remote).select("object_key")
 
 
-@query("u2_plan_minus_verified", "SELECT display_key AS object_key FROM keyed_photos", ("keyed_photos",))
+@query("u2_plan_minus_verified", "SELECT display_key AS object_key FROM keyed_pictures", ("keyed_pictures",))
 def _(r):
     from ..plans.upload import verified
 
-    plan = ingest.upload_plan(r.keyed_photos, "/objects")
+    plan = ingest.upload_plan(r.keyed_pictures, "/objects")
     done = verified(plan.where(F.col("kind") == "thumb"), plan)
     return plan.join(done, "object_key", "left_anti").select("object_key")

@@ -66,7 +66,7 @@ def test_cursor_is_bound_to_its_listing():
             decode_cursor(raw({"v": 2, "s": "newest", "f": None, "t": bad, "p": 1, "i": "x"}), "newest")
 
 
-def make_photos(spark, n=57):
+def make_pictures(spark, n=57):
     rng = random.Random(5)
     start = datetime(2024, 1, 1, tzinfo=timezone.utc)
     rows = []
@@ -84,7 +84,7 @@ def make_photos(spark, n=57):
 
 @pytest.mark.parametrize("sort", ["album", "newest", "oldest", "shuffle"])
 def test_walk_visits_every_row_once_in_order(spark, sort):
-    photos = make_photos(spark).cache()
+    pictures = make_pictures(spark).cache()
     seed = SEED if sort == "shuffle" else None
     albums = spark.createDataFrame([("a", 51)], "id string, photo_count long")
     links = gallery.Links("https://m.example/", b"k" * 32)
@@ -92,15 +92,15 @@ def test_walk_visits_every_row_once_in_order(spark, sort):
     bridge = spark.createDataFrame([], schemas.PHOTO_PEOPLE)
     seen, cursor = [], None
     while True:
-        page = gallery.list_photos(
-            photos, albums, empty, bridge, album_id="a", links=links, now_seconds=1000.0, limit=7, sort=sort, cursor=cursor, seed=seed
+        page = gallery.list_pictures(
+            pictures, albums, empty, bridge, album_id="a", links=links, now_seconds=1000.0, limit=7, sort=sort, cursor=cursor, seed=seed
         )
         assert page.total == 51 and page.media_expires_at == 1200 + 21600
-        seen += [p["id"] for p in page.photos]
+        seen += [p["id"] for p in page.pictures]
         cursor = page.next_cursor
         if cursor is None:
             break
-    shown = photos.where("published")
+    shown = pictures.where("published")
     expected = [r["id"] for r in shown.orderBy(*paging.sort_columns(sort, seed)).collect()]
     assert seen == expected
     boundaries = paging.page_boundaries(shown, sort, 7, seed=seed).orderBy("page_no").collect()
@@ -112,14 +112,14 @@ def test_walk_visits_every_row_once_in_order(spark, sort):
 def test_signed_links_of_a_page_verify(spark):
     from shoebox.functions.signing import verified_expiry
 
-    photos = make_photos(spark, 5)
+    pictures = make_pictures(spark, 5)
     secret = b"s" * 32
-    page = gallery.list_photos(
-        photos, spark.createDataFrame([], "id string, photo_count long"), spark.createDataFrame([], schemas.PEOPLE),
+    page = gallery.list_pictures(
+        pictures, spark.createDataFrame([], "id string, photo_count long"), spark.createDataFrame([], schemas.PEOPLE),
         spark.createDataFrame([], schemas.PHOTO_PEOPLE), album_id="a", links=gallery.Links("https://m.example", secret), now_seconds=1000.0,
     )
     assert page.total == 0
-    urls = spark.createDataFrame([(p["thumb_url"],) for p in page.photos], "u string")
+    urls = spark.createDataFrame([(p["thumb_url"],) for p in page.pictures], "u string")
     checked = urls.select(
         verified_expiry(F.col("u"), F.lit(1000), secret).alias("ok"),
         verified_expiry(F.col("u"), F.lit(page.media_expires_at), secret).alias("late"),
@@ -130,15 +130,15 @@ def test_signed_links_of_a_page_verify(spark):
 
 
 def test_person_page(spark):
-    photos = make_photos(spark, 12)
+    pictures = make_pictures(spark, 12)
     people = spark.createDataFrame([("q", "a", "person-q", "Quinn"), ("z", "b", "person-q", "Zed")], "id string, album_id string, slug string, display_name string")
-    some = [r["id"] for r in photos.where("published").limit(3).collect()]
+    some = [r["id"] for r in pictures.where("published").limit(3).collect()]
     bridge = spark.createDataFrame([(i, "q") for i in some] + [(some[0], "z")], "photo_id string, person_id string")
-    page = gallery.list_photos(
-        photos, spark.createDataFrame([], "id string, photo_count long"), people, bridge, album_id="a",
+    page = gallery.list_pictures(
+        pictures, spark.createDataFrame([], "id string, photo_count long"), people, bridge, album_id="a",
         links=gallery.Links("https://m.example", b"s" * 32), now_seconds=0.0, person="person-q",
     )
-    assert page.total == 3 and sorted(p["id"] for p in page.photos) == sorted(some)
+    assert page.total == 3 and sorted(p["id"] for p in page.pictures) == sorted(some)
 
 
 def test_list_people_checks_avatars(spark):
@@ -148,13 +148,13 @@ def test_list_people_checks_avatars(spark):
     shape = "id string, album_id string, slug string, display_name string, avatar_key string, avatar_width int, avatar_height int"
     good = (pid, "a", "person-a", "Ann", f"g/people/{pid}/avatar-{'b' * 20}.webp", 320, 320)
     plain = ("person_" + "c" * 32, "a", "person-c", "bob", None, None, None)
-    photos = spark.createDataFrame([("p1", "a", True), ("p2", "a", False)], "id string, album_id string, published boolean")
+    pictures = spark.createDataFrame([("p1", "a", True), ("p2", "a", False)], "id string, album_id string, published boolean")
     bridge = spark.createDataFrame([("p1", pid), ("p2", pid), ("p1", plain[0])], "photo_id string, person_id string")
     args = dict(album_id="a", prefix="g", links=gallery.Links("https://m.example", b"s" * 32), now_seconds=0.0)
-    listed = gallery.list_people(spark.createDataFrame([good, plain], shape), bridge, photos, **args).collect()
+    listed = gallery.list_people(spark.createDataFrame([good, plain], shape), bridge, pictures, **args).collect()
     assert [(r["display_name"], r["photo_count"], r["avatar_url"] is not None) for r in listed] == [("Ann", 1, True), ("bob", 1, False)]
     with pytest.raises(RuleViolation):
-        gallery.list_people(spark.createDataFrame([good[:4] + (None, 320, None), plain], shape), bridge, photos, **args)
+        gallery.list_people(spark.createDataFrame([good[:4] + (None, 320, None), plain], shape), bridge, pictures, **args)
 
 
 def test_limits_and_expiry(spark):

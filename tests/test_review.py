@@ -1,4 +1,4 @@
-"""The review fixture graph: eight photos, seven clusters, nine faces."""
+"""The review fixture graph: eight pictures, seven clusters, nine faces."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def ws(spark):
         names = schema.names
         return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema).coalesce(1)
 
-    photos = [p for p in dict.fromkeys(f[2] for f in FACES)]
+    pictures = [p for p in dict.fromkeys(f[2] for f in FACES)]
     faces = [
         dict(
             id=face(n), photo_id=photo(p), cluster_id=group(c), ordinal=o, bbox_x=0.15, bbox_y=0.2, bbox_width=0.3,
@@ -60,9 +60,9 @@ def ws(spark):
     a, b = sorted([face("blocked_a"), face("blocked_b")])
     pair = lambda x, y: dict(zip(("cluster_id_a", "cluster_id_b"), sorted([group(x), group(y)])))
     return review.Workspace(
-        photos=table(
-            [dict(id=photo(p), album_position=i + 1, scan_status="complete", face_count=sum(f[2] == p for f in FACES)) for i, p in enumerate(photos)],
-            schemas.REVIEW_PHOTOS,
+        pictures=table(
+            [dict(id=photo(p), album_position=i + 1, scan_status="complete", face_count=sum(f[2] == p for f in FACES)) for i, p in enumerate(pictures)],
+            schemas.REVIEW_PICTURES,
         ),
         people=table([], schemas.REVIEW_PEOPLE), clusters=table(clusters, schemas.CLUSTERS), faces=table(faces, schemas.FACES),
         cannot_links=table([dict(face_id_a=a, face_id_b=b, reason="same_photo", created_at="t0")], schemas.CANNOT_LINKS),
@@ -235,13 +235,13 @@ def test_ignore_all(spark, ws):
 
 def test_reads(spark, ws):
     out = label(spark, ws)
-    summary = reads.cluster_summary(out.clusters, out.faces, out.photos, out.people)
+    summary = reads.cluster_summary(out.clusters, out.faces, out.pictures, out.people)
     queue = [r["id"] for r in reads.review_queue(summary).collect()]
     assert queue[0] in (group("split"), group("state")) and queue[-1] == group("label")
     assert reads.filter_clusters(summary, "labeled", "lex").count() == 1
     assert reads.filter_clusters(summary, "all", "%").count() == 0
-    board = reads.scoreboard(out.photos, out.faces, out.clusters).head()
-    assert (board["photos"], board["total_faces"], board["labeled_faces"], board["unreviewed_clusters"]) == (8, 9, 1, 6)
+    board = reads.scoreboard(out.pictures, out.faces, out.clusters).head()
+    assert (board["pictures"], board["total_faces"], board["labeled_faces"], board["unreviewed_clusters"]) == (8, 9, 1, 6)
     top = reads.top_suggestions(out.suggestions).collect()
     assert {r["cluster_id"] for r in top} == {group("merge_a"), group("merge_b")}
     named = label(spark, out, "Bea", "merge_a", "mutation-2")
@@ -250,7 +250,7 @@ def test_reads(spark, ws):
         (group("merge_a"), group("merge_b")), (group("merge_b"), group("merge_b"))
     }
     assert checks.consistency_violations(
-        out.photos, out.faces, review.recompute_clusters(out.clusters, out.faces, out.clusters.select(F.col("id").alias("cluster_id")), now()),
+        out.pictures, out.faces, review.recompute_clusters(out.clusters, out.faces, out.clusters.select(F.col("id").alias("cluster_id")), now()),
         out.cannot_links, out.suggestions,
     ).isEmpty()
 
@@ -262,7 +262,7 @@ def test_export(spark, ws):
         F.col("crop_relpath").alias("relative_path"), F.lit(10).cast("long").alias("bytes"), F.col("crop_sha256").alias("sha256")
     )
     args = dict(prefix="g", side=320, crop_root="/private", clustered=True)
-    done = export.build_export(out.people, out.faces, out.clusters, out.photos, crops, **args)
+    done = export.build_export(out.people, out.faces, out.clusters, out.pictures, crops, **args)
     person = done.people.head()
     assert set(done.people.columns) == {"id", "slug", "display_name", "photo_count", "avatar_key", "avatar_sha256", "avatar_width", "avatar_height"}
     assert (person["display_name"], person["photo_count"]) == ("Ann", 2)
@@ -270,7 +270,7 @@ def test_export(spark, ws):
     assert done.avatar_uploads.head()["local_path"].endswith(face("split_b") + ".webp")
     assert checks.upload_violations(done.avatar_uploads, prefix="g", private_root="/private").isEmpty()
     with pytest.raises(RuleViolation):
-        export.build_export(ws.people, ws.faces, ws.clusters, ws.photos, crops, **args)
+        export.build_export(ws.people, ws.faces, ws.clusters, ws.pictures, crops, **args)
     tampered = done.avatar_uploads.withColumn("sha256", F.lit("1" * 64))
     assert not export.export_rules(
         export.exported_people(out.people, out.faces, out.clusters, prefix="g", side=320), done.photo_people, tampered, out.faces, "g"

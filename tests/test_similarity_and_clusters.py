@@ -13,13 +13,13 @@ from shoebox.operators.similarity import similar_pairs
 from shoebox.plans import cluster, scan
 
 
-def make_vectors(seed, n=90, dim=6, photos=40, hot=0):
+def make_vectors(seed, n=90, dim=6, pictures=40, hot=0):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, dim))
     if hot:
         v[:hot] = v[0] + 0.02 * rng.normal(size=(hot, dim))
     v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
-    return [(f"f{i:04d}", f"p{int(rng.integers(photos))}", [float(x) for x in v[i]], float(i % 7) / 7) for i in range(n)]
+    return [(f"f{i:04d}", f"p{int(rng.integers(pictures))}", [float(x) for x in v[i]], float(i % 7) / 7) for i in range(n)]
 
 
 SCHEMA = "id string, photo_id string, embedding array<float>, quality_score double"
@@ -104,7 +104,7 @@ def test_pair_statistics_are_exact(spark, chunk_rows):
         assert r["similarity_min"] == pytest.approx(values.min(), abs=1e-12)
 
 
-def test_suggestions_respect_photos_and_links(spark):
+def test_suggestions_respect_pictures_and_links(spark):
     v = [[1.0, 0.0], [0.9, float(np.sqrt(0.19))], [0.8, 0.6], [0.7, float(np.sqrt(0.51))]]
     faces = spark.createDataFrame([(f"f{i}", f"p{i % 3}", v[i], 0.5) for i in range(4)], SCHEMA)
     placed = faces.select("id", F.concat(F.lit("c"), F.substring("id", 2, 1)).alias("cluster_id"))
@@ -185,8 +185,8 @@ def test_numbering(spark):
 
 
 def test_face_ids_and_scale_plan(spark):
-    photos = spark.createDataFrame([("a", 4000, 3000), ("b", 800, 600)], "id string, width int, height int")
-    plan = {(r["id"], r["scaled_width"], r["scaled_height"]) for r in scan.scale_plan(photos, [640, 1280, 2560]).collect()}
+    pictures = spark.createDataFrame([("a", 4000, 3000), ("b", 800, 600)], "id string, width int, height int")
+    plan = {(r["id"], r["scaled_width"], r["scaled_height"]) for r in scan.scale_plan(pictures, [640, 1280, 2560]).collect()}
     assert plan == {("a", 640, 480), ("a", 1280, 960), ("a", 2560, 1920), ("b", 640, 480), ("b", 800, 600)}
     one = spark.range(1).select(
         scan.face_id(F.lit("k"), F.lit(0), [F.lit(0.1)] * 4, F.array(F.lit(0.5))).alias("a"),

@@ -88,13 +88,13 @@ def now():
 
 def catalog(spark):
     p = lambda i, album="a", run="r0", shown=True: (i, album, run, f"old{i}", shown, 1)
-    photos = spark.createDataFrame(
+    pictures = spark.createDataFrame(
         [p("p1"), p("p2"), p("p9", "b")], "id string, album_id string, imported_run_id string, original_filename string, published boolean, album_position int"
     ).withColumn("captured_at", now()).withColumn("updated_at", F.lit(None).cast("timestamp"))
     albums = spark.createDataFrame([("a", "a", 2), ("b", "b", 1)], "id string, slug string, photo_count long").select(
         "*", *[F.lit(None).cast("timestamp").alias(c) for c in ("captured_at_min", "captured_at_max", "updated_at")]
     )
-    return publish.Catalog(albums, spark.createDataFrame([], schemas.IMPORT_RUNS), photos)
+    return publish.Catalog(albums, spark.createDataFrame([], schemas.IMPORT_RUNS), pictures)
 
 
 def run_row(spark, **change):
@@ -108,7 +108,7 @@ def test_import_publishes_behind_its_guard(spark):
     manifest = spark.createDataFrame([("p2", "a", "new2", 0), ("p3", "a", "new3", 1)], "id string, album_id string, original_filename string, album_position int").withColumn("captured_at", now())
     album = spark.createDataFrame([("a", "a2")], "id string, slug string")
     additive = publish.import_manifest(base, album, run_row(spark), manifest, now=now(), required=())
-    shown = lambda c: {r["id"]: (r["published"], r["original_filename"]) for r in c.photos.collect()}
+    shown = lambda c: {r["id"]: (r["published"], r["original_filename"]) for r in c.pictures.collect()}
     assert shown(additive) == {"p1": (True, "oldp1"), "p2": (True, "new2"), "p3": (True, "new3"), "p9": (True, "oldp9")}
     assert {r["id"]: (r["slug"], r["photo_count"]) for r in additive.albums.collect()} == {"a": ("a2", 3), "b": ("b", 1)}
     run = additive.import_runs.head()
@@ -124,7 +124,7 @@ def test_import_publishes_behind_its_guard(spark):
         publish.import_manifest(base, album, run_row(spark), manifest, now=now())
     with pytest.raises(RuleViolation):
         publish.import_manifest(base, album, run_row(spark), manifest, now=now(), required=(), expected_digest="x", actual_digest="y")
-    staged = publish.stage_photos(base.photos, manifest, "r1", now())
+    staged = publish.stage_pictures(base.pictures, manifest, "r1", now())
     assert {r["id"]: r["published"] for r in staged.collect()}["p3"] is False
     with pytest.raises(RuleViolation):
         publish.publish_run(staged, run_row(spark), album_id="a", run_id="r1", expected=3, authoritative=False, now=now())
@@ -156,7 +156,7 @@ def test_people_replacement(spark):
 
 
 def test_scan_storage(spark):
-    photos = spark.createDataFrame(
+    pictures = spark.createDataFrame(
         [("p1", "pending", 0, None, None), ("p2", "complete", 1, None, "t")], "id string, scan_status string, face_count int, scan_error string, processed_at string"
     )
     face = "id string, photo_id string, status string, person_id string"
@@ -164,12 +164,12 @@ def test_scan_storage(spark):
     links = spark.createDataFrame([], schemas.CANNOT_LINKS)
     incoming = spark.createDataFrame([(f"g{i}", "p1", "unreviewed", None) for i in range(3)], face)
     both = spark.createDataFrame([("p1",), ("p2",)], "id string")
-    new_photos, new_faces, new_links = scan.replace_faces(photos, faces, links, incoming, both, now=F.lit("t1"))
-    assert {r["id"]: (r["scan_status"], r["face_count"]) for r in new_photos.collect()} == {"p1": ("complete", 3), "p2": ("complete", 0)}
+    new_pictures, new_faces, new_links = scan.replace_faces(pictures, faces, links, incoming, both, now=F.lit("t1"))
+    assert {r["id"]: (r["scan_status"], r["face_count"]) for r in new_pictures.collect()} == {"p1": ("complete", 3), "p2": ("complete", 0)}
     assert new_faces.count() == 3 and new_links.count() == 3
     reviewed = faces.withColumn("status", F.lit("ignored"))
     with pytest.raises(RuleViolation):
-        scan.replace_faces(photos, reviewed, links, incoming, both, now=F.lit("t1"))
+        scan.replace_faces(pictures, reviewed, links, incoming, both, now=F.lit("t1"))
 
 
 def test_upload_force_and_preview(spark):

@@ -46,5 +46,5 @@ def test_paging_plan_is_a_top_k_with_pushdown(spark, roles):
     from shoebox.operators import paging
     from shoebox.workload.roles import ALBUM
 
-    plan = paging.page(paging.published_in_album(roles.photos, ALBUM), "newest", 60)._jdf.queryExecution().executedPlan().toString()
+    plan = paging.page(paging.published_in_album(roles.pictures, ALBUM), "newest", 60)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "EqualTo(o_orderpriority" in plan
