@@ -72,7 +72,7 @@ def solve_tilts(
     state = sources.select(
         "sid", "source", "source_size", "docs", "target", scale.alias("scale"),
         F.when(full, F.lit(1e300)).otherwise(
-            F.coalesce(F.log(F.col("target") / F.col("source_size")), F.lit(0.0))
+            F.coalesce(F.log(F.try_divide("target", "source_size")), F.lit(0.0))
         ).alias("tilt"),
         F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"), full.alias("settled"),
     )
