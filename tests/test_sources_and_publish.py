@@ -66,7 +66,9 @@ def test_snapshots_are_all_or_nothing(spark, tmp_path):
     assert snapshots.publish(snapshots.read_current(spark, root).where("id > 0"), root) == 2
     assert snapshots.read_current(spark, root).count() == 2
     with pytest.raises(ValueError):
-        snapshots.numbered_batches(spark.range(3), "id", 5001)
+        snapshots.numbered_batches(spark.range(3), "id", 5001, largest=5000)
+    with pytest.raises(ValueError):
+        snapshots.numbered_batches(spark.range(3), "id", 0)
 
 
 def test_stream_fold_equals_batch_and_resumes(spark, tmp_path):
