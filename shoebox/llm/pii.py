@@ -241,8 +241,9 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda c: F.concat_ws(":", c["kind"], c["start"], c["end"])), ",")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets.
+def _pieces(text: Column, spans: Column) -> Column:
+    """Struct of ``at``, where the last span ends, and ``out``, the text up to
+    there with every span replaced by its kind in angle brackets.
 
     Spans come by start; one that overlaps what is already replaced only
     extends the replaced stretch.
@@ -259,9 +260,7 @@ def masked(text: Column, spans: Column) -> Column:
 
     short = F.transform(spans, lambda c: F.struct(c["start"].cast("int").alias("start"), c["end"].cast("int").alias("end"), c["kind"].alias("kind")))
     start = F.expr("named_struct('at', 0, 'out', cast(array() as array<string>))")
-    done = F.aggregate(short, start, step)
-    rest = F.substring(text, done["at"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), rest)).otherwise(text)
+    return F.aggregate(short, start, step)
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -285,7 +284,13 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     """
     found = candidates(F.col("text"))
     model = fit(docs.select(F.inline(found)))
-    hidden = docs.withColumn("text", masked(F.col("text"), decide(found, model)))
+    # One column a step, so that the patterns run once per text.
+    steps = docs.withColumn("_found", found).withColumn("_spans", decide(F.col("_found"), model))
+    steps = steps.withColumn("_done", F.when(F.size("_spans") > 0, _pieces(F.col("text"), F.col("_spans"))))
+    rest = F.substring(F.col("text"), F.col("_done")["at"] + 1, F.length("text"))
+    hidden = steps.withColumn(
+        "text", F.when(F.col("_done").isNotNull(), F.concat(F.array_join(F.col("_done")["out"], ""), rest)).otherwise(F.col("text"))
+    )
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         hidden = hidden.withColumn("n_chars", F.length("text").cast(kind))
