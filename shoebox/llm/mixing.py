@@ -204,8 +204,9 @@ def mix_documents(
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_n"))
     own = F.floor(F.col("_copies") / F.col("_n")) + (place < F.col("_copies") % F.col("_n")).cast("bigint")
+    # One row per document: it grows with the corpus, so it is shuffled at every size.
     met = docs.withColumn("_words", size).join(
-        many,
+        many.hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")),
     )
     return (
