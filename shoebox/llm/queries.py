@@ -82,6 +82,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_minhash": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g
+            FROM d
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+            JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+        ), r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id,
+            d.doc_id = least(d.doc_id, coalesce(m.low, d.doc_id)) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a) m USING (doc_id)
+    """,
+    "op6_suffixes": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, s, substr(h, (2 * s + 1)::INTEGER, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS s FROM d)),
+        f AS (SELECT g, min(doc_id) AS low FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+        x AS (SELECT w.doc_id, w.s FROM w JOIN f USING (g) WHERE f.low < w.doc_id),
+        o AS (SELECT doc_id, s, s > 50 + lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM x),
+        k AS (SELECT doc_id, s, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM o),
+        i AS (SELECT doc_id, min(s) AS lo, max(s) + 50 AS hi FROM k GROUP BY doc_id, run),
+        j AS (SELECT i.doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY i.doc_id ORDER BY lo), 0) AS since, h FROM i JOIN d USING (doc_id)),
+        t AS (
+            SELECT doc_id, sum(hi - lo) AS gone, count(*) AS spans, max(hi) AS last,
+                string_agg(substr(h, (2 * since + 1)::INTEGER, (2 * (lo - since))::INTEGER), '' ORDER BY lo) AS head
+            FROM j GROUP BY doc_id
+        )
+        SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+            sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::INTEGER))) AS kept_sha256
+        FROM d LEFT JOIN t USING (doc_id)
+    """,
     "op1_ann": """
         WITH v AS (
             SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
