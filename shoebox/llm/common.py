@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import shared_folder
+from ..session import scratch_path
 
 #: A word is a run of bytes other than blank and the ASCII separators 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,6 +37,14 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ready(spark: SparkSession) -> None:
-    """Names the shared checkpoint folder to Spark before a job needs it."""
-    shared_folder(spark)
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Writes ``df`` once in the shared folder, bucketed by ``key``.
+
+    Joins on the key then move the other side only. The table keeps a name of
+    its own in the session's catalogue.
+    """
+    spark = df.sparkSession
+    name = f"llm_{uuid.uuid4().hex}"
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)

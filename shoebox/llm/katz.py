@@ -4,7 +4,7 @@ Order two: a word after the word before it, backing off to the word alone.
 Counts are Good-Turing discounted and the backoff weights make every history's
 distribution sum to one over the training vocabulary and the unknown word.
 
-Texts are taken in blocks of about four million tokens. A block sends each
+Texts are taken in blocks of about three million tokens. A block sends each
 distinct word and each distinct pair once, as packed arrays, to the bucket of
 its hash; hot histories are spread over several buckets by the second word.
 The buckets hold the partitioned count tables and answer per document.
@@ -22,16 +22,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import small_batches
+from .common import bucketed, small_batches
 from .textpack import hash_words, mix, slices, word_bounds
 
 #: Hashes of the end of a text and of what stands before its first word.
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Counts above K are not discounted.
 K = 5
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 3_000_000
 #: Bytes of text per bucket, and training tokens of one history beyond which it is spread.
-BUCKET_BYTES, HOT_TOKENS = 16 << 20, 2_000_000
+BUCKET_BYTES, HOT_TOKENS = 8 << 20, 2_000_000
 
 
 def squeeze(x: np.ndarray) -> bytes:
@@ -87,6 +87,15 @@ class Unigram:
         return np.where(count > 0, seen, self.unknown)
 
 
+def ascending(x: np.ndarray) -> bytes:
+    """Sorted values as differences, whose high bytes are mostly zero."""
+    return planes(np.diff(x, prepend=np.uint64(0)), 8)
+
+
+def unascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, 8), dtype=np.uint64)
+
+
 def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
@@ -112,12 +121,12 @@ def word_blocks(docs: DataFrame, bits: int) -> DataFrame:
         block = uuid.uuid4().int >> 65
         rows = [{
             "block": block, "bucket": -1, "doc_ids": ids, "held": held,
-            "bounds": squeeze(np.r_[0, np.cumsum(length)]), "tokens": squeeze(local.astype("<u4")), "words": squeeze(words),
+            "bounds": squeeze(np.r_[0, np.cumsum(length)]), "tokens": planes(local, 4), "words": ascending(words),
         }]
         edge = np.searchsorted(bucket_of(words, bits), np.arange((1 << bits) + 1))
         for b in range(1 << bits):
             part = slice(edge[b], edge[b + 1])
-            rows.append({"block": block, "bucket": b, "words": words[part].tobytes(), "counts": squeeze(counts[part])})
+            rows.append({"block": block, "bucket": b, "words": ascending(words[part]), "counts": squeeze(counts[part])})
         return rows
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +156,7 @@ def word_counts(words: DataFrame) -> DataFrame:
     (types with counts 1 to K + 1, all tokens, all types)."""
 
     def merge(t: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x.as_buffer(), "<u8") for x in t["words"]]
+        own = [unascending(x.as_py()) for x in t["words"]]
         all_words = np.concatenate(own)
         all_counts = np.concatenate([expand(x.as_py(), "<i8") for x in t["counts"]])
         order = np.argsort(all_words)
@@ -188,8 +197,9 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
 def pair_blocks(blocks: DataFrame, answers: DataFrame, unigram: Unigram, bits: int, hot_tokens: int) -> DataFrame:
     """Base scores of each block's documents, and its distinct pairs by bucket.
 
-    A pair carries its history, 48 bits of its second word's hash, that word's
-    count and in which documents of the block it stands, how often. Rows of
+    A pair carries its history, 40 bits of its second word's hash, which only
+    tell the words after one history apart (5 successors in 100,000 would
+    collide after one with 10^8 of them), that word's count and in which documents of the block it stands, how often. Rows of
     documents get a bucket too, so they pass through the same exchange.
     """
     wide = 1 << bits
@@ -198,48 +208,50 @@ def pair_blocks(blocks: DataFrame, answers: DataFrame, unigram: Unigram, bits: i
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch[n][r] for n in ("block", "doc_ids", "held", "bounds", "tokens", "words", "answers")}
-                words, bounds = expand(row["words"].as_py(), "<u8"), expand(row["bounds"].as_py(), "<i8")
-                local = expand(row["tokens"].as_py(), "<u4").astype(np.int64)
+                words, bounds = unascending(row["words"].as_py()), expand(row["bounds"].as_py(), "<i8")
+                local = unplanes(row["tokens"].as_py(), 4).astype(np.int32)
                 count = np.concatenate([expand(a["counts"], "<i8") for a in row["answers"].as_py()])
-                doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 about = np.zeros(len(bounds) - 1, DOCUMENT)
                 about["tokens"] = np.diff(bounds)
-                about["known"] = np.add.reduceat((count[local] > 0).astype(np.int64), bounds[:-1])
+                about["known"] = np.add.reduceat(count[local] > 0, bounds[:-1], dtype=np.int64)
                 about["base"] = np.add.reduceat(np.log10((count + 1) / (unigram.total + unigram.types + 1.0))[local], bounds[:-1])
-                block = row["block"].as_py()
-                out = [{"bucket": block % wide, "block": block, "doc_ids": row["doc_ids"].as_py(), "held": row["held"].as_py(), "docs": squeeze(about)}]
-                before = np.r_[0, local[:-1]]
+                block, held = row["block"].as_py(), row["held"].as_py()
+                out = [{"bucket": block % wide, "block": block, "doc_ids": row["doc_ids"].as_py(), "held": held, "docs": squeeze(about)}]
+                before = np.r_[np.int32(0), local[:-1]]
                 before[bounds[:-1]] = len(words)
                 names = np.r_[words, BEGIN]
                 # How often a history occurs in training tells how far it is spread, alike in all
                 # blocks; every text has one beginning as it has one end.
                 uses = np.r_[count, count[np.searchsorted(words, END)]]
-                spread = np.maximum(1, -(-uses // hot_tokens))
-                sub = (mix(names[local].copy()) % spread[before].astype(np.uint64)).astype(np.int64)
-                bucket = bucket_of(mix(names[before] + sub.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), bits)
-                order = np.lexsort((doc, local, before, bucket))
-                b, a, w, d = bucket[order], before[order], local[order], doc[order]
-                new_pair = np.r_[True, (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (b[1:] != b[:-1])]
-                new_place = new_pair | np.r_[True, d[1:] != d[:-1]]
-                place = np.flatnonzero(new_place)
-                times = np.diff(np.r_[place, len(d)])
-                pair = np.flatnonzero(new_pair)
-                first_place = np.searchsorted(place, np.r_[pair, len(d)])
-                edge = np.searchsorted(b[pair], np.arange(wide + 1))
+                spread = np.maximum(1, -(-uses // hot_tokens)).astype(np.uint64)
+                bucket = np.empty(len(local), np.uint16)
+                for lo in range(0, len(local), 1 << 18):
+                    some = slice(lo, lo + (1 << 18))
+                    sub = mix(names[local[some]]) % spread[before[some]]
+                    bucket[some] = bucket_of(mix(names[before[some]] + sub * np.uint64(0x9E3779B97F4A7C15)), bits)
+                order = np.argsort(bucket, kind="stable").astype(np.uint32)
+                edge = np.r_[0, np.cumsum(np.bincount(bucket, minlength=wide))]
+                del bucket
                 for k in range(wide):
-                    p = pair[edge[k] : edge[k + 1]]
-                    if not len(p):
+                    some = order[edge[k] : edge[k + 1]]
+                    if not len(some):
                         continue
-                    lo, hi = first_place[edge[k]], first_place[edge[k + 1]]
-                    own = a[p]
-                    head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                    # Stable sorting keeps the documents' order within a pair.
+                    key = before[some].astype(np.int64) * len(names) + local[some]
+                    inner = np.argsort(key, kind="stable")
+                    key, d = key[inner], np.searchsorted(bounds, some[inner], "right") - 1
+                    new_pair = np.r_[True, key[1:] != key[:-1]]
+                    pair = np.flatnonzero(new_pair)
+                    place = np.flatnonzero(new_pair | np.r_[True, d[1:] != d[:-1]])
+                    a, w = np.divmod(key[pair], len(names))
+                    head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
                     hist = np.zeros(len(head), HISTORY)
-                    hist["h"], hist["pairs"], hist["hot"] = names[own[head]], np.diff(np.r_[head, len(own)]), spread[own[head]] > 1
-                    each = np.diff(first_place[edge[k] : edge[k + 1] + 1])
+                    hist["h"], hist["pairs"], hist["hot"] = names[a[head]], np.diff(np.r_[head, len(a)]), spread[a[head]] > 1
+                    each = np.diff(np.r_[np.searchsorted(place, pair), len(place)])
                     out.append({
-                        "bucket": k, "block": block, "held": row["held"].as_py(), "histories": squeeze(hist),
-                        "pairs": _join([planes(words[w[p]], 6), planes(count[w[p]], 6), planes(each, 4)]),
-                        "places": _join([planes(d[place[lo:hi]], 3), planes(times[lo:hi], 4)]),
+                        "bucket": k, "block": block, "held": held, "histories": squeeze(hist),
+                        "pairs": _join([planes(words[w] >> np.uint64(16), 5), planes(count[w], 6), planes(each, 4)]),
+                        "places": _join([planes(d[place], 4), planes(np.diff(np.r_[place, len(d)]), 4)]),
                     })
                     if len(out) >= 16:
                         yield _rows(PAIR_ROWS, out)
@@ -295,10 +307,10 @@ def pair_counts(pairs: DataFrame, unigram: Unigram) -> DataFrame:
             a, b, c = _split(r["pairs"], 3)
             d, e = _split(r["places"], 2)
             hist.append(np.repeat(h[["h", "hot"]], h["pairs"]))
-            word.append(unplanes(a, 6))
+            word.append(unplanes(a, 5))
             count.append(unplanes(b, 6))
             each.append(unplanes(c, 4).astype(np.int64))
-            doc.append(unplanes(d, 3).astype(np.int64))
+            doc.append(unplanes(d, 4).astype(np.int64))
             times.append(unplanes(e, 4).astype(np.int64))
             train.append(~np.array(r["held"], bool)[doc[-1]])
             block.append(np.full(len(doc[-1]), i))
@@ -386,7 +398,7 @@ def score_texts(
     marked = docs.select("doc_id", "text", held.alias("held"))
     size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
-    coded = cut_lineage(word_blocks(marked, bits), "words")
+    coded = bucketed(word_blocks(marked, bits), "block")
     answers = cut_lineage(word_counts(coded.where("bucket >= 0").select("block", "bucket", "words", "counts")), "word_counts")
     add = lambda frame, n: [x or 0 for x in frame.agg(*[F.sum(F.col("figures")[i]) for i in range(n)]).first()]
     *types, total, distinct = add(answers.where("block = -1"), K + 3)
