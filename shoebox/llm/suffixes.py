@@ -20,12 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import small_batches
+from .common import bucketed, small_batches
 from .katz import expand, planes, squeeze, unplanes
 from .textpack import mix, slices
 
 GRAM = 24
-BLOCK_BYTES, BUCKET_BYTES, SEGMENT = 24 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, SEGMENT = 12 << 20, 8 << 20, 1 << 20
 NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -44,7 +44,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     """Runs of windows of all texts: hash of the anchor, first window, number
     of windows and place of the anchor after the first window."""
     out = []
-    ends = np.repeat(offsets[1:], np.diff(offsets))
+    whole = np.ones(len(data), bool)  # places where a window does not leave its text
+    for back in range(1, length):
+        at = offsets[1:] - back
+        whole[at[at >= offsets[:-1]]] = False
     span = length - GRAM + 1
     for base in range(0, len(data), SEGMENT):
         part = data[base : base + SEGMENT + length - 1]
@@ -62,13 +65,14 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
             reach *= 2
         low = np.minimum(low[: len(low) - (span - reach)], low[span - reach :]) if span > reach else low
         anchor = (low[:n] & _PLACE).astype(np.int64)
-        s = np.flatnonzero(np.arange(base, base + n) + length <= ends[base : base + n])
+        s = np.flatnonzero(whole[base : base + n])
         if not len(s):
             continue
         anchor = anchor[s]
         first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (s[1:] != s[:-1] + 1)])
         found = np.zeros(len(first), RUN)
-        found["anchor"], found["start"] = h[anchor[first]], base + s[first]
+        # Least hashes crowd near zero; mixed once more they spread over the buckets.
+        found["anchor"], found["start"] = mix(h[anchor[first]]), base + s[first]
         found["windows"], found["at"] = np.diff(np.r_[first, len(s)]), anchor[first] - s[first]
         out.append(found)
     return np.concatenate(out) if out else np.zeros(0, RUN)
@@ -248,7 +252,7 @@ class Block:
             s = runs["start"][(mine >> nth) & 1 > 0] + nth
             np.add.at(change, s, 1)
             np.add.at(change, s + self.length, -1)
-        return np.cumsum(change[:-1]) > 0
+        return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 def _text_block(batch: pa.RecordBatch, row: int, length: int) -> Block:
@@ -397,7 +401,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
     own = docs.select("doc_id", "text")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
-    coded = cut_lineage(anchor_blocks(own, length, bits), "texts")
+    coded = bucketed(anchor_blocks(own, length, bits), "block")
     texts = coded.where("bucket = -1").select("block", "ids", "nulls", "bounds", "texts")
     shared = cut_lineage(shared_anchors(coded.where("bucket >= 0").select("block", "bucket", "anchors", "several")), "shared")
     marks = _by_block(shared, "anchors", "shared", "n")
@@ -416,12 +420,16 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
                 starts = gone & ~np.r_[False, gone[:-1]] if len(gone) else gone
                 first = block.offsets[:-1][np.diff(block.offsets) > 0]
                 starts[first] = gone[first]
-                removed, spans = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(starts)]
+                edges = block.offsets[:-1][np.diff(block.offsets) > 0]
+                count = lambda x: np.add.reduceat(x, edges, dtype=np.int64) if len(edges) else np.zeros(0, np.int64)
+                removed, spans = np.zeros(len(block.ids), np.int64), np.zeros(len(block.ids), np.int64)
+                filled = np.diff(block.offsets) > 0
+                removed[filled], spans[filled] = count(gone), count(starts)
                 nulls, out, held = batch["nulls"][row].as_py(), [], 0
                 for i in range(len(block.ids)):
                     a, b = int(block.offsets[i]), int(block.offsets[i + 1])
                     kept = block.data[a:b][~gone[a:b]].tobytes()
-                    out.append((None if nulls[i] else int(block.ids[i]), b - a, int(removed[b] - removed[a]), int(spans[b] - spans[a]), hashlib.sha256(kept).hexdigest(), kept))
+                    out.append((None if nulls[i] else int(block.ids[i]), b - a, int(removed[i]), int(spans[i]), hashlib.sha256(kept).hexdigest(), kept))
                     held += b - a
                     if held >= 4 << 20 or i == len(block.ids) - 1:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
