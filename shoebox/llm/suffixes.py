@@ -6,6 +6,8 @@ the 24-byte gram of least hash in it, so equal windows have equal anchors
 wherever they stand. Windows in a row with one anchor form a run. Only runs
 whose anchor stands in two documents are sorted, by bucket of the anchor:
 first by two words of eight bytes, then blind tries order what is still tied.
+An anchor with many different runs is wide: its windows are sent one by one to
+the buckets of their own hashes, so that only equal windows meet.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .textpack import mix, slices
 
 GRAM = 24
 BLOCK_BYTES, BUCKET_BYTES, SEGMENT = 12 << 20, 8 << 20, 1 << 20
+WIDE_RUNS = 4096
 NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -211,7 +214,7 @@ def settle(runs: np.ndarray, ids: np.ndarray, content: bytes, length: int) -> np
 
 
 class Block:
-    """Texts of a block with their ids; runs, and the runs that are sent to buckets."""
+    """Texts of a block with their ids; runs, and the items (runs, or windows of wide anchors) that are sent to buckets."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int):
         self.ids, self.data, self.offsets, self.length = ids, data, offsets, length
@@ -227,29 +230,51 @@ class Block:
         np.maximum.at(high, self.of_anchor, own)
         return low < high
 
-    def choose(self, shared: np.ndarray) -> None:
-        """Takes the runs with shared anchors; equal ones of the block become one, with the least id."""
-        self.taken = np.flatnonzero(shared[self.of_anchor])
-        runs = self.runs[self.taken]
-        size = runs["windows"].astype(np.int64) + self.length - 1
-        content = hash_spans(_loads(self.data), runs["start"], size)
-        own = self.ids[self.doc[self.taken]]
-        order = np.lexsort((self.taken, own, content, runs["windows"], runs["at"], runs["anchor"]))
-        r, c = runs[order], content[order]
+    def different(self) -> np.ndarray:
+        """How many different runs of the block each anchor has, at most 65,535."""
+        count = np.bincount(self.of_anchor, minlength=len(self.anchors))
+        # Below eight the number of all runs will do.
+        many = np.flatnonzero(count[self.of_anchor] > 8)
+        runs = self.runs[many]
+        content = hash_spans(_loads(self.data), runs["start"], runs["windows"].astype(np.int64) + self.length - 1)
+        order = np.lexsort((content, self.of_anchor[many]))
+        c, anchor = content[order], self.of_anchor[many][order]
+        new = np.r_[True, (c[1:] != c[:-1]) | (anchor[1:] != anchor[:-1])] if len(c) else np.zeros(0, bool)
+        count[anchor] = 0
+        np.add.at(count, anchor[new], 1)
+        return np.minimum(count, 65535).astype("<u2")
+
+    def choose(self, shared: np.ndarray, wide: np.ndarray) -> None:
+        """Takes the runs with shared anchors, those of wide ones as windows; equal items of the block become one, with the least id."""
+        words = _loads(self.data)
+        taken = np.flatnonzero(shared[self.of_anchor])
+        apart = wide[self.of_anchor[taken]]
+        whole, cut = taken[~apart], taken[apart]
+        n = self.runs["windows"][cut].astype(np.int64)
+        single = np.zeros(n.sum(), RUN)
+        single["start"] = np.repeat(self.runs["start"][cut] - (np.cumsum(n) - n), n) + np.arange(len(single))
+        single["windows"] = 1
+        # A window takes its own hash as the anchor; all that equal it are wide too.
+        single["anchor"] = hash_spans(words, single["start"], np.full(len(single), self.length))
+        self.items = items = np.concatenate([self.runs[whole], single])
+        self.own = own = self.ids[np.r_[self.doc[whole], np.repeat(self.doc[cut], n)]]
+        content = hash_spans(words, items["start"], items["windows"].astype(np.int64) + self.length - 1)
+        order = np.lexsort((own, content, items["windows"], items["at"], items["anchor"]))
+        r, c = items[order], content[order]
         new = np.r_[True, (r["anchor"][1:] != r["anchor"][:-1]) | (c[1:] != c[:-1]) | (r["at"][1:] != r["at"][:-1]) | (r["windows"][1:] != r["windows"][:-1])] if len(r) else np.zeros(0, bool)
-        self.sent = self.taken[order[new]]
+        self.sent = items[order[new]]
         self.stands_for = np.zeros(len(order), np.int64)
         self.stands_for[order] = np.cumsum(new) - 1
         self.sent_ids = own[order[new]]
 
     def remove(self, bits: np.ndarray) -> np.ndarray:
-        """Which bytes go, from the bits of the sent runs."""
-        runs, own = self.runs[self.taken], self.ids[self.doc[self.taken]]
-        full = (np.int64(1) << runs["windows"].astype(np.int64)) - 1
-        mine = np.where(own > self.sent_ids[self.stands_for], full, bits[self.stands_for])
+        """Which bytes go, from the bits of the sent items."""
+        items = self.items
+        full = (np.int64(1) << items["windows"].astype(np.int64)) - 1
+        mine = np.where(self.own > self.sent_ids[self.stands_for], full, bits[self.stands_for])
         change = np.zeros(len(self.data) + 1, np.int32)
-        for nth in range(int(runs["windows"].max()) if len(runs) else 0):
-            s = runs["start"][(mine >> nth) & 1 > 0] + nth
+        for nth in range(int(items["windows"].max()) if len(items) else 0):
+            s = items["start"][(mine >> nth) & 1 > 0] + nth
             np.add.at(change, s, 1)
             np.add.at(change, s + self.length, -1)
         return np.cumsum(change[:-1], dtype=np.int32) > 0
@@ -261,13 +286,13 @@ def _text_block(batch: pa.RecordBatch, row: int, length: int) -> Block:
     return Block(ids, data, expand(batch["bounds"][row].as_py(), "<i8"), length)
 
 
-TEXT_SCHEMA = "block bigint, bucket bigint, ids array<bigint>, nulls array<boolean>, bounds binary, texts binary, anchors binary, several binary"
+TEXT_SCHEMA = "block bigint, bucket bigint, ids array<bigint>, nulls array<boolean>, bounds binary, texts binary, anchors binary, several binary, different binary"
 
 
 def anchor_blocks(docs: DataFrame, length: int, bits: int) -> DataFrame:
     """Per block one row of its texts (bucket -1) and one row per bucket of its distinct anchors."""
     small_batches(docs.sparkSession)
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in TEXT_SCHEMA.split(", ")]
 
     def flush(ids: list, parts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
@@ -276,13 +301,13 @@ def anchor_blocks(docs: DataFrame, length: int, bits: int) -> DataFrame:
         own = [NO_ID if i is None else i for i in ids]
         block = Block(np.array(own, np.int64), data, offsets, length)
         texts = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
-        rows = [(block_id, -1, own, [i is None for i in ids], squeeze(offsets), texts, None, None)]
-        several = block.several()
+        rows = [(block_id, -1, own, [i is None for i in ids], squeeze(offsets), texts, None, None, None)]
+        several, different = block.several(), block.different()
         edge = np.searchsorted((block.anchors >> np.uint64(48 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
         for b in range(1 << bits):
             part = slice(edge[b], edge[b + 1])
             # Sorted values, as differences, need fewer bytes.
-            rows.append((block_id, b, None, None, None, None, planes(np.diff(block.anchors[part], prepend=np.uint64(0)), 6), squeeze(np.packbits(several[part]))))
+            rows.append((block_id, b, None, None, None, None, planes(np.diff(block.anchors[part], prepend=np.uint64(0)), 6), squeeze(np.packbits(several[part])), squeeze(different[part])))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,8 +328,8 @@ def anchor_blocks(docs: DataFrame, length: int, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(look, TEXT_SCHEMA)
 
 
-def shared_anchors(anchors: DataFrame) -> DataFrame:
-    """block, bucket, shared: which of the block's anchors stand at two ids anywhere."""
+def shared_anchors(anchors: DataFrame, wide_runs: int = WIDE_RUNS) -> DataFrame:
+    """block, bucket, shared, wide: which of the block's anchors stand at two ids anywhere, and which of all have more than ``wide_runs`` runs to send."""
 
     def merge(t: pa.Table) -> pa.Table:
         own = [np.cumsum(unplanes(x.as_py(), 6), dtype=np.uint64) for x in t["anchors"]]
@@ -313,33 +338,38 @@ def shared_anchors(anchors: DataFrame) -> DataFrame:
         distinct, at, count = np.unique(every, return_inverse=True, return_counts=True)
         # Two blocks may hold one id twice; such anchors are sorted for nothing, and settled right.
         shared = (count > 1) | (np.bincount(at, weights=np.concatenate(several), minlength=len(distinct)) > 0)
-        parts = np.split(shared[at], np.cumsum([len(a) for a in own])[:-1])
+        runs = np.concatenate([expand(x.as_py(), "<u2") for x in t["different"]])
+        wide = np.bincount(at, weights=runs, minlength=len(distinct)) > wide_runs
+        cut = lambda marks: np.split(marks[at], np.cumsum([len(a) for a in own])[:-1])
         return pa.table({
             "block": t["block"], "bucket": t["bucket"],
-            "shared": pa.array([squeeze(np.packbits(p)) for p in parts], pa.binary()), "n": pa.array([len(a) for a in own], pa.int64()),
+            "shared": pa.array([squeeze(np.packbits(p)) for p in cut(shared)], pa.binary()),
+            "wide": pa.array([squeeze(np.packbits(p)) for p in cut(wide)], pa.binary()), "n": pa.array([len(a) for a in own], pa.int64()),
         })
 
-    return anchors.groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, shared binary, n bigint")
+    return anchors.groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, shared binary, wide binary, n bigint")
 
 
 def _by_block(rows: DataFrame, name: str, *columns: str) -> DataFrame:
     return rows.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", *columns))).alias(name))
 
 
-def _shared(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    parts = [np.unpackbits(expand(a["shared"], "u1"), count=a["n"]).astype(bool) for a in batch["anchors"][row].as_py()]
-    return np.concatenate(parts)
+def _marks(batch: pa.RecordBatch, row: int) -> Iterator[np.ndarray]:
+    """Which anchors of the block are shared, and which are wide."""
+    parts = batch["anchors"][row].as_py()
+    for name in ("shared", "wide"):
+        yield np.concatenate([np.unpackbits(expand(a[name], "u1"), count=a["n"]).astype(bool) for a in parts])
 
 
 def run_rows(texts: DataFrame, marks: DataFrame, length: int, bits: int) -> DataFrame:
-    """block, bucket and the sent runs of the bucket: shapes, ids and bytes."""
+    """block, bucket and the sent items of the bucket: shapes, ids and bytes."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 block = _text_block(batch, row, length)
-                block.choose(_shared(batch, row))
-                runs, out = block.runs[block.sent], []
+                block.choose(*_marks(batch, row))
+                runs, out = block.sent, []
                 edge = np.searchsorted((runs["anchor"] >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
                 for b in np.flatnonzero(np.diff(edge)):
                     part = runs[edge[b] : edge[b + 1]]
@@ -357,7 +387,7 @@ SENT = np.dtype([("anchor", "<u8"), ("windows", "u1"), ("at", "u1")])
 
 
 def settled_runs(rows: DataFrame, length: int) -> DataFrame:
-    """block, bucket, bits: the answers to each block's sent runs, in their order."""
+    """block, bucket, bits: the answers to each block's sent items, in their order."""
 
     def merge(t: pa.Table) -> pa.Table:
         runs = [expand(x.as_py(), SENT) for x in t["runs"]]
@@ -385,7 +415,7 @@ def settled_runs(rows: DataFrame, length: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, bits binary")
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUCKET_BYTES, wide_runs: int = WIDE_RUNS) -> DataFrame:
     """Every text without the bytes that repeat a smaller document.
 
     docs: doc_id, text; other columns are ignored. Texts are UTF-8 bytes, null
@@ -394,7 +424,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
     removed runs), kept_sha256, kept (the remaining bytes, which may cut a
     character). Repeated rows of one doc_id do not remove each other; a null
     doc_id counts as larger than any. An empty table gives no rows.
-    ``length`` is 40 to 55; ``bucket_bytes`` changes no result.
+    ``length`` is 40 to 55; ``bucket_bytes`` and ``wide_runs`` change no result.
     """
     if not GRAM + 16 <= length <= GRAM + 31:
         raise ValueError("length must be between 40 and 55")
@@ -403,8 +433,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
     bits = max(2, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     coded = bucketed(anchor_blocks(own, length, bits), "block")
     texts = coded.where("bucket = -1").select("block", "ids", "nulls", "bounds", "texts")
-    shared = cut_lineage(shared_anchors(coded.where("bucket >= 0").select("block", "bucket", "anchors", "several")), "shared")
-    marks = _by_block(shared, "anchors", "shared", "n")
+    shared = cut_lineage(shared_anchors(coded.where("bucket >= 0").select("block", "bucket", "anchors", "several", "different"), wide_runs), "shared")
+    marks = _by_block(shared, "anchors", "shared", "wide", "n")
     answers = cut_lineage(settled_runs(run_rows(texts, marks, length, bits), length), "settled")
     replies = _by_block(answers, "replies", "bits")
 
@@ -413,7 +443,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, bucket_bytes: int = BUC
         for batch in batches:
             for row in range(batch.num_rows):
                 block = _text_block(batch, row, length)
-                block.choose(_shared(batch, row))
+                block.choose(*_marks(batch, row))
                 replies = batch["replies"][row].as_py() or []
                 bits_ = np.concatenate([expand(a["bits"], "<i8") for a in replies]) if replies else np.zeros(0, np.int64)
                 gone = block.remove(bits_)

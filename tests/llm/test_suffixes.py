@@ -60,6 +60,25 @@ def test_overlapping_repeats_of_two_letters(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
+def test_wide_anchors_are_spread(spark):
+    rng = np.random.default_rng(5)
+    around = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 150))
+    passage = around() + around()
+    rows = [(i, around() + passage + around()) for i in range(400)] + [(400, passage[:70]), (401, twice := around()), (402, twice)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(frame, wide_runs=30)
+    coded = suffixes.anchor_blocks(frame, 50, 4).cache()
+    texts = coded.where("bucket = -1").select("block", "ids", "nulls", "bounds", "texts")
+    most = {}
+    for limit in (10**6, 30):
+        shared = suffixes.shared_anchors(coded.where("bucket >= 0"), limit)
+        sent = suffixes.run_rows(texts, suffixes._by_block(shared, "anchors", "shared", "wide", "n"), 50, 4).collect()
+        anchors = np.concatenate([suffixes.expand(bytes(r["runs"]), suffixes.SENT)["anchor"] for r in sent])
+        most[limit] = np.unique(anchors, return_counts=True)[1].max()
+    coded.unpersist()
+    assert most[10**6] > 300 and most[30] <= 30
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.binary(min_size=0, max_size=6), min_size=1, max_size=30))
 def test_blind_trie_sorts(parts):
