@@ -27,10 +27,30 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".,;:!?"]] = True
+#: Stops of other scripts, as the big-endian value of their two or three bytes.
+_STOPS_2, _STOPS_3 = (
+    np.array([int.from_bytes(c.encode(), "big") for c in marks], np.int64) for marks in ("،؛؟۔։", "。，、；：！？．।॥…។៕၊။།።፣፤፧")
+)
+#: Labellers whose thresholds are those of Latin prose.
+LATIN_ONLY = ("capitals", "lengths", "stops")
+
+
+def _letters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a Latin letter starts in UTF-8, and where one of another script does."""
+    lead, next_ = data, np.r_[data[1:], np.zeros(1, np.uint8)][: len(data)]
+    latin = ((lead | 32) >= 97) & ((lead | 32) <= 122) | (lead >= 0xC3) & (lead <= 0xC9) | (lead == 0xE1) & (next_ >= 0xB8) & (next_ <= 0xBB)
+    # Not letters: joined accents, general marks and symbols, CJK marks, private and full-width forms, emoji.
+    other = (lead >= 0xCA) & ~latin & (lead != 0xCC) & ~((lead == 0xCD) & (next_ < 0xB0)) & (lead != 0xE2)
+    other &= ~((lead == 0xE3) & (next_ == 0x80)) & (lead != 0xEE) & ~((lead == 0xEF) & (next_ >= 0xB8)) & ~((lead == 0xF0) & (next_ == 0x9F))
+    return latin, other
 
 
 def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Words of each text and what the labellers look at, all as shares or means."""
+    """Words of each text and what the labellers look at, all as shares or means.
+
+    ``foreign`` says that most letters are not Latin, ``listed`` that a text
+    without stops is in lines which alone are too short to miss one.
+    """
     starts, ends, first = word_bounds(data, offsets)
     texts = len(offsets) - 1
     n = np.diff(first)
@@ -45,6 +65,12 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[st
     fresh = np.r_[True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])] if len(h) else np.zeros(0, bool)
     upper = np.r_[0, np.cumsum((data >= 65) & (data <= 90))]
     ascii_ = np.r_[0, np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))]
+    signs = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    latin, other = (np.r_[0, np.cumsum(x)] for x in _letters(data))
+    lines = np.r_[0, np.cumsum(data == 10)]
+    two, one = np.maximum(ends - 2, starts), np.maximum(ends - 3, starts)
+    pair = data[two].astype(np.int64) << 8 | last
+    stop = _STOP[last] | np.isin(pair, _STOPS_2) | np.isin(data[one].astype(np.int64) << 16 | pair, _STOPS_3)
     span = lambda c: c[offsets[1:]] - c[offsets[:-1]]
     distinct = np.bincount(doc[order][fresh], minlength=texts)
     return n, {
@@ -53,11 +79,21 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[st
         "repeats": total(same) / each,
         "variety": distinct / np.sqrt(each),
         "capitals": span(upper) / np.maximum(span(ascii_), 1),
-        "lengths": total(ends - starts) / each,
-        "stops": total(_STOP[last]) / each,
+        "lengths": total(signs[ends] - signs[starts]) / each,
+        "stops": total(stop) / each,
+        "foreign": span(other) > span(latin),
+        "listed": (total(stop) == 0) & (n < LABELLERS["stops"] * (span(lines) + 1)),
     }
 
 
+def silent(n: np.ndarray, m: dict[str, np.ndarray], name: str) -> np.ndarray:
+    """Texts on which a labeller says nothing."""
+    out = n < LABELLERS[name]
+    if name in LATIN_ONLY:
+        out = out | m["foreign"]
+    return out | m["listed"] if name == "stops" else out
+
+
 def votes(n: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
     """1 good, 0 poor, -1 abstains: one row per text, one column per labeller."""
 
@@ -70,8 +106,8 @@ def votes(n: np.ndarray, m: dict[str, np.ndarray]) -> np.ndarray:
         "lengths": ((m["lengths"] < 2) | (m["lengths"] > 16), (m["lengths"] > 2.5) & (m["lengths"] < 12)),
         "stops": ((m["stops"] > 0.6) | (m["stops"] == 0), (m["stops"] > 0.01) & (m["stops"] < 0.4)),
     }
-    cast = lambda poor, good, enough: np.where(n < enough, -1, np.where(poor, 0, np.where(good, 1, -1)))
-    return np.stack([cast(*found[name], enough) for name, enough in LABELLERS.items()], axis=1).astype(np.int8)
+    cast = lambda poor, good, mute: np.where(mute, -1, np.where(poor, 0, np.where(good, 1, -1)))
+    return np.stack([cast(*found[name], silent(n, m, name)) for name in LABELLERS], axis=1).astype(np.int8)
 
 
 def feature_slots(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, m: dict[str, np.ndarray]):
@@ -88,10 +124,10 @@ def feature_slots(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, m: dict[
     triple = (wide[at] << np.uint64(16)) | (wide[at + 1] << np.uint64(8)) | wide[at + 2]
     slot = ((triple * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
     levels = []
-    for i, (name, enough) in enumerate(LABELLERS.items()):
+    for i, name in enumerate(LABELLERS):
         scaled = m[name] if name in ("variety", "lengths") else m[name] * 20
-        # Level 20 says nothing: the text is too short for this measure.
-        level = np.where(n < enough, 20, np.minimum(np.floor(scaled), 19)).astype(np.uint64)
+        # Level 20 says nothing: the measure does not fit the text.
+        level = np.where(silent(n, m, name), 20, np.minimum(np.floor(scaled), 19)).astype(np.uint64)
         levels.append((mix(level + np.uint64(1000 * (i + 1))) >> np.uint64(64 - BITS)).astype(np.int64))
     return slot, np.searchsorted(at, offsets), np.stack(levels, axis=1)
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from shoebox.llm.quality import LABELLERS, keep_good, label_posteriors, score_documents
+from shoebox.llm.quality import LABELLERS, keep_good, label_posteriors, measures, score_documents, votes
 from tests.llm.texts import edge_docs
 
 
@@ -41,3 +41,39 @@ def test_em_finds_each_fault():
     poor = (patterns == 0).any(axis=1)
     assert (p[poor] < 0.5).all() and (p[~poor] > 0.5).all()
     assert all(good > 0.98 and own > 0.7 for good, own in reliability.values())
+
+
+CLEAN = {
+    "zh": "我们昨天去了图书馆，借了三本关于历史的书。今天下午天气很好，所以大家决定去公园散步。 老师说，GPU 可以用来训练模型。 ",
+    "ja": "昨日は友達と一緒に映画を見に行きました。とても面白かったので、また行きたいと思います。 NHK のニュースによると、明日は雨が降るそうです。 ",
+    "th": "เมื่อวานนี้เราไปห้องสมุดและยืมหนังสือประวัติศาสตร์สามเล่ม วันนี้อากาศดีมากทุกคนจึงไปเดินเล่นที่สวนสาธารณะ ",
+    "hi": "कल हम पुस्तकालय गए और इतिहास की तीन किताबें लाए। आज मौसम बहुत अच्छा है इसलिए सब लोग बगीचे में टहलने गए। ",
+    "ru": "Вчера мы ходили в библиотеку и взяли три книги по истории. Сегодня погода хорошая, поэтому все пошли гулять. ",
+}
+LIST = "Milk and bread\nFresh green apples\nTwo bottles of water\nBrown sugar\nOlive oil\nPepper\nCoffee beans\nA bag of rice\nDry pasta\nTomato soup\nSoft cheese\nLemon juice\nPaper towels\nHand soap"
+
+
+def _cast(text):
+    data = np.frombuffer(text.encode(), np.uint8)
+    return dict(zip(LABELLERS, votes(*measures(data, np.array([0, len(data)])))[0].tolist()))
+
+
+def test_latin_thresholds_stay_silent_elsewhere():
+    for name, text in CLEAN.items():
+        found = _cast(text * 6)
+        assert all(found[x] == -1 for x in ("capitals", "lengths", "stops")), name
+    assert _cast(LIST)["stops"] == -1 and 0 not in _cast(LIST).values()
+    assert _cast(" ".join(f"word{i} and" for i in range(40)))["stops"] == 0
+    assert _cast("Größe über Äpfel und Birnen، süße Öfen؛ " * 8)["stops"] == 1
+
+
+def test_clean_texts_of_other_scripts_and_lists_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    more = []
+    for text in (*CLEAN.values(), LIST):
+        gap = "\n" if "\n" in text else " "
+        parts = [p for p in text.split(gap) if p]
+        more += [gap.join((parts[k % len(parts) :] + parts[: k % len(parts)]) * (2 + k // 5)) for k in range(10)]
+    extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
+    rows = score_documents(docs.unionByName(extra)).where("doc_id >= 1000000000").collect()
+    assert len(rows) == 60 and all(r["kept"] for r in rows)
