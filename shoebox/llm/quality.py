@@ -8,11 +8,13 @@ hashed linear scorer, which then judges every document.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -180,54 +182,105 @@ def label_posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100
     return p[:, 0], {name: (float(1 - rate[0, j]), float(rate[j + 1, j])) for j, name in enumerate(LABELLERS)}
 
 
+def quotas(counts: list[int], sample_docs: int) -> list[int]:
+    """Rows to draw of each pattern: all of the rare ones, an equal part of what is left of the others, one at least."""
+    level, left = max(1, sample_docs), sample_docs
+    for i, count in enumerate(sorted(counts)):
+        level = max(1, left // (len(counts) - i))
+        if count > level:
+            break
+        left -= count
+    return [min(count, level) for count in counts]
+
+
+def _pattern(n: np.ndarray, m: dict[str, np.ndarray]) -> list[str]:
+    return ["".join("-+_"[v if v >= 0 else 2] for v in row) for row in votes(n, m)]
+
+
 def train(docs: DataFrame, *, sample_docs: int = 4096, rounds: int = 300, seed: int = 7) -> QualityModel:
-    """Votes on all documents, then the scorer from a sample of about ``sample_docs``.
+    """Votes on all documents, then the scorer from a sample of at most ``sample_docs``.
 
     The vote patterns are counted over every document; at most 3^7 of them
-    exist. Only sampled rows carry features (at most 2^14 slots each) to the
-    driver.
+    exist. Each pattern gives the rows with the least hashes of doc_id and
+    text, as many as ``quotas`` says, so every fault that EM finds is in the
+    sample at every size; one row per pattern is drawn even if that exceeds
+    ``sample_docs``. Repeated rows of one doc_id and text are drawn once. Only
+    drawn rows carry features (at most 2^14 slots each) to the driver.
     """
     small_batches(docs.sparkSession)
-    total = docs.count()
-    limit = np.uint64(min(2**64 - 1, int(2**64 * min(1.0, sample_docs / max(total, 1)))))
+    keyed = docs.select("text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pattern, words = [], [np.zeros(0, bool)]
+            for _, _, data, offsets in slices(batch.column(0)):
+                n, m = measures(data, offsets)
+                pattern += _pattern(n, m)
+                words.append(n > 0)
+            # A text without words is counted and never drawn.
+            draw = pc.if_else(pa.array(np.concatenate(words)), batch.column(1), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(pattern, pa.string()), draw], ["pattern", "draw"])
+
+    looked = keyed.mapInArrow(look, "pattern string, draw bigint").groupBy("pattern", "draw").agg(F.count("*").alias("n"))
+    seen = cut_lineage(looked, "votes")
+    rows = sorted(seen.groupBy("pattern").agg(F.sum("n"), F.count("draw")).collect())
+    decode = lambda s: ["-+_".index(c) if c != "_" else -1 for c in s]
+    patterns = np.array([decode(r[0]) for r in rows], np.int8).reshape(len(rows), len(LABELLERS))
+    counts = {r[0]: r[1] for r in rows}
+    posterior, reliability = label_posteriors(patterns, np.array(list(counts.values()), float))
+    by_pattern = dict(zip(counts, posterior))
+    quota = {r[0]: q for r, q in zip(rows, quotas([r[2] for r in rows], sample_docs))}
+    # Draws are spread evenly; this many below the limit hold the least ones but for a chance of 1e-9.
+    limit = {r[0]: min(1.0, (quota[r[0]] + 6 * np.sqrt(quota[r[0]]) + 20) / max(1, r[2])) * 2.0**64 - 2.0**63 for r in rows}
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top = np.array([limit[p] for p in batch.column(0).to_pylist()], float)
+            yield batch.filter(pa.array(batch.column(1).to_numpy(zero_copy_only=False) <= top))
+
+    drawn: dict[str, list[int]] = {}
+    for p, d in seen.where("draw is not null").select("pattern", "draw").mapInArrow(least, "pattern string, draw bigint").collect():
+        drawn.setdefault(p, []).append(d)
+    chosen = {d for p, found in drawn.items() for d in sorted(found)[: quota[p]]}
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = set()
+        for batch in batches:
+            at = []
+            for i, d in enumerate(batch.column(1).to_pylist()):
+                if d in chosen and d not in sent:
+                    sent.add(d)
+                    at.append(i)
+            some = batch.take(pa.array(at, pa.int64()))
             pattern, slots, values = [], [], []
-            for start, end, data, offsets in slices(batch.column(0)):
+            for start, end, data, offsets in slices(some.column(0)):
                 n, m = measures(data, offsets)
-                pattern += ["".join("-+_"[v if v >= 0 else 2] for v in row) for row in votes(n, m)]
+                pattern += _pattern(n, m)
                 slot, first, levels = feature_slots(data, offsets, n, m)
-                draw = mix(np.arange(start, end, dtype=np.uint64) * np.uint64(2654435761) + (np.diff(offsets).astype(np.uint64) << np.uint64(20)) + np.uint64(seed))
                 for i in range(end - start):
-                    if draw[i] <= limit and n[i] > 0:
-                        found, count = np.unique(slot[first[i] : first[i + 1]], return_counts=True)
-                        share = count / max(1, count.sum())
-                        slots.append(np.r_[found, levels[i]].astype("<u2").tobytes())
-                        values.append(np.r_[share, np.ones(levels.shape[1])].astype("<f4").tobytes())
-                    else:
-                        slots.append(None)
-                        values.append(None)
+                    found, count = np.unique(slot[first[i] : first[i + 1]], return_counts=True)
+                    share = count / max(1, count.sum())
+                    slots.append(np.r_[found, levels[i]].astype("<u2").tobytes())
+                    values.append(np.r_[share, np.ones(levels.shape[1])].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pattern, pa.string()), pa.array(slots, pa.binary()), pa.array(values, pa.binary())],
-                ["pattern", "slots", "shares"],
+                [some.column(1), pa.array(pattern, pa.string()), pa.array(slots, pa.binary()), pa.array(values, pa.binary())],
+                ["draw", "pattern", "slots", "shares"],
             )
 
-    seen = cut_lineage(docs.select("text").mapInArrow(look, "pattern string, slots binary, shares binary"), "votes")
-    rows = sorted(seen.groupBy("pattern").count().collect())
-    decode = lambda s: ["-+_".index(c) if c != "_" else -1 for c in s]
-    patterns = np.array([decode(r[0]) for r in rows], np.int8).reshape(len(rows), len(LABELLERS))
-    posterior, reliability = label_posteriors(patterns, np.array([r[1] for r in rows], float))
-    by_pattern = dict(zip([r[0] for r in rows], posterior))
-    sample = sorted(seen.where(F.col("slots").isNotNull()).collect())
+    taken = keyed.mapInArrow(features, "draw bigint, pattern string, slots binary, shares binary").dropDuplicates(["draw"])
+    sample = sorted(taken.select("pattern", "slots", "shares").collect()) if chosen else []
     weights, bias = np.zeros(1 << BITS), 0.0
     if sample:
         row = np.repeat(np.arange(len(sample)), [len(s[1]) // 2 for s in sample])
         slot = np.frombuffer(b"".join(bytes(s[1]) for s in sample), "<u2").astype(np.int64)
         share = np.frombuffer(b"".join(bytes(s[2]) for s in sample), "<f4")
         target = np.array([by_pattern[s[0]] for s in sample])
-        # Both classes pull equally, however rare poor documents are.
-        pull = np.where(target > 0.5, 0.5 / max(1.0, (target > 0.5).sum()), 0.5 / max(1.0, (target <= 0.5).sum()))
+        # Both classes pull equally, however rare poor documents are; within a class a pattern
+        # pulls by the square root of its share, so that rare faults count at every size.
+        size = Counter(s[0] for s in sample)
+        root = {p: np.sqrt(counts[p]) for p in size}
+        whole = {good: sum(v for p, v in root.items() if (by_pattern[p] > 0.5) == good) for good in (True, False)}
+        pull = np.array([0.5 * root[s[0]] / whole[by_pattern[s[0]] > 0.5] / size[s[0]] for s in sample])
         square, bias_square = np.full(1 << BITS, 1e-8), 1e-8
         for _ in range(rounds):
             z = np.bincount(row, weights[slot] * share, len(sample)) + bias

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from shoebox.llm.quality import LABELLERS, keep_good, label_posteriors, measures, score_documents, votes
+from shoebox.llm.quality import LABELLERS, keep_good, label_posteriors, measures, quotas, score_documents, train, votes
 from tests.llm.texts import edge_docs
 
 
@@ -77,3 +77,25 @@ def test_clean_texts_of_other_scripts_and_lists_stay(spark):
     extra = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
     rows = score_documents(docs.unionByName(extra)).where("doc_id >= 1000000000").collect()
     assert len(rows) == 60 and all(r["kept"] for r in rows)
+
+
+def test_quotas():
+    assert quotas([5, 1000, 3, 2000], 100) == [5, 46, 3, 46]
+    assert quotas([5, 6], 100) == [5, 6] and quotas([9, 9, 9], 2) == [1, 1, 1] and quotas([], 5) == []
+
+
+def test_rare_fault_is_learned_from_a_small_sample(spark):
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstu"), rng.integers(3, 9)))
+    clean = lambda: " ".join(word() + ("." if i % 7 == 6 else "") for i in range(50))
+    shout = lambda: " ".join(w.upper() + "!!" for w in clean().split())
+    rows = [(i, shout() if i % 250 == 3 else clean()) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"]: r["kept"] for r in score_documents(frame, sample_docs=32).collect()}
+    assert not any(kept[i] for i in range(3, 4000, 250)) and sum(kept.values()) > 3950
+
+
+def test_model_is_of_the_rows_and_not_of_their_layout(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    a, b = (train(docs.repartition(n), sample_docs=40, rounds=20) for n in (1, 5))
+    assert (a.weights == b.weights).all() and a.bias == b.bias and a.weights.any()
