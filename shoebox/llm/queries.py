@@ -15,8 +15,11 @@ from .minhash import near_duplicates
 from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import BASE_KINDS, find_personal_data, written
+from .prefixtrie import prefix_trie
 from .quality import score_documents
 from .suffixes import remove_repeats
+from .urlfilter import URL_RULES, judge_urls, junk_hosts
+from .whitening import whiten
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +71,20 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), crc_of_id() % 7 == 2)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS r(host, path, verdict)")
+    return judge_urls(pages, rules, junk_hosts(pages))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_media": op2_media,
@@ -79,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_katz": op10_katz,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filter": op12_url_filter,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -131,4 +151,57 @@ ORACLES: dict[str, str] = {
         FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
         QUALIFY row_number() OVER w <= 20
     """,
+    # crc32 is spelled out bit by bit.
+    "op11_prefix_trie": """
+        WITH RECURSIVE t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS j, g, n
+            FROM (
+                SELECT conv_id, turn, length(coalesce(text, '')) AS n,
+                    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g
+                FROM conversations WHERE conv_id IS NOT NULL
+            )
+        ), k AS (
+            SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, 4294967295::BIGINT AS c FROM t
+            UNION ALL
+            SELECT conv_id, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+            FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(s, i // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM k WHERE i < 8 * length(s))
+        ), h AS (SELECT conv_id, xor(c, 4294967295) % 6 AS h FROM k WHERE i = 8 * length(s)),
+        r AS (
+            SELECT h.conv_id, 0 AS own, t.j, t.g, t.n FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 AND t.j <= h.h
+            UNION ALL SELECT h.conv_id, 1, t.j, t.g, t.n FROM h JOIN t ON t.conv_id = h.conv_id AND t.j > h.h
+        ), w AS (
+            SELECT conv_id, row_number() OVER o AS d, n, sha256(string_agg(g, '') OVER o) AS p
+            FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY own, j)
+            UNION ALL SELECT conv_id, 0, 0, '' FROM h
+        ), v AS (SELECT *, lag(p) OVER (PARTITION BY conv_id ORDER BY d) AS up, max(d) OVER (PARTITION BY conv_id) AS last FROM w),
+        m AS (
+            SELECT p, min(conv_id) AS conv_id, min(d) AS depth, min(up) AS up, min(n) AS n, count(*) AS n_convs,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = last), '')) AS ends_sha256
+            FROM v GROUP BY p
+        ), c AS (SELECT up AS p, count(*) AS n FROM m WHERE up IS NOT NULL GROUP BY up),
+        s AS (
+            SELECT b.a AS p, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((m.n_convs - 1) * m.n)::BIGINT AS saved_tokens
+            FROM (SELECT DISTINCT a.p AS a, b.p AS b FROM v a JOIN v b ON a.conv_id = b.conv_id AND b.d >= a.d) b
+            JOIN m ON m.p = b.b LEFT JOIN c ON c.p = b.b GROUP BY b.a
+        )
+        SELECT m.conv_id, m.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+            s.n_leaves, s.saved_tokens, m.ends_sha256
+        FROM m JOIN s USING (p) LEFT JOIN c USING (p) LEFT JOIN m u ON u.p = m.up
+    """,
+    "op12_url_filter": r"""
+        WITH r(rule_host, rule_path, rule_verdict) AS (
+            VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+        ), p AS (
+            SELECT row_number() OVER () AS i, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages
+        ), q AS (
+            SELECT i, page_id, translate(regexp_extract(u, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(u, '^([^/?#]*)([^?#]*)', 2) AS path FROM p
+        ), m AS (
+            SELECT q.i, r.*, row_number() OVER (PARTITION BY q.i ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS k
+            FROM q JOIN r ON (q.host = rule_host OR ends_with(q.host, '.' || rule_host)) AND starts_with(q.path, rule_path)
+        )
+        SELECT page_id, host, path, m.rule_host || m.rule_path AS rule,
+            coalesce(m.rule_verdict, CASE WHEN regexp_matches(host, '(^|\.)([^.]*-)?(ads|adult|bets|casino|pills|spam)(-[^.]*)?(\.|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM q LEFT JOIN m ON m.i = q.i AND m.k = 1
+    """,
 }
