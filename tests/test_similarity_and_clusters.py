@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from shoebox.operators import suggest
 from shoebox.operators.agglomerate import member_digest
 from shoebox.operators.numbering import dense_index, index_in_group, keep_first, keep_last
-from shoebox.operators.similarity import similar_pairs
+from shoebox.operators import similarity
+from shoebox.operators.similarity import Grid, similar_pairs
 from shoebox.plans import cluster, scan
 
 
@@ -85,6 +86,64 @@ def test_pairs_equal_brute_force(spark, block_rows):
     assert {(r["id_a"], r["id_b"]) for r in found} == expected
 
 
+@pytest.mark.parametrize("threshold,tasks", [(-1.0, 3), (0.0, 28), (0.9, 28), (1.1, 6)])
+def test_pairs_at_any_threshold_and_grid(spark, threshold, tasks):
+    rows = make_vectors(8, n=200, hot=50)
+    s = similarities(rows)
+    found = similar_pairs(spark.createDataFrame(rows, SCHEMA).repartition(5), threshold, block_rows=7, tasks=tasks).collect()
+    assert {(r["id_a"], r["id_b"]): round(r["similarity"], 9) for r in found} == {
+        (rows[i][0], rows[j][0]): round(s[i, j], 9) for i, j in itertools.combinations(range(200), 2) if s[i, j] >= threshold
+    }
+    assert len(found) == len({(r["id_a"], r["id_b"]) for r in found})
+
+
+def test_no_vectors_no_pairs(spark):
+    assert similar_pairs(spark.createDataFrame([], SCHEMA), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("tasks", [1, 8, 45, 1000])
+def test_a_block_has_about_root_two_tasks_copies(spark, tasks):
+    splits = np.full(50, 4)
+    grid = Grid.of(splits, np.ones((50, 50), bool), tasks)
+    assert tasks <= len(grid.cells) <= tasks + grid.stripes
+    blocks = spark.range(200).withColumn("stripe", grid.stripe(F.col("id")))
+    copies = blocks.join(grid.deals(spark), "stripe").groupBy("id").count()
+    assert {r["count"] for r in copies.collect()} == {grid.stripes} and abs(grid.stripes - np.sqrt(2 * tasks)) <= 1.5
+    sizes = [r["count"] for r in blocks.groupBy("stripe").count().collect()]
+    assert len(sizes) == grid.stripes and max(sizes) - min(sizes) <= 1
+    # Stripes out of reach never meet.
+    assert len(Grid.of(splits, np.eye(50, dtype=bool), tasks).cells) <= 2 * grid.stripes
+
+
+def test_vectors_travel_packed_in_blocks(spark, monkeypatch):
+    """One row per block is copied, with no list of targets per vector."""
+    written = []
+    cut = similarity.cut_lineage
+    monkeypatch.setattr(similarity, "cut_lineage", lambda df, label: written.append(cut(df, label)) or written[-1])
+    rows = make_vectors(9, n=300)
+    similar_pairs(spark.createDataFrame(rows, SCHEMA), 0.9, block_rows=10, tasks=28).collect()
+    blocks = written[0].collect()
+    assert sum(len(b["ids"]) for b in blocks) == 300 and max(len(b["ids"]) for b in blocks) < 60
+    assert "targets" not in written[0].columns
+
+
+def test_only_pairs_the_bound_lets_pass_are_multiplied(spark, monkeypatch):
+    """With a spectrum that falls, the leading directions leave few pairs to the full product."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(400, 64)) * np.r_[np.ones(12) * 3, np.ones(52) * 0.05]
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    basis = np.linalg.svd(v.astype(float), full_matrices=False)[2][: similarity.LEADING].T
+    raw = lambda part: {
+        "matrix": part.tobytes(), "center": np.eye(64)[0].tobytes(), "radius": np.pi, "ids": list(range(len(part))), "same": [""] * len(part),
+    }
+    a, b = (similarity._Block(raw(part), 64, basis) for part in (v[:200], v[200:]))
+    full = v[:200].astype(float) @ v[200:].astype(float).T
+    bound = a.head @ b.head.T + np.outer(a.rest, b.rest)
+    assert (bound >= full - 1e-12).all() and (bound >= 0.8).sum() <= (full >= 0.8).sum() * 1.5 + 50
+    found = {(int(x), int(y)) for i, j, _v in similarity.tile_pairs(a, b, 0.8, False) for x, y in zip(i, j)}
+    assert found == set(zip(*map(lambda t: t.tolist(), np.nonzero(full >= 0.8))))
+
+
 @pytest.mark.parametrize("chunk_rows", [3, 1000])
 def test_pair_statistics_are_exact(spark, chunk_rows):
     rows = make_vectors(11, n=60)
