@@ -67,28 +67,33 @@ def _overlaps(boxes: DataFrame, threshold: float) -> DataFrame:
     """(photo_id, winner, loser) for overlapping boxes of one photo.
 
     Two boxes overlapping by IoU t > 0 have widths within a factor t of each
-    other, so boxes are put in width classes of a factor a little over 1/t and
-    into grid cells as wide as their class; a partner can only be in the same
-    or the next class and in an adjoining cell. (With 1/t itself, rounding
-    would put partners at the very edge two classes apart.)
+    other, and heights too, so boxes are put in classes of a factor a little
+    over 1/t of either side, and into grid cells as wide and as high as their
+    classes; a partner can only be in the same or the next class and in an
+    adjoining cell. (With 1/t itself, rounding would put partners at the very
+    edge two classes apart.) A column or a row of boxes is spread over cells
+    like any other crowd.
     """
     base = F.lit((1.0 + 1e-6) / threshold)
-    level = F.floor(F.log(F.greatest(F.col("w"), F.lit(1e-9))) / F.log(base)).cast("int")
-    placed = boxes.withColumn("level", level)
-    cell = lambda c, lv: F.floor(F.col(c) / F.pow(base, lv + 1)).cast("bigint")
-    # A box is listed once under its own class, and looked up from its own and
-    # the class below, in the class above's grid.
-    home = placed.withColumn("gx", cell("x", F.col("level")))
+    level = lambda c: F.floor(F.log(F.greatest(F.col(c), F.lit(1e-9))) / F.log(base)).cast("int")
+    placed = boxes.withColumn("lw", level("w")).withColumn("lh", level("h"))
+    cell = lambda c, at: F.floor(F.col(c) / F.pow(base, F.col(at) + 1)).cast("bigint")
+    next_to = F.expr("sequence(-1L, 1L)")
+    # Wide: a box is listed under its own class, and looked up from its own and
+    # the class below. High: both are listed under their own class and the next.
+    tall = placed.withColumn("ah", F.explode(F.array("lh", F.col("lh") + 1)))
+    home = tall.withColumn("aw", F.col("lw")).withColumn("gx", cell("x", "aw")).withColumn("gy", cell("y", "ah"))
     looks = (
-        placed.withColumn("at", F.explode(F.array("level", F.col("level") + 1)))
-        .withColumn("step", F.explode(F.expr("sequence(-1L, 1L)")))
-        .withColumn("gx", F.col("step") + cell("x", F.col("at")))
+        tall.withColumn("aw", F.explode(F.array("lw", F.col("lw") + 1)))
+        .withColumn("sx", F.explode(next_to)).withColumn("sy", F.explode(next_to))
+        .withColumn("gx", F.col("sx") + cell("x", "aw")).withColumn("gy", F.col("sy") + cell("y", "ah"))
     )
-    a = home.select("photo_id", F.col("level").alias("at"), "gx", *[F.col(c).alias(f"a_{c}") for c in ("det_id", "rank", "x", "y", "w", "h")])
-    b = looks.select("photo_id", "at", "gx", "level", *[F.col(c).alias(f"b_{c}") for c in ("det_id", "rank", "x", "y", "w", "h")])
-    joined = a.join(b, ["photo_id", "at", "gx"]).where(F.col("a_det_id") != F.col("b_det_id"))
-    # Same class meets twice, once from each side: keep one.
-    once = (F.col("level") != F.col("at")) | (F.col("a_det_id") < F.col("b_det_id"))
+    key, mine = ["photo_id", "aw", "ah", "gx", "gy"], ("det_id", "rank", "x", "y", "w", "h", "lh")
+    a = home.select(*key, *[F.col(c).alias(f"a_{c}") for c in mine])
+    b = looks.select(*key, "lw", *[F.col(c).alias(f"b_{c}") for c in mine])
+    joined = a.join(b, key).where((F.col("a_det_id") != F.col("b_det_id")) & (F.col("ah") == F.greatest("a_lh", "b_lh")))
+    # The same class of widths meets twice, once from each side: keep one.
+    once = (F.col("lw") != F.col("aw")) | (F.col("a_det_id") < F.col("b_det_id"))
     hit = geometry.iou(*[F.col(f"a_{c}") for c in "xywh"], *[F.col(f"b_{c}") for c in "xywh"]) >= threshold
     first = F.col("a_rank") < F.col("b_rank")
     return joined.where(once & hit).select(

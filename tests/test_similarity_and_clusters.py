@@ -6,10 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox.operators import suggest
 from shoebox.operators.agglomerate import member_digest
 from shoebox.operators.numbering import dense_index, index_in_group, keep_first, keep_last
-from shoebox.operators import similarity
+from shoebox.operators import agglomerate, similarity, suggest
 from shoebox.operators.similarity import Grid, similar_pairs
 from shoebox.plans import cluster, scan
 
@@ -67,6 +66,42 @@ def test_clusters_equal_the_sequential_rule(spark, seed, hot):
     assert {frozenset(m) for m in found.values()} == greedy(rows, 0.6, 0.3)
 
 
+def chain(n, prefix="x"):
+    """Merges one after another: each next edge is weaker, all cross pairs reach the floor."""
+    return [
+        (f"{prefix}{i:03d}", f"{prefix}{j:03d}", 0.99 - 0.01 * j if j == i + 1 else 0.5)
+        for i in range(n) for j in range(i + 1, n)
+    ]
+
+
+def test_a_round_writes_only_around_the_clusters_that_moved(spark, monkeypatch):
+    """Hundreds of pairs that never merge are written once and carried."""
+    written = []
+    append = agglomerate._Parts.append
+
+    def spy(self, df):
+        out = append(self, df)
+        written.append(({"t"} <= set(out.columns) and "links" in out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(agglomerate._Parts, "append", spy)
+    still = [(f"s{i}", f"t{i}", 0.7) for i in range(100)] + [(f"s{i}", f"t{j}", 0.4) for i in range(100) for j in range(0, 100, 9) if i != j]
+    pairs = spark.createDataFrame(chain(8) + still, "id_a string, id_b string, similarity double")
+    merged = {r["id"]: r["root"] for r in agglomerate.agglomerate(pairs, seed=0.6, floor=0.4).collect()}
+    assert {merged[f"x{i:03d}"] for i in range(8)} == {"x000"} and merged["t5"] == "s5"
+    sizes = [n for is_pairs, n in written if is_pairs]
+    assert len(sizes) >= 7 and sizes[0] > 1000
+    assert sizes[2:] == sorted(sizes[2:], reverse=True) and sizes[2] < 30 and sizes[-1] == 0
+
+
+def test_parts_are_merged_into_one_on_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(agglomerate, "MAX_PARTS", 3)
+    pairs = chain(9, "a") + chain(6, "b") + [("a000", "b000", 0.65)]
+    frame = spark.createDataFrame(pairs, "id_a string, id_b string, similarity double")
+    roots = {r["id"]: r["root"] for r in agglomerate.agglomerate(frame, seed=0.6, floor=0.4).collect()}
+    assert roots == {f"a{i:03d}": "a000" for i in range(9)} | {f"b{i:03d}": "b000" for i in range(6)}
+
+
 def test_no_edges_means_singletons(spark):
     faces = spark.createDataFrame([("a", "p1", [1.0, 0.0], 0.1), ("b", "p2", [0.0, 1.0], 0.2)], SCHEMA)
     assignment, _ = cluster.cluster_faces(faces)
@@ -219,6 +254,28 @@ def test_suppression_equals_brute_force(spark, group_rows):
     assert all(min(r["w"], r["h"]) >= 24 for r in large)
 
 
+@pytest.mark.parametrize("wide,high", [(30, 4000), (4000, 30), (500, 500)])
+def test_crowded_pictures_of_any_shape(spark, wide, high):
+    """Columns, rows and squares of boxes of very different sizes, by rounds of grid joins."""
+    rng = np.random.default_rng(wide)
+    boxes = [
+        ("p", f"d{i:03d}", float(rng.uniform(0, wide)), float(rng.uniform(0, high)), *[float(x) for x in np.exp(rng.uniform(0, 6, 2))], float(rng.integers(9)) / 9)
+        for i in range(250)
+    ]
+    boxes += [("p", f"e{i:03d}", b[2] + 1, b[3] + 1, b[4] * 1.1, b[5] * 0.8, 0.5) for i, b in enumerate(boxes[:60])]
+    frame = spark.createDataFrame(boxes, "photo_id string, det_id string, x double, y double, w double, h double, score double")
+    got = {r["det_id"] for r in scan.suppress_overlaps(frame, minimum_px=0.0, group_rows=10).collect()}
+    assert got == brute_suppression(boxes, 0.35)
+
+
+def test_a_column_of_boxes_is_spread_over_cells(spark):
+    boxes = [("p", f"d{i:04d}", 5.0, 20.0 * i, 30.0, 10.0, 0.5) for i in range(400)]
+    frame = spark.createDataFrame(boxes, "photo_id string, det_id string, x double, y double, w double, h double, score double")
+    pairs = scan._overlaps(frame.withColumn("rank", F.struct("det_id")), 0.35)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "gy" in plan and pairs.count() == 0
+
+
 def test_suppression_paths_agree_at_the_edge(spark):
     boxes = [("p", "a", 0.0, 0.0, 1000.0, 10.0, 0.9), ("p", "b", 0.0, 0.0, 10000.0, 10.0, 0.8)]
     boxes += [(f"q{k}", d, 0.0, 0.0, 0.1**k * w, 7.0, s) for k in range(-3, 4) for d, w, s in (("a", 3.0, 0.9), ("b", 30.0, 0.8), ("c", 300.0, 0.7))]
