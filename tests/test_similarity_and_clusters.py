@@ -198,6 +198,48 @@ def test_pair_statistics_are_exact(spark, chunk_rows):
         assert r["similarity_min"] == pytest.approx(values.min(), abs=1e-12)
 
 
+@pytest.mark.parametrize("bins,tasks", [(4, 1), (4, 28), (4096, 6)])
+def test_medians_of_large_pairs_are_bisected(spark, monkeypatch, bins, tasks):
+    """Few bins need many rounds; ties, equal values and uneven sizes come out exactly."""
+    monkeypatch.setattr(suggest, "BINS", bins)
+    monkeypatch.setattr(suggest, "TILE_VALUES", 64)
+    rows = make_vectors(13, n=120, hot=50)
+    s = similarities(rows)
+    groups = {"a": range(0, 25), "b": range(25, 50), "c": range(50, 117), "d": [117], "e": [118, 119]}
+    same = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    more = [(f"g{i}", "p", same, 0.1) for i in range(12)]
+    placed = [(rows[i][0], c) for c, members in groups.items() for i in members]
+    placed += [(r[0], "x" if i < 6 else "y") for i, r in enumerate(more)]
+    wanted = [p for p in itertools.combinations("abcde", 2)] + [("y", "x")]
+    got = suggest.pair_statistics(
+        spark.createDataFrame(wanted, "cluster_id_a string, cluster_id_b string"), spark.createDataFrame(rows + more, SCHEMA),
+        spark.createDataFrame(placed, "id string, cluster_id string"), chunk_rows=4, tasks=tasks,
+    ).collect()
+    assert {(r["cluster_id_a"], r["cluster_id_b"]) for r in got} == set(wanted) and len(got) == len(wanted)
+    for r in got:
+        a, b = r["cluster_id_a"], r["cluster_id_b"]
+        values = np.ones(1) if a == "y" else s[np.ix_(groups[a], groups[b])]
+        assert r["similarity_max"] == pytest.approx(values.max(), abs=1e-12)
+        assert r["similarity_median"] == pytest.approx(np.median(values), abs=1e-12)
+        assert r["similarity_min"] == pytest.approx(values.min(), abs=1e-12)
+
+
+def test_a_cluster_is_not_copied_for_each_of_its_candidates(spark, monkeypatch):
+    sent = []
+    meet = suggest._meet
+    monkeypatch.setattr(suggest, "_meet", lambda stripes, parts, *a: sent.append((stripes.count(), parts.select("lo", "hi").distinct().count(), parts.count())) or meet(stripes, parts, *a))
+    rows = make_vectors(14, n=150)
+    placed = [(r[0], f"c{i // 3:02d}") for i, r in enumerate(rows)]
+    wanted = list(itertools.combinations(sorted({c for _i, c in placed}), 2))
+    got = suggest.pair_statistics(
+        spark.createDataFrame(wanted, "cluster_id_a string, cluster_id_b string"), spark.createDataFrame(rows, SCHEMA),
+        spark.createDataFrame(placed, "id string, cluster_id string"), tasks=10,
+    )
+    assert got.count() == len(wanted) == 1225
+    (stripes, cells, parts), *more = sent
+    assert stripes == 5 and cells <= 15 and parts >= 1225 and len(more) <= 4
+
+
 def test_suggestions_respect_pictures_and_links(spark):
     v = [[1.0, 0.0], [0.9, float(np.sqrt(0.19))], [0.8, 0.6], [0.7, float(np.sqrt(0.51))]]
     faces = spark.createDataFrame([(f"f{i}", f"p{i % 3}", v[i], 0.5) for i in range(4)], SCHEMA)
