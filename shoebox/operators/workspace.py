@@ -306,8 +306,69 @@ def crossing_links(cannot_links: DataFrame, faces: DataFrame) -> DataFrame:
     )
 
 
+# Cannot-links are a relation, not a table: all faces of one photo are linked to
+# each other, which ``faces.photo_id`` says, and a short table of exceptions says
+# the rest: ``manual_split`` adds a pair, ``absent`` takes one of a photo back,
+# ``same_photo`` repeats one. Whatever needs links counts faces per photo.
+
+def _pairs_of(exceptions: DataFrame, faces: DataFrame, *columns: str) -> DataFrame:
+    """Exceptions with columns of both faces (x_a, x_b)."""
+    for side in ("a", "b"):
+        mine = faces.select(F.col("id").alias(f"face_id_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        exceptions = exceptions.join(mine, f"face_id_{side}")
+    return exceptions
+
+
+def count_per_photo(faces: DataFrame, *group: str) -> DataFrame:
+    return faces.where("cluster_id IS NOT NULL").groupBy(*group, "photo_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def linked_cluster_pairs(candidates: DataFrame, faces: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(cluster_id_a, cluster_id_b, links) for the candidate pairs that hold linked faces.
+
+    Each candidate is followed to the photos of its first cluster and asked
+    for in its second; the links of a photo are a product of two counts. No
+    pair of faces is formed but for the exceptions.
+    """
+    key = ["cluster_id_a", "cluster_id_b"]
+    owned = count_per_photo(faces, "cluster_id")
+    side = lambda x: owned.select(F.col("cluster_id").alias(f"cluster_id_{x}"), "photo_id", F.col("n").alias(f"n_{x}"))
+    asked = candidates.select(*key).distinct()
+    shared = asked.join(side("a"), "cluster_id_a").join(side("b"), ["cluster_id_b", "photo_id"])
+    counts = shared.select(*key, (F.col("n_a") * F.col("n_b")).alias("links"))
+    if exceptions is not None:
+        placed = _pairs_of(exceptions, faces, "cluster_id", "photo_id").where("cluster_id_a <> cluster_id_b")
+        sign = F.when(F.col("reason") == "absent", -1).when(F.col("photo_id_a") != F.col("photo_id_b"), 1).otherwise(0)
+        ends = placed.select(F.least(*key).alias(key[0]), F.greatest(*key).alias(key[1]), sign.cast("bigint").alias("links"))
+        ordered = asked.select(*key, F.least(*key).alias("_a"), F.greatest(*key).alias("_b"))
+        ends = ends.select(F.col(key[0]).alias("_a"), F.col(key[1]).alias("_b"), "links")
+        counts = counts.union(ordered.join(ends, ["_a", "_b"]).select(*key, "links"))
+    return counts.groupBy(*key).agg(F.sum("links").alias("links")).where("links > 0")
+
+
+def linked_groups(groups: DataFrame, faces: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """(group, links): groups of clusters, (group, cluster_id), with linked faces in different clusters.
+
+    Of n faces of one photo, n_i in each cluster, (n^2 - sum n_i^2) / 2 links cross.
+    """
+    placed = faces.select("id", "cluster_id", "photo_id").join(groups.select("group", "cluster_id"), "cluster_id")
+    counts = (
+        count_per_photo(placed, "group", "cluster_id").groupBy("group", "photo_id")
+        .agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("bigint").alias("links"))
+        .where("links > 0").select("group", "links")
+    )
+    if exceptions is not None:
+        ends = _pairs_of(exceptions, placed, "group", "cluster_id", "photo_id").where("group_a = group_b AND cluster_id_a <> cluster_id_b")
+        sign = F.when(F.col("reason") == "absent", -1).when(F.col("photo_id_a") != F.col("photo_id_b"), 1).otherwise(0)
+        counts = counts.union(ends.select("group_a", sign.cast("bigint")))
+    return counts.groupBy("group").agg(F.sum("links").alias("links")).where("links > 0")
+
+
 def same_photo_links(faces: DataFrame) -> DataFrame:
-    """Unordered pairs of faces in one photo, smaller id first."""
+    """Unordered pairs of faces in one photo, smaller id first.
+
+    The relation written out, for whoever wants the pairs themselves.
+    """
     a = faces.select("photo_id", F.col("id").alias("face_id_a"))
     b = faces.select("photo_id", F.col("id").alias("face_id_b"))
     return a.join(b, "photo_id").where(F.col("face_id_a") < F.col("face_id_b")).select(
@@ -315,8 +376,8 @@ def same_photo_links(faces: DataFrame) -> DataFrame:
     )
 
 
-def link_completeness(pictures: DataFrame, cannot_links: DataFrame) -> DataFrame:
-    """Expected same-photo links, sum of n(n-1)/2, against the stored ones."""
+def link_completeness(pictures: DataFrame, faces: DataFrame, exceptions: DataFrame | None = None) -> DataFrame:
+    """Links expected from the stored face counts, sum of n(n-1)/2, against those the faces have."""
     expected = pictures.agg(
         F.coalesce(
             F.sum(
@@ -325,5 +386,12 @@ def link_completeness(pictures: DataFrame, cannot_links: DataFrame) -> DataFrame
             F.lit(0),
         ).alias("expected")
     )
-    actual = cannot_links.agg(F.count_if(F.col("reason") == "same_photo").alias("actual"))
+    there = faces.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n")).select(F.expr("n * (n - 1) div 2").alias("links"))
+    if exceptions is not None:
+        pairs = _pairs_of(exceptions, faces, "photo_id")
+        within = F.col("photo_id_a") == F.col("photo_id_b")
+        # A pair repeated within its photo is there already; one across photos is one too many.
+        sign = F.when((F.col("reason") == "absent") & within, -1).when((F.col("reason") == "same_photo") & ~within, 1).otherwise(0)
+        there = there.union(pairs.select(sign.cast("bigint")))
+    actual = there.agg(F.coalesce(F.sum("links"), F.lit(0)).cast("bigint").alias("actual"))
     return expected.crossJoin(F.broadcast(actual))

@@ -108,7 +108,7 @@ def face_rules() -> dict[str, Column]:
 
 def workspace_violations(faces: DataFrame, clusters: DataFrame, people: DataFrame, cannot_links: DataFrame) -> DataFrame:
     ordered = {"pair_order": F.col("face_id_a") < F.col("face_id_b"),
-               "reason": F.col("reason").isin("same_photo", "manual_split")}
+               "reason": F.col("reason").isin("same_photo", "manual_split", "absent")}
     cluster_ok = {
         "cluster_labeled_has_person": (F.col("status") == "labeled") == F.col("person_id").isNotNull(),
         "cluster_status": F.col("status").isin(*reads.STATES),
@@ -281,7 +281,11 @@ def avatar_source_violations(
 def consistency_violations(
     pictures: DataFrame, faces: DataFrame, clusters: DataFrame, cannot_links: DataFrame, suggestions: DataFrame
 ) -> DataFrame:
-    """Everything a stored workspace must satisfy across tables."""
+    """Everything a stored workspace must satisfy across tables.
+
+    ``cannot_links`` are the exceptions to the links of each photo's faces,
+    which are counted, never paired.
+    """
     c = F.col
     actual = faces.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
     counted = pictures.where(c("scan_status") == "complete").join(
@@ -298,14 +302,13 @@ def consistency_violations(
         .select(F.lit("one_face_per_photo").alias("rule"), F.concat_ws("|", "cluster_id", "photo_id").alias("key"))
     )
     blocked = suggestions.join(
-        reads.crossing_links(cannot_links, faces).select("cluster_id_a", "cluster_id_b"),
-        ["cluster_id_a", "cluster_id_b"], "left_semi",
+        reads.linked_cluster_pairs(suggestions, faces, cannot_links), ["cluster_id_a", "cluster_id_b"], "left_semi"
     ).select(F.lit("suggestion_blocked").alias("rule"), F.concat_ws("|", "cluster_id_a", "cluster_id_b").alias("key"))
     named = clusters.where(c("status") == "labeled").select(c("id").alias("cluster_id"), c("person_id").alias("_p"))
     wrong = faces.join(named, "cluster_id").where(
         reads.labelable(c("status")) & ((c("status") != "labeled") | ~c("person_id").eqNullSafe(c("_p")))
     ).select(F.lit("labeled_identity").alias("rule"), c("id").alias("key"))
-    totals = reads.link_completeness(pictures, cannot_links).where(c("expected") != c("actual")).select(
+    totals = reads.link_completeness(pictures, faces, cannot_links).where(c("expected") != c("actual")).select(
         F.lit("links_complete").alias("rule"), F.concat_ws("|", "expected", "actual").alias("key")
     )
     side = lambda x: faces.select(c("id").alias(f"face_id_{x}"), c("photo_id").alias(f"p{x}"))

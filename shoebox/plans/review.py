@@ -521,6 +521,9 @@ def split_clusters(
     links = split_links(ws.faces, commands).select(
         "face_id_a", "face_id_b", F.lit("manual_split").alias("reason"), now.cast("string").alias("created_at")
     )
+    # Two faces of one photo are kept apart as they are.
+    photo = ws.faces.select("id", "photo_id")
+    links = reads._pairs_of(links, photo, "photo_id").where("photo_id_a <> photo_id_b").drop("photo_id_a", "photo_id_b")
     added = links.join(ws.cannot_links.select("face_id_a", "face_id_b"), ["face_id_a", "face_id_b"], "left_anti")
     images = [
         face_images(ws, touched), cluster_images(ws, touched), suggestion_images(dropped),
@@ -577,12 +580,8 @@ def merge_clusters(
         people = owners.groupBy("merge_group").agg(F.min("person_id").alias("lo"), F.max("person_id").alias("hi"))
         _refuse(people.where(F.col("lo") != F.col("hi")).select("merge_group"), "clusters belong to different people")
         group = mapping.select("cluster_id", "target")
-        crossing = (
-            reads.crossing_links(ws.cannot_links, ws.faces)
-            .join(group.select(F.col("cluster_id").alias("cluster_id_a"), F.col("target").alias("ta")), "cluster_id_a")
-            .join(group.select(F.col("cluster_id").alias("cluster_id_b"), F.col("target").alias("tb")), "cluster_id_b")
-        )
-        _refuse(crossing.where(F.col("ta") == F.col("tb")).select("face_id_a"), "clusters contain faces that must remain separate")
+        linked = reads.linked_groups(group.withColumnRenamed("target", "group"), ws.faces, ws.cannot_links)
+        _refuse(linked.select("group"), "some faces of the group were kept apart")
     every = mapping.select("cluster_id")
     moved = mapping.where(F.col("cluster_id") != F.col("target")).select("cluster_id", "target")
     targets = mapping.select(F.col("target").alias("cluster_id")).distinct()

@@ -11,7 +11,6 @@ from ..functions.hashing import canonical_json, sha256_hex
 from ..operators.numbering import index_in_group
 from ..operators.rules import RuleViolation
 from ..operators.tables import delete_keys, upsert
-from ..operators.workspace import same_photo_links
 from ..session import cut_lineage
 
 SCAN_STATES = ("pending", "processing", "complete", "error")
@@ -248,8 +247,10 @@ def replace_faces(
     pictures: DataFrame, faces: DataFrame, cannot_links: DataFrame, incoming: DataFrame, scanned: DataFrame,
     *, now: Column,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Replace all faces of the scanned pictures and rebuild their links.
+    """Replace all faces of the scanned pictures.
 
+    The links of a photo's faces follow from the faces; of the exceptions in
+    ``cannot_links``, those of faces that are gone go too.
     ``scanned`` lists photo ids, since a photo may now have no face. Refuses
     when any of them already carries a review decision.
     """
@@ -264,10 +265,6 @@ def replace_faces(
     )
     links = delete_keys(cannot_links, gone.withColumnRenamed("id", "face_id_a"), ["face_id_a"])
     links = delete_keys(links, gone.withColumnRenamed("id", "face_id_b"), ["face_id_b"])
-    fresh = same_photo_links(incoming).select(
-        "face_id_a", "face_id_b", F.lit("same_photo").alias("reason"), now.cast("string").alias("created_at")
-    )
-    links = links.unionByName(fresh.select(*links.columns))
     counts = ids.join(incoming.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n")), "photo_id", "left")
     c = counts.select(F.col("photo_id").alias("id"), F.coalesce("n", F.lit(0)).alias("_n"))
     joined = pictures.join(c, "id", "left")

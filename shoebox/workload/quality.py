@@ -44,7 +44,7 @@ def _(r):
     """Small faces claim a dimension without a vector; one album's people are gone."""
     faces = r.faces.withColumn("embedding", F.when(F.col("quality") == "clusterable", F.array(F.lit(1.0)))).withColumn("embedding_dim", F.lit(1))
     people = r.people.where(F.col("album_id") != "5-LOW")
-    return rule_counts(checks.workspace_violations(faces, r.clusters, people, r.cannot_links))
+    return rule_counts(checks.workspace_violations(faces, r.clusters, people, r.exceptions))
 
 
 @query("d4_manifest_rules", f"""SELECT rule, count(*) AS violations FROM (SELECT 'count' AS rule UNION ALL SELECT 'album' FROM pictures WHERE album_id<>'{ALBUM}' UNION ALL
@@ -112,7 +112,7 @@ def _(r):
   SELECT 'links_complete' WHERE (SELECT sum(face_count::BIGINT*(face_count-1)//2) FROM review_pictures)<>(SELECT count(*) FROM cannot_links)) GROUP BY 1""",
   ("review_pictures", "clusters", "faces", "suggestions", "cannot_links"))
 def _(r):
-    return rule_counts(checks.consistency_violations(r.review_pictures, r.stored_faces, r.clusters, r.stored_links, r.suggestions))
+    return rule_counts(checks.consistency_violations(r.review_pictures, r.stored_faces, r.clusters, r.exceptions, r.suggestions))
 
 
 @query("j9_orphans_and_empty", """SELECT 'orphan_face' AS kind, count(*) AS n FROM faces f WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE c.id=f.cluster_id AND c.status='unreviewed') AND f.status='unreviewed'

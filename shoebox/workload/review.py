@@ -101,7 +101,7 @@ def _(r):
 @query("a12_link_completeness", """SELECT (SELECT coalesce(sum(face_count::BIGINT*(face_count-1)//2),0)::BIGINT FROM review_pictures) AS expected,
   (SELECT count(*) FROM cannot_links) AS actual""", ("review_pictures", "cannot_links"))
 def _(r):
-    return reads.link_completeness(r.review_pictures, r.cannot_links)
+    return reads.link_completeness(r.review_pictures, r.faces)
 
 
 @query("a13_mixed_clusters", "SELECT cluster_id FROM faces WHERE status='labeled' GROUP BY 1 HAVING count(DISTINCT person_id)<>1", ("faces",))
@@ -471,5 +471,5 @@ def _(r):
         "id", F.lit("pending").alias("scan_status"), F.lit(-1).alias("face_count"),
         F.lit(None).cast("string").alias("scan_error"), F.lit(None).cast("string").alias("processed_at"),
     )
-    new_pictures, _faces, _links = replace_faces(pictures, fresh, r.cannot_links, incoming, pictures.select("id"), now=_now())
+    new_pictures, _faces, _links = replace_faces(pictures, fresh, r.exceptions, incoming, pictures.select("id"), now=_now())
     return new_pictures.select("id", "face_count")

@@ -200,12 +200,11 @@ class Roles:
         return cut_lineage(self.faces.select("id", "photo_id", "cluster_id", "person_id", "status"), "faces")
 
     @cached_property
-    def stored_links(self) -> DataFrame:
-        from ..operators.workspace import same_photo_links
-        from ..session import cut_lineage
+    def exceptions(self) -> DataFrame:
+        """What the faces of a photo do not say about links: nothing here."""
+        from .. import schemas
 
-        links = same_photo_links(self.stored_faces)
-        return cut_lineage(links.select("face_id_a", "face_id_b", F.lit("same_photo").alias("reason")), "links")
+        return self.spark.createDataFrame([], schemas.CANNOT_LINKS)
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -230,7 +229,7 @@ class Roles:
         return Workspace(
             pictures=self.pictures.select("id", "album_position"),
             people=self.people.select("id", "display_name", "name_key", "created_at", "updated_at"),
-            clusters=self.clusters, faces=self.faces, cannot_links=self.cannot_links,
+            clusters=self.clusters, faces=self.faces, cannot_links=self.exceptions,
             suggestions=self.suggestions, actions=empty(schemas.ACTIONS), images=empty(IMAGES),
         )
 

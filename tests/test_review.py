@@ -279,3 +279,75 @@ def test_export(spark, ws):
     avatars = reads.best_avatars(out.faces, out.clusters)
     bad = checks.avatar_source_violations(avatars, crops, dims, root="/private", side=320)
     assert [r["rule"] for r in bad.collect()] == ["square_side"]
+
+
+def pairwise(faces, exceptions):
+    """The relation written out: who is linked with whom."""
+    links = {frozenset((a[0], b[0])) for a in faces for b in faces if a[0] < b[0] and a[2] == b[2]}
+    for a, b, reason in exceptions:
+        (links.discard if reason == "absent" else links.add)(frozenset((a, b)))
+    return links
+
+
+def test_links_are_counted_as_if_every_pair_were_stored(spark):
+    import itertools
+    import random
+
+    rng = random.Random(6)
+    faces = [(f"f{i:02d}", f"c{rng.randrange(7)}", f"p{rng.randrange(9)}") for i in range(60)]
+    some = rng.sample(list(itertools.combinations([f[0] for f in faces], 2)), 60)
+    photo = {f[0]: f[2] for f in faces}
+    exceptions = [(a, b, "absent" if photo[a] == photo[b] else "manual_split") for a, b in some]
+    for n in ("f00", "f01"):  # repeated pairs of a photo change nothing
+        exceptions += [(*sorted((n, x)), "same_photo") for x, p in photo.items() if p == photo[n] and x != n and (*sorted((n, x)), "absent") not in exceptions]
+    exceptions = list(dict.fromkeys(exceptions))
+    links = pairwise(faces, exceptions)
+    home = {f[0]: f[1] for f in faces}
+    frame = spark.createDataFrame(faces, "id string, cluster_id string, photo_id string")
+    odd = spark.createDataFrame([(*e, "t") for e in exceptions], schemas.CANNOT_LINKS)
+    for table, there in ((odd, links), (None, pairwise(faces, []))):
+        crossing = {}
+        for pair in there:
+            ends = tuple(sorted({home[x] for x in pair}))
+            if len(ends) == 2:
+                crossing[ends] = crossing.get(ends, 0) + 1
+        every = list(itertools.combinations([f"c{i}" for i in range(7)], 2))
+        asked = spark.createDataFrame([(b, a) if i % 3 == 0 else (a, b) for i, (a, b) in enumerate(every)], "cluster_id_a string, cluster_id_b string")
+        got = {tuple(sorted((r["cluster_id_a"], r["cluster_id_b"]))): r["links"] for r in reads.linked_cluster_pairs(asked, frame, table).collect()}
+        assert got == crossing
+        groups = [("x", "c0"), ("x", "c1"), ("x", "c2"), ("y", "c3"), ("y", "c4"), ("z", "c5")]
+        want = {}
+        for g, members in itertools.groupby(groups, lambda t: t[0]):
+            inside = {c for _g, c in members}
+            want[g] = sum(n for ends, n in crossing.items() if set(ends) <= inside)
+        got = {r["group"]: r["links"] for r in reads.linked_groups(spark.createDataFrame(groups, "group string, cluster_id string"), frame, table).collect()}
+        assert got == {g: n for g, n in want.items() if n}
+        pictures = spark.createDataFrame([(p, 3) for p in sorted(set(photo.values()))], "id string, face_count int")
+        row = reads.link_completeness(pictures, frame, table).head()
+        within = sum(len({photo[x] for x in pair}) == 1 for pair in there)
+        assert (row["expected"], row["actual"]) == (27, within)
+
+
+def test_no_pair_of_faces_is_formed_by_checks_merges_and_scans(spark, ws, monkeypatch):
+    """A photo of very many faces costs one row per cluster, not one per pair."""
+    def never(*_args):
+        raise AssertionError("pairs were written out")
+
+    monkeypatch.setattr(reads, "same_photo_links", never)
+    monkeypatch.setattr(reads, "crossing_links", never)
+    none = ws.cannot_links.limit(0)
+    crowd = ws.faces.where(F.col("id") == face("label")).crossJoin(spark.range(3000).withColumnRenamed("id", "n"))
+    crowd = crowd.select(*[F.concat("id", F.col("n").cast("string")).alias("id") if c == "id" else F.concat(F.lit("c"), F.col("n") % 1000).alias(c) if c == "cluster_id" else F.col(c) for c in ws.faces.columns])
+    wide = replace_ws(ws, faces=crowd, cannot_links=none)
+    assert checks.consistency_violations(wide.pictures, crowd, wide.clusters, none, wide.suggestions).where("rule = 'suggestion_blocked'").isEmpty()
+    linked = reads.linked_groups(spark.createDataFrame([("g", "c1"), ("g", "c2")], "group string, cluster_id string"), crowd)
+    assert linked.head()["links"] == 9
+    blocked = commands(spark, [("g", group("blocked_a")), ("g", group("blocked_b"))], "merge_group cluster_id")
+    with pytest.raises(review.ReviewConflict):
+        review.merge_clusters(replace_ws(ws, cannot_links=none), blocked, mutation_id="mutation-2", now=now())
+
+
+def replace_ws(ws, **changes):
+    from dataclasses import replace
+
+    return replace(ws, **changes)

@@ -12,6 +12,7 @@ from shoebox.functions.hashing import set_digest
 from shoebox.operators import facets
 from shoebox.operators.rules import RuleViolation, compare_fields
 from shoebox.operators.tables import set_differences
+from shoebox.operators.workspace import same_photo_links
 from shoebox.plans import checks, ingest, publish, scan, upload
 from shoebox.sources import files, jsonlines, snapshots
 from shoebox.streaming.fold import fold_stream
@@ -163,12 +164,14 @@ def test_scan_storage(spark):
     )
     face = "id string, photo_id string, status string, person_id string"
     faces = spark.createDataFrame([("f1", "p2", "unreviewed", None)], face)
-    links = spark.createDataFrame([], schemas.CANNOT_LINKS)
+    links = spark.createDataFrame([("f1", "x", "manual_split", "t"), ("x", "y", "manual_split", "t")], schemas.CANNOT_LINKS)
     incoming = spark.createDataFrame([(f"g{i}", "p1", "unreviewed", None) for i in range(3)], face)
     both = spark.createDataFrame([("p1",), ("p2",)], "id string")
     new_pictures, new_faces, new_links = scan.replace_faces(pictures, faces, links, incoming, both, now=F.lit("t1"))
     assert {r["id"]: (r["scan_status"], r["face_count"]) for r in new_pictures.collect()} == {"p1": ("complete", 3), "p2": ("complete", 0)}
-    assert new_faces.count() == 3 and new_links.count() == 3
+    # The three links of the photo follow from its faces; exceptions of faces that are gone go too.
+    assert new_faces.count() == 3 and same_photo_links(new_faces).count() == 3
+    assert [(r["face_id_a"], r["face_id_b"]) for r in new_links.collect()] == [("x", "y")]
     reviewed = faces.withColumn("status", F.lit("ignored"))
     with pytest.raises(RuleViolation):
         scan.replace_faces(pictures, reviewed, links, incoming, both, now=F.lit("t1"))
