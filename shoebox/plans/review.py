@@ -1,16 +1,18 @@
 """Review decisions as set-based changes over the face workspace.
 
 Every decision takes a table of commands, so one call may decide one cluster
-or millions. A checked decision writes the tables it changed to the shared
-folder and returns the workspace made of them; with ``check=False`` it only
-returns plans. Before-images are kept one row per changed row, so undo is a
-join and no single value grows with the size of a decision.
+or millions. A checked decision writes the rows it changed to the shared
+folder, as a layer over each table, and returns the workspace that reads
+through them; with ``check=False`` it only returns plans. Before-images are
+kept one row per changed row; they name the keys a decision touches, so what
+is written, by an undo too, grows with the decision and not with the tables.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, fields, replace
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -20,6 +22,7 @@ from ..functions.hashing import person_id_from_name_key
 from ..functions.text import first_name, name_key
 from ..operators import workspace as reads
 from ..operators.agglomerate import member_digest
+from ..operators.layers import Layered
 from ..operators.tables import delete_keys, insert_missing, patch, upsert
 from ..session import cut_lineage
 
@@ -49,6 +52,8 @@ class Workspace:
     suggestions: DataFrame
     actions: DataFrame
     images: DataFrame
+    #: How the tables that decisions have changed are layered, by name.
+    layers: Mapping[str, Layered] = field(default_factory=dict)
 
 
 def _refuse(rows: DataFrame, message: str) -> None:
@@ -198,26 +203,46 @@ def high_watermark(ws: Workspace) -> DataFrame:
     return ws.actions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("action_high_watermark"))
 
 
-def settled(before: Workspace, after: Workspace) -> Workspace:
-    """Write the tables a decision changed, so the next one starts from data.
+#: The keys of the tables that decisions change; before-images name rows by them.
+KEYS = {
+    "faces": ("id",), "clusters": ("id",), "people": ("id",), "suggestions": ("cluster_id_a", "cluster_id_b"),
+    "cannot_links": ("face_id_a", "face_id_b"), "actions": ("id",),
+}
 
-    A decision reads its inputs several times; without this, plans of
-    consecutive decisions would multiply.
+
+def settled(before: Workspace, after: Workspace, touched: DataFrame, action: DataFrame, images: DataFrame | None = None) -> Workspace:
+    """Write what a decision changed, so the next one starts from data.
+
+    touched: (table_name, key) of the rows it may have changed, as its images
+    name them. action: the ids of the actions written or marked. images: the
+    before-images it adds.
     """
-    changed = {
-        f.name: cut_lineage(getattr(after, f.name), f.name)
-        for f in fields(Workspace)
-        if getattr(after, f.name) is not getattr(before, f.name)
-    }
-    return replace(after, **changed)
+    layers, tables = dict(before.layers), {}
+    for name, key in KEYS.items():
+        new = getattr(after, name)
+        if new is getattr(before, name):
+            continue
+        keys = action.select(F.col("id").cast("string").alias("key")) if name == "actions" else touched.where(F.col("table_name") == name).select("key")
+        layers[name] = layers.get(name, Layered(getattr(before, name), key)).changed(new, keys)
+        tables[name] = layers[name].view()
+    if images is not None:
+        layers["images"] = layers.get("images", Layered(before.images)).appended(images)
+        tables["images"] = layers["images"].view()
+    return replace(after, layers=layers, **tables)
 
 
 def _log(before, after, action_type, mutation_id, images, now, write) -> Workspace:
     out = images[0]
     for more in images[1:]:
         out = out.unionByName(more)
+    if not write:
+        return append_action(after, action_type, mutation_id, "{}", out, now)
+    # Read once: they are written as a layer and name the keys of all others.
+    out = cut_lineage(out, "images")
     logged = append_action(after, action_type, mutation_id, "{}", out, now)
-    return settled(before, logged) if write else logged
+    added = cut_lineage(logged.actions.where(F.col("client_mutation_id") == mutation_id).select("id"), "action")
+    tagged = out.crossJoin(F.broadcast(added.withColumnRenamed("id", "action_id"))).select(*IMAGES.names)
+    return settled(before, logged, out, added, tagged)
 
 
 # Decisions --------------------------------------------------------------------
@@ -644,4 +669,7 @@ def undo_last(ws: Workspace, now: Column, *, write: bool = True) -> tuple[Worksp
         ws, faces=faces, clusters=clusters, people=people, suggestions=suggestions,
         cannot_links=links, actions=ws.actions.withColumn("undone_at", stamp),
     )
-    return (settled(ws, undone) if write else undone), latest["action_type"]
+    if write:
+        stamped = ws.actions.where(F.col("id") == latest["id"]).select("id")
+        undone = settled(ws, undone, images, stamped)
+    return undone, latest["action_type"]

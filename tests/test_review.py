@@ -351,3 +351,49 @@ def replace_ws(ws, **changes):
     from dataclasses import replace
 
     return replace(ws, **changes)
+
+
+def test_a_decision_writes_its_rows_only(spark, ws, monkeypatch):
+    """Bytes written grow with the decision, undo included; reads merge the layers."""
+    from shoebox.operators import layers
+
+    written = []
+    write = layers.Layered._write
+
+    def spy(self, rows):
+        out = write(self, rows)
+        written.append((self.key, spark.read.parquet(out.paths[-1]).count() if out.paths else None))
+        return out
+
+    monkeypatch.setattr(layers.Layered, "_write", spy)
+    many = ws.faces.where(F.col("id") == face("label")).crossJoin(spark.range(500).withColumnRenamed("id", "n"))
+    many = many.select(*[F.concat(F.lit("g"), "n").alias(c) if c == "id" else F.concat(F.lit("d"), "n").alias(c) if c in ("cluster_id", "photo_id") else F.col(c) for c in ws.faces.columns])
+    ws = replace_ws(ws, faces=ws.faces.unionByName(many))
+    before = snapshot(ws)
+    out = label(spark, ws, "Ann", "split", "mutation-1")
+    # Two faces, one cluster, one person, one action, four images.
+    assert sorted(n for _k, n in written) == [1, 1, 1, 2, 4]
+    undone, _kind = review.undo_last(out, now())
+    assert max(n for _k, n in written) == 4 and snapshot(undone) == before
+    again = label(spark, undone, "Bea", "split", "mutation-2")
+    assert {r["display_name"] for r in again.people.collect()} == {"Bea"} and again.faces.count() == 509
+    # The plan of a read does not grow with the layers.
+    joins = [str(w.faces._jdf.queryExecution().optimizedPlan().toString()).count("Join") for w in (out, undone, again)]
+    assert len(set(joins)) == 1
+
+
+def test_layers_are_folded_into_a_new_base(spark, monkeypatch):
+    from shoebox.operators import layers
+
+    monkeypatch.setattr(layers, "MAX_LAYERS", 2)
+    base = spark.createDataFrame([(i, f"v{i}", None) for i in range(5)], "id long, v string, w array<int>")
+    table, want = layers.Layered(base, ("id",)), {i: f"v{i}" for i in range(5)}
+    for step in range(6):
+        after = table.view().where(F.col("id") != step).withColumn("v", F.when(F.col("id") == step + 1, F.lit(f"s{step}")).otherwise(F.col("v")))
+        after = after.union(spark.createDataFrame([(10 + step, "new", [step])], "id long, v string, w array<int>"))
+        table = table.changed(after, spark.createDataFrame([(str(k),) for k in (step, step + 1, 10 + step)], "key string"))
+        want.pop(step, None)
+        want.update({step + 1: f"s{step}"} if step + 1 in want else {})
+        want[10 + step] = "new"
+        assert {r["id"]: r["v"] for r in table.view().collect()} == want and len(table.paths) <= 2
+        assert table.view().schema == base.schema or table.view().columns == base.columns
