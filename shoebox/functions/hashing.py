@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -81,28 +82,45 @@ def canonical_sha256(**fields: Column) -> Column:
     return sha256_hex(canonical_json(**fields))
 
 
-def set_digest(
-    df: DataFrame, columns: Sequence[str], *, alias: str = "digest", bucket_hex: int = 3
-) -> DataFrame:
-    """One-row digest of a multiset of rows, independent of their order.
+#: Hex digits of a row's hash that name a node, level by level, up to the root.
+LEVELS = (12, 8, 4, 0)
+
 
-    Rows are hashed and counted first, so copies of one row collapse before
-    the shuffle and no bucket can be filled by them. Distinct hashes are then
-    digested per hash-prefix bucket (16**bucket_hex of them) and the bucket
-    digests, whose number is fixed, are digested once more.
+def row_tokens(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(h, t): the hash of each distinct row and its token, hash and number of copies.
+
+    Copies collapse before the shuffle, so they cannot fill a node.
     """
     row_hash = sha256_hex(canonical_json(**{c: F.col(c).cast("string") for c in columns}))
     counted = df.select(row_hash.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    token = F.concat(F.col("h"), F.lit(":"), F.col("n").cast("string"))
-    buckets = (
-        counted.select(F.substring("h", 1, bucket_hex).alias("b"), token.alias("t"))
-        .groupBy("b")
-        .agg(sha256_hex(F.array_join(F.sort_array(F.collect_list("t")), "\n")).alias("d"))
-    )
-    return buckets.agg(
-        sha256_hex(
-            F.array_join(
-                F.sort_array(F.collect_list(F.concat("b", F.lit("="), "d"))), "\n"
-            )
-        ).alias(alias)
-    )
+    return counted.select("h", F.concat(F.col("h"), F.lit(":"), F.col("n").cast("string")).alias("t"))
+
+
+def _level(nodes: DataFrame, digits: int) -> DataFrame:
+    """(h, t) of the nodes one level up: a prefix, and the digest of what lies below it."""
+    below = nodes.select(F.substring("h", 1, digits).alias("h") if digits else F.lit("").alias("h"), "t")
+    joined = below.groupBy("h").agg(sha256_hex(F.array_join(F.sort_array(F.collect_list("t")), "\n")).alias("d"))
+    return joined.select("h", F.concat("h", F.lit("="), "d").alias("t"), "d")
+
+
+def digest_nodes(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
+    """(prefix, digest) of one level of the tree, ``digits`` being one of LEVELS.
+
+    Two versions of a table differ below exactly the prefixes whose digests
+    differ, and the nodes of tables without a prefix in common are a union.
+    """
+    nodes = row_tokens(df, columns)
+    for level in LEVELS[: LEVELS.index(digits) + 1]:
+        nodes = _level(nodes, level)
+    return nodes.select(F.col("h").alias("prefix"), F.col("d").alias("digest"))
+
+
+def set_digest(df: DataFrame, columns: Sequence[str], *, alias: str = "digest") -> DataFrame:
+    """One-row digest of a multiset of rows, independent of their order.
+
+    The root of a tree over the rows' hashes, of one shape for every size. A
+    node joins its children's digests: at most 16**4 of them, below the last
+    level as many rows as share 48 bits of their hash, few in any table.
+    """
+    empty = F.lit(hashlib.sha256(b"").hexdigest())
+    return digest_nodes(df, columns, 0).agg(F.coalesce(F.min("digest"), empty).alias(alias))

@@ -6,14 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.numbering import keep_last
-from ..sources.snapshots import current_version, publish, read_current
-
-
-def fold_batch(current: DataFrame | None, batch: DataFrame, key: Sequence[str], sequence: str) -> DataFrame:
-    """Latest row per key over a snapshot and new rows; safe to repeat."""
-    rows = batch if current is None else current.unionByName(batch.select(*current.columns))
-    return keep_last(rows, key, sequence)
+from ..sources.snapshots import publish_layer
 
 
 def fold_stream(
@@ -30,17 +23,17 @@ def fold_stream(
 ):
     """Start the fold over the files of ``log_path``; restarts resume.
 
-    Each micro-batch publishes a new snapshot. A replayed batch gives the same
-    rows, so at-least-once delivery is enough.
+    Each micro-batch publishes a layer with the latest rows of its own keys;
+    the table is not read for it. A replayed batch gives the same rows, so
+    at-least-once delivery is enough. ``snapshots.read_current`` merges the
+    layers, and every few batches they are folded into one.
     """
     source = spark.readStream.schema(schema).format(file_format).load(log_path)
     if kind is not None:
         source = source.where(F.col("type") == kind)
 
     def apply(batch: DataFrame, _epoch: int) -> None:
-        session = batch.sparkSession
-        current = read_current(session, table_root) if current_version(session, table_root) else None
-        publish(fold_batch(current, batch, key, sequence), table_root)
+        publish_layer(batch, table_root, key, sequence)
 
     return (
         source.writeStream.foreachBatch(apply)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import workspace as reads
 from ..operators.rules import compare_fields, rule_counts
 from ..plans import checks, export, ingest
-from .registry import query
-from .roles import ALBUM, PREFIX
+from .registry import query, tree_sql
+from .roles import ALBUM, PREFIX, with_roles
 
 
 @query("d1_catalog_rules", """SELECT rule, count(*) AS violations FROM (
@@ -152,19 +152,31 @@ def _(r):
     return rule_counts(checks.bulk_ignore_preflight(r.clusters, r.faces).where(F.col("rule") != "empty_clusters"))
 
 
-@query("a17_protected_digest", "SELECT true AS unchanged")
+def _protected_sql():
+    text = lambda **f: "sha256(json_object(" + ",".join(f"'{k}',{v}" for k, v in sorted(f.items())) + ")::VARCHAR) AS h"
+    people = text(id="id", display_name="display_name", name_key="name_key", created_at="'t0'", updated_at="'t0'")
+    clusters = text(id="id", status="status", person_id="person_id", revision="'0'", reviewed_at="NULL", updated_at="'t0'")
+    faces = text(id="id", cluster_id="cluster_id", person_id="person_id", status="status", revision="'0'", updated_at="'t0'")
+    kept = "WHERE status IN ('labeled','unknown')"
+    parts = [f"SELECT {people} FROM people", f"SELECT {clusters} FROM clusters {kept}", f"SELECT {faces} FROM faces {kept}"]
+    p, c, f = (f"({tree_sql(x)})" for x in parts)
+    return f"WITH d AS (SELECT sha256({p}||chr(10)||{c}||chr(10)||{f}) AS x) SELECT x AS protected_digest, x AS after FROM d"
+
+
+@query("a17_protected_digest", with_roles(_protected_sql(), ("people", "clusters", "faces")).replace("\nWITH d AS", ",\nd AS"))
 def _(r):
-    """Ignoring what is unreviewed leaves the protected rows' digest alone."""
+    """Ignoring what is unreviewed leaves the digest of all protected rows alone."""
     from ..plans.review import ignore_unreviewed
     from .roles import NOW
 
     ws = r.workspace
-    # Unknown clusters among the targets would gain rows; protect faces and people.
     after = ignore_unreviewed(ws, mutation_id="ignore-all-1", now=F.lit(NOW), check=False)[0]
-    none = ws.clusters.limit(0)
-    before_digest = checks.protected_digest(ws.people, none, ws.faces)
-    after_digest = checks.protected_digest(after.people, none, after.faces).withColumnRenamed("protected_digest", "after")
-    return before_digest.crossJoin(F.broadcast(after_digest)).select((F.col("protected_digest") == F.col("after")).alias("unchanged"))
+    # A target that keeps an unknown face becomes unknown; it was not protected before.
+    targets = ws.clusters.where(F.col("status") == "unreviewed").select("id")
+    clusters = after.clusters.join(targets, "id", "left_anti")
+    before_digest = checks.protected_digest(ws.people, ws.clusters, ws.faces)
+    after_digest = checks.protected_digest(after.people, clusters, after.faces).withColumnRenamed("protected_digest", "after")
+    return before_digest.crossJoin(F.broadcast(after_digest))
 
 
 @query("d11_changed_settings", """SELECT field, count(*) AS differences FROM (SELECT 'id' AS field FROM pictures WHERE o_orderstatus='O' UNION ALL SELECT 'scan_key' FROM pictures WHERE o_orderstatus='P') GROUP BY 1""", ("pictures",))

@@ -22,3 +22,12 @@ def query(name: str, sql: str | None = None, roles: tuple[str, ...] = ()):
         return fn
 
     return register
+
+
+def tree_sql(rows: str) -> str:
+    """The root of the digest tree over the hashes ``h`` that ``rows`` selects."""
+    nodes = f"SELECT h, h||':'||count(*) AS t FROM ({rows}) GROUP BY h"
+    for digits in (12, 8, 4, 0):
+        joined = "sha256(string_agg(t, chr(10) ORDER BY t))"
+        nodes = f"SELECT p AS h, p||'='||{joined} AS t, {joined} AS d FROM (SELECT substr(h,1,{digits}) AS p, t FROM ({nodes})) GROUP BY p"
+    return f"SELECT d FROM ({nodes})"

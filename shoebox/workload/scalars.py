@@ -8,7 +8,7 @@ from ..functions import coerce, geometry, hashing, keys, signing, text, vectors
 from ..functions.cursor import cursor_column
 from ..operators.paging import shuffle_key
 from ..plans import ingest
-from .registry import query
+from .registry import query, tree_sql
 from .roles import PREFIX, SEED
 
 SECRET = b"an-example-secret-of-32-bytes-ok"
@@ -107,13 +107,18 @@ def _(r):
     )
 
 
-@query("x11_set_digest", """SELECT sha256(string_agg(b||'='||d, chr(10) ORDER BY b||'='||d)) AS digest FROM (
-  SELECT substr(h,1,3) AS b, sha256(string_agg(h||':'||n, chr(10) ORDER BY h||':'||n)) AS d FROM (
-  SELECT h, count(*) AS n FROM (SELECT sha256(json_object('lang',lang,'text',text)::VARCHAR) AS h FROM documents) GROUP BY 1) GROUP BY 1)""")
+@query("x11_set_digest", f"""SELECT ({tree_sql("SELECT sha256(json_object('lang',lang,'text',text)::VARCHAR) AS h FROM documents")}) AS digest""")
 def _(r):
     return hashing.set_digest(r.table("documents"), ["lang", "text"])
 
 
+@query("x11_digest_nodes", """SELECT prefix, sha256(string_agg(h||':'||n, chr(10) ORDER BY h||':'||n)) AS digest FROM (
+  SELECT substr(h,1,12) AS prefix, h, count(*) AS n FROM (SELECT sha256(json_object('lang',lang,'text',text)::VARCHAR) AS h FROM documents) GROUP BY 1, 2) GROUP BY 1""")
+def _(r):
+    """The lowest level of the tree; two tables differ below the prefixes that differ."""
+    return hashing.digest_nodes(r.table("documents"), ["lang", "text"], 12)
+
+
 def _expires(r):
     return signing.expiry(F.lit(float(NOW_S)) + F.col("page_id"), F.col("page_id") * 1000)
 

@@ -256,6 +256,18 @@ def test_suggestions_respect_pictures_and_links(spark):
     assert {(r["cluster_id_a"], r["cluster_id_b"]) for r in few} == {("a", "b"), ("a", "c")}
 
 
+def test_a_large_group_is_digested_in_pieces(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(agglomerate, "PIECE_IDS", 7)
+    rows = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 5 + 2).alias("g"), F.concat(F.lit("é"), "id").alias("id")).repartition(9)
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r["g"], []).append(r["id"])
+    got = {r["g"]: r["digest"] for r in member_digest(rows, "g").collect()}
+    assert got == {g: hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest() for g, ids in want.items()}
+
+
 def test_group_ids_have_one_formula(spark):
     rows = spark.range(50).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("id"))
     import hashlib

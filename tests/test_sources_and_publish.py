@@ -8,7 +8,7 @@ from pyspark.sql import functions as F, types as T
 
 from shoebox import schemas
 from shoebox.functions import text
-from shoebox.functions.hashing import set_digest
+from shoebox.functions.hashing import digest_nodes, set_digest
 from shoebox.operators import facets
 from shoebox.operators.rules import RuleViolation, compare_fields
 from shoebox.operators.tables import set_differences
@@ -85,6 +85,38 @@ def test_stream_fold_equals_batch_and_resumes(spark, tmp_path):
     assert got == {(r["signature"], r["seq"]) for r in batch.collect()}
 
 
+def test_concurrent_writers_never_lose_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/t"
+    add = lambda n: snapshots.update(spark, root, lambda old: spark.range(n, n + 1) if old is None else old.union(spark.range(n, n + 1)))
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(add, range(12)))
+    assert sorted(versions) == list(range(1, 13)) == snapshots._versions(spark, root)
+    assert sorted(r[0] for r in snapshots.read_current(spark, root).collect()) == list(range(12))
+    with pytest.raises(snapshots.VersionConflict):
+        snapshots.publish(spark.range(1), root, expected=3)
+    with ThreadPoolExecutor(8) as pool:
+        assert sorted(pool.map(lambda i: snapshots.create_once(spark, root, "one", str(i)), range(16))) == [False] * 15 + [True]
+    assert not [f for f in (tmp_path / "t").iterdir() if f.name.startswith(".one")]
+
+
+def test_a_layer_holds_its_own_keys_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MAX_LAYERS", 3)
+    root, want = f"{tmp_path}/t", {}
+    for step in range(8):
+        rows = [(k, 10 * step + i) for i, k in enumerate((f"k{step}", "hot", "hot"))]
+        want.update(dict(rows))
+        if step == 5:
+            rows.append(("k0", -1))  # late and old: does not count
+        snapshots.publish_layer(spark.createDataFrame(rows, "key string, seq long"), root, ["key"], "seq")
+        entries = snapshots._entries(spark, root)
+        assert len(entries) <= 3
+        if entries[-1].key:
+            assert spark.read.parquet(entries[-1].path).count() == len({k for k, _s in rows})
+        assert {r["key"]: r["seq"] for r in snapshots.read_current(spark, root).collect()} == want
+
+
 def now():
     return F.to_timestamp(F.lit("2030-01-01 00:00:00"))
 
@@ -208,6 +240,16 @@ def test_digest_ignores_order_but_not_copies(spark):
     a = set_digest(rows, ["v"]).head()[0]
     assert a == set_digest(rows.orderBy(F.rand()), ["v"]).head()[0]
     assert a != set_digest(rows.distinct(), ["v"]).head()[0]
+    empty = rows.limit(0)
+    assert set_digest(empty, ["v"]).head()[0] == hashlib.sha256(b"").hexdigest() and digest_nodes(empty, ["v"], 4).count() == 0
+    # A change shows below one prefix, and nodes without common prefixes add up.
+    many = spark.range(500).select(F.col("id").cast("string").alias("v"))
+    other = many.withColumn("v", F.when(F.col("v") == "77", "x").otherwise(F.col("v")))
+    nodes = lambda df, n: {(r["prefix"], r["digest"]) for r in digest_nodes(df, ["v"], n).collect()}
+    for digits in (12, 8, 4):
+        assert len(nodes(many, digits) ^ nodes(other, digits)) <= 3
+    low, high = many.where("cast(v as int) < 250"), many.where("cast(v as int) >= 250")
+    assert nodes(low, 12) | nodes(high, 12) == nodes(many, 12)
 
 
 def test_text_functions(spark):
