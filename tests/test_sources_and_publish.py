@@ -35,6 +35,29 @@ def test_inventory_and_fingerprints(spark, tmp_path):
     assert prints["b.webp"] == hashlib.sha256(b"b.webp").hexdigest()
 
 
+def test_files_of_any_size_and_name_are_hashed_in_pieces(spark, tmp_path):
+    want = {}
+    for i, name in enumerate(("a b%20c.jpg", "é/ü #1.jpg", "x.jpg")):
+        data = bytes(range(256)) * (i * 37 + 1)
+        write(tmp_path / name, data)
+        want[name.rsplit("/", 1)[-1]] = (len(data), hashlib.sha256(data).hexdigest())
+    write(tmp_path / "unlisted.bin", b"never opened")
+    (tmp_path / "unlisted.bin").chmod(0)
+    big = tmp_path / "huge.jpg"
+    size = (1 << 31) + 5  # more than a binary value can hold; sparse on disk
+    with big.open("wb") as out:
+        out.truncate(size)
+    zeros, digest = bytes(1 << 20), hashlib.sha256()
+    for _ in range(size >> 20):
+        digest.update(zeros)
+    digest.update(bytes(5))
+    want["huge.jpg"] = (size, digest.hexdigest())
+    listed = files.inventory(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in files.hash_files(listed, chunk_bytes=1 << 20).collect()}
+    assert got == want
+    assert files.hash_files(listed.limit(0)).count() == 0
+
+
 def test_strict_tolerant_and_ledger_reads(spark, tmp_path):
     good = "".join(json.dumps({"seq": i, "key": f"k{i}"}) + "\n\n" for i in range(5))
     write(tmp_path / "good.json", good)
