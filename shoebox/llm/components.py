@@ -15,7 +15,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges: a, b. Alternates large-star and small-star steps until each
     component is a star. A step is one minimum per node and one join, so no
     node's neighbours are ever gathered; the number of edges never grows.
-    Returns node, root for all nodes but the roots.
+    Returns node, root for all nodes but the roots. A step halves the depth of
+    a component at least; running out of ``rounds`` raises, since the roots
+    would be wrong.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = cut_lineage(e, "edges")
@@ -39,6 +41,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             e.groupBy("a").count().where("count > 1").isEmpty()
         ):
             break
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -60,9 +60,10 @@ def set_id(shingle_hashes: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, unit (null without shingles) and band keys of every text."""
+    """doc_id, n_shingles, unit (null without shingles) and band keys of every text; columns after doc_id and text stay."""
     small_batches(docs.sparkSession)
     coordinates = bands * rows
+    more = docs.columns[2:]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,12 +81,16 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     keys.append(found[at] if n[i] else None)
                     at += bool(n[i])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(units, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "unit", "bands"],
+                [
+                    batch.column(0), pa.array(counts, pa.int64()), pa.array(units, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                    *[batch[c] for c in more],
+                ],
+                ["doc_id", "n_shingles", "unit", "bands", *more],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        look, "doc_id bigint, n_shingles bigint, unit bigint, bands array<bigint>"
+    kept = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in more)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *more).mapInArrow(
+        look, f"doc_id bigint, n_shingles bigint, unit bigint, bands array<bigint>{kept}"
     )
 
 
@@ -172,7 +177,11 @@ def _verify(tiles: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
 
 
 def link_components(docs: DataFrame, *, size: int, share: tuple[int, int], bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, unit, component_id of every document; see ``near_duplicates``."""
+    """doc_id, n_shingles, unit, component_id, root of every document; see ``near_duplicates``.
+
+    root is a unit that names the component, null without shingles. Columns
+    after doc_id and text stay.
+    """
     drawn = cut_lineage(sketch(docs, size, bands, rows), "sketches")
     units = cut_lineage(
         drawn.where(F.col("unit").isNotNull()).groupBy("unit").agg(
@@ -237,10 +246,11 @@ def link_components(docs: DataFrame, *, size: int, share: tuple[int, int], bands
     roots = components(links)
     rooted = units.select("unit", "id").join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component"))
-    by_unit = rooted.join(least, "root").select("unit", "component")
-    named = drawn.select("doc_id", "n_shingles", "unit").join(by_unit, "unit", "left")
+    by_unit = rooted.join(least, "root").select("unit", "component", "root")
+    more = docs.columns[2:]
+    named = drawn.select("doc_id", "n_shingles", "unit", *more).join(by_unit, "unit", "left")
     component = F.when(F.col("unit").isNull(), F.col("doc_id")).otherwise(F.nullif("component", F.lit(NO_ID)))
-    return named.select("doc_id", "n_shingles", "unit", component.alias("component_id"))
+    return named.select("doc_id", "n_shingles", "unit", component.alias("component_id"), "root", *more)
 
 
 def near_duplicates(
@@ -263,23 +273,41 @@ def near_duplicates(
     take part but name no component; where no row of a component has an id,
     component_id is null and kept is true. An empty table gives no rows.
     """
-    found = link_components(docs, size=size, share=share, bands=bands, rows=rows)
+    found = link_components(docs.select("doc_id", "text"), size=size, share=share, bands=bands, rows=rows)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one_per_group(docs: DataFrame, *, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns.
-
-    Of rows that repeat a doc_id and its text one stays; rows without a
-    doc_id, which nothing can name, all stay.
+def keep_one_per_group(
+    docs: DataFrame, *, size: int = 5, share: tuple[int, int] = (80, 100), bands: int = 50, rows: int = 6
+) -> DataFrame:
+    """One document of each component of ``near_duplicates``, with all its columns.
+
+    The one of smallest doc_id stays (null last, then by the text's hash). A
+    row is told by its doc_id and its text: where a doc_id stands with two
+    texts, each shares the fate of its own text, and rows without doc_id go
+    and stay like any other. Of rows that repeat a doc_id and its text one
+    stays; texts without words link with nothing. Columns keep their names and
+    values, whatever they are called; very long texts are hashed whole; an
+    empty table stays empty.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), size=size, share=share)
-    found = cut_lineage(found.select("doc_id", "kept"), "kept")
-    stay = without(docs, "doc_id", found.where("not kept and doc_id is not null").select("doc_id"), "doc_id")
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    key = F.concat_ws(
+        "|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(text).cast("string"), F.xxhash64(F.lit(1), text).cast("string")
+    )
+    found = link_components(docs.select("doc_id", "text", key.alias("key")), size=size, share=share, bands=bands, rows=rows)
+    # Rows of one key share everything else.
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id"), F.min("root").alias("root"))
+    keys = cut_lineage(keys, "keys")
+    linked = keys.where("root IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("first")
+    winners = linked.groupBy("root").agg(first).select("first.key")
+    losers = cut_lineage(linked.join(winners, "key", "left_anti").select("key"), "losers")
+    # The row travels as one value, so that its names meet no others.
+    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    stay = without(whole, "key", losers, "key")
+    again = keys.where("times > 1 AND (doc_id IS NOT NULL OR root IS NOT NULL)").select("key")
     if again.isEmpty():
-        return stay
-    once = without(stay, "doc_id", again, "doc_id")
-    several = likely(stay, "doc_id", again, "doc_id").join(again, "doc_id", "left_semi")
-    row = F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")
-    return once.unionByName(several.groupBy("doc_id", F.xxhash64("text").alias("_text")).agg(row).select("_row.*"))
+        return stay.select("row.*")
+    once = without(stay, "key", again, "key")
+    several = likely(stay, "key", again, "key").join(again, "key", "left_semi")
+    return once.select("row.*").unionByName(several.groupBy("key").agg(F.first("row").alias("row")).select("row.*"))

@@ -65,7 +65,7 @@ def solve_tilts(
     all sources at once, from sums over ``sizes`` (sid, size, n: the documents
     of a source that share a size), with bisection wherever Newton leaves the
     bracket known so far. A target at the cap needs no tilt but infinity,
-    written as 1e300.
+    written as 1e300. Running out of ``rounds`` raises.
     """
     scale = F.when(F.col("source_size") > 0, F.col("square") / F.col("source_size")).otherwise(1.0)
     full = (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)) & (F.col("source_size") > 0)
@@ -112,6 +112,8 @@ def solve_tilts(
         )
         if state.where(~F.col("settled")).isEmpty():
             break
+    else:
+        raise RuntimeError(f"some source misses its target after {rounds} rounds")
     # Sums of doubles may differ in their last bits between runs; nine digits do not.
     return state.withColumn("tilt", F.when(F.col("tilt") < 1e300, F.round("tilt", 9)).otherwise(F.col("tilt")))
 
@@ -196,22 +198,22 @@ def mix_documents(
     """The mix itself: every document as often as ``mix_sources`` takes it, all columns.
 
     Rows that share doc_id, source and size share their copies; where these do
-    not divide evenly, a hash of the row's place decides who gets one more.
+    not divide evenly, a hash of the row's place decides who gets one more. A
+    null or empty text has no words and is never taken; columns keep their
+    names and values, whatever they are called; an empty table gives no rows.
     """
     mixed = mix_sources(docs, weights=weights, share=share, cap=cap)
-    many = mixed.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("_n"), F.sum("copies").alias("_copies"))
-    many = cut_lineage(many.where("_copies > 0").select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")], "_n", "_copies"), "copies")
+    many = mixed.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies"))
+    many = cut_lineage(many.where("copies > 0").select(*[F.col(c).alias(f"mixed_{c}") for c in ("doc_id", "source", "size", "rows", "copies")]), "copies")
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint")
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_n"))
-    own = F.floor(F.col("_copies") / F.col("_n")) + (place < F.col("_copies") % F.col("_n")).cast("bigint")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("mixed_rows"))
+    own = F.floor(F.col("mixed_copies") / F.col("mixed_rows")) + (place < F.col("mixed_copies") % F.col("mixed_rows")).cast("bigint")
+    # The row travels as one value, so that its names meet no others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("size"))
     # One row per document: it grows with the corpus, so it is shuffled at every size.
-    met = docs.withColumn("_words", size).join(
+    met = rows.join(
         many.hint("merge"),
-        F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")),
-    )
-    return (
-        met.withColumn("_own", F.when(F.col("_n") == 1, F.col("_copies")).otherwise(own))
-        .where("_own > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_own"))))
-        .select(*docs.columns)
+        F.col("doc_id").eqNullSafe(F.col("mixed_doc_id")) & F.col("source").eqNullSafe(F.col("mixed_source")) & (F.col("size") == F.col("mixed_size")),
     )
+    taken = met.select("row", F.when(F.col("mixed_rows") == 1, F.col("mixed_copies")).otherwise(own).alias("own")).where("own > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("own"))).alias("copy")).select("row.*")

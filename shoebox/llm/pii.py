@@ -31,8 +31,13 @@ PATTERNS = {
 }
 NATIONAL = r"(?<![0-9+(])\([0-9]{3}\)[\x20-][0-9]{3}-[0-9]{4}(?![0-9-])|(?<![0-9+.-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"\b(?i:token|secret|api[_-]?key|password)\x20?[=:]\x20?\x22?[A-Za-z0-9_+/-]{16,256}+"
-NAME = r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20[A-Z][a-z]{1,30}\b"
+# Of any length; dots and equals signs inside or equals signs at the end belong to it.
+SECRET = (
+    r"\b(?i:token|secret|api[_-]?key|password)\x20?[=:]\x20?\x22?(?=[A-Za-z0-9_+/.=-]{16})"
+    r"[A-Za-z0-9_+/-]++(?:[.=]++[A-Za-z0-9_+/-]++)*+=*+"
+)
+# All capitalised words after a title.
+NAME = r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?(?:\x20\p{Lu}[\p{L}\p{M}\x27’-]++)++"
 MORE = f"{NATIONAL}|{SSN}|{SECRET}|{NAME}"
 
 CUES = r"(?i)(?:call|tel|phone|fax|mobile|mail|contact|reach|card|visa|account|host|address|server|login|ssn|credential)[^\n]{0,12}$"
@@ -280,18 +285,21 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind; all columns stay.
 
     ``n_chars`` follows the new text where the column is there. Null and empty
-    texts stay as they are.
+    texts stay as they are, repeated rows are masked alike, columns keep their
+    names, whatever they are called, and an empty table stays empty. Rows and
+    their proposed spans are written once, so the patterns run once per text,
+    however long it is.
     """
-    found = candidates(F.col("text"))
-    model = fit(docs.select(F.inline(found)))
-    # One column a step, so that the patterns run once per text.
-    steps = docs.withColumn("_found", found).withColumn("_spans", decide(F.col("_found"), model))
-    steps = steps.withColumn("_done", F.when(F.size("_spans") > 0, _pieces(F.col("text"), F.col("_spans"))))
-    rest = F.substring(F.col("text"), F.col("_done")["at"] + 1, F.length("text"))
-    hidden = steps.withColumn(
-        "text", F.when(F.col("_done").isNotNull(), F.concat(F.array_join(F.col("_done")["out"], ""), rest)).otherwise(F.col("text"))
-    )
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        hidden = hidden.withColumn("n_chars", F.length("text").cast(kind))
-    return hidden.select(*docs.columns)
+    # The row travels as one value, so that its names meet no others.
+    rows = cut_lineage(docs.select(F.struct(*docs.columns).alias("row"), candidates(F.col("text")).alias("found")), "candidates")
+    model = fit(rows.select(F.inline("found")))
+    text = F.col("row")["text"]
+    # One column a step, so that each is computed once.
+    steps = rows.select("row", decide(F.col("found"), model).alias("spans"))
+    steps = steps.select("row", F.when(F.size("spans") > 0, _pieces(text, F.col("spans"))).alias("done"))
+    rest = F.substring(text, F.col("done")["at"] + 1, F.length(text))
+    hidden = F.when(F.col("done").isNotNull(), F.concat(F.array_join(F.col("done")["out"], ""), rest)).otherwise(text)
+    steps = steps.select("row", hidden.alias("hidden"))
+    kinds = dict(docs.dtypes)
+    changed = {"text": F.col("hidden"), "n_chars": F.length("hidden").cast(kinds.get("n_chars", "bigint"))}
+    return steps.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -331,6 +331,12 @@ def score_documents(docs: DataFrame, *, threshold: float = 0.5, sample_docs: int
 
 
 def keep_good(docs: DataFrame, *, threshold: float = 0.5, sample_docs: int = 4096) -> DataFrame:
-    """The documents that ``score_documents`` keeps, with all their columns."""
+    """The documents that ``score_documents`` keeps, with all their columns.
+
+    Columns keep their names and values, whatever they are called. Null and
+    empty texts go; repeated rows share their fate; an empty table stays empty.
+    """
     model = train(docs.select("doc_id", "text"), sample_docs=sample_docs)
-    return _scored(docs, model, "text").where(F.col("_score") >= threshold).select(*docs.columns)
+    # The row travels as one value, so that its names meet no others.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return _scored(rows, model, "row").where(F.col("_score") >= threshold).select("row.*")

@@ -85,3 +85,16 @@ def test_edge_cases(spark):
     frame = edge_docs(spark)
     assert mask_personal_data(frame).exceptAll(frame.withColumn("n_chars", F.length("text").cast("bigint"))).count() == 0
     assert find_personal_data(frame.limit(0)).count() == 0 and mask_personal_data(frame.limit(0)).count() == 0
+
+
+def test_secrets_and_names_are_masked_whole(spark):
+    long = "Ab3_" * 5000
+    texts = [
+        f"x api_key={long} y", f"token=abc.DEF123.{'q9' * 200}== end", "password: aaaabbbbccccdddd1. Next", "Ask Dr Jane Smith today", "Dr Müller came",
+        "Prof. Ana María O'Neill-Ünal spoke", "secret=short", "Dr who",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in mask_personal_data(docs).collect()}
+    assert got == {
+        0: "x <SECRET> y", 1: "<SECRET> end", 2: "<SECRET>. Next", 3: "Ask <NAME> today", 4: "<NAME> came", 5: "<NAME> spoke", 6: "secret=short", 7: "Dr who",
+    }

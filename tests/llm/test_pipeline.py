@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+from shoebox.llm.minhash import keep_one_per_group
 from shoebox.llm.pii import find_personal_data
 from shoebox.session import cut_lineage
 from tests.llm.test_minhash import sets_of
-from tests.llm.texts import DOCS, edge_docs
+from tests.llm.texts import DOCS, edge_docs, real_docs
 
 
 def test_stages(spark):
@@ -36,6 +38,24 @@ def test_stages(spark):
     assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == copies
 
 
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["_score", "_words", "_size", "_found", "_bits", "_slot", "_row", "row", "found", "key", "unit", "root", "size", "copies", "mixed_size", "own", "done", "hidden"]
+    docs = real_docs(spark, 120).select("*", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = cut_lineage(stage(spark, docs, ""), name)
+        assert out.columns == docs.columns and out.count() > 20
+        for n in names:
+            assert out.where(F.col(n) != F.concat(F.lit(f"{n}:"), "doc_id")).isEmpty(), (name, n)
+
+
+def test_a_document_goes_only_with_its_own_text(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog and runs", "an entirely different text of ten words stands right here now", "a third one that nobody else has written down before today ok")
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (None, c), (3, b + " "), (4, None), (4, None), (5, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in keep_one_per_group(docs).select("doc_id", "text").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, a), (2, b), (None, c), (4, None), (5, ""), (None, "")]))
+
+
 def test_edge_cases_and_empty_tables(spark):
     for docs in (edge_docs(spark), edge_docs(spark).limit(0)):
         for name, stage in corpus_pipeline.STAGES:
