@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
-from .common import small_batches
+from .common import bucketed, small_batches
 from .components import components, likely, without
 from .textpack import hash_words, mix, shingles, slices, word_bounds
 
@@ -213,7 +213,8 @@ def link_components(docs: DataFrame, *, size: int, share: tuple[int, int], bands
     ids = wanted.select("id").distinct()
     found = likely(docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text"), "id", ids, "id").join(ids, "id", "left_semi")
     sets = unit_sets(found, size).join(wanted.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.first("set").alias("set"))
-    sets = cut_lineage(sets, "sets")
+    # Every round of tiles reads sets by unit: they are dealt out once.
+    sets = bucketed(sets, "unit")
 
     tile = lambda *c: F.xxhash64("key", *c)
     own = members.select(tile("class", "chunk").alias("tile"), F.lit(0).alias("side"), "unit")
