@@ -25,18 +25,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Bytes a cached run takes besides its letters and ids: two objects and their place in the table.
+ENTRY = 220
+
+
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit bytes.
 
     The tokenizer lowers letters and drops blanks and line feeds, and its
     matches never cross them, so the ids of a text are those of its runs
     between them in turn. Runs seen before come from a cache, emptied when it
-    holds ``limit``. A run of letters is one match whose last token, and no
+    takes ``limit`` bytes, ``ENTRY`` for each run and the run itself. A run of letters is one match whose last token, and no
     other, ends a word: many of them are encoded as one text and cut there. So
     is the punctuation that follows.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 128 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,6 +49,7 @@ class WordTokens:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.weight = 0
 
     def _learn(self, fresh: list[str]) -> None:
         known, plain, other, parts = self.known, set(), [], []
@@ -83,12 +88,15 @@ class WordTokens:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
+        if self.weight > self.limit:
+            self.known, self.weight = {}, 0
         known = self.known
         fresh = {w for words in split for w in words if w not in known}
         if fresh:
+            before = len(known)
             self._learn(list(fresh))
+            # A run's ids take about as much as its letters.
+            self.weight += ENTRY * (len(known) - before) + 2 * sum(map(len, fresh))
         for words in split:
             yield b"".join([known[w] for w in words])
 
