@@ -515,8 +515,8 @@ def split_clusters(
 
     ``limit`` refuses lists of more faces of one cluster; by default none.
 
-    ``commands`` is (cluster_id, face_id), at most 1000 faces per cluster. The
-    new cluster's id is derived from the selected faces.
+    ``commands`` is (cluster_id, face_id). The new cluster's id is derived from
+    the selected faces.
     """
     commands = commands.select("cluster_id", "face_id").distinct()
     if check:
