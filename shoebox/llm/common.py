@@ -37,14 +37,20 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def partitions(spark: SparkSession, size: int, each: int = 128 << 20) -> int:
+    """Tasks for an exchange fed by ``size`` bytes: the session's number, or one per ``each`` bytes if that is more."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def bucketed(df: DataFrame, key: str, buckets: int = 0) -> DataFrame:
     """Writes ``df`` once in the shared folder, bucketed by ``key``.
 
     Joins on the key then move the other side only. The table keeps a name of
-    its own in the session's catalogue.
+    its own in the session's catalogue. Without ``buckets`` their number is the
+    session's number of shuffle partitions.
     """
     spark = df.sparkSession
     name = f"llm_{uuid.uuid4().hex}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or partitions(spark, 0)
     df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)

@@ -7,7 +7,8 @@ distribution sum to one over the training vocabulary and the unknown word.
 Texts are taken in blocks of about three million tokens. A block sends each
 distinct word and each distinct pair once, as packed arrays, to the bucket of
 its hash; hot histories are spread over several buckets by the second word.
-The buckets hold the partitioned count tables and answer per document.
+The buckets hold the partitioned count tables and answer each block in the
+order of its question; the block then adds up its documents token by token.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import bucketed, small_batches
+from .common import bucketed, partitions, small_batches
 from .textpack import hash_words, mix, slices, word_bounds
 
 #: Hashes of the end of a text and of what stands before its first word.
@@ -126,7 +127,8 @@ def word_blocks(docs: DataFrame, bits: int) -> DataFrame:
         edge = np.searchsorted(bucket_of(words, bits), np.arange((1 << bits) + 1))
         for b in range(1 << bits):
             part = slice(edge[b], edge[b + 1])
-            rows.append({"block": block, "bucket": b, "words": ascending(words[part]), "counts": squeeze(counts[part])})
+            if edge[b] < edge[b + 1]:
+                rows.append({"block": block, "bucket": b, "words": ascending(words[part]), "counts": squeeze(counts[part])})
         return rows
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +174,10 @@ def word_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, counts binary, figures array<bigint>")
 
 
-PAIR_ROWS = [
-    ("bucket", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-    ("docs", pa.binary()), ("histories", pa.binary()), ("pairs", pa.binary()), ("places", pa.binary()),
-]
-PAIR_SCHEMA = "bucket bigint, block bigint, doc_ids array<bigint>, held array<boolean>, docs binary, histories binary, pairs binary, places binary"
+PAIR_ROWS = [("bucket", pa.int64()), ("block", pa.int64()), ("histories", pa.binary()), ("pairs", pa.binary())]
+PAIR_SCHEMA = "bucket bigint, block bigint, histories binary, pairs binary"
 
 HISTORY = np.dtype([("h", "<u8"), ("pairs", "<u4"), ("hot", "u1")])
-DOCUMENT = np.dtype([("tokens", "<i8"), ("known", "<i8"), ("base", "<f8")])
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -194,72 +192,88 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def pair_blocks(blocks: DataFrame, answers: DataFrame, unigram: Unigram, bits: int, hot_tokens: int) -> DataFrame:
-    """Base scores of each block's documents, and its distinct pairs by bucket.
+@dataclass
+class BlockPairs:
+    """The distinct pairs of a block, ordered by bucket, history and word.
+
+    first, second: places of both words among the block's words (the last place
+    stands for the beginning of a text); edge: bounds of ``buckets``; hot:
+    whether the pair's history is spread; of_token: the pair of every token;
+    head: first pair of every run of one history in one bucket.
+    """
+
+    first: np.ndarray
+    second: np.ndarray
+    edge: np.ndarray
+    hot: np.ndarray
+    of_token: np.ndarray
+    head: np.ndarray
+    buckets: np.ndarray
 
-    A pair carries its history, 40 bits of its second word's hash, which only
-    tell the words after one history apart (5 successors in 100,000 would
-    collide after one with 10^8 of them), that word's count and in which documents of the block it stands, how often. Rows of
-    documents get a bucket too, so they pass through the same exchange.
+    @classmethod
+    def of(cls, words: np.ndarray, bounds: np.ndarray, local: np.ndarray, count: np.ndarray, bits: int, hot_tokens: int) -> BlockPairs:
+        before = np.r_[np.int32(0), local[:-1]]
+        before[bounds[:-1]] = len(words)
+        names = np.r_[words, BEGIN]
+        key, of_token = np.unique(before.astype(np.int64) * len(names) + local, return_inverse=True)
+        first, second = np.divmod(key, len(names))
+        # How often a history occurs in training tells how far it is spread, alike in all
+        # blocks; every text has one beginning as it has one end.
+        uses = np.r_[count, count[np.searchsorted(words, END)]]
+        spread = np.maximum(1, -(-uses // hot_tokens)).astype(np.uint64)
+        part = mix(names[second]) % spread[first]
+        bucket = bucket_of(mix(names[first] + part * np.uint64(0x9E3779B97F4A7C15)), bits)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        first, second, bucket = first[order], second[order], bucket[order]
+        head = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (bucket[1:] != bucket[:-1])])
+        edge = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
+        return cls(first, second, edge, spread[first] > 1, place[of_token], head, bucket[edge[:-1]])
+
+
+def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, bounds of the texts, tokens as places among the words, and training counts of the words."""
+    words, bounds = unascending(row["words"].as_py()), expand(row["bounds"].as_py(), "<i8")
+    local = unplanes(row["tokens"].as_py(), 4).astype(np.int32)
+    return words, bounds, local, np.concatenate([expand(a["counts"], "<i8") for a in row["answers"].as_py()])
+
+
+def pair_blocks(blocks: DataFrame, bits: int, hot_tokens: int) -> DataFrame:
+    """Each block's distinct pairs by bucket: history, word, that word's count
+    and how often the pair stands in the block's training texts.
+
+    A block names a pair once, so what is sent is at most one entry per token,
+    and a bucket that none of the block's pairs belong to gets no row.
     """
-    wide = 1 << bits
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {n: batch[n][r] for n in ("block", "doc_ids", "held", "bounds", "tokens", "words", "answers")}
-                words, bounds = unascending(row["words"].as_py()), expand(row["bounds"].as_py(), "<i8")
-                local = unplanes(row["tokens"].as_py(), 4).astype(np.int32)
-                count = np.concatenate([expand(a["counts"], "<i8") for a in row["answers"].as_py()])
-                about = np.zeros(len(bounds) - 1, DOCUMENT)
-                about["tokens"] = np.diff(bounds)
-                about["known"] = np.add.reduceat(count[local] > 0, bounds[:-1], dtype=np.int64)
-                about["base"] = np.add.reduceat(np.log10((count + 1) / (unigram.total + unigram.types + 1.0))[local], bounds[:-1])
-                block, held = row["block"].as_py(), row["held"].as_py()
-                out = [{"bucket": block % wide, "block": block, "doc_ids": row["doc_ids"].as_py(), "held": held, "docs": squeeze(about)}]
-                before = np.r_[np.int32(0), local[:-1]]
-                before[bounds[:-1]] = len(words)
-                names = np.r_[words, BEGIN]
-                # How often a history occurs in training tells how far it is spread, alike in all
-                # blocks; every text has one beginning as it has one end.
-                uses = np.r_[count, count[np.searchsorted(words, END)]]
-                spread = np.maximum(1, -(-uses // hot_tokens)).astype(np.uint64)
-                bucket = np.empty(len(local), np.uint16)
-                for lo in range(0, len(local), 1 << 18):
-                    some = slice(lo, lo + (1 << 18))
-                    sub = mix(names[local[some]]) % spread[before[some]]
-                    bucket[some] = bucket_of(mix(names[before[some]] + sub * np.uint64(0x9E3779B97F4A7C15)), bits)
-                order = np.argsort(bucket, kind="stable").astype(np.uint32)
-                edge = np.r_[0, np.cumsum(np.bincount(bucket, minlength=wide))]
-                del bucket
-                for k in range(wide):
-                    some = order[edge[k] : edge[k + 1]]
-                    if not len(some):
-                        continue
-                    # Stable sorting keeps the documents' order within a pair.
-                    key = before[some].astype(np.int64) * len(names) + local[some]
-                    inner = np.argsort(key, kind="stable")
-                    key, d = key[inner], np.searchsorted(bounds, some[inner], "right") - 1
-                    new_pair = np.r_[True, key[1:] != key[:-1]]
-                    pair = np.flatnonzero(new_pair)
-                    place = np.flatnonzero(new_pair | np.r_[True, d[1:] != d[:-1]])
-                    a, w = np.divmod(key[pair], len(names))
-                    head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-                    hist = np.zeros(len(head), HISTORY)
-                    hist["h"], hist["pairs"], hist["hot"] = names[a[head]], np.diff(np.r_[head, len(a)]), spread[a[head]] > 1
-                    each = np.diff(np.r_[np.searchsorted(place, pair), len(place)])
-                    out.append({
-                        "bucket": k, "block": block, "held": held, "histories": squeeze(hist),
-                        "pairs": _join([planes(words[w] >> np.uint64(16), 5), planes(count[w], 6), planes(each, 4)]),
-                        "places": _join([planes(d[place], 4), planes(np.diff(np.r_[place, len(d)]), 4)]),
-                    })
-                    if len(out) >= 16:
+                row = {n: batch[n][r] for n in ("block", "held", "bounds", "tokens", "words", "answers")}
+                words, bounds, local, count = _block(row)
+                pairs = BlockPairs.of(words, bounds, local, count, bits, hot_tokens)
+                names, block = np.r_[words, BEGIN], row["block"].as_py()
+                train = np.repeat(~np.array(row["held"].as_py(), bool), np.diff(bounds))
+                times = np.bincount(pairs.of_token, weights=train, minlength=len(pairs.first)).astype(np.int64)
+                size = np.diff(np.r_[pairs.head, len(pairs.first)])
+                own = np.searchsorted(pairs.head, pairs.edge)
+                out = []
+                for k, bucket in enumerate(pairs.buckets.tolist()):
+                    some, heads = slice(*pairs.edge[k : k + 2]), slice(*own[k : k + 2])
+                    hist = np.zeros(own[k + 1] - own[k], HISTORY)
+                    at = pairs.head[heads]
+                    hist["h"], hist["pairs"], hist["hot"] = names[pairs.first[at]], size[heads], pairs.hot[at]
+                    w = pairs.second[some]
+                    packed = _join([planes(words[w], 8), planes(count[w], 6), planes(times[some], 4)])
+                    out.append({"bucket": bucket, "block": block, "histories": squeeze(hist), "pairs": packed})
+                    if len(out) >= 64:
                         yield _rows(PAIR_ROWS, out)
                         out = []
-                yield _rows(PAIR_ROWS, out)
+                if out:
+                    yield _rows(PAIR_ROWS, out)
 
-    grouped = answers.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"))
-    return blocks.join(grouped, "block").select("block", "doc_ids", "held", "bounds", "tokens", "words", "answers").mapInArrow(pair_up, PAIR_SCHEMA)
+    return blocks.select("block", "held", "bounds", "tokens", "words", "answers").mapInArrow(pair_up, PAIR_SCHEMA)
 
 
 def _join(parts: list[bytes]) -> bytes:
@@ -276,92 +290,67 @@ def _split(data: bytes, n: int) -> list[bytes]:
 
 
 ANSWER_ROWS = [
-    ("kind", pa.string()), ("bucket", pa.int64()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-    ("docs", pa.binary()), ("sums", pa.binary()), ("seen", pa.binary()), ("events", pa.binary()), ("stats", pa.binary()), ("figures", pa.list_(pa.int64())),
+    ("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("halves", pa.binary()), ("asked", pa.binary()),
+    ("stats", pa.binary()), ("figures", pa.list_(pa.int64())),
 ]
-ANSWER_SCHEMA = "kind string, bucket bigint, block bigint, doc_ids array<bigint>, held array<boolean>, docs binary, sums binary, seen binary, events binary, stats binary, figures array<bigint>"
-#: What a document asks of a history: seen and unseen pairs after it.
-EVENT = np.dtype([("doc", "<u4"), ("history", "<u4"), ("seen", "<u4"), ("unseen", "<u4")])
+ANSWER_SCHEMA = "block bigint, bucket bigint, counts binary, halves binary, asked binary, stats binary, figures array<bigint>"
 #: A history: tokens after it, types after it by count 1 to K, sum of (tokens of types above K), P of the types.
 STATS = np.dtype([("h", "<u8"), ("hot", "u1"), ("tokens", "<i8"), ("types", "<u4", (K,)), ("p", "<f8")])
 
 
 def pair_counts(pairs: DataFrame, unigram: Unigram) -> DataFrame:
-    """The pair table by bucket, as answers per block and document.
+    """The pair table by bucket, as answers to blocks in the order they asked in.
 
-    sums: log10 of what needs no other bucket; seen: seen pairs by count 1 to
-    K, whose discounts are not known yet; events: pairs that wait for a
-    history's weight, with that history's figures in ``stats``.
+    counts: training counts of the pairs; halves: for each history twice what
+    its counts are divided by; asked and stats: those histories of which the
+    block has an unseen pair or which are spread, and their figures. Block -1
+    has the bucket's figures (types with counts 1 to K + 1) and, as stats, its
+    parts of spread histories.
     """
 
     def merge(t: pa.Table) -> pa.Table:
-        rows = [r for r in t.to_pylist()]
-        out = [{"kind": "docs", "block": r["block"], "doc_ids": r["doc_ids"], "held": r["held"], "docs": r["docs"]} for r in rows if r["docs"] is not None]
-        rows = sorted((r for r in rows if r["docs"] is None), key=lambda r: r["block"])
         bucket = t["bucket"][0].as_py()
-        if not rows:
-            return pa.Table.from_batches([_rows(ANSWER_ROWS, out)])
-        hist, word, count, each, doc, times, train, block = [], [], [], [], [], [], [], []
-        for i, r in enumerate(rows):
-            h = expand(r["histories"], HISTORY)
-            a, b, c = _split(r["pairs"], 3)
-            d, e = _split(r["places"], 2)
-            hist.append(np.repeat(h[["h", "hot"]], h["pairs"]))
-            word.append(unplanes(a, 5))
-            count.append(unplanes(b, 6))
-            each.append(unplanes(c, 4).astype(np.int64))
-            doc.append(unplanes(d, 4).astype(np.int64))
-            times.append(unplanes(e, 4).astype(np.int64))
-            train.append(~np.array(r["held"], bool)[doc[-1]])
-            block.append(np.full(len(doc[-1]), i))
-        hist, word, count, each = map(np.concatenate, (hist, word, count, each))
-        doc, times, train, block = map(np.concatenate, (doc, times, train, block))
-        order = np.lexsort((word, hist["h"]))
-        h, w = hist["h"][order], word[order]
+        # Blocks in one order, so that sums of doubles do not depend on arrival.
+        rows = np.argsort(t["block"].to_numpy(), kind="stable").tolist()
+        heads = [expand(t["histories"][i].as_py(), HISTORY) for i in rows]
+        packed = [_split(t["pairs"][i].as_py(), 3) for i in rows]
+        size = [int(h["pairs"].sum()) for h in heads]
+        name = np.concatenate([np.repeat(h["h"], h["pairs"]) for h in heads])
+        spread = np.concatenate([np.repeat(h["hot"], h["pairs"]) for h in heads])
+        word, count, times = (np.concatenate([unplanes(p[j], width) for p in packed]) for j, width in enumerate((8, 6, 4)))
+        del packed
+        order = np.lexsort((word, name))
+        h, w = name[order], word[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
+        del w
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         first = order[new]
-        of_place = np.repeat(np.arange(len(each)), each)
-        place_kind = kind[of_place]
-        c = np.bincount(place_kind, weights=times * train, minlength=len(first)).astype(np.int64)
-        p_word = unigram.p(count[first])
-        head = np.flatnonzero(np.r_[True, hist["h"][first][1:] != hist["h"][first][:-1]])
+        c = np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new))
+        h = h[new]
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         history = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(first)]))
         stats = np.zeros(len(head), STATS)
-        stats["h"], stats["hot"] = hist["h"][first][head], hist["hot"][first][head]
+        stats["h"], stats["hot"] = h[head], spread[first][head]
         stats["tokens"] = np.add.reduceat(c, head)
         for r in range(1, K + 1):
             stats["types"][:, r - 1] = np.add.reduceat((c == r).astype(np.int64), head)
-        stats["p"] = np.add.reduceat(np.where(c > 0, p_word, 0.0), head)
-        # Places: seen pairs give log10 of their count, less that of the history if it is whole here.
-        hot = stats["hot"][history] > 0
-        rich = stats["types"].sum(axis=1) == 0  # all counts above K: half a count is set aside
-        after = np.maximum(stats["tokens"] + 0.5 * rich, 0.5)[history]
-        log_seen = np.log10(np.maximum(c, 1)) - np.where(hot, 0.0, np.log10(after))
-        log_unseen = np.log10(p_word)
-        value = times * np.where(c > 0, log_seen, log_unseen)[place_kind]
-        waits = hot | ((c == 0) & (stats["tokens"][history] > 0))
-        for i, r in enumerate(rows):
-            lo, hi = np.searchsorted(block, (i, i + 1))
-            n = len(r["held"])
-            d, k, x = doc[lo:hi], place_kind[lo:hi], times[lo:hi]
-            low = (c[k] > 0) & (c[k] <= K)
-            seen = np.bincount(d[low] * K + c[k][low] - 1, weights=x[low], minlength=n * K).astype("<u4")
-            ask = waits[k]
-            key = d[ask] * len(head) + history[k[ask]]
-            found, at = np.unique(key, return_inverse=True)
-            events = np.zeros(len(found), EVENT)
-            events["doc"] = found // len(head)
-            asked, events["history"] = np.unique(found % len(head), return_inverse=True)
-            events["seen"] = np.bincount(at, weights=x[ask] * (c[k[ask]] > 0), minlength=len(found))
-            events["unseen"] = np.bincount(at, weights=x[ask] * (c[k[ask]] == 0), minlength=len(found))
+        stats["p"] = np.add.reduceat(np.where(c > 0, unigram.p(count[first]), 0.0), head)
+        # All counts above K: half a count is set aside.
+        halves = 2 * stats["tokens"] + (stats["types"].sum(axis=1) == 0)
+        out, end = [], np.cumsum(size)
+        for i, own, hi, n in zip(rows, heads, end.tolist(), size):
+            k = kind[hi - n : hi]
+            start = np.cumsum(own["pairs"].astype(np.int64)) - own["pairs"]
+            mine = history[k[start]]
+            unseen = np.add.reduceat((c[k] == 0).astype(np.int64), start) > 0
+            asked = np.flatnonzero((stats["hot"][mine] > 0) | (unseen & (stats["tokens"][mine] > 0)))
             out.append({
-                "kind": "sums", "bucket": bucket, "block": r["block"], "sums": squeeze(np.bincount(d, weights=value[lo:hi], minlength=n)),
-                "seen": squeeze(seen.reshape(n, K).T), "events": squeeze(events), "stats": squeeze(stats[asked]),
+                "block": t["block"][i].as_py(), "bucket": bucket, "counts": planes(c[k], 6), "halves": planes(halves[mine], 7),
+                "asked": planes(asked, 4), "stats": squeeze(stats[mine[asked]]),
             })
-        hot_ones = stats[stats["hot"] > 0]
-        out.append({"kind": "table", "bucket": bucket, "stats": hot_ones.tobytes(), "figures": [int((c == r).sum()) for r in range(1, K + 2)]})
+        parts = stats[stats["hot"] > 0]
+        out.append({"block": -1, "bucket": bucket, "stats": parts.tobytes(), "figures": [int((c == r).sum()) for r in range(1, K + 2)]})
         return pa.Table.from_batches([_rows(ANSWER_ROWS, out)])
 
     return pairs.groupBy("bucket").applyInArrow(merge, ANSWER_SCHEMA)
@@ -398,18 +387,22 @@ def score_texts(
     marked = docs.select("doc_id", "text", held.alias("held"))
     size = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
-    coded = bucketed(word_blocks(marked, bits), "block")
-    answers = cut_lineage(word_counts(coded.where("bucket >= 0").select("block", "bucket", "words", "counts")), "word_counts")
+    tasks = partitions(docs.sparkSession, size)
+    coded = bucketed(word_blocks(marked, bits), "block", tasks)
+    words = coded.where("bucket >= 0").select("block", "bucket", "words", "counts").repartition(tasks, "bucket")
+    answers = cut_lineage(word_counts(words), "word_counts")
     add = lambda frame, n: [x or 0 for x in frame.agg(*[F.sum(F.col("figures")[i]) for i in range(n)]).first()]
     *types, total, distinct = add(answers.where("block = -1"), K + 3)
     unigram = Unigram.of(types, total, distinct)
-    blocks = coded.where("bucket = -1").select("block", "doc_ids", "held", "bounds", "tokens", "words")
-    pairs = pair_blocks(blocks, answers.where("block >= 0").select("block", "bucket", "counts"), unigram, bits, hot_tokens)
+    grouped = answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"))
+    texts = coded.where("bucket = -1").select("block", "doc_ids", "held", "bounds", "tokens", "words")
+    blocks = texts.join(grouped.hint("shuffle_hash"), "block")
+    pairs = pair_blocks(blocks, bits, hot_tokens).repartition(tasks, "bucket")
     found = cut_lineage(pair_counts(pairs, unigram), "pair_counts")
-    tables = found.where("kind = 'table'")
+    tables = found.where("block = -1")
     factor = discounts(add(tables, K + 1))
 
-    # Hot histories: their parts are added up and go back to the buckets that hold a part.
+    # Spread histories: their parts are added up and go back to the buckets that hold a part.
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for bucket, raw in zip(batch["bucket"].to_pylist(), batch["stats"].to_pylist()):
@@ -427,47 +420,56 @@ def score_texts(
         F.collect_list(F.struct("h", "tokens", "p", *[f"t{r}" for r in range(K)])).alias("hot")
     )
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in range(batch.num_rows):
-                sums, seen = expand(batch["sums"][r].as_py(), "<f8").copy(), expand(batch["seen"][r].as_py(), "<u4")
-                events, stats = expand(batch["events"][r].as_py(), EVENT), expand(batch["stats"][r].as_py(), STATS).copy()
-                sums += seen.reshape(K, -1).T @ np.log10(factor[1:])
-                known = {x["h"]: x for x in batch["hot"][r].as_py() or []}
-                for i in np.flatnonzero(stats["hot"]):
-                    x = known[int(stats["h"][i : i + 1].view("<i8")[0])]
-                    stats[i] = (stats["h"][i], 1, x["tokens"], tuple(x[f"t{j}"] for j in range(K)), x["p"])
-                if len(events):
-                    after, weight = history_weights(stats, factor)
-                    # Seen pairs of hot histories still lack their divisor.
-                    own = events["history"]
-                    value = events["unseen"] * weight[own] - np.where(stats["hot"][own] > 0, events["seen"] * after[own], 0.0)
-                    sums += np.bincount(events["doc"], weights=value, minlength=len(sums))
-                out.append({"block": batch["block"][r].as_py(), "sums": sums.astype("<f8").tobytes()})
-            yield _rows([("block", pa.int64()), ("sums", pa.binary())], out)
-
-    sums = (
-        found.where("kind = 'sums'").select("bucket", "block", "sums", "seen", "events", "stats").join(hot, "bucket", "left")
-        .mapInArrow(answer, "block bigint, sums binary")
-    )
-    about = found.where("kind = 'docs'").select("block", "doc_ids", "held", "docs")
-    none = lambda *names: [F.lit(None).cast(t).alias(n) for n, t in names]
-    together = about.select("*", *none(("sums", "binary"))).unionByName(
-        sums.select("block", *none(("doc_ids", "array<bigint>"), ("held", "array<boolean>"), ("docs", "binary")), "sums")
+            stats = batch["stats"].to_pylist()
+            for r, known in enumerate(batch["hot"].to_pylist()):
+                if not known:
+                    continue
+                by_name, own = {x["h"]: x for x in known}, expand(stats[r], STATS).copy()
+                for i in np.flatnonzero(own["hot"]):
+                    x = by_name[int(own["h"][i : i + 1].view("<i8")[0])]
+                    own[i] = (own["h"][i], 1, x["tokens"], tuple(x[f"t{j}"] for j in range(K)), x["p"])
+                stats[r] = squeeze(own)
+            yield pa.RecordBatch.from_arrays(
+                [batch[n] for n in ("block", "bucket", "counts", "halves", "asked")] + [pa.array(stats, pa.binary())],
+                ["block", "bucket", "counts", "halves", "asked", "stats"],
+            )
+
+    told = (
+        found.where("block >= 0").select("block", "bucket", "counts", "halves", "asked", "stats").join(hot, "bucket", "left")
+        .mapInArrow(complete, "block bigint, bucket bigint, counts binary, halves binary, asked binary, stats binary")
+        .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "halves", "asked", "stats"))).alias("told"))
     )
 
-    def finish(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        own = next(r for r in rows if r["docs"] is not None)
-        about = expand(own["docs"], DOCUMENT)
-        total_ = np.sort([np.frombuffer(r["sums"], "<f8") for r in rows if r["sums"] is not None], axis=0).sum(axis=0)
-        n = len(about)
-        return pa.table({
-            "doc_id": pa.array(own["doc_ids"], pa.int64()), "held_out": pa.array(own["held"], pa.bool_()),
-            "n_tokens": pa.array(about["tokens"]), "n_known": pa.array(about["known"]), "train_tokens": pa.array(np.full(n, total)),
-            "base_score": pa.array(about["base"]), "score": pa.array(total_),
-        })
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {n: batch[n][r] for n in ("doc_ids", "held", "bounds", "tokens", "words", "answers", "told")}
+                words, bounds, local, count = _block(row)
+                pairs = BlockPairs.of(words, bounds, local, count, bits, hot_tokens)
+                told_ = row["told"].as_py()
+                c = np.concatenate([unplanes(x["counts"], 6) for x in told_]).astype(np.int64)
+                halves = [unplanes(x["halves"], 7) for x in told_]
+                at = np.cumsum([0] + [len(x) for x in halves])
+                asked = np.concatenate([unplanes(x["asked"], 4).astype(np.int64) + lo for x, lo in zip(told_, at)])
+                after = np.log10(np.maximum(np.concatenate(halves) / 2.0, 0.5))
+                weight = np.zeros(len(after))
+                after[asked], weight[asked] = history_weights(np.concatenate([expand(x["stats"], STATS) for x in told_]), factor)
+                history = np.repeat(np.arange(len(after)), np.diff(np.r_[pairs.head, len(c)]))
+                kept = np.where(c > K, 1.0, factor[np.minimum(c, K)])
+                share = np.log10(np.where(c > 0, c * kept, 1.0)) - after[history]
+                value = np.where(c > 0, share, np.log10(unigram.p(count[pairs.second])) + weight[history])
+                n, start = len(bounds) - 1, bounds[:-1]
+                base = np.log10((count + 1) / (unigram.total + unigram.types + 1.0))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["doc_ids"].as_py(), pa.int64()), pa.array(row["held"].as_py(), pa.bool_()), pa.array(np.diff(bounds)),
+                        pa.array(np.add.reduceat(count[local] > 0, start, dtype=np.int64)), pa.array(np.full(n, total)),
+                        pa.array(np.add.reduceat(base[local], start)), pa.array(np.add.reduceat(value[pairs.of_token], start)),
+                    ],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return together.groupBy("block").applyInArrow(finish, schema)
+    return blocks.join(told.hint("shuffle_hash"), "block").drop("block").mapInArrow(finish, schema)
