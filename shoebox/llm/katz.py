@@ -4,7 +4,7 @@ Order two: a word after the word before it, backing off to the word alone.
 Counts are Good-Turing discounted and the backoff weights make every history's
 distribution sum to one over the training vocabulary and the unknown word.
 
-Texts are taken in blocks of about three million tokens. A block sends each
+Texts are taken in blocks of about a million tokens. A block sends each
 distinct word and each distinct pair once, as packed arrays, to the bucket of
 its hash; hot histories are spread over several buckets by the second word.
 The buckets hold the partitioned count tables and answer each block in the
@@ -30,7 +30,7 @@ from .textpack import hash_words, mix, slices, word_bounds
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Counts above K are not discounted.
 K = 5
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 #: Bytes of text per bucket, and training tokens of one history beyond which it is spread.
 BUCKET_BYTES, HOT_TOKENS = 8 << 20, 2_000_000
 
@@ -152,10 +152,12 @@ def word_blocks(docs: DataFrame, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text", "held").mapInArrow(look, WORD_SCHEMA)
 
 
-def word_counts(words: DataFrame) -> DataFrame:
-    """The word table by bucket, as answers to blocks: block, bucket, counts of
-    the block's words in their order; block -1 has the table's own figures
-    (types with counts 1 to K + 1, all tokens, all types)."""
+def word_counts(words: DataFrame, bits: int) -> DataFrame:
+    """The word table by bucket, as answers to blocks: block, bucket, counts and
+    numbers of the block's words in their order; block -1 has the table's own
+    figures (types with counts 1 to K + 1, all tokens, all types). A word's number
+    is its place in its bucket times the buckets, plus the bucket: numbers are
+    dense, so pairs of them are short to send and never taken for one another."""
 
     def merge(t: pa.Table) -> pa.Table:
         own = [unascending(x.as_py()) for x in t["words"]]
@@ -166,23 +168,25 @@ def word_counts(words: DataFrame) -> DataFrame:
         total = np.add.reduceat(all_counts[order], first) if len(first) else np.zeros(0, np.int64)
         figures = [int((total == r).sum()) for r in range(1, K + 2)] + [int(total.sum()), int((total > 0).sum())]
         bucket = t["bucket"][0].as_py()
-        rows = [{"block": b, "bucket": bucket, "counts": squeeze(total[np.searchsorted(distinct, w)])} for b, w in zip(t["block"].to_pylist(), own)]
+        rows = []
+        for b, w in zip(t["block"].to_pylist(), own):
+            at = np.searchsorted(distinct, w)
+            rows.append({"block": b, "bucket": bucket, "counts": planes(total[at], 6), "ids": planes((at << bits) + bucket, 8)})
         rows.append({"block": -1, "bucket": bucket, "figures": figures})
-        kinds = [("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("figures", pa.list_(pa.int64()))]
+        kinds = [("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("ids", pa.binary()), ("figures", pa.list_(pa.int64()))]
         return pa.Table.from_batches([_rows(kinds, rows)])
 
-    return words.groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, counts binary, figures array<bigint>")
+    return words.groupBy("bucket").applyInArrow(merge, "block bigint, bucket bigint, counts binary, ids binary, figures array<bigint>")
 
 
 PAIR_ROWS = [("bucket", pa.int64()), ("block", pa.int64()), ("histories", pa.binary()), ("pairs", pa.binary())]
 PAIR_SCHEMA = "bucket bigint, block bigint, histories binary, pairs binary"
 
-HISTORY = np.dtype([("h", "<u8"), ("pairs", "<u4"), ("hot", "u1")])
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
     """Low ``width`` bytes of integers, byte by byte, which compresses better."""
-    return squeeze(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return squeeze(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
 def unplanes(data: bytes, width: int) -> np.ndarray:
@@ -192,6 +196,26 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+@dataclass
+class Block:
+    """A block's texts: bounds, tokens as places among its words, the words'
+    training counts and numbers (then that of a text's beginning), the end's place."""
+
+    bounds: np.ndarray
+    local: np.ndarray
+    count: np.ndarray
+    names: np.ndarray
+    end: int
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        answers = row["answers"].as_py()
+        count = np.concatenate([unplanes(a["counts"], 6) for a in answers]).astype(np.int64)
+        names = np.concatenate([*(unplanes(a["ids"], 8) for a in answers), [BEGIN]])
+        end = int(np.searchsorted(unascending(row["words"].as_py()), END))
+        return cls(expand(row["bounds"].as_py(), "<i8"), unplanes(row["tokens"].as_py(), 4).astype(np.int32), count, names, end)
+
+
 @dataclass
 class BlockPairs:
     """The distinct pairs of a block, ordered by bucket, history and word.
@@ -211,34 +235,30 @@ class BlockPairs:
     buckets: np.ndarray
 
     @classmethod
-    def of(cls, words: np.ndarray, bounds: np.ndarray, local: np.ndarray, count: np.ndarray, bits: int, hot_tokens: int) -> BlockPairs:
+    def of(cls, block: Block, bits: int, hot_tokens: int) -> BlockPairs:
+        bounds, local, names = block.bounds, block.local, block.names
         before = np.r_[np.int32(0), local[:-1]]
-        before[bounds[:-1]] = len(words)
-        names = np.r_[words, BEGIN]
+        before[bounds[:-1]] = len(names) - 1
         key, of_token = np.unique(before.astype(np.int64) * len(names) + local, return_inverse=True)
-        first, second = np.divmod(key, len(names))
+        first, second = (x.astype(np.int32) for x in np.divmod(key, len(names)))
+        del key, before
         # How often a history occurs in training tells how far it is spread, alike in all
         # blocks; every text has one beginning as it has one end.
-        uses = np.r_[count, count[np.searchsorted(words, END)]]
+        uses = np.r_[block.count, block.count[block.end]]
         spread = np.maximum(1, -(-uses // hot_tokens)).astype(np.uint64)
         part = mix(names[second]) % spread[first]
-        bucket = bucket_of(mix(names[first] + part * np.uint64(0x9E3779B97F4A7C15)), bits)
+        part *= np.uint64(0x9E3779B97F4A7C15)
+        part += names[first]
+        bucket = bucket_of(mix(part), bits).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         first, second, bucket = first[order], second[order], bucket[order]
         head = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (bucket[1:] != bucket[:-1])])
         edge = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
         return cls(first, second, edge, spread[first] > 1, place[of_token], head, bucket[edge[:-1]])
 
 
-def _block(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, bounds of the texts, tokens as places among the words, and training counts of the words."""
-    words, bounds = unascending(row["words"].as_py()), expand(row["bounds"].as_py(), "<i8")
-    local = unplanes(row["tokens"].as_py(), 4).astype(np.int32)
-    return words, bounds, local, np.concatenate([expand(a["counts"], "<i8") for a in row["answers"].as_py()])
-
-
 def pair_blocks(blocks: DataFrame, bits: int, hot_tokens: int) -> DataFrame:
     """Each block's distinct pairs by bucket: history, word, that word's count
     and how often the pair stands in the block's training texts.
@@ -251,22 +271,21 @@ def pair_blocks(blocks: DataFrame, bits: int, hot_tokens: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch[n][r] for n in ("block", "held", "bounds", "tokens", "words", "answers")}
-                words, bounds, local, count = _block(row)
-                pairs = BlockPairs.of(words, bounds, local, count, bits, hot_tokens)
-                names, block = np.r_[words, BEGIN], row["block"].as_py()
-                train = np.repeat(~np.array(row["held"].as_py(), bool), np.diff(bounds))
+                block = Block.of(row)
+                pairs = BlockPairs.of(block, bits, hot_tokens)
+                train = np.repeat(~np.array(row["held"].as_py(), bool), np.diff(block.bounds))
                 times = np.bincount(pairs.of_token, weights=train, minlength=len(pairs.first)).astype(np.int64)
                 size = np.diff(np.r_[pairs.head, len(pairs.first)])
                 own = np.searchsorted(pairs.head, pairs.edge)
                 out = []
                 for k, bucket in enumerate(pairs.buckets.tolist()):
                     some, heads = slice(*pairs.edge[k : k + 2]), slice(*own[k : k + 2])
-                    hist = np.zeros(own[k + 1] - own[k], HISTORY)
-                    at = pairs.head[heads]
-                    hist["h"], hist["pairs"], hist["hot"] = names[pairs.first[at]], size[heads], pairs.hot[at]
-                    w = pairs.second[some]
-                    packed = _join([planes(words[w], 8), planes(count[w], 6), planes(times[some], 4)])
-                    out.append({"bucket": bucket, "block": block, "histories": squeeze(hist), "pairs": packed})
+                    at, w = pairs.head[heads], pairs.second[some]
+                    out.append({
+                        "bucket": bucket, "block": row["block"].as_py(),
+                        "histories": _join([planes(block.names[pairs.first[at]], 8), planes(size[heads], 4), planes(pairs.hot[at], 1)]),
+                        "pairs": _join([planes(block.names[w], 8), planes(block.count[w], 6), planes(times[some], 4)]),
+                    })
                     if len(out) >= 64:
                         yield _rows(PAIR_ROWS, out)
                         out = []
@@ -312,11 +331,12 @@ def pair_counts(pairs: DataFrame, unigram: Unigram) -> DataFrame:
         bucket = t["bucket"][0].as_py()
         # Blocks in one order, so that sums of doubles do not depend on arrival.
         rows = np.argsort(t["block"].to_numpy(), kind="stable").tolist()
-        heads = [expand(t["histories"][i].as_py(), HISTORY) for i in rows]
+        heads = [_split(t["histories"][i].as_py(), 3) for i in rows]
+        heads = [(unplanes(h, 8), unplanes(n, 4).astype(np.int64), unplanes(hot, 1)) for h, n, hot in heads]
         packed = [_split(t["pairs"][i].as_py(), 3) for i in rows]
-        size = [int(h["pairs"].sum()) for h in heads]
-        name = np.concatenate([np.repeat(h["h"], h["pairs"]) for h in heads])
-        spread = np.concatenate([np.repeat(h["hot"], h["pairs"]) for h in heads])
+        size = [int(n.sum()) for _, n, _ in heads]
+        name = np.concatenate([np.repeat(h, n) for h, n, _ in heads])
+        spread = np.concatenate([np.repeat(hot, n) for _, n, hot in heads])
         word, count, times = (np.concatenate([unplanes(p[j], width) for p in packed]) for j, width in enumerate((8, 6, 4)))
         del packed
         order = np.lexsort((word, name))
@@ -341,7 +361,7 @@ def pair_counts(pairs: DataFrame, unigram: Unigram) -> DataFrame:
         out, end = [], np.cumsum(size)
         for i, own, hi, n in zip(rows, heads, end.tolist(), size):
             k = kind[hi - n : hi]
-            start = np.cumsum(own["pairs"].astype(np.int64)) - own["pairs"]
+            start = np.cumsum(own[1]) - own[1]
             mine = history[k[start]]
             unseen = np.add.reduceat((c[k] == 0).astype(np.int64), start) > 0
             asked = np.flatnonzero((stats["hot"][mine] > 0) | (unseen & (stats["tokens"][mine] > 0)))
@@ -390,11 +410,11 @@ def score_texts(
     tasks = partitions(docs.sparkSession, size)
     coded = bucketed(word_blocks(marked, bits), "block", tasks)
     words = coded.where("bucket >= 0").select("block", "bucket", "words", "counts").repartition(tasks, "bucket")
-    answers = cut_lineage(word_counts(words), "word_counts")
+    answers = cut_lineage(word_counts(words, bits), "word_counts")
     add = lambda frame, n: [x or 0 for x in frame.agg(*[F.sum(F.col("figures")[i]) for i in range(n)]).first()]
     *types, total, distinct = add(answers.where("block = -1"), K + 3)
     unigram = Unigram.of(types, total, distinct)
-    grouped = answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts"))).alias("answers"))
+    grouped = answers.where("block >= 0").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "counts", "ids"))).alias("answers"))
     texts = coded.where("bucket = -1").select("block", "doc_ids", "held", "bounds", "tokens", "words")
     blocks = texts.join(grouped.hint("shuffle_hash"), "block")
     pairs = pair_blocks(blocks, bits, hot_tokens).repartition(tasks, "bucket")
@@ -446,8 +466,9 @@ def score_texts(
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch[n][r] for n in ("doc_ids", "held", "bounds", "tokens", "words", "answers", "told")}
-                words, bounds, local, count = _block(row)
-                pairs = BlockPairs.of(words, bounds, local, count, bits, hot_tokens)
+                block = Block.of(row)
+                pairs = BlockPairs.of(block, bits, hot_tokens)
+                bounds, local, count = block.bounds, block.local, block.count
                 told_ = row["told"].as_py()
                 c = np.concatenate([unplanes(x["counts"], 6) for x in told_]).astype(np.int64)
                 halves = [unplanes(x["halves"], 7) for x in told_]
