@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import small_batches
 from .textpack import mix, slices
@@ -177,37 +177,43 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.where(inside, padded[np.minimum(at, len(data))], 0).astype(np.uint8), doc, start
 
 
-def training_windows(docs: DataFrame, per_language: int, each: int = 4) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """About ``per_language`` sampled rows of every language, ``each`` windows of a row.
+def training_windows(
+    docs: DataFrame, per_language: int, each: int = 4, most_languages: int = 1000
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``per_language`` different texts of every language (all, if fewer), ``each`` windows of a text.
 
-    docs: text, lang (not null). Languages are counted over all rows; rows are
-    drawn by a hash of their length and place, windows by a hash of the row.
+    docs: text, lang (not null). Of each language the texts of least hash are
+    taken, so a sample follows from the texts alone: not from their order, their
+    files or how often a text is repeated. More than ``most_languages`` languages
+    are refused, as the sample comes to the driver.
     """
-    counted = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
-    if len(counted) > 1000:
-        raise ValueError("more than 1000 languages")
-    languages = sorted(counted)
-    limit = {k: int(2**64 * min(1.0, per_language / n)) - 1 for k, n in counted.items()}
+    keyed = docs.where(F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = keyed.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    if least.select("lang").distinct().limit(most_languages + 1).count() > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    # At most per_language rows of each language: a bounded table.
+    drawn = keyed.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, found = batch.column(1).to_pylist(), []
-            for start, end, data, offsets in slices(batch.column(0)):
-                key = mix(np.arange(start, end, dtype=np.uint64) * np.uint64(40503) + (np.diff(offsets).astype(np.uint64) << np.uint64(24)))
-                chosen = np.array([int(key[i]) <= limit[langs[start + i]] for i in range(end - start)], bool)
-                windows, doc, place = cut_windows(data, offsets)
-                rank = mix(place.astype(np.uint64) + key[doc])
+            langs, hashes, found = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64), []
+            for start, end, data, offsets in slices(batch.column(2)):
+                windows, doc, at = cut_windows(data, offsets)
+                begin = (at - offsets[doc]).astype(np.uint64)
+                rank = mix(begin + mix(hashes[start:end].copy())[doc])
                 order = np.lexsort((rank, doc))
                 first = np.searchsorted(doc[order], np.arange(end - start + 1))
-                for i in np.flatnonzero(chosen):
+                for i in range(end - start):
                     for w in order[first[i] : min(first[i + 1], first[i] + each)]:
                         found.append((langs[start + i], windows[w].tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], ["lang", "bytes"]
             )
 
-    rows = sorted(docs.select("text", "lang").mapInArrow(draw, "lang string, bytes binary").collect())
-    windows = np.frombuffer(b"".join(bytes(r[1]) for r in rows), np.uint8).reshape(-1, T)
+    rows = sorted((r[0], bytes(r[1])) for r in drawn.mapInArrow(draw, "lang string, bytes binary").collect())
+    languages = sorted({r[0] for r in rows})
+    windows = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).reshape(-1, T)
     return languages, windows, np.array([languages.index(r[0]) for r in rows], np.int64)
 
 
@@ -217,9 +223,10 @@ def detect_languages(
     """Predicted language of every document: doc_id, lang_pred, score.
 
     docs: doc_id, text, lang; other columns are ignored. Rows where ``train``
-    holds and lang is not null teach the network, through at most about
-    ``per_language`` sampled rows of each language; a prediction looks at the
-    whole text and at nothing else. A text that is null or has no letter, and
+    holds and lang is not null teach the network, through at most
+    ``per_language`` different texts of each language, those of least hash: the
+    model is the same for any order, layout and repetition of the rows. A
+    prediction looks at the whole text and at nothing else. A text that is null or has no letter, and
     any text when there is nothing to learn from, is ``und`` with score 0.
     Repeated rows are predicted each; an empty table gives no rows.
     """
