@@ -14,6 +14,7 @@ from . import keys
 from .signing import base64url
 from .text import ISO_TEXT
 
+# Fixed values of the cursor format: names of the sorts and bounds of its fields.
 SORTS = ("album", "newest", "oldest", "shuffle")
 MAX_POSITION = 2**31 - 1
 MAX_ENCODED = 1024

@@ -110,6 +110,7 @@ def like_contains(text: Column, query: str) -> Column:
 def human_bytes(size: Column) -> Column:
     """'512 B', '1.5 KiB' ... up to TiB, one decimal above bytes."""
     amount = size.cast("double")
+    # The unit names of the printed sizes.
     units = ["B", "KiB", "MiB", "GiB", "TiB"]
     text = F.concat(size.cast("bigint").cast("string"), F.lit(" B"))
     for power, unit in enumerate(units[1:], start=1):

@@ -15,6 +15,9 @@ def _null_or(column: str, ok: Column) -> Column:
     return F.col(column).isNull() | ok
 
 
+# The names and bounds in the rules below are those of the catalog's file format.
+
+
 def photo_rules() -> dict[str, Column]:
     c = F.col
     rules = {

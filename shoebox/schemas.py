@@ -129,7 +129,7 @@ ACTIONS = _struct(
     created_at=_S, undone_at=_S,
 )
 
-# Before-image columns kept per table for undo.
+# The before-image columns kept per table for undo.
 MUTABLE_FACE_COLUMNS = ("id", "cluster_id", "person_id", "status", "revision", "updated_at")
 MUTABLE_CLUSTER_COLUMNS = (
     "id", "origin", "status", "person_id", "representative_face_id", "revision",
