@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -56,8 +57,100 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return out
 
 
+# One-pass rules ------------------------------------------------------------------
+
+#: What a value is held against: nothing, a single row, a row that offers it, a stated number.
+_ROW, _UNIQUE, _REFERENCE, _CLAIM = range(4)
+Values = Sequence[Column | str]
+
+
+@dataclass(frozen=True)
+class Checked:
+    """A table with all it must satisfy by itself and together with others.
+
+    rules: conditions of a row, broken where not plainly true; a row that
+    breaks one is named by ``key``. unique: values that no two rows share.
+    references: values that some row of the set must list under the same name
+    in ``offers``. counted: values that count this row; ``claims`` states for
+    a value how many rows of the set count it. A value holding a null asks and
+    offers nothing, so a null column makes a constraint optional.
+    """
+
+    rows: DataFrame
+    key: Column
+    rules: Mapping[str, Column] = field(default_factory=dict)
+    unique: Mapping[str, Values] = field(default_factory=dict)
+    references: Mapping[str, Values] = field(default_factory=dict)
+    offers: Mapping[str, Values] = field(default_factory=dict)
+    counted: Mapping[str, Values] = field(default_factory=dict)
+    claims: Mapping[str, tuple[Values, Column]] = field(default_factory=dict)
+
+
+def _fact(rule: str, kind: int, value: Column, own: Column | int, offered: int) -> Column:
+    own = own if isinstance(own, Column) else F.lit(own)
+    return F.struct(
+        F.lit(rule).alias("rule"), F.lit(kind).alias("kind"), value.alias("value"),
+        own.cast("bigint").alias("own"), F.lit(offered).cast("bigint").alias("offered"),
+    )
+
+
+def _facts(table: Checked) -> DataFrame:
+    def value(parts: Values) -> Column:
+        return F.array(*[(F.col(c) if isinstance(c, str) else c).cast("string") for c in parts])
+
+    def where_set(rule: str, kind: int, parts: Values, own: Column | int, offered: int) -> Column:
+        columns = [F.col(c) if isinstance(c, str) else c for c in parts]
+        known = columns[0].isNotNull()
+        for c in columns[1:]:
+            known = known & c.isNotNull()
+        return F.when(known, _fact(rule, kind, value(parts), own, offered))
+
+    facts = [
+        F.when(~F.coalesce(ok, F.lit(False)), _fact(rule, _ROW, F.array(table.key.cast("string")), 1, 0))
+        for rule, ok in table.rules.items()
+    ]
+    facts += [where_set(rule, _UNIQUE, parts, 1, 0) for rule, parts in table.unique.items()]
+    facts += [where_set(rule, _REFERENCE, parts, 1, 0) for rule, parts in table.references.items()]
+    facts += [where_set(rule, _REFERENCE, parts, 0, 1) for rule, parts in table.offers.items()]
+    facts += [where_set(rule, _CLAIM, parts, 1, 0) for rule, parts in table.counted.items()]
+    # A claim takes its number off again; an unknown number can never come out even.
+    facts += [
+        where_set(rule, _CLAIM, parts, F.coalesce(-number.cast("bigint"), F.lit(1 << 40)), 1)
+        for rule, (parts, number) in table.claims.items()
+    ]
+    return table.rows.select(F.explode(F.array_compact(F.array(*facts))).alias("_f")).select("_f.*")
+
+
+def broken_rules(*tables: Checked) -> DataFrame:
+    """(rule, key, violations) of a set of tables, each of them read once.
+
+    A row says all it contributes in one explode; one aggregate, combined
+    before the shuffle, sets uses, offers and claims of a value off against
+    each other. So a value that a third of all rows refer to is one row per
+    task, and no table is joined. ``key`` is the row's own for row rules and
+    the value otherwise, several columns joined by ``|``; ``violations`` is
+    the number of rows at fault, one for a repeated value or a false claim.
+    """
+    own, offered = F.col("own"), F.col("offered")
+    sums = (
+        union_all(*[_facts(t) for t in tables])
+        .groupBy("rule", "kind", "value")
+        .agg(F.sum("own").alias("own"), F.sum("offered").alias("offered"))
+    )
+    fault = (
+        F.when(F.col("kind") == _ROW, own)
+        .when(F.col("kind") == _UNIQUE, (own > 1).cast("bigint"))
+        .when(F.col("kind") == _REFERENCE, F.when(offered == 0, own).otherwise(0))
+        .otherwise(((offered > 0) & (own != 0)).cast("bigint"))
+    )
+    key = F.when(F.size("value") == 1, F.col("value")[0]).otherwise(F.concat_ws("|", "value"))
+    return sums.select("rule", key.alias("key"), fault.alias("violations")).where(F.col("violations") > 0)
+
+
 def rule_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+    """Rows at fault per rule."""
+    each = F.sum("violations") if "violations" in found.columns else F.count(F.lit(1))
+    return found.groupBy("rule").agg(each.alias("violations"))
 
 
 def require_none(found: DataFrame, what: str) -> None:

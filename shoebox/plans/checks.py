@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import keys
 from ..functions.coerce import MAX_SAFE_INTEGER
 from ..operators import workspace as reads
-from ..operators.rules import RuleViolation, compare_fields, duplicates, orphans, union_all, violations
+from ..operators.rules import Checked, RuleViolation, broken_rules, compare_fields, duplicates, union_all, violations
 from ..operators.tables import set_differences
 
 
@@ -58,18 +58,34 @@ def run_rules() -> dict[str, Column]:
     }
 
 
-def catalog_violations(pictures: DataFrame, albums: DataFrame) -> DataFrame:
-    """Row checks, unique keys and the album reference of the photo table."""
-    return union_all(
-        violations(pictures, F.col("id"), photo_rules()),
-        violations(albums, F.col("id"), album_rules()),
-        duplicates(pictures, ["id"], "photo_id_unique"),
-        duplicates(pictures, ["thumb_key"], "thumb_key_unique"),
-        duplicates(pictures, ["display_key"], "display_key_unique"),
-        duplicates(pictures, ["album_id", "source_fingerprint"], "album_source_unique"),
-        duplicates(albums, ["slug"], "album_slug_unique"),
-        orphans(pictures, F.col("id"), albums, "album_id", "id", "photo_album"),
-    )
+def catalog_violations(pictures: DataFrame, albums: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """(rule, key, violations): all constraints of the catalog, each table read once.
+
+    With ``runs``, pictures and runs must refer to runs and albums that exist;
+    a picture may have no run.
+    """
+    photo_refs = {"photo_album": ["album_id"]}
+    album_offers = {"photo_album": ["id"]}
+    tables = []
+    if runs is not None:
+        photo_refs["photo_run"] = ["imported_run_id"]
+        album_offers["run_album"] = ["id"]
+        tables.append(Checked(
+            runs, F.col("id"), {**run_rules(), "run_album_set": F.col("album_id").isNotNull()},
+            unique={"run_id_unique": ["id"]}, references={"run_album": ["album_id"]}, offers={"photo_run": ["id"]},
+        ))
+    tables += [
+        Checked(
+            pictures, F.col("id"), photo_rules(),
+            unique={
+                "photo_id_unique": ["id"], "thumb_key_unique": ["thumb_key"], "display_key_unique": ["display_key"],
+                "album_source_unique": ["album_id", "source_fingerprint"],
+            },
+            references=photo_refs,
+        ),
+        Checked(albums, F.col("id"), album_rules(), unique={"album_id_unique": ["id"], "album_slug_unique": ["slug"]}, offers=album_offers),
+    ]
+    return broken_rules(*tables)
 
 
 def avatar_rule(prefix: str) -> Column:
@@ -116,14 +132,17 @@ def workspace_violations(faces: DataFrame, clusters: DataFrame, people: DataFram
         "cluster_labeled_has_person": (F.col("status") == "labeled") == F.col("person_id").isNotNull(),
         "cluster_status": F.col("status").isin(*reads.STATES),
     }
-    return union_all(
-        violations(faces, F.col("id"), face_rules()),
-        violations(clusters, F.col("id"), cluster_ok),
-        violations(cannot_links, F.concat_ws("|", "face_id_a", "face_id_b"), ordered),
-        duplicates(faces, ["photo_id", "ordinal"], "photo_ordinal_unique"),
-        duplicates(cannot_links, ["face_id_a", "face_id_b"], "link_unique"),
-        orphans(faces, F.col("id"), clusters, "cluster_id", "id", "face_cluster"),
-        orphans(faces, F.col("id"), people, "person_id", "id", "face_person"),
+    return broken_rules(
+        Checked(
+            faces, F.col("id"), face_rules(), unique={"photo_ordinal_unique": ["photo_id", "ordinal"]},
+            references={"face_cluster": ["cluster_id"], "face_person": ["person_id"]},
+        ),
+        Checked(clusters, F.col("id"), cluster_ok, offers={"face_cluster": ["id"]}),
+        Checked(people, F.col("id"), offers={"face_person": ["id"]}),
+        Checked(
+            cannot_links, F.concat_ws("|", "face_id_a", "face_id_b"), ordered,
+            unique={"link_unique": ["face_id_a", "face_id_b"]},
+        ),
     )
 
 
@@ -244,10 +263,9 @@ def upload_violations(plan: DataFrame, *, prefix: str, private_root: str) -> Dat
     parsed = plan.withColumn("_photo", keys.parse_photo_key(F.col("object_key"), prefix)).withColumn(
         "_avatar", keys.parse_avatar_key(F.col("object_key"), prefix)
     )
-    return union_all(
-        violations(parsed, F.col("object_key"), upload_rules(prefix, private_root)),
-        duplicates(plan, ["object_key"], "duplicate_key"),
-    )
+    return broken_rules(Checked(
+        parsed, F.col("object_key"), upload_rules(prefix, private_root), unique={"duplicate_key": ["object_key"]}
+    ))
 
 
 def avatar_source_violations(
@@ -284,25 +302,27 @@ def avatar_source_violations(
 def consistency_violations(
     pictures: DataFrame, faces: DataFrame, clusters: DataFrame, cannot_links: DataFrame, suggestions: DataFrame
 ) -> DataFrame:
-    """Everything a stored workspace must satisfy across tables.
+    """(rule, key, violations): what a stored workspace must satisfy across tables.
 
+    Face counts, representatives, clusters' photos and vector lengths come out
+    of one reading of each table; identities and links need joins.
     ``cannot_links`` are the exceptions to the links of each photo's faces,
     which are counted, never paired.
     """
     c = F.col
-    actual = faces.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
-    counted = pictures.where(c("scan_status") == "complete").join(
-        actual.withColumnRenamed("photo_id", "id"), "id", "left"
-    )
-    stale = violations(counted, c("id"), {"face_count": c("face_count") == F.coalesce("_n", F.lit(0))})
-    inside = faces.select(c("id").alias("representative_face_id"), c("cluster_id").alias("id"))
-    stray = clusters.join(inside, ["representative_face_id", "id"], "left_anti").select(
-        F.lit("representative").alias("rule"), c("id").alias("key")
-    )
-    twice = (
-        faces.where(c("cluster_id").isNotNull()).groupBy("cluster_id", "photo_id")
-        .agg(F.count(F.lit(1)).alias("_n")).where(c("_n") > 1)
-        .select(F.lit("one_face_per_photo").alias("rule"), F.concat_ws("|", "cluster_id", "photo_id").alias("key"))
+    face_ok = {}
+    if "embedding" in faces.columns:
+        face_ok["embedding_length"] = c("embedding").isNull() | (F.size("embedding") == c("embedding_dim"))
+    tables = broken_rules(
+        Checked(pictures, c("id"), claims={"face_count": ([F.when(c("scan_status") == "complete", c("id"))], c("face_count"))}),
+        Checked(
+            faces, c("id"), face_ok, unique={"one_face_per_photo": ["cluster_id", "photo_id"]},
+            counted={"face_count": ["photo_id"]}, offers={"representative": ["id", "cluster_id"]},
+        ),
+        Checked(
+            clusters, c("id"), {"representative": c("representative_face_id").isNotNull()},
+            references={"representative": ["representative_face_id", "id"]},
+        ),
     )
     blocked = suggestions.join(
         reads.linked_cluster_pairs(suggestions, faces, cannot_links), ["cluster_id_a", "cluster_id_b"], "left_semi"
@@ -320,10 +340,8 @@ def consistency_violations(
         .where(c("pa") != c("pb"))
         .select(F.lit("link_one_photo").alias("rule"), F.concat_ws("|", "face_id_a", "face_id_b").alias("key"))
     )
-    bad_vector = faces.where(c("embedding").isNotNull() & (F.size("embedding") != c("embedding_dim"))).select(
-        F.lit("embedding_length").alias("rule"), c("id").alias("key")
-    ) if "embedding" in faces.columns else stray.limit(0)
-    return union_all(stale, stray, twice, blocked, wrong, totals, crossing, bad_vector)
+    each = union_all(blocked, wrong, totals, crossing)
+    return tables.unionByName(each.withColumn("violations", F.lit(1).cast("bigint")))
 
 
 def crop_differences(faces: DataFrame, crops: DataFrame) -> DataFrame:

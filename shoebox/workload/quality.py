@@ -16,8 +16,13 @@ from .roles import ALBUM, PREFIX, with_roles
   SELECT 'dominant_color' FROM orders WHERE o_orderstatus='O' UNION ALL
   SELECT 'captured_at_source' FROM orders WHERE o_orderstatus='P' UNION ALL
   SELECT 'thumb_key_unique' FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*)>1) UNION ALL
-  SELECT 'photo_album' FROM orders WHERE o_orderpriority='5-LOW') GROUP BY 1""")
+  SELECT 'photo_album' FROM orders WHERE o_orderpriority='5-LOW' UNION ALL
+  SELECT 'photo_run' FROM orders WHERE o_orderkey%4=3 UNION ALL
+  SELECT 'run_album' FROM (SELECT 1 FROM orders WHERE o_orderkey%3=1 LIMIT 1) UNION ALL
+  SELECT 'status' FROM (SELECT 1 FROM orders WHERE o_orderkey%3=2 LIMIT 1) UNION ALL
+  SELECT 'failed_count' FROM (SELECT 1 FROM orders WHERE o_orderkey%3=0 LIMIT 1)) GROUP BY 1""")
 def _(r):
+    """Some pictures name a run that is not there, and each run has a fault of its own."""
     o = r.table("orders")
     pictures = o.select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("album_id"),
@@ -27,13 +32,20 @@ def _(r):
         (F.col("o_totalprice") - 150000).cast("bigint").alias("price"), "o_totalprice",
         F.when(F.col("o_orderstatus") == "O", "#12345").otherwise("#123abc").alias("dominant_color"),
         F.lit("data:image/webp;base64,AA").alias("blur_data_url"),
+        F.concat(F.lit("run_"), F.col("o_orderkey") % 4).alias("imported_run_id"),
         F.concat(F.lit("t"), "o_custkey").alias("thumb_key"), F.concat(F.lit("d"), "o_orderkey").alias("display_key"),
         *[F.lit(1).alias(c) for c in ("source_width", "source_height", "thumb_width", "thumb_height", "thumb_bytes", "width", "height", "display_bytes")],
     ).withColumn("source_bytes", F.when(F.col("o_totalprice") < 150000, -1).otherwise(1))
     albums = o.where(F.col("o_orderpriority") != "5-LOW").groupBy(F.col("o_orderpriority").alias("id")).agg(
         F.count(F.lit(1)).alias("photo_count"), F.min("o_orderdate").alias("captured_at_min"), F.max("o_orderdate").alias("captured_at_max")
     ).select("*", F.lower("id").alias("slug"), F.lit("captured_at_asc").alias("default_sort"))
-    return rule_counts(checks.catalog_violations(pictures, albums))
+    n = F.col("n")
+    runs = o.groupBy((F.col("o_orderkey") % 3).alias("n")).agg(F.count(F.lit(1)).alias("discovered_count")).select(
+        F.concat(F.lit("run_"), n).alias("id"), F.when(n == 1, "5-LOW").otherwise("1-URGENT").alias("album_id"),
+        F.when(n == 2, "paused").otherwise("completed").alias("status"), "discovered_count",
+        F.col("discovered_count").alias("imported_count"), F.lit(0).alias("skipped_count"), (n - 1).alias("failed_count"),
+    )
+    return rule_counts(checks.catalog_violations(pictures, albums, runs))
 
 
 @query("d3_workspace_rules", """SELECT rule, count(*) AS violations FROM (
@@ -109,10 +121,16 @@ def _(r):
   SELECT 'suggestion_blocked' FROM suggestions s WHERE (cluster_id_a, cluster_id_b) IN (SELECT (least(a.cluster_id,b.cluster_id), greatest(a.cluster_id,b.cluster_id)) FROM cannot_links l
     JOIN faces a ON a.id=l.face_id_a JOIN faces b ON b.id=l.face_id_b) UNION ALL
   SELECT 'labeled_identity' FROM faces f JOIN clusters c ON c.id=f.cluster_id WHERE c.status='labeled' AND f.status NOT IN ('ignored','unknown') AND (f.status<>'labeled' OR f.person_id IS DISTINCT FROM c.person_id) UNION ALL
+  SELECT 'embedding_length' FROM faces WHERE status='unknown' UNION ALL
   SELECT 'links_complete' WHERE (SELECT sum(face_count::BIGINT*(face_count-1)//2) FROM review_pictures)<>(SELECT count(*) FROM cannot_links)) GROUP BY 1""",
   ("review_pictures", "clusters", "faces", "suggestions", "cannot_links"))
 def _(r):
-    return rule_counts(checks.consistency_violations(r.review_pictures, r.stored_faces, r.clusters, r.exceptions, r.suggestions))
+    """Unknown faces state one dimension more than their vectors have."""
+    vector = F.when(F.col("status") != "ignored", F.array(F.lit(0.6), F.lit(0.8)))
+    faces = r.stored_faces.withColumns({
+        "embedding": vector, "embedding_dim": F.size(vector) + F.when(F.col("status") == "unknown", 1).otherwise(0)
+    })
+    return rule_counts(checks.consistency_violations(r.review_pictures, faces, r.clusters, r.exceptions, r.suggestions))
 
 
 @query("j9_orphans_and_empty", """SELECT 'orphan_face' AS kind, count(*) AS n FROM faces f WHERE NOT EXISTS (SELECT 1 FROM clusters c WHERE c.id=f.cluster_id AND c.status='unreviewed') AND f.status='unreviewed'
