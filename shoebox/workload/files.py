@@ -8,7 +8,7 @@ from .. import schemas
 from ..functions import hashing
 from ..operators.numbering import dense_index
 from ..session import scratch_path
-from ..sources import files, jsonlines, snapshots
+from ..sources import batches, files, jsonlines, snapshots
 from ..streaming.fold import fold_stream
 from .registry import query
 
@@ -107,10 +107,10 @@ def _(r):
 def _(r):
     path = scratch_path(r.spark, "batches")
     numbered = dense_index(r.pictures.select("id", "album_position"), [F.col("album_position"), F.col("id")], "i")
-    snapshots.write_batches(numbered.select("id", "i"), path, "i", 250)
-    back = r.spark.read.schema("id string, i long, batch_no long").json(path)
-    return back.groupBy("batch_no").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("i").alias("first_position"), F.max("i").alias("last_position")
+    batches.write_batches(numbered.select("id", "i"), path, "i", 250)
+    at = F.get_json_object("value", "$.i").cast("bigint")
+    return batches.read_batches(r.spark, path).groupBy("batch_no").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(at).alias("first_position"), F.max(at).alias("last_position")
     )
 
 

@@ -14,7 +14,7 @@ from shoebox.operators.rules import RuleViolation, compare_fields
 from shoebox.operators.tables import set_differences
 from shoebox.operators.workspace import same_photo_links
 from shoebox.plans import checks, ingest, publish, scan, upload
-from shoebox.sources import files, jsonlines, snapshots
+from shoebox.sources import batches, files, jsonlines, snapshots
 from shoebox.streaming.fold import fold_stream
 
 LINE = T.StructType([T.StructField("seq", T.LongType()), T.StructField("key", T.StringType())])
@@ -90,9 +90,9 @@ def test_snapshots_are_all_or_nothing(spark, tmp_path):
     assert snapshots.publish(snapshots.read_current(spark, root).where("id > 0"), root) == 2
     assert snapshots.read_current(spark, root).count() == 2
     with pytest.raises(ValueError):
-        snapshots.numbered_batches(spark.range(3), "id", 5001, largest=5000)
+        batches.numbered_batches(spark.range(3), "id", 5001, largest=5000)
     with pytest.raises(ValueError):
-        snapshots.numbered_batches(spark.range(3), "id", 0)
+        batches.numbered_batches(spark.range(3), "id", 0)
 
 
 def test_stream_fold_equals_batch_and_resumes(spark, tmp_path):
@@ -287,3 +287,46 @@ def test_text_functions(spark):
     assert [r["id"] for r in listed.collect()] == ["3", "1", "4"]
     full = spark.createDataFrame([("ＡＢ  c",), ("x" * 121,), ("  ",)], "n string").select(text.first_name(F.col("n")).alias("n"))
     assert [r["n"] for r in full.collect()] == ["AB", None, None]
+
+
+def test_numbered_batches_lie_in_few_files(spark, tmp_path):
+    path = f"{tmp_path}/out"
+    rows = spark.range(0, 20_003).select("id", F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.lit("a\nü")).alias("text"))
+    batches.write_batches(rows.repartition(7), path, "id", 2)
+    index = batches.batch_index(spark, path)
+    assert (index.count(), index.agg(F.sum("rows")).head()[0], index.agg(F.max("batch_no")).head()[0]) == (10_002, 20_003, 10_002)
+    assert len(list((tmp_path / "out" / "data").glob("*.lines"))) <= 8
+    # What a lost attempt leaves behind is never read.
+    (tmp_path / "out" / "data" / "lost.lines").write_text("{}\n")
+    back = batches.read_batches(spark, path).select("batch_no", "line_no", F.from_json("value", "id long, text string").alias("r"))
+    assert back.where(F.expr("batch_no <> r.id div 2 + 1 OR line_no <> r.id % 2 + 1")).isEmpty()
+    assert back.select("r.*").exceptAll(rows).isEmpty() and back.count() == 20_003
+    some = batches.read_batches(spark, path, first=5_000, last=5_001)
+    assert sorted(json.loads(r["value"])["id"] for r in some.collect()) == [9_998, 9_999, 10_000, 10_001]
+    assert batches.read_batches(spark, path, first=20_000).isEmpty()
+    with pytest.raises(Exception, match="holds batches already"):
+        batches.write_batches(rows, path, "id", 2)
+    one = index.where("batch_no = 77").head()
+    damaged = tmp_path / "out" / (one["file"] + ".lines")
+    text = bytearray(damaged.read_bytes())
+    text[one["start"]] ^= 1
+    damaged.write_bytes(bytes(text))
+    with pytest.raises(Exception, match="batch 77 of"):
+        batches.read_batches(spark, path, first=77, last=77).collect()
+
+
+def test_batches_refuse_what_is_not_whole(spark, tmp_path):
+    spark.dataSource.register(batches.NumberedBatches)
+    save = lambda df, name: df.write.format("numbered_batches").mode("append").save(f"{tmp_path}/{name}")
+    lines = spark.range(0, 40, 1, 4).select(F.col("id").alias("batch_no"), F.lit("x").alias("value"))
+    with pytest.raises(Exception, match="written by two tasks"):
+        save(lines.withColumn("batch_no", F.col("batch_no") % 10), "twice")
+    with pytest.raises(Exception, match="in the order of their batches"):
+        save(lines.withColumn("batch_no", -F.col("batch_no")), "back")
+    with pytest.raises(Exception, match="needs a batch number"):
+        batches.write_batches(spark.createDataFrame([(None, 1)], "i long, x int"), f"{tmp_path}/null", "i")
+    for name in ("twice", "back", "null"):
+        with pytest.raises(Exception, match=batches.LISTING):
+            batches.read_batches(spark, f"{tmp_path}/{name}").collect()
+    batches.write_batches(spark.createDataFrame([], "i long, x int"), f"{tmp_path}/none", "i")
+    assert batches.read_batches(spark, f"{tmp_path}/none").isEmpty() and batches.batch_index(spark, f"{tmp_path}/none").isEmpty()
