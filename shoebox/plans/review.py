@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schemas
 from ..functions import keys
-from ..functions.hashing import person_id_from_name_key
+from ..functions.hashing import person_id_from_name_key, set_digest
 from ..functions.text import first_name, name_key
 from ..operators import workspace as reads
 from ..operators.agglomerate import member_digest
@@ -42,6 +42,14 @@ class ReviewConflict(ValueError):
     """The decision contradicts the present state; nothing was changed."""
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """The action that holds a decision, if it changed anything; of an earlier call when replayed."""
+
+    action_id: int | None
+    replayed: bool = False
+
+
 @dataclass(frozen=True)
 class Workspace:
     pictures: DataFrame
@@ -54,6 +62,8 @@ class Workspace:
     images: DataFrame
     #: How the tables that decisions have changed are layered, by name.
     layers: Mapping[str, Layered] = field(default_factory=dict)
+    #: What became of the last checked decision.
+    outcome: Outcome | None = None
 
 
 def _refuse(rows: DataFrame, message: str) -> None:
@@ -181,14 +191,29 @@ def already_done(ws: Workspace, mutation_id: str) -> int | None:
     return row[0]
 
 
+def _replayed(ws: Workspace, mutation_id: str) -> Workspace | None:
+    """The unchanged workspace if an earlier call took this mutation id."""
+    earlier = already_done(ws, mutation_id)
+    return None if earlier is None else replace(ws, outcome=Outcome(earlier, replayed=True))
+
+
+def command_payload(commands: DataFrame, **parameters: str) -> DataFrame:
+    """One row that tells a list of commands of any length: its size, its digest, the parameters."""
+    whole = set_digest(commands, sorted(commands.columns), alias="digest").crossJoin(
+        F.broadcast(commands.agg(F.count(F.lit(1)).alias("commands")))
+    )
+    given = [F.lit(v).alias(k) for k, v in parameters.items()]
+    return whole.select(F.to_json(F.struct(*given, "commands", "digest")).alias("payload_json"))
+
+
 def append_action(
-    ws: Workspace, action_type: str, mutation_id: str, payload_json: str, images: DataFrame, now: Column
+    ws: Workspace, action_type: str, mutation_id: str, payload: DataFrame, images: DataFrame, now: Column
 ) -> Workspace:
-    """Log the action under the next id together with its before-images."""
+    """Log the action under the next id with its payload, one row, and its before-images."""
     one = ws.actions.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
-    row = one.select(
+    row = one.crossJoin(F.broadcast(payload)).select(
         "id", F.lit(mutation_id).alias("client_mutation_id"), F.lit(action_type).alias("action_type"),
-        F.lit(payload_json).alias("payload_json"), F.lit(None).cast("string").alias("inverse_json"),
+        "payload_json", F.lit(None).cast("string").alias("inverse_json"),
         now.cast("string").alias("created_at"), F.lit(None).cast("string").alias("undone_at"),
     )
     tagged = images.crossJoin(F.broadcast(one.withColumnRenamed("id", "action_id")))
@@ -231,18 +256,18 @@ def settled(before: Workspace, after: Workspace, touched: DataFrame, action: Dat
     return replace(after, layers=layers, **tables)
 
 
-def _log(before, after, action_type, mutation_id, images, now, write) -> Workspace:
+def _log(before, after, action_type, mutation_id, payload, images, now, write) -> Workspace:
     out = images[0]
     for more in images[1:]:
         out = out.unionByName(more)
     if not write:
-        return append_action(after, action_type, mutation_id, "{}", out, now)
+        return append_action(after, action_type, mutation_id, payload, out, now)
     # Read once: they are written as a layer and name the keys of all others.
     out = cut_lineage(out, "images")
-    logged = append_action(after, action_type, mutation_id, "{}", out, now)
+    logged = append_action(after, action_type, mutation_id, payload, out, now)
     added = cut_lineage(logged.actions.where(F.col("client_mutation_id") == mutation_id).select("id"), "action")
     tagged = out.crossJoin(F.broadcast(added.withColumnRenamed("id", "action_id"))).select(*IMAGES.names)
-    return settled(before, logged, out, added, tagged)
+    return replace(settled(before, logged, out, added, tagged), outcome=Outcome(added.head()["id"]))
 
 
 # Decisions --------------------------------------------------------------------
@@ -273,8 +298,8 @@ def label_clusters(
     """Name clusters. Faces follow unless ignored or unknown; in an unknown
     cluster the unknown faces follow too. Clusters already so named are left
     alone."""
-    if check and already_done(ws, mutation_id) is not None:
-        return ws
+    if check and (earlier := _replayed(ws, mutation_id)) is not None:
+        return earlier
     _refuse(
         commands.groupBy("cluster_id").count().where("count > 1").select("cluster_id"), "a cluster can be named once per command list"
     )
@@ -318,7 +343,7 @@ def label_clusters(
             "recover at least one face before naming this cluster",
         )
         if todo.isEmpty():
-            return ws
+            return replace(ws, outcome=Outcome(None))
     touched = todo.select("cluster_id")
     images = [face_images(ws, touched), cluster_images(ws, touched), _image(created, "people", "id", (), "delete")]
     changes = placed.where(eligible).join(touched, "cluster_id", "left_semi").select(
@@ -328,15 +353,15 @@ def label_clusters(
     out = replace(
         ws, people=people, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now)
     )
-    return _log(ws, out, "label_cluster", mutation_id, images, now, check)
+    return _log(ws, out, "label_cluster", mutation_id, command_payload(commands), images, now, check)
 
 
 def batch_label(
     ws: Workspace, commands: DataFrame, *, mutation_id: str, now: Column, check: bool = True
 ) -> Workspace:
     """Give unreviewed clusters an existing person; all commands or none."""
-    if check and already_done(ws, mutation_id) is not None:
-        return ws
+    if check and (earlier := _replayed(ws, mutation_id)) is not None:
+        return earlier
     target = commands.select("cluster_id", F.col("person_id").alias("new_person"))
     state = target.join(
         ws.clusters.select(
@@ -376,7 +401,7 @@ def batch_label(
         )
     touched = state.where(F.col("cluster_status") == "unreviewed").select("cluster_id")
     if check and touched.isEmpty():
-        return ws
+        return replace(ws, outcome=Outcome(None))
     images = [face_images(ws, touched), cluster_images(ws, touched)]
     pending = reads.labelable(F.col("status")) & ~(
         (F.col("status") == "labeled") & F.col("person_id").eqNullSafe(F.col("new_person"))
@@ -386,7 +411,7 @@ def batch_label(
     )
     faces = _set_faces(ws.faces, changes, now)
     out = replace(ws, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now))
-    return _log(ws, out, "batch_label_clusters", mutation_id, images, now, check)
+    return _log(ws, out, "batch_label_clusters", mutation_id, command_payload(commands), images, now, check)
 
 
 def ignore_unreviewed(
@@ -418,8 +443,10 @@ def ignore_unreviewed(
         total("ignored_faces").alias("preserved_ignored_faces"),
     )
     if check:
-        if already_done(ws, mutation_id) is not None or targets.isEmpty():
-            return ws, report
+        if (earlier := _replayed(ws, mutation_id)) is not None:
+            return earlier, report
+        if targets.isEmpty():
+            return replace(ws, outcome=Outcome(None)), report
         _refuse(inside.where(F.col("status") == "labeled").select("id"), "unreviewed clusters contain labeled faces")
         if inside.isEmpty():
             raise ReviewConflict("unreviewed clusters contain no faces")
@@ -435,7 +462,8 @@ def ignore_unreviewed(
         },
     )
     out = replace(ws, faces=_set_faces(ws.faces, changes, now), clusters=clusters)
-    return _log(ws, out, "ignore_all_unreviewed_clusters", mutation_id, images, now, check), report
+    payload = report.select(F.to_json(F.struct(*report.columns)).alias("payload_json"))
+    return _log(ws, out, "ignore_all_unreviewed_clusters", mutation_id, payload, images, now, check), report
 
 
 def set_clusters(
@@ -449,8 +477,8 @@ def set_clusters(
     if state not in ("unreviewed", "unknown", "ignored"):
         raise ValueError("Invalid disposition")
     if check:
-        if already_done(ws, mutation_id) is not None:
-            return ws
+        if (earlier := _replayed(ws, mutation_id)) is not None:
+            return earlier
         _require_clusters(ws, commands)
     touched = commands.select("cluster_id").distinct()
     before = ws.clusters.select(F.col("id").alias("cluster_id"), F.col("status").alias("cluster_status"))
@@ -467,7 +495,7 @@ def set_clusters(
     )
     faces = _set_faces(ws.faces, changes, now)
     out = replace(ws, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now))
-    return _log(ws, out, f"{state}_cluster", mutation_id, images, now, check)
+    return _log(ws, out, f"{state}_cluster", mutation_id, command_payload(commands, state=state), images, now, check)
 
 
 def set_faces(
@@ -478,8 +506,8 @@ def set_faces(
         raise ValueError("Invalid disposition")
     ids = commands.select(F.col("face_id").alias("id")).distinct()
     if check:
-        if already_done(ws, mutation_id) is not None:
-            return ws
+        if (earlier := _replayed(ws, mutation_id)) is not None:
+            return earlier
         _refuse(ids.join(ws.faces, "id", "left_anti").select("id"), "face not found")
     hit = ws.faces.join(ids, "id", "left_semi")
     touched = hit.where(F.col("cluster_id").isNotNull()).select("cluster_id").distinct()
@@ -489,7 +517,7 @@ def set_faces(
     changes = ids.select("id", F.lit(state).alias("status"), F.lit(None).cast("string").alias("person_id"))
     faces = _set_faces(ws.faces, changes, now)
     out = replace(ws, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now))
-    return _log(ws, out, f"{state}_face", mutation_id, images, now, check)
+    return _log(ws, out, f"{state}_face", mutation_id, command_payload(commands, state=state), images, now, check)
 
 
 def remaining_faces(faces: DataFrame, commands: DataFrame) -> DataFrame:
@@ -520,8 +548,8 @@ def split_clusters(
     """
     commands = commands.select("cluster_id", "face_id").distinct()
     if check:
-        if already_done(ws, mutation_id) is not None:
-            return ws
+        if (earlier := _replayed(ws, mutation_id)) is not None:
+            return earlier
         _require_clusters(ws, commands)
         per = commands.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
         if limit is not None:
@@ -572,7 +600,7 @@ def split_clusters(
         suggestions=delete_keys(ws.suggestions, dropped, ["cluster_id_a", "cluster_id_b"]),
         cannot_links=insert_missing(ws.cannot_links, links, ["face_id_a", "face_id_b"]),
     )
-    return _log(ws, out, "split_cluster", mutation_id, images, now, check)
+    return _log(ws, out, "split_cluster", mutation_id, command_payload(commands), images, now, check)
 
 
 def merge_targets(commands: DataFrame) -> DataFrame:
@@ -590,8 +618,8 @@ def merge_clusters(
     """
     mapping = merge_targets(commands)
     if check:
-        if already_done(ws, mutation_id) is not None:
-            return ws
+        if (earlier := _replayed(ws, mutation_id)) is not None:
+            return earlier
         _require_clusters(ws, commands)
         _refuse(
             mapping.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("cluster_id"),
@@ -625,7 +653,7 @@ def merge_clusters(
         ws, faces=faces, clusters=recompute_clusters(clusters, faces, targets, now),
         suggestions=delete_keys(ws.suggestions, dropped, ["cluster_id_a", "cluster_id_b"]),
     )
-    return _log(ws, out, "merge_clusters", mutation_id, images, now, check)
+    return _log(ws, out, "merge_clusters", mutation_id, command_payload(commands), images, now, check)
 
 
 def undo_last(ws: Workspace, now: Column, *, write: bool = True) -> tuple[Workspace, str | None]:

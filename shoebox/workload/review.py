@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import workspace as reads
 from ..operators.numbering import dense_index, index_in_group
 from ..operators.tables import set_differences
-from ..plans import export, review
+from ..plans import backup, export, review
+from ..session import scratch_path
 from .registry import query
 from .roles import NOW, PREFIX, cluster_id, person_id
 
@@ -299,7 +300,7 @@ def _(r):
 def _(r):
     """Reopen every cluster; of unknown clusters only the unknown faces."""
     every = r.clusters.select(F.col("id").alias("cluster_id"))
-    out = review.set_clusters(r.workspace, every, "unreviewed", mutation_id="reopen-all-1", now=_now(), check=False)
+    out = review.set_clusters(r.workspace, every, "unreviewed", mutation_id="reopen-all-1", now=_now())
     return out.faces.select("id", "status")
 
 
@@ -308,7 +309,7 @@ def _(r):
     """Ignore all faces too small to cluster; their clusters follow."""
     small = r.faces.where(F.col("quality") == "manual_only").select(F.col("id").alias("face_id"))
     everyone = r.workspace.clusters.select(F.col("id").alias("cluster_id"))
-    out = review.set_faces(r.workspace, small, "ignored", mutation_id="ignore-small-1", now=_now(), check=False)
+    out = review.set_faces(r.workspace, small, "ignored", mutation_id="ignore-small-1", now=_now())
     return review.recompute_clusters(out.clusters, out.faces, everyone, _now()).select("id", "status", "person_id")
 
 
@@ -356,21 +357,66 @@ def _ignored(r):
     return review.ignore_unreviewed(r.workspace, mutation_id="ignore-all-1", now=_now(), check=False)[0]
 
 
-@query("m18_action_log", """SELECT id, client_mutation_id, action_type, payload_json, (SELECT max(event_id)+2 FROM events) AS action_high_watermark FROM (
+@query("m18_action_log", """SELECT id, client_mutation_id, action_type, payload_json, max(id) OVER () AS action_high_watermark, max(id) OVER () AS replayed_action FROM (
   SELECT event_id+1 AS id, 'mutation-'||event_id AS client_mutation_id, event_type AS action_type, props AS payload_json FROM events
-  UNION ALL SELECT max(event_id)+2, 'ignore-all-1', 'ignore_all_unreviewed_clusters', '{}' FROM events)""")
+  UNION ALL SELECT (SELECT max(event_id)+2 FROM events), 'ignore-all-1', 'ignore_all_unreviewed_clusters', json_object('target_clusters', count(DISTINCT c.id),
+  'ignored_clusters', count(DISTINCT c.id), 'preserved_unknown_clusters', 0, 'ignored_faces', count(*), 'preserved_unknown_faces', 0, 'preserved_ignored_faces', 0)::VARCHAR
+  FROM faces f JOIN clusters c ON c.id=f.cluster_id WHERE c.status='unreviewed')""", ("faces", "clusters"))
 def _(r):
-    """One more action on a log taken from the events; its id follows the highest one."""
+    """One more action, with its payload, on a log taken from the events; asked again, its id comes back."""
     none = F.lit(None).cast("string")
     log = r.table("events").select(
         (F.col("event_id") + 1).alias("id"), F.concat(F.lit("mutation-"), "event_id").alias("client_mutation_id"),
         F.col("event_type").alias("action_type"), F.col("props").alias("payload_json"), none.alias("inverse_json"),
         F.col("ts").cast("string").alias("created_at"), none.alias("undone_at"),
     )
-    ws = replace(r.workspace, actions=log)
-    out = review.ignore_unreviewed(ws, mutation_id="ignore-all-1", now=_now(), check=False)[0]
+    ws = replace(r.whole_workspace, actions=log)
+    out = review.ignore_unreviewed(ws, mutation_id="ignore-all-1", now=_now())[0]
+    again = review.ignore_unreviewed(out, mutation_id="ignore-all-1", now=_now())[0]
     shown = out.actions.select("id", "client_mutation_id", "action_type", "payload_json")
-    return shown.crossJoin(F.broadcast(review.high_watermark(out)))
+    return shown.crossJoin(F.broadcast(review.high_watermark(again))).withColumn(
+        "replayed_action", F.lit(again.outcome.action_id if again.outcome.replayed else None).cast("bigint")
+    )
+
+
+SAME = "faces f JOIN clusters c ON c.id=f.cluster_id"
+
+
+@query("m11_batch_label_checked", f"""SELECT f.id, CASE WHEN c.status='unreviewed' THEN 'labeled' ELSE c.status END AS status,
+  CASE WHEN c.status='unreviewed' THEN 'person_'||substr(sha256('s5'),1,32) ELSE c.person_id END AS person_id FROM {SAME}""", ("faces", "clusters"))
+def _(r):
+    """Every open cluster gets one person, through all guards."""
+    ws = r.whole_workspace
+    todo = ws.clusters.where(F.col("status") == "unreviewed").select(F.col("id").alias("cluster_id"), person_id(F.lit(5)).alias("person_id"))
+    return review.batch_label(ws, todo, mutation_id="batch-all-1", now=_now()).faces.select("id", "status", "person_id")
+
+
+@query("m19_undo_checked", f"SELECT f.id, c.status, c.person_id, 0 AS revision FROM {SAME}", ("faces", "clusters"))
+def _(r):
+    """Reopen every cluster through the guards, then undo it from the written layers."""
+    ws = r.whole_workspace
+    every = ws.clusters.select(F.col("id").alias("cluster_id"))
+    out = review.set_clusters(ws, every, "unreviewed", mutation_id="reopen-all-1", now=_now())
+    restored, _kind = review.undo_last(out, _now())
+    return restored.faces.select("id", "status", "person_id", "revision")
+
+
+@query("d10_ignore_with_backup", f"""SELECT f.id, CASE WHEN c.status='unreviewed' THEN 'ignored' ELSE c.status END AS status,
+  CASE WHEN c.status='unreviewed' THEN 1 ELSE 0 END AS revision FROM {SAME}""", ("faces", "clusters"))
+def _(r):
+    """Preconditions, a backup read back and compared, the decision and its postconditions."""
+    done, _report = backup.ignore_with_backup(r.whole_workspace, scratch_path(r.spark, "backup"), mutation_id="ignore-all-1", now=_now())
+    return done.faces.select("id", "status", "revision")
+
+
+@query("d10_backup_fingerprint", f"""SELECT 'faces.'||c.status AS fact, count(*)::VARCHAR AS value FROM {SAME} GROUP BY 1
+  UNION ALL SELECT 'clusters.'||status, count(*)::VARCHAR FROM clusters WHERE id IN (SELECT cluster_id FROM faces) GROUP BY 1
+  UNION ALL SELECT * FROM (VALUES ('actions', '0'), ('action_high_watermark', '0'))""", ("faces", "clusters"))
+def _(r):
+    """What a verified backup says of itself; its protected digest was compared when it was written."""
+    root = scratch_path(r.spark, "backup")
+    backup.write_backup(r.whole_workspace, root)
+    return backup.fingerprint(backup.read_backup(r.spark, root)).where(F.col("fact") != "protected")
 
 
 @query("m20_before_images", """SELECT 'faces' AS table_name, f.id AS key FROM faces f JOIN clusters c ON c.id=f.cluster_id WHERE c.status='unreviewed'

@@ -233,6 +233,29 @@ class Roles:
             suggestions=self.suggestions, actions=empty(schemas.ACTIONS), images=empty(IMAGES),
         )
 
+    @cached_property
+    def whole_workspace(self):
+        """The workspace as the guards want it: faces agree with their clusters, and every id leads somewhere."""
+        from dataclasses import replace
+
+        from ..session import cut_lineage
+
+        ws = self.workspace
+        clusters = cut_lineage(ws.clusters.join(ws.faces.select(F.col("cluster_id").alias("id")), "id", "left_semi"), "clusters")
+        owner = clusters.select(F.col("id").alias("cluster_id"), F.col("status").alias("_s"), F.col("person_id").alias("_p"))
+        faces = ws.faces.join(owner, "cluster_id").withColumns({"status": F.col("_s"), "person_id": F.col("_p")})
+        named = clusters.where(F.col("person_id").isNotNull()).select(F.col("person_id").alias("id")).distinct()
+        extra = named.join(ws.people, "id", "left_anti").select(
+            "id", F.col("id").alias("display_name"), F.col("id").alias("name_key"), F.lit("t0").alias("created_at"), F.lit("t0").alias("updated_at")
+        )
+        suggestions = ws.suggestions
+        for side in ("cluster_id_a", "cluster_id_b"):
+            suggestions = suggestions.join(clusters.select(F.col("id").alias(side)), side, "left_semi")
+        return replace(
+            ws, clusters=clusters, faces=cut_lineage(faces.select(*ws.faces.columns), "faces"), people=ws.people.unionByName(extra),
+            suggestions=cut_lineage(suggestions.select(*ws.suggestions.columns), "suggestions"),
+        )
+
 
 # SQL twins -------------------------------------------------------------------
 
