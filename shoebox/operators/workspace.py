@@ -106,6 +106,14 @@ def scoreboard(pictures: DataFrame, faces: DataFrame, clusters: DataFrame) -> Da
     return p.crossJoin(F.broadcast(f)).crossJoin(F.broadcast(c))
 
 
+def bootstrap(
+    pictures: DataFrame, faces: DataFrame, clusters: DataFrame, people: DataFrame, *, status: str = "unreviewed", query: str = ""
+) -> tuple[DataFrame, DataFrame]:
+    """What a review session opens with: (scoreboard, clusters to review in order)."""
+    summary = cluster_summary(clusters, faces, pictures, people)
+    return scoreboard(pictures, faces, clusters), review_queue(filter_clusters(summary, status, query))
+
+
 def person_stats(people: DataFrame, faces: DataFrame) -> DataFrame:
     """Distinct pictures and faces per person over labeled faces."""
     labeled = faces.where((F.col("status") == "labeled") & F.col("person_id").isNotNull())

@@ -157,6 +157,23 @@ MANIFEST_REQUIRED = (
 )
 
 
+#: Fixed value: the version of run documents that is understood.
+DOCUMENT_VERSION = 1
+
+
+def run_document_violations(documents: DataFrame) -> DataFrame:
+    """(rule, key, violations) of run documents: version, ids, slug, completeness; the key is the run id."""
+    c = F.col
+    rules = {
+        "schema_version": c("schema_version") == DOCUMENT_VERSION,
+        "album_id": keys.matches(c("album.id"), keys.RUN_ID),
+        "album_slug": F.length("album.slug") > 0,
+        "run_id": keys.matches(c("import_run.id"), keys.RUN_ID),
+        "complete_source_set": c("import_run.complete_source_set").isNotNull(),
+    }
+    return broken_rules(Checked(documents, c("import_run.id"), rules, unique={"run_id_unique": ["import_run.id"]}))
+
+
 def manifest_violations(
     manifest: DataFrame, *, album_id: str, expected_count: int, expected_digest: str | None = None,
     actual_digest: str | None = None, required: tuple[str, ...] = (),

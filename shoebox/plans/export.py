@@ -92,6 +92,12 @@ def export_rules(people: DataFrame, links: DataFrame, uploads: DataFrame, faces:
     )
 
 
+def export_preview(people: DataFrame, faces: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What an export would hold: (people by name with their counts, one row of totals)."""
+    stats = reads.person_stats(people, faces).orderBy(F.lower("display_name"), "person_id")
+    return stats, reads.association_count(faces).crossJoin(F.broadcast(review_summary(faces, clusters)))
+
+
 def build_export(
     people: DataFrame, faces: DataFrame, clusters: DataFrame, pictures: DataFrame, crops: DataFrame, *,
     prefix: str, side: int, crop_root: str, clustered: bool, allow_incomplete: bool = False,

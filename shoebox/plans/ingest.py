@@ -2,18 +2,62 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import keys
 from ..functions.coerce import captured_at
-from ..functions.hashing import object_key, photo_id, set_digest
-from ..functions.text import natural_key
+from ..functions.hashing import object_key, photo_id, set_digest, source_signature
+from ..functions.text import natural_key, nfc
 from ..operators.numbering import dense_index, keep_first, keep_last
 
 METADATA_FIELDS = ("camera_make", "camera_model", "lens_model")
 METADATA_NUMBERS = ("iso", "aperture", "exposure_seconds", "focal_length_mm")
 
 
+# The settings that decide what is built, in the order in which they are hashed.
+PROFILE_VERSION, TOOL_VERSION = 1, "1.0.0"
+
+
+def derivative_settings(
+    *, album_id: str, prefix: str, image_format: str, thumb_size: int, thumb_quality: int, display_size: int,
+    display_quality: int, encoder: dict[str, str] | None = None,
+) -> dict:
+    """Everything that changes the derivatives of a source, encoder versions included."""
+    encoder = encoder or {}
+    return {
+        "profile_version": PROFILE_VERSION,
+        "tool_version": TOOL_VERSION,
+        "encoder": {part: encoder.get(part, "not-loaded") for part in ("sharp", "libvips")},
+        "album_id": album_id,
+        "prefix": prefix,
+        "thumb": {"max_edge": thumb_size, "format": image_format, "quality": thumb_quality},
+        "display": {"max_edge": display_size, "format": image_format, "quality": display_quality},
+        "auto_orient": True,
+        "colorspace": "srgb",
+        "source_metadata_preserved": False,
+        "cache_control": keys.IMMUTABLE_CACHE,
+    }
+
+
+def profile_fingerprint(settings: dict) -> str:
+    """SHA-256 of the settings as compact JSON in their own order."""
+    text = json.dumps(settings, separators=(",", ":"), ensure_ascii=False)
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def sign_inventory(inventory: DataFrame, settings: dict) -> DataFrame:
+    """Adds ``signature`` to (relative_path, bytes, mtime_ms).
+
+    It names the source as it lies there and the settings it is built with, so
+    a changed setting finds no completed entry and everything is built anew.
+    """
+    profile = F.lit(profile_fingerprint(settings))
+    return inventory.withColumn("signature", source_signature(nfc(F.col("relative_path")), F.col("bytes"), F.col("mtime_ms"), profile))
+
+
 def latest_state(log: DataFrame, key: str = "signature", sequence: str = "seq") -> DataFrame:
     """Last completed entry per signature of the append-only state."""
     done = log.where((F.col("type") == "completed") & F.col(key).isNotNull())

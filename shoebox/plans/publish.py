@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.rules import RuleViolation
+from ..functions import keys
+from ..operators.rules import RuleViolation, require_none
 from ..operators.tables import delete_keys, insert_missing, upsert
-from .checks import MANIFEST_REQUIRED, manifest_violations
+from .checks import MANIFEST_REQUIRED, manifest_violations, run_document_violations
 
 
 @dataclass(frozen=True)
@@ -144,6 +146,12 @@ def close_run(
     )
 
 
+def open_run_document(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(albums, import runs) of checked run documents; a broken one is refused."""
+    require_none(run_document_violations(documents), "run document")
+    return documents.select("album.*"), documents.select("import_run.*")
+
+
 def import_manifest(
     catalog: Catalog, album: DataFrame, run: DataFrame, manifest: DataFrame, *,
     authoritative: bool = False, now: Column, expected_digest: str | None = None, actual_digest: str | None = None,
@@ -156,6 +164,10 @@ def import_manifest(
     """
     header = run.head()
     album_id, run_id = header["album_id"], header["id"]
+    if not all(re.fullmatch(keys.RUN_ID, x or "") for x in (album_id, run_id)):
+        raise RuleViolation("an album or run id holds other than letters, digits, dots, dashes or underscores")
+    if header["complete_source_set"] is None:
+        raise RuleViolation("the run does not say whether its source set is complete")
     if authoritative and not (
         header["complete_source_set"] is True and header["status"] == "completed" and header["failed_count"] == 0
     ):

@@ -65,6 +65,26 @@ def _(r):
     return rule_counts(checks.manifest_violations(r.pictures, album_id=ALBUM, expected_count=-1))
 
 
+@query("d4_run_documents", """SELECT rule, count(*) AS violations FROM (SELECT 'schema_version' AS rule FROM customer WHERE c_custkey%5=0 UNION ALL
+  SELECT 'album_id' FROM customer WHERE c_nationkey=3 UNION ALL SELECT 'run_id' FROM customer WHERE c_custkey%7=0 UNION ALL
+  SELECT 'album_slug' FROM customer WHERE c_mktsegment='BUILDING' UNION ALL SELECT 'complete_source_set' FROM customer WHERE c_acctbal<0) GROUP BY 1""")
+def _(r):
+    """One run document per customer, some of them broken."""
+    c, key = F.col, F.col("c_custkey").cast("string")
+    documents = r.table("customer").select(
+        F.when(c("c_custkey") % 5 == 0, 2).otherwise(1).alias("schema_version"),
+        F.struct(
+            F.when(c("c_nationkey") == 3, F.lit("a/b")).otherwise("album").alias("id"),
+            F.when(c("c_mktsegment") == "BUILDING", "").otherwise("s").alias("slug"),
+        ).alias("album"),
+        F.struct(
+            F.concat(F.when(c("c_custkey") % 7 == 0, "-run").otherwise("run."), key).alias("id"),
+            F.when(c("c_acctbal") >= 0, True).alias("complete_source_set"),
+        ).alias("import_run"),
+    )
+    return rule_counts(checks.run_document_violations(documents))
+
+
 @query("d5_scan_manifest_rules", """SELECT rule, count(*) AS violations FROM (SELECT 'dense_positions' AS rule UNION ALL
   SELECT 'source_size' FROM orders WHERE o_orderstatus='O' UNION ALL SELECT 'display_present' FROM orders WHERE o_orderstatus='P') GROUP BY 1""")
 def _(r):

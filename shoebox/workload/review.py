@@ -185,6 +185,28 @@ def _(r):
     return reads.label_proposals(r.clusters, r.people, r.suggestions)
 
 
+# Composed reads ----------------------------------------------------------------------
+
+@query("o10_bootstrap", f"""SELECT id, status, row_number() OVER (ORDER BY face_count DESC, first_position, id)-1 AS place, (SELECT count(*) FROM faces) AS total_faces,
+  (SELECT count(*) FROM review_pictures WHERE scan_status='complete') AS scanned_pictures, (SELECT count(*) FROM clusters WHERE status='labeled') AS labeled_clusters
+  FROM ({SUMMARY}) WHERE status='labeled' AND (coalesce(display_name,'') ILIKE '%#00%' OR id ILIKE '%#00%')""", (*FCP, "review_pictures"))
+def _(r):
+    """The scoreboard and the labeled clusters of some names, in review order."""
+    board, queue = reads.bootstrap(r.review_pictures, r.faces, r.clusters, r.people, status="labeled", query=" #00 ")
+    order = [F.col("face_count").desc(), F.col("first_position"), F.col("id")]
+    placed = dense_index(queue, order, "place").select("id", "status", "place")
+    return placed.crossJoin(F.broadcast(board.select("total_faces", "scanned_pictures", "labeled_clusters")))
+
+
+@query("p9_export_preview", """SELECT f.person_id, p.display_name, count(DISTINCT f.photo_id) AS photo_count, count(*) AS face_count,
+  (SELECT count(*) FROM (SELECT DISTINCT photo_id, person_id FROM faces WHERE status='labeled' AND person_id IS NOT NULL)) AS photo_people,
+  (SELECT count(*) FROM clusters WHERE status='unreviewed') AS unreviewed_clusters, (SELECT count(*) FROM faces WHERE status='ignored') AS ignored_faces
+  FROM faces f JOIN people p ON p.id=f.person_id WHERE f.status='labeled' GROUP BY 1,2""", ("faces", "people", "clusters"))
+def _(r):
+    people, totals = export.export_preview(r.people, r.faces, r.clusters)
+    return people.crossJoin(F.broadcast(totals.select("photo_people", "unreviewed_clusters", "ignored_faces")))
+
+
 # Representatives and avatars ---------------------------------------------------------
 
 @query("w1_best_avatars", """SELECT person_id, id AS face_id FROM (SELECT f.*, row_number() OVER (PARTITION BY f.person_id ORDER BY f.quality_score DESC, f.detection_score DESC,

@@ -344,6 +344,34 @@ def _(r):
     return resumed.select("id", F.lit(True).alias("resumed")).unionByName(todo.select("id", F.lit(False).alias("resumed")))
 
 
+PROFILE = ('{"profile_version":1,"tool_version":"1.0.0","encoder":{"sharp":"0.34","libvips":"not-loaded"},"album_id":"a","prefix":"gallery",'
+           '"thumb":{"max_edge":640,"format":"webp","quality":QQ},"display":{"max_edge":2048,"format":"webp","quality":82},"auto_orient":true,'
+           '"colorspace":"srgb","source_metadata_preserved":false,"cache_control":"public, max-age=31536000, immutable"}')
+
+
+@query("p1_profile_change", f"""SELECT id, o_orderstatus<>'O' AS resumed, sha256('{PROFILE}'.replace('QQ', CASE WHEN o_orderstatus='O' THEN '80' ELSE '74' END)) AS profile FROM pictures""", ("pictures",))
+def _(r):
+    """Everything was built; then the thumbnails of open orders get another quality."""
+    def settings(quality):
+        return ingest.derivative_settings(
+            album_id="a", prefix=PREFIX, image_format="webp", thumb_size=640, thumb_quality=quality, display_size=2048,
+            display_quality=82, encoder={"sharp": "0.34"},
+        )
+
+    k = r.keyed_pictures.withColumns({"relative_path": F.col("original_filename"), "bytes": F.col("thumb_bytes"), "mtime_ms": F.col("o_orderkey") * 1000})
+    built = ingest.sign_inventory(k, settings(74))
+    open_ = F.col("o_orderstatus") == "O"
+    inventory = ingest.sign_inventory(k.where(open_), settings(80)).unionByName(built.where(~open_))
+    objects = k.select(F.col("thumb_key").alias("object_key"), F.col("thumb_bytes").alias("bytes")).unionByName(
+        k.select(F.col("display_key").alias("object_key"), F.col("display_bytes").alias("bytes"))
+    )
+    state = built.select("signature", "thumb_key", "thumb_bytes", "display_key", "display_bytes")
+    resumed, todo = ingest.split_work(inventory, state, objects)
+    profile = F.when(open_, ingest.profile_fingerprint(settings(80))).otherwise(ingest.profile_fingerprint(settings(74)))
+    marked = [f.select("id", F.lit(done).alias("resumed"), profile.alias("profile")) for f, done in ((resumed, True), (todo, False))]
+    return marked[0].unionByName(marked[1])
+
+
 def _media(r):
     k = r.keyed_pictures
     return k.select(
