@@ -397,3 +397,58 @@ def test_layers_are_folded_into_a_new_base(spark, monkeypatch):
         want[10 + step] = "new"
         assert {r["id"]: r["v"] for r in table.view().collect()} == want and len(table.paths) <= 2
         assert table.view().schema == base.schema or table.view().columns == base.columns
+
+
+def test_actions_tell_their_commands_and_replays(spark, ws):
+    import json
+
+    out = label(spark, ws)
+    assert (out.outcome.action_id, out.outcome.replayed) == (1, False)
+    told = json.loads(out.actions.head()["payload_json"])
+    assert told["commands"] == 1 and len(told["digest"]) == 64
+    again = label(spark, out)
+    assert (again.outcome.action_id, again.outcome.replayed) == (1, True) and again.actions.count() == 1
+    # Named so already: nothing to log under a new id.
+    same = label(spark, out, mutation="mutation-2")
+    assert same.outcome.action_id is None and same.actions.count() == 1
+    marked = review.set_clusters(out, commands(spark, [(group("split"),)], "cluster_id"), "unknown", mutation_id="mutation-3", now=now())
+    told = json.loads(marked.actions.where("id = 2").head()["payload_json"])
+    assert marked.outcome.action_id == 2 and (told["state"], told["commands"]) == ("unknown", 1)
+
+
+def test_bulk_ignore_behind_a_verified_backup(spark, ws, tmp_path):
+    from shoebox.plans import backup
+
+    whole = label(spark, ws)
+    before = snapshot(whole)
+    done, report = backup.ignore_with_backup(whole, f"{tmp_path}/one", mutation_id="mutation-8", now=now())
+    assert {r["status"] for r in done.clusters.collect()} == {"labeled", "ignored"} and report.head()["ignored_clusters"] == 6
+    assert snapshot(backup.read_backup(spark, f"{tmp_path}/one")) == before
+    # Asked again nothing is copied; a folder holds one backup.
+    again, _ = backup.ignore_with_backup(done, f"{tmp_path}/two", mutation_id="mutation-8", now=now())
+    assert again.outcome.replayed and not (tmp_path / "two").exists()
+    with pytest.raises(Exception, match="version"):
+        backup.write_backup(whole, f"{tmp_path}/one")
+
+
+def test_a_backup_that_does_not_hold_is_refused(spark, ws, tmp_path, monkeypatch):
+    from dataclasses import replace
+
+    from shoebox.plans import backup
+
+    mixed = replace(ws, faces=ws.faces.withColumn("status", F.when(F.col("id") == face("state_a"), "unknown").otherwise(F.col("status"))))
+    with pytest.raises(RuleViolation, match="not ready"):
+        backup.ignore_with_backup(mixed, f"{tmp_path}/mixed", mutation_id="mutation-8", now=now())
+    assert not (tmp_path / "mixed").exists()
+    lost = replace(ws, faces=ws.faces.withColumn("photo_id", F.when(F.col("id") == face("state_a"), "p_gone").otherwise(F.col("photo_id"))))
+    assert [tuple(r) for r in backup.broken_references(lost).collect()] == [("face_photo", "p_gone", 1)]
+    with pytest.raises(RuleViolation, match="broken references"):
+        backup.write_backup(lost, f"{tmp_path}/lost")
+    publish = backup.snapshots.publish
+    torn = lambda df, root, **more: publish(df.limit(3) if root.endswith("/clusters") else df, root, **more)
+    monkeypatch.setattr(backup.snapshots, "publish", torn)
+    with pytest.raises(RuleViolation, match="differs from the workspace"):
+        backup.write_backup(ws, f"{tmp_path}/torn")
+    for name in ("lost", "torn", "never"):
+        with pytest.raises(FileNotFoundError):
+            backup.read_backup(spark, f"{tmp_path}/{name}")

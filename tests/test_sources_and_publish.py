@@ -330,3 +330,34 @@ def test_batches_refuse_what_is_not_whole(spark, tmp_path):
             batches.read_batches(spark, f"{tmp_path}/{name}").collect()
     batches.write_batches(spark.createDataFrame([], "i long, x int"), f"{tmp_path}/none", "i")
     assert batches.read_batches(spark, f"{tmp_path}/none").isEmpty() and batches.batch_index(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_a_changed_setting_changes_every_signature(spark):
+    given = dict(album_id="a", prefix="g", image_format="webp", thumb_size=640, thumb_quality=74, display_size=2048, display_quality=82)
+    base = ingest.derivative_settings(**given)
+    prints = {ingest.profile_fingerprint(base)}
+    for name, value in (("thumb_quality", 75), ("display_size", 1024), ("image_format", "avif"), ("encoder", {"sharp": "1"}), ("prefix", "h")):
+        prints.add(ingest.profile_fingerprint(ingest.derivative_settings(**{**given, name: value})))
+    assert len(prints) == 6 and base["encoder"] == {"sharp": "not-loaded", "libvips": "not-loaded"}
+    files_ = spark.createDataFrame([("e\u0301.jpg", 3, 5), ("\u00e9.jpg", 3, 5), ("b.jpg", 3, 5)], "relative_path string, bytes long, mtime_ms long")
+    one, two, three = (r["signature"] for r in ingest.sign_inventory(files_, base).collect())
+    parts = ["\u00e9.jpg", "3", "5", ingest.profile_fingerprint(base)]
+    assert one == two == hashlib.sha256("\0".join(parts).encode()).hexdigest() and three != one
+
+
+def test_run_documents_are_checked_before_use(spark, tmp_path):
+    whole = {"schema_version": 1, "album": {"id": "a", "slug": "s"}, "import_run": {"id": "r.1", "complete_source_set": False}}
+    broken = [
+        ("schema_version", {**whole, "schema_version": 2}), ("album_id", {**whole, "album": {"id": "a/b", "slug": "s"}}),
+        ("album_slug", {**whole, "album": {"id": "a"}}), ("run_id", {**whole, "import_run": {"complete_source_set": True}}),
+        ("complete_source_set", {**whole, "import_run": {"id": "r.1"}}),
+    ]
+    write(tmp_path / "whole.json", json.dumps(whole))
+    read = lambda name: jsonlines.read_run_document(spark, str(tmp_path / name), schemas.RUN_DOCUMENT)
+    albums, runs = publish.open_run_document(read("whole.json"))
+    assert (albums.head()["id"], runs.head()["id"]) == ("a", "r.1")
+    for rule, document in broken:
+        write(tmp_path / f"{rule}.json", json.dumps(document))
+        assert [r["rule"] for r in checks.run_document_violations(read(f"{rule}.json")).collect()] == [rule]
+        with pytest.raises(RuleViolation):
+            publish.open_run_document(read(f"{rule}.json"))
