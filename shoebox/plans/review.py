@@ -62,8 +62,6 @@ class Workspace:
     images: DataFrame
     #: How the tables that decisions have changed are layered, by name.
     layers: Mapping[str, Layered] = field(default_factory=dict)
-    #: What became of the last checked decision.
-    outcome: Outcome | None = None
 
 
 def _refuse(rows: DataFrame, message: str) -> None:
@@ -191,10 +189,10 @@ def already_done(ws: Workspace, mutation_id: str) -> int | None:
     return row[0]
 
 
-def _replayed(ws: Workspace, mutation_id: str) -> Workspace | None:
-    """The unchanged workspace if an earlier call took this mutation id."""
-    earlier = already_done(ws, mutation_id)
-    return None if earlier is None else replace(ws, outcome=Outcome(earlier, replayed=True))
+def outcome(before: Workspace, after: Workspace, mutation_id: str) -> Outcome:
+    """What became of a checked decision: one that changes nothing returns the workspace it got."""
+    action = already_done(after, mutation_id)
+    return Outcome(action, replayed=action is not None and after is before)
 
 
 def command_payload(commands: DataFrame, **parameters: str) -> DataFrame:
@@ -267,7 +265,7 @@ def _log(before, after, action_type, mutation_id, payload, images, now, write) -
     logged = append_action(after, action_type, mutation_id, payload, out, now)
     added = cut_lineage(logged.actions.where(F.col("client_mutation_id") == mutation_id).select("id"), "action")
     tagged = out.crossJoin(F.broadcast(added.withColumnRenamed("id", "action_id"))).select(*IMAGES.names)
-    return replace(settled(before, logged, out, added, tagged), outcome=Outcome(added.head()["id"]))
+    return settled(before, logged, out, added, tagged)
 
 
 # Decisions --------------------------------------------------------------------
@@ -298,8 +296,8 @@ def label_clusters(
     """Name clusters. Faces follow unless ignored or unknown; in an unknown
     cluster the unknown faces follow too. Clusters already so named are left
     alone."""
-    if check and (earlier := _replayed(ws, mutation_id)) is not None:
-        return earlier
+    if check and already_done(ws, mutation_id) is not None:
+        return ws
     _refuse(
         commands.groupBy("cluster_id").count().where("count > 1").select("cluster_id"), "a cluster can be named once per command list"
     )
@@ -343,7 +341,7 @@ def label_clusters(
             "recover at least one face before naming this cluster",
         )
         if todo.isEmpty():
-            return replace(ws, outcome=Outcome(None))
+            return ws
     touched = todo.select("cluster_id")
     images = [face_images(ws, touched), cluster_images(ws, touched), _image(created, "people", "id", (), "delete")]
     changes = placed.where(eligible).join(touched, "cluster_id", "left_semi").select(
@@ -360,8 +358,8 @@ def batch_label(
     ws: Workspace, commands: DataFrame, *, mutation_id: str, now: Column, check: bool = True
 ) -> Workspace:
     """Give unreviewed clusters an existing person; all commands or none."""
-    if check and (earlier := _replayed(ws, mutation_id)) is not None:
-        return earlier
+    if check and already_done(ws, mutation_id) is not None:
+        return ws
     target = commands.select("cluster_id", F.col("person_id").alias("new_person"))
     state = target.join(
         ws.clusters.select(
@@ -401,7 +399,7 @@ def batch_label(
         )
     touched = state.where(F.col("cluster_status") == "unreviewed").select("cluster_id")
     if check and touched.isEmpty():
-        return replace(ws, outcome=Outcome(None))
+        return ws
     images = [face_images(ws, touched), cluster_images(ws, touched)]
     pending = reads.labelable(F.col("status")) & ~(
         (F.col("status") == "labeled") & F.col("person_id").eqNullSafe(F.col("new_person"))
@@ -443,10 +441,10 @@ def ignore_unreviewed(
         total("ignored_faces").alias("preserved_ignored_faces"),
     )
     if check:
-        if (earlier := _replayed(ws, mutation_id)) is not None:
-            return earlier, report
+        if already_done(ws, mutation_id) is not None:
+            return ws, report
         if targets.isEmpty():
-            return replace(ws, outcome=Outcome(None)), report
+            return ws, report
         _refuse(inside.where(F.col("status") == "labeled").select("id"), "unreviewed clusters contain labeled faces")
         if inside.isEmpty():
             raise ReviewConflict("unreviewed clusters contain no faces")
@@ -477,8 +475,8 @@ def set_clusters(
     if state not in ("unreviewed", "unknown", "ignored"):
         raise ValueError("Invalid disposition")
     if check:
-        if (earlier := _replayed(ws, mutation_id)) is not None:
-            return earlier
+        if already_done(ws, mutation_id) is not None:
+            return ws
         _require_clusters(ws, commands)
     touched = commands.select("cluster_id").distinct()
     before = ws.clusters.select(F.col("id").alias("cluster_id"), F.col("status").alias("cluster_status"))
@@ -506,8 +504,8 @@ def set_faces(
         raise ValueError("Invalid disposition")
     ids = commands.select(F.col("face_id").alias("id")).distinct()
     if check:
-        if (earlier := _replayed(ws, mutation_id)) is not None:
-            return earlier
+        if already_done(ws, mutation_id) is not None:
+            return ws
         _refuse(ids.join(ws.faces, "id", "left_anti").select("id"), "face not found")
     hit = ws.faces.join(ids, "id", "left_semi")
     touched = hit.where(F.col("cluster_id").isNotNull()).select("cluster_id").distinct()
@@ -548,8 +546,8 @@ def split_clusters(
     """
     commands = commands.select("cluster_id", "face_id").distinct()
     if check:
-        if (earlier := _replayed(ws, mutation_id)) is not None:
-            return earlier
+        if already_done(ws, mutation_id) is not None:
+            return ws
         _require_clusters(ws, commands)
         per = commands.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
         if limit is not None:
@@ -618,8 +616,8 @@ def merge_clusters(
     """
     mapping = merge_targets(commands)
     if check:
-        if (earlier := _replayed(ws, mutation_id)) is not None:
-            return earlier
+        if already_done(ws, mutation_id) is not None:
+            return ws
         _require_clusters(ws, commands)
         _refuse(
             mapping.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("cluster_id"),

@@ -395,9 +395,10 @@ def _(r):
     ws = replace(r.whole_workspace, actions=log)
     out = review.ignore_unreviewed(ws, mutation_id="ignore-all-1", now=_now())[0]
     again = review.ignore_unreviewed(out, mutation_id="ignore-all-1", now=_now())[0]
+    told = review.outcome(out, again, "ignore-all-1")
     shown = out.actions.select("id", "client_mutation_id", "action_type", "payload_json")
     return shown.crossJoin(F.broadcast(review.high_watermark(again))).withColumn(
-        "replayed_action", F.lit(again.outcome.action_id if again.outcome.replayed else None).cast("bigint")
+        "replayed_action", F.lit(told.action_id if told.replayed else None).cast("bigint")
     )
 
 

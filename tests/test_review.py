@@ -403,17 +403,17 @@ def test_actions_tell_their_commands_and_replays(spark, ws):
     import json
 
     out = label(spark, ws)
-    assert (out.outcome.action_id, out.outcome.replayed) == (1, False)
+    assert review.outcome(ws, out, "mutation-1") == review.Outcome(1, False)
     told = json.loads(out.actions.head()["payload_json"])
     assert told["commands"] == 1 and len(told["digest"]) == 64
     again = label(spark, out)
-    assert (again.outcome.action_id, again.outcome.replayed) == (1, True) and again.actions.count() == 1
+    assert review.outcome(out, again, "mutation-1") == review.Outcome(1, True) and again.actions.count() == 1
     # Named so already: nothing to log under a new id.
     same = label(spark, out, mutation="mutation-2")
-    assert same.outcome.action_id is None and same.actions.count() == 1
+    assert review.outcome(out, same, "mutation-2") == review.Outcome(None) and same.actions.count() == 1
     marked = review.set_clusters(out, commands(spark, [(group("split"),)], "cluster_id"), "unknown", mutation_id="mutation-3", now=now())
     told = json.loads(marked.actions.where("id = 2").head()["payload_json"])
-    assert marked.outcome.action_id == 2 and (told["state"], told["commands"]) == ("unknown", 1)
+    assert review.outcome(out, marked, "mutation-3").action_id == 2 and (told["state"], told["commands"]) == ("unknown", 1)
 
 
 def test_bulk_ignore_behind_a_verified_backup(spark, ws, tmp_path):
@@ -426,7 +426,7 @@ def test_bulk_ignore_behind_a_verified_backup(spark, ws, tmp_path):
     assert snapshot(backup.read_backup(spark, f"{tmp_path}/one")) == before
     # Asked again nothing is copied; a folder holds one backup.
     again, _ = backup.ignore_with_backup(done, f"{tmp_path}/two", mutation_id="mutation-8", now=now())
-    assert again.outcome.replayed and not (tmp_path / "two").exists()
+    assert review.outcome(done, again, "mutation-8").replayed and not (tmp_path / "two").exists()
     with pytest.raises(Exception, match="version"):
         backup.write_backup(whole, f"{tmp_path}/one")
 
