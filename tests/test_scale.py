@@ -18,3 +18,29 @@ def test_label_proposals_broadcast_no_table(spark, roles):
     assert twice.distinct().count() <= found.distinct().count() and twice.count() > twice.distinct().count()
     nameless = roles.people.withColumn("display_name", reads.F.lit(""))
     assert reads.label_proposals(roles.clusters, nameless, roles.suggestions).isEmpty()
+
+
+def test_a_layer_of_faces_has_the_changing_columns_only(spark):
+    from shoebox.operators.layers import Layered
+
+    base = spark.createDataFrame([(str(i), "open", "x" * 64) for i in range(4)], "id string, status string, crop string")
+    table = Layered(base, ("id",), changing=("status",)).patched(spark.createDataFrame([("1", "done"), ("9", "done")], "id string, status string"))
+    assert table.layers().columns == ["_key", "_at", "status"]
+    assert {(r.id, r.status, len(r.crop)) for r in table.view().collect()} == {("0", "open", 64), ("1", "done", 64), ("2", "open", 64), ("3", "open", 64)}
+    # A later layer wins, nulls too.
+    table = table.patched(spark.createDataFrame([("1", None), ("2", "gone")], "id string, status string"))
+    assert {r.id: r.status for r in table.view().collect()} == {"0": "open", "1": None, "2": "gone", "3": "open"}
+
+
+def test_a_decision_writes_narrow_faces_once(spark, roles, monkeypatch):
+    """Images, layer and new clusters come from one written copy of the faces' changing columns."""
+    from shoebox.plans import review
+    from shoebox.workload.review import _now
+
+    taken = []
+    cut = review.cut_lineage
+    monkeypatch.setattr(review, "cut_lineage", lambda df, label="table", *more: taken.append((label, df.columns)) or cut(df, label, *more))
+    every = roles.clusters.select(reads.F.col("id").alias("cluster_id"))
+    out = review.set_clusters(roles.workspace, every, "unknown", mutation_id="mutation-1", now=_now())
+    assert [c for label, c in taken if label == "images"] == [] and not {"crop_relpath", "crop_sha256"} & set(dict(taken)["taken"])
+    assert "crop_sha256" not in str(out.layers["faces"].layers().schema) and out.faces.columns == roles.faces.columns
