@@ -44,3 +44,27 @@ def test_a_decision_writes_narrow_faces_once(spark, roles, monkeypatch):
     out = review.set_clusters(roles.workspace, every, "unknown", mutation_id="mutation-1", now=_now())
     assert [c for label, c in taken if label == "images"] == [] and not {"crop_relpath", "crop_sha256"} & set(dict(taken)["taken"])
     assert "crop_sha256" not in str(out.layers["faces"].layers().schema) and out.faces.columns == roles.faces.columns
+
+
+def test_row_hashes_are_shuffled_as_bytes(spark):
+    """A backup is compared by digests of all its rows: 32 bytes each are shuffled, not 64 digits."""
+    from shoebox.functions.hashing import row_tokens
+
+    found = row_tokens(spark.createDataFrame([("a",), ("a",), ("b",)], "v string"), ["v"])
+    assert "sha2" in plan(found) and "unhex" in plan(found)
+    assert sorted(len(r.t) for r in found.collect()) == [66, 66] and {r.t[64:] for r in found.collect()} == {":1", ":2"}
+
+
+def test_a_backup_tells_its_fingerprint_once(spark, monkeypatch, tmp_path):
+    from shoebox.plans import backup
+
+    empty = spark.range(0)
+    monkeypatch.setattr(backup.snapshots, "publish", lambda *a, **b: 1)
+    monkeypatch.setattr(backup.snapshots, "create_once", lambda *a: True)
+    monkeypatch.setattr(backup, "_read", lambda *a: "copy")
+    monkeypatch.setattr(backup, "broken_references", lambda ws: empty)
+    told = []
+    monkeypatch.setattr(backup, "fingerprint", lambda ws: told.append(ws) or spark.createDataFrame([("faces.ignored", "1")], "fact string, value string"))
+    ws = type("Ws", (), {n: empty for n in backup.TABLES})()
+    copy, facts = backup._verified(ws, str(tmp_path))
+    assert copy == "copy" and told == ["copy", ws] and facts.collect()[0].value == "1" and len(told) == 2
