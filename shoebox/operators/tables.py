@@ -49,15 +49,18 @@ def upsert(
 
 
 def patch(
-    table: DataFrame, changes: DataFrame, key: str, assignments: Mapping[str, Column]
+    table: DataFrame, changes: DataFrame, key: str, assignments: Mapping[str, Column], gone: Column | None = None
 ) -> DataFrame:
     """Rows found in ``changes`` (unique by key) get the assignments.
 
     Expressions read the table's columns plainly and the change's as ``_c.x``.
+    Found rows for which ``gone`` is true leave, in the same join.
     """
     c = changes.select(F.col(key), F.struct(*changes.columns).alias("_c"))
     joined = table.join(c, key, "left")
     hit = F.col("_c").isNotNull()
+    if gone is not None:
+        joined = joined.where(~(hit & gone))
     return joined.select(
         *[
             F.when(hit, assignments[name]).otherwise(F.col(name)).cast(table.schema[name].dataType).alias(name)

@@ -117,16 +117,16 @@ def recompute_clusters(clusters: DataFrame, faces: DataFrame, touched: DataFrame
     ids = touched.select("cluster_id").distinct()
     state = cluster_state(faces.join(ids, "cluster_id", "left_semi"))
     changes = ids.join(state, "cluster_id", "left").withColumnRenamed("cluster_id", "id")
-    gone = changes.where(F.col("representative_face_id").isNull())
-    kept = delete_keys(clusters, gone, ["id"])
+    # One join: a second one for the empty clusters would aggregate the faces again.
     return patch(
-        kept, changes, "id",
+        clusters, changes, "id",
         {
             "status": F.col("_c.status"), "person_id": F.col("_c.person_id"),
             "representative_face_id": F.col("_c.representative_face_id"),
             "reviewed_at": F.when(F.col("_c.status") != "unreviewed", now),
             "revision": F.col("revision") + 1, "updated_at": now,
         },
+        gone=F.col("_c.representative_face_id").isNull(),
     )
 
 
@@ -543,16 +543,20 @@ def set_faces(
     if check:
         if already_done(ws, mutation_id) is not None:
             return ws
-        _refuse(ids.join(ws.faces, "id", "left_anti").select("id"), "face not found")
-    hit = ws.faces.join(ids, "id", "left_semi")
+    own = [c for c in schemas.MUTABLE_FACE_COLUMNS if c in ws.faces.columns]
+    hit = ws.faces.select(*own, "quality_score").join(ids, "id", "left_semi")
+    if check:
+        hit = cut_lineage(hit, "taken", "zstd")
+        _refuse(ids.join(hit, "id", "left_anti").select("id"), "face not found")
     touched = hit.where(F.col("cluster_id").isNotNull()).select("cluster_id").distinct()
     images = [
-        _image(hit, "faces", "id", schemas.MUTABLE_FACE_COLUMNS), cluster_images(ws, touched),
+        _face_rows(hit), cluster_images(ws, touched),
     ]
-    changes = ids.select("id", F.lit(state).alias("status"), F.lit(None).cast("string").alias("person_id"))
+    changes = hit.select("id", F.lit(state).alias("status"), F.lit(None).cast("string").alias("person_id"))
     faces = _set_faces(ws.faces, changes, now)
     out = replace(ws, faces=faces, clusters=recompute_clusters(ws.clusters, faces, touched, now))
-    return _log(ws, out, f"{state}_face", mutation_id, command_payload(commands, state=state), images, now, check)
+    after = _decided(hit, F.lit(True), F.lit(state), F.lit(None), now)
+    return _log(ws, out, f"{state}_face", mutation_id, command_payload(commands, state=state), images, now, check, after)
 
 
 def remaining_faces(faces: DataFrame, commands: DataFrame) -> DataFrame:

@@ -68,3 +68,15 @@ def test_a_backup_tells_its_fingerprint_once(spark, monkeypatch, tmp_path):
     ws = type("Ws", (), {n: empty for n in backup.TABLES})()
     copy, facts = backup._verified(ws, str(tmp_path))
     assert copy == "copy" and told == ["copy", ws] and facts.collect()[0].value == "1" and len(told) == 2
+
+
+def test_clusters_are_recomputed_from_one_aggregate(spark, roles):
+    """Empty clusters leave in the join that brings the new state; before, their faces were aggregated twice."""
+    from shoebox.plans import review
+    from shoebox.workload.review import _now
+
+    every = roles.clusters.select(reads.F.col("id").alias("cluster_id"))
+    found = review.recompute_clusters(roles.clusters, roles.faces.where("status <> 'ignored'"), every, _now())
+    assert plan(found).count("partial_min_by(") == 1
+    left = roles.faces.where("status <> 'ignored'").select("cluster_id").distinct().count()
+    assert found.count() == left and found.where("representative_face_id IS NULL").isEmpty()
