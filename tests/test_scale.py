@@ -80,3 +80,45 @@ def test_clusters_are_recomputed_from_one_aggregate(spark, roles):
     assert plan(found).count("partial_min_by(") == 1
     left = roles.faces.where("status <> 'ignored'").select("cluster_id").distinct().count()
     assert found.count() == left and found.where("representative_face_id IS NULL").isEmpty()
+
+
+def test_clusters_write_no_pairs_below_the_seed(spark, monkeypatch):
+    """At a low floor most pairs reach it; before, all of them were written and shuffled."""
+    from shoebox.plans import cluster
+    from test_similarity_and_clusters import SCHEMA, greedy, make_vectors
+
+    written = {}
+    cut = cluster.cut_lineage
+    monkeypatch.setattr(cluster, "cut_lineage", lambda df, label: written.setdefault(label, cut(df, label)))
+    rows = make_vectors(5, n=60)
+    limits = cluster.Thresholds(seed=0.7, floor=-0.2, suggest=0.3)
+    assignment, pairs = cluster.cluster_faces(spark.createDataFrame(rows, SCHEMA), limits, block_rows=16)
+    assert written["similar"].where("similarity < 0.7").isEmpty() and not written["similar"].isEmpty()
+    assert not pairs.where("similarity < 0.3").isEmpty()
+    found = {}
+    for r in assignment.collect():
+        found.setdefault(r["cluster_id"], set()).add(r["id"])
+    assert {frozenset(m) for m in found.values()} == greedy(rows, 0.7, -0.2)
+
+
+def test_least_similarities_are_exact(spark, monkeypatch):
+    """Tiles smaller than a pair, groups of all sizes, members that may not share a group."""
+    import itertools
+
+    from shoebox.operators import similarity
+    from test_similarity_and_clusters import SCHEMA, make_vectors, similarities
+
+    monkeypatch.setattr(similarity, "CROSS_VALUES", 40)
+    rows = make_vectors(6, n=40, pictures=30)
+    s = similarities(rows)
+    home = [i * i % 11 for i in range(40)]
+    groups = {g: [i for i in range(40) if home[i] == g] for g in set(home)}
+    asked = list(itertools.combinations(sorted(map(str, groups)), 2))
+    found = similarity.CrossPairs(spark.createDataFrame(rows, SCHEMA), "photo_id", 6).least(
+        spark.createDataFrame(asked, "a string, b string"), spark.createDataFrame([(r[0], str(g)) for r, g in zip(rows, home)], "id string, c string")
+    )
+    apart = [(a, b) for a, b in asked if not {rows[i][1] for i in groups[int(a)]} & {rows[i][1] for i in groups[int(b)]}]
+    assert {(r.a, r.b): round(r.similarity, 9) for r in found.collect()} == {
+        (a, b): round(min(s[i, j] for i in groups[int(a)] for j in groups[int(b)]), 9) for a, b in apart
+    }
+    assert 0 < len(apart) < len(asked)
