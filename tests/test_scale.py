@@ -122,3 +122,23 @@ def test_least_similarities_are_exact(spark, monkeypatch):
         (a, b): round(min(s[i, j] for i in groups[int(a)] for j in groups[int(b)]), 9) for a, b in apart
     }
     assert 0 < len(apart) < len(asked)
+
+
+def test_small_cluster_pairs_are_multiplied_together(monkeypatch):
+    """One product and one median for all pairs of equal sizes; before, a step for each pair."""
+    import numpy as np
+
+    from shoebox.operators import suggest
+
+    rng = np.random.default_rng(3)
+    left, right = (rng.normal(size=(400, 8)).astype(np.float32) / 9 for _side in "ab")
+    size = np.array([1, 3, 4, 4] * 30)
+    at = np.cumsum(size) - size
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(120), np.arange(120)))
+    calls, median = [], np.median
+    monkeypatch.setattr(suggest.np, "median", lambda v, axis=None: calls.append(len(v)) or median(v, axis=axis))
+    n, least, greatest, middle = suggest._whole(left, right, (at[i], size[i], at[j], size[j]))
+    assert sum(calls) == 14400 and len(calls) < 50
+    for k in range(0, 14400, 97):
+        v = left[at[i[k]] : at[i[k]] + size[i[k]]].astype(float) @ right[at[j[k]] : at[j[k]] + size[j[k]]].astype(float).T
+        assert n[k] == v.size and np.allclose([least[k], greatest[k], middle[k]], [v.min(), v.max(), median(v)], atol=1e-12)
