@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry
 from ..functions.hashing import canonical_json, sha256_hex
+from ..functions.packing import packed, unpacked
 from ..operators.numbering import index_in_group
 from ..operators.rules import RuleViolation
 from ..operators.tables import delete_keys, upsert
@@ -144,20 +145,24 @@ def suppress_overlaps(
     number = {c: F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "h")}
     sized = detections.select(*[number.get(c, F.col(c)) for c in columns], _rank_struct().alias("rank"))
     crowded = (
-        detections.groupBy("photo_id").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > group_rows).select("photo_id")
+        detections.groupBy(packed(F.col("photo_id")).alias("_photo")).agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > group_rows).select(unpacked(F.col("_photo")).alias("photo_id"))
     )
     usual, big = sized, None
     if not crowded.isEmpty():
         usual = sized.join(crowded, "photo_id", "left_anti")
         big = cut_lineage(sized.join(crowded, "photo_id", "left_semi"), "crowded")
-    # The fold carries whole rows, so survivors need no join back.
+    # The fold carries whole rows, so survivors need no join back; the shuffle
+    # has each number once and ids as bytes, the rank is made behind it.
+    rest = [c for c in columns if c not in ("photo_id", "det_id")]
+    sent = usual.select(packed(F.col("photo_id")).alias("_photo"), packed(F.col("det_id")).alias("_det"), *rest)
+    sent = sent.repartition("_photo").select("_photo", unpacked(F.col("_det")).alias("det_id"), *rest).withColumn("rank", _rank_struct())
     box = F.struct("rank", *[c for c in columns if c != "photo_id"])
     kept = (
-        usual.groupBy("photo_id")
+        sent.groupBy("_photo")
         .agg(F.sort_array(F.collect_list(box)).alias("_boxes"))
-        .select("photo_id", F.explode(_keep_in_order(F.col("_boxes"), threshold)).alias("_b"))
-        .select(*[F.col("photo_id") if c == "photo_id" else F.col(f"_b.{c}") for c in columns])
+        .select("_photo", F.explode(_keep_in_order(F.col("_boxes"), threshold)).alias("_b"))
+        .select(*[unpacked(F.col("_photo")).alias(c) if c == "photo_id" else F.col(f"_b.{c}") for c in columns])
     )
     if big is not None:
         settled = _suppress_rounds(big, threshold)
