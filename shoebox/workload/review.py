@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from ..functions.packing import packed, unpacked
 from ..operators import workspace as reads
 from ..operators.numbering import dense_index, index_in_group
 from ..operators.tables import set_differences
@@ -167,11 +168,11 @@ def _(r):
 @query("g9_cluster_detail", """SELECT f.id, f.cluster_id, row_number() OVER (PARTITION BY f.cluster_id ORDER BY ph.album_position, f.ordinal, f.id)-1 AS place
   FROM faces f JOIN pictures ph ON ph.id=f.photo_id""", ("faces", "pictures"))
 def _(r):
-    placed = r.faces.join(r.pictures.select(F.col("id").alias("photo_id"), "album_position"), "photo_id").select(
-        "id", "cluster_id", "album_position", "ordinal"
-    )
+    shown = r.pictures.select(packed(F.col("id")).alias("_photo"), "album_position")
+    faces = r.faces.select(packed(F.col("photo_id")).alias("_photo"), packed(F.col("cluster_id")).alias("_cluster"), packed(F.col("id")).alias("_face"), "ordinal")
+    placed = faces.join(shown.hint("merge"), "_photo").select(unpacked(F.col("_face")).alias("id"), "_cluster", "album_position", "ordinal")
     order = [F.col("album_position"), F.col("ordinal"), F.col("id")]
-    return index_in_group(placed, ["cluster_id"], order, "place").select("id", "cluster_id", "place")
+    return index_in_group(placed, ["_cluster"], order, "place").select("id", unpacked(F.col("_cluster")).alias("cluster_id"), "place")
 
 
 @query("g8_label_proposals",
