@@ -393,13 +393,18 @@ def _(r):
     """Set part of the replacement; the guards are exercised in the tests."""
     from ..operators.tables import delete_keys, insert_missing
 
-    ours = r.pictures.where(F.col("album_id") == ALBUM).select(F.col("id").alias("photo_id"))
-    incoming = _incoming_links(r).join(ours, "photo_id", "left_semi")
+    from ..functions.packing import packed, unpacked
+
+    # All steps compare ids only, so these go through the shuffles as bytes.
+    short = lambda df, *ids: df.withColumns({c: packed(F.col(c)) for c in ids})
     key = ["photo_id", "person_id"]
-    links = delete_keys(r.links, publish.stale_links(r.links, r.pictures, incoming, ALBUM), key)
+    pictures, people, stored = short(r.pictures.select("id", "album_id"), "id"), short(r.people, "id"), short(r.links, *key)
+    ours = pictures.where(F.col("album_id") == ALBUM).select(F.col("id").alias("photo_id"))
+    incoming = short(_incoming_links(r), *key).join(ours.hint("merge"), "photo_id", "left_semi")
+    links = delete_keys(stored, publish.stale_links(stored, pictures, incoming, ALBUM), key)
     links = insert_missing(links, incoming, key)
-    leaving = publish.stale_people(r.people, r.people.where(F.col("s_acctbal") >= 3000), ALBUM)
-    return delete_keys(links, leaving.select(F.col("id").alias("person_id")), ["person_id"])
+    leaving = publish.stale_people(people, people.where(F.col("s_acctbal") >= 3000), ALBUM)
+    return delete_keys(links, leaving.select(F.col("id").alias("person_id")), ["person_id"]).select(*[unpacked(F.col(c)).alias(c) for c in key])
 
 
 @query("d2_people_avatar_rules", f"""SELECT id FROM (SELECT *, sha256('a'||s_suppkey) AS sha FROM people) WHERE s_suppkey%3<>0""", ("people",))
