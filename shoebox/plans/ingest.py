@@ -195,8 +195,8 @@ def run_document(manifest: DataFrame, counters: DataFrame) -> DataFrame:
     return span.crossJoin(F.broadcast(counters))
 
 
-def upload_plan(manifest: DataFrame, object_root: str) -> DataFrame:
-    """Two rows per photo: thumbnail and display object."""
+def upload_plan(manifest: DataFrame, object_root: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Two rows per photo: thumbnail and display object. ``keep``: columns of the photo to carry along."""
     entry = lambda kind: F.struct(
         F.lit(kind).alias("kind"),
         F.col(f"{kind}_key").alias("object_key"),
@@ -205,13 +205,13 @@ def upload_plan(manifest: DataFrame, object_root: str) -> DataFrame:
     )
     return (
         manifest.select(
-            F.col("id").alias("photo_id"), F.explode(F.array(entry("thumb"), entry("display"))).alias("e")
+            F.col("id").alias("photo_id"), F.explode(F.array(entry("thumb"), entry("display"))).alias("e"), *keep
         )
-        .select("photo_id", "e.*")
+        .select("photo_id", "e.*", *keep)
         .select(
             "photo_id", F.lit(None).cast("string").alias("person_id"), "kind", "object_key",
             F.concat(F.lit(object_root.rstrip("/") + "/"), "object_key").alias("local_path"),
             keys.content_type(F.col("object_key")).alias("content_type"),
-            F.lit(keys.IMMUTABLE_CACHE).alias("cache_control"), "sha256", "bytes",
+            F.lit(keys.IMMUTABLE_CACHE).alias("cache_control"), "sha256", "bytes", *keep,
         )
     )

@@ -479,9 +479,7 @@ def _ledger(r):
     """Uploads of the finished orders' thumbnails, plus rows of another bucket."""
     from ..plans.upload import with_fingerprint
 
-    plan = with_fingerprint(ingest.upload_plan(r.keyed_pictures, "/objects")).join(
-        r.pictures.select(F.col("id").alias("photo_id"), "o_orderstatus", "o_orderkey"), "photo_id"
-    )
+    plan = with_fingerprint(ingest.upload_plan(r.keyed_pictures, "/objects", keep=("o_orderstatus", "o_orderkey")))
     stale = F.when(F.col("o_orderstatus") == "O", F.reverse("upload_fingerprint")).otherwise(F.col("upload_fingerprint"))
     return plan.where(F.col("kind") == "thumb").select(
         F.col("o_orderkey").alias("seq"), F.lit("uploaded").alias("type"), F.lit("acct").alias("account_id"), F.lit("prof").alias("profile"),
@@ -515,7 +513,7 @@ def _(r):
     from ..plans.upload import pending, uploaded
 
     plan = ingest.upload_plan(r.keyed_pictures, "/objects")
-    remote = plan.join(r.pictures.select(F.col("id").alias("photo_id"), "o_orderkey"), "photo_id").select(
+    remote = ingest.upload_plan(r.keyed_pictures, "/objects", keep=("o_orderkey",)).select(
         "object_key", "sha256", F.when(F.col("o_orderkey") % 10 == 3, F.col("bytes") - 1).otherwise(F.col("bytes")).alias("bytes")
     )
     return pending(plan, uploaded(_ledger(r), **TARGET), remote).select("object_key")
