@@ -27,3 +27,20 @@ def test_joins_shuffle_ids_as_bytes_and_broadcast_no_table(spark, roles):
         assert "unhex" in plan(joined)
     assert "Broadcast" not in plan(found)
     assert found.join(roles.links, ["photo_id", "person_id"], "left_anti").isEmpty() and not found.isEmpty()
+
+
+def test_facts_of_rules_are_shuffled_as_bytes(spark):
+    from shoebox.operators.rules import Checked, broken_rules
+
+    rows = spark.createDataFrame([("c_00ff", "a|b"), ("c_00ff", "a|b"), ("plain", None)], "id string, other string")
+    found = broken_rules(Checked(rows, F.col("id"), unique={"pair": ["id", "other"]}, references={"there": ["id"]}))
+    assert "unhex" in plan(found)
+    assert {tuple(r) for r in found.collect()} == {("pair", "c_00ff|a|b", 1), ("there", "c_00ff", 2), ("there", "plain", 1)}
+
+
+def test_a_plan_carries_columns_of_its_photos(spark, roles):
+    """Tables of earlier uploads need no join with the photos."""
+    from shoebox.plans.ingest import upload_plan
+
+    found = upload_plan(roles.keyed_pictures, "/objects", keep=("o_orderkey",))
+    assert found.columns == [*upload_plan(roles.keyed_pictures, "/objects").columns, "o_orderkey"] and "Join" not in plan(found)
