@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from shoebox.llm.packing import WordTokens, default_tokenizer, pack_documents, sum_of_squares
@@ -75,3 +76,54 @@ def test_cached_tokens_equal_the_tokenizers(texts):
 
 
 WORDS = WordTokens(default_tokenizer(), limit=50)
+
+
+class Counted(dict):
+    asked = 0
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_equal_runs_are_looked_up_once():
+    words = WordTokens(default_tokenizer())
+    words.known = Counted()
+    texts = ["Equal runs, after each other. " * 2000] * 10
+    for text, data in zip(texts, words.encode(texts), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.known.asked < 100  # of 120,000 runs
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text(st.sampled_from("aZ7éÀµ×÷ªß'sS.,-\"@—ДдΣİ\u0958कJ\u030c\u0338=\U0002ebf0 \n\t"), max_size=25), max_size=6), st.booleans())
+def test_columns_and_tails_equal_the_tokenizers(texts, large):
+    column = pa.array(["left out", *texts], pa.large_string() if large else pa.string()).slice(1)
+    got = list(WORDS.encode(column))
+    assert len(got) == len(texts)
+    for text, data in zip(texts, got):
+        assert np.frombuffer(data, "<u4").tolist() == WORDS.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_texts_in_several_slices(monkeypatch):
+    from shoebox.llm import packing
+
+    texts = ["", "one long text, " * 50, None, "", "short.", "two (words)", ""]
+    whole = list(WORDS.encode(pa.array(texts)))
+    monkeypatch.setattr(packing, "SLICE", 10)
+    assert list(WORDS.encode(pa.array(texts))) == whole and whole[0] == whole[2] == b""
+
+
+def test_gathered_batches_keep_rows_and_order():
+    from shoebox.llm.packing import gathered
+
+    batches = [pa.record_batch({"n": pa.array(range(10 * i, 10 * i + k), pa.int64())}) for i, k in enumerate([3, 0, 10, 1, 2])]
+    for limit in (0, 30, 120, 10_000):
+        got = list(gathered(iter(batches), limit))
+        assert [n for b in got for n in b.column(0).to_pylist()] == [n for b in batches for n in b.column(0).to_pylist()]
+        assert all(b.nbytes <= max(limit, 80) for b in got)
+    assert len(got) == 1 and not list(gathered(iter([])))
