@@ -102,6 +102,53 @@ def test_parts_are_merged_into_one_on_long_chains(spark, monkeypatch):
     assert roots == {f"a{i:03d}": "a000" for i in range(9)} | {f"b{i:03d}": "b000" for i in range(6)}
 
 
+@pytest.mark.parametrize("group_rows", [4096, 20])
+def test_near_copies_do_not_take_a_round_each(spark, monkeypatch, group_rows):
+    """One cluster takes the copies one by one; parts too large for a task are cut by nearness."""
+    rounds = []
+    append = agglomerate._Parts.append
+
+    def spy(self, df):
+        rounds.append("since" in df.columns)
+        return append(self, df)
+
+    monkeypatch.setattr(agglomerate._Parts, "append", spy)
+    monkeypatch.setattr(agglomerate, "GROUP_ROWS", group_rows)
+    rows = make_vectors(5, n=70, hot=40)
+    # Each copy is a little farther from the first than the one before.
+    away = np.array(rows[0][2])
+    for i in range(40):
+        v = away + 0.004 * i * np.eye(len(away))[i % 3]
+        rows[i] = (rows[i][0], f"p{1000 + i // 2}", [float(x) for x in (v / np.linalg.norm(v)).astype(np.float32)], rows[i][3])
+    assignment, _pairs = cluster.cluster_faces(spark.createDataFrame(rows, SCHEMA), cluster.Thresholds(seed=0.6, floor=0.3, suggest=0.3), block_rows=16)
+    found: dict[str, set[str]] = {}
+    for r in assignment.collect():
+        found.setdefault(r["cluster_id"], set()).add(r["id"])
+    assert {frozenset(m) for m in found.values()} == greedy(rows, 0.6, 0.3)
+    if group_rows > len(rows):
+        assert sum(rounds) < 12
+
+
+def test_settled_clusters_follow_the_rule():
+    """Starting from clusters of several rows, and with ties, as one edge after another does."""
+    rng = np.random.default_rng(9)
+    for _trial in range(20):
+        n = int(rng.integers(4, 40))
+        v = rng.normal(size=(3, 6))[rng.integers(0, 3, n)] + rng.normal(size=(n, 6)) * rng.choice([0.0, 0.05, 0.4])
+        v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+        rows = [(f"f{i:03d}", f"p{int(rng.integers(n))}", [float(x) for x in v[i]]) for i in range(n)]
+        same = np.array([int(r[1][1:]) for r in rows])
+        may, order = agglomerate._first_edges(v.astype(np.float64), np.arange(n), same, 0.6, 300000, 300000)
+        root = agglomerate.merged_rows(may, order)
+        assert {frozenset(f"f{i:03d}" for i in range(n) if root[i] == r) for r in root} == greedy(rows, 0.6, 0.3)
+
+
+def test_connected_parts(spark):
+    pairs = [(f"n{i:02d}", f"n{j:02d}") for i, j in [(9, 1), (9, 2), (9, 3), (4, 5), (5, 6), (6, 7), (7, 8), (10, 11), (12, 12)]]
+    found = {r["c"]: r["part"] for r in agglomerate.connected_parts(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert found == {f"n{i:02d}": "n01" for i in (1, 2, 3, 9)} | {f"n{i:02d}": "n04" for i in range(4, 9)} | {"n10": "n10", "n11": "n10"}
+
+
 def test_no_edges_means_singletons(spark):
     faces = spark.createDataFrame([("a", "p1", [1.0, 0.0], 0.1), ("b", "p2", [0.0, 1.0], 0.2)], SCHEMA)
     assignment, _ = cluster.cluster_faces(faces)
