@@ -287,6 +287,36 @@ def test_a_cluster_is_not_copied_for_each_of_its_candidates(spark, monkeypatch):
     assert stripes == 5 and cells <= 15 and parts >= 1225 and len(more) <= 4
 
 
+def test_candidates_are_made_once(spark):
+    """However many steps read them; small clusters lie whole in a stripe, so nothing is counted in bins."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = make_vectors(15, n=150)
+    placed = [(r[0], f"c{i // 3:02d}") for i, r in enumerate(rows)]
+    wanted = spark.createDataFrame(list(itertools.combinations(sorted({c for _i, c in placed}), 2)), "cluster_id_a string, cluster_id_b string")
+    got = suggest.pair_statistics(
+        wanted.mapInArrow(count, wanted.schema), spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(placed, "id string, cluster_id string"), tasks=10,
+    )
+    assert got.count() == made.value == 1225
+
+
+def test_a_task_sends_the_best_edges_of_a_cluster(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suggest, "HELD_ENDS", 16)
+    rng = np.random.default_rng(2)
+    rows = [(f"c{i % 3}", float(-rng.integers(5)) / 10, f"a{int(rng.integers(50))}", f"b{i:03d}") for i in range(200)]
+    names = ["c", "k", "cluster_id_a", "cluster_id_b"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 10]]) for i in range(4)], names) for at in range(0, 200, 10)]
+    sent = [tuple(r.values()) for b in suggest._best_ends(4)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(sent) == sorted(r for c in ("c0", "c1", "c2") for r in sorted(x for x in rows if x[0] == c)[:4])
+
+
 def test_suggestions_respect_pictures_and_links(spark):
     v = [[1.0, 0.0], [0.9, float(np.sqrt(0.19))], [0.8, 0.6], [0.7, float(np.sqrt(0.51))]]
     faces = spark.createDataFrame([(f"f{i}", f"p{i % 3}", v[i], 0.5) for i in range(4)], SCHEMA)
