@@ -142,3 +142,14 @@ def test_small_cluster_pairs_are_multiplied_together(monkeypatch):
     for k in range(0, 14400, 97):
         v = left[at[i[k]] : at[i[k]] + size[i[k]]].astype(float) @ right[at[j[k]] : at[j[k]] + size[j[k]]].astype(float).T
         assert n[k] == v.size and np.allclose([least[k], greatest[k], middle[k]], [v.min(), v.max(), median(v)], atol=1e-12)
+
+
+def test_no_face_is_sent_to_links_that_are_not_there(spark, roles):
+    faces = spark.createDataFrame([("a", "p", "c"), ("b", "p", "d"), ("e", "q", "d")], "id string, photo_id string, cluster_id string")
+    none = spark.createDataFrame([], "face_id_a string, face_id_b string, reason string")
+    assert reads.placed_exceptions(none, faces) is None
+    some = spark.createDataFrame([("a", "e", "manual_split"), ("a", "b", "absent")], none.schema)
+    placed, pairs = reads.placed_exceptions(some, faces), spark.createDataFrame([("c", "d")], "cluster_id_a string, cluster_id_b string")
+    assert reads.linked_cluster_pairs(pairs, faces, placed).collect() == reads.linked_cluster_pairs(pairs, faces, some).collect() != []
+    # Written once: nobody joins the faces for them again.
+    assert reads._pairs_of(placed, faces, "photo_id") is placed
