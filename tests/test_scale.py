@@ -144,6 +144,32 @@ def test_small_cluster_pairs_are_multiplied_together(monkeypatch):
         assert n[k] == v.size and np.allclose([least[k], greatest[k], middle[k]], [v.min(), v.max(), median(v)], atol=1e-12)
 
 
+def test_a_digest_shuffles_its_rows_once(spark):
+    """All levels of the tree but the root are made where the hashes were dealt."""
+    from shoebox.functions.hashing import _collapsed, digest_nodes
+
+    df = spark.createDataFrame([(f"r{i}",) for i in range(50)], "v string")
+    for digits in (12, 8, 4):
+        assert plan(digest_nodes(df, ["v"], digits)).count("Exchange hashpartitioning") == 1
+    import pyarrow as pa
+
+    one, other = bytes(range(32)), bytes(reversed(range(32)))
+    batch = pa.RecordBatch.from_arrays([pa.array([one] * 500 + [other] + [one] * 7, pa.binary())], ["b"])
+    rows = [r for b in _collapsed(iter([batch])) for r in b.to_pylist()]
+    assert rows == [{"top": 1, "b": one, "n": 507}, {"top": 31 * 256 + 30, "b": other, "n": 1}]
+
+
+def test_the_whole_workspace_shuffles_keys_not_ids(spark, roles):
+    """Faces get the state of their clusters before any id is made of their keys."""
+    ws = roles.whole_workspace
+    text = plan(ws.faces)
+    assert "Join [l_partkey" in text and "Join [cluster_id" not in text
+    assert ws.faces.columns == roles.faces.columns and ws.clusters.columns == roles.clusters.columns
+    owners = {r["id"]: (r["status"], r["person_id"]) for r in roles.clusters.collect()}
+    faces = ws.faces.select("cluster_id", "status", "person_id").collect()
+    assert len(faces) == roles.faces.count() and all(owners[r[0]] == (r[1], r[2]) for r in faces)
+
+
 def test_no_face_is_sent_to_links_that_are_not_there(spark, roles):
     faces = spark.createDataFrame([("a", "p", "c"), ("b", "p", "d"), ("e", "q", "d")], "id string, photo_id string, cluster_id string")
     none = spark.createDataFrame([], "face_id_a string, face_id_b string, reason string")
